@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm import chat_format, exact_dedup, mixing
+from brightquay.llm import chat_format, exact_dedup, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_chat_format": chat_format.op10_chat_format,
