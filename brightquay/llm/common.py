@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightquay.session import ship_package
+
 #: ASCII white space of every contract: space and tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression.
@@ -25,6 +27,7 @@ _made: list[tuple[SparkSession, str]] = []
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; any path that Spark's readers open will do."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
