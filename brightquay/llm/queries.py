@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm import chat_format, exact_dedup, mixing, packing, quality
+from brightquay.llm import chat_format, exact_dedup, media, mixing, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op4_media_columns": media.op4_media_columns,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_mixing": mixing.op8_mixing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
