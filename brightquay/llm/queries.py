@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm import chat_format, exact_dedup, media, mixing, packing, pii, quality
+from brightquay.llm import chat_format, exact_dedup, media, mixing, near_dup, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_ngram_jaccard_join": near_dup.op2_ngram_jaccard_join,
         "op4_media_columns": media.op4_media_columns,
         "op6_pii": pii.op6_pii,
         "op7_quality_classifier": quality.op7_quality_classifier,
