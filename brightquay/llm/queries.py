@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm import chat_format, exact_dedup, media, mixing, near_dup, packing, pii, quality
+from brightquay.llm import chat_format, exact_dedup, katz, media, mixing, near_dup, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_ngram_jaccard_join": near_dup.op2_ngram_jaccard_join,
+        "op3_lm_scoring": katz.op3_lm_scoring,
         "op4_media_columns": media.op4_media_columns,
         "op6_pii": pii.op6_pii,
         "op7_quality_classifier": quality.op7_quality_classifier,
