@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from brightquay.llm.common import load, text_of, write_table
 from brightquay.llm.components import components
+from brightquay.llm.exchange import mixed
 
 #: Words of a shingle; the similarity as a fraction.
 WORDS, SIM = 5, (75, 100)
@@ -43,13 +44,6 @@ CHUNK = 4096
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; shorter texts are one shingle, empty ones none."""
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()), np.uint64)
@@ -59,8 +53,8 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     factors = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(k)]
     x = np.full(len(w) - k + 1, k, np.uint64) * _C[5]
     for i, f in enumerate(factors):
-        x += _mixed(w[i : len(w) - k + 1 + i] + np.uint64(i)) * f
-    return np.unique(_mixed(x))
+        x += mixed(w[i : len(w) - k + 1 + i] + np.uint64(i)) * f
+    return np.unique(mixed(x))
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -178,14 +172,14 @@ def make_bands(largest: int, sets: int, sim: tuple[int, int] = SIM) -> list[Band
 def signatures(s: np.ndarray, band: Band, probes: bool) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set in a band, and whether each is one that it looks for others by."""
     m = band.segments
-    seg = (_mixed(s + np.uint64(band.number)) >> np.uint64(33)).astype(np.int64) % m
+    seg = (mixed(s + np.uint64(band.number)) >> np.uint64(33)).astype(np.int64) % m
     order = np.argsort(seg, kind="stable")
-    seg, value = seg[order], _mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))[order]
+    seg, value = seg[order], mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))[order]
     cut = np.searchsorted(seg, np.arange(m + 1))
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
     total, size = upto[cut[1:]] - upto[cut[:-1]], np.diff(cut)
     where = np.arange(m, dtype=np.uint64) + np.uint64(band.number << 32)
-    name = lambda t, n, w: _mixed(t * _C[2] + _mixed(w * _C[3] + n.astype(np.uint64)))
+    name = lambda t, n, w: mixed(t * _C[2] + mixed(w * _C[3] + n.astype(np.uint64)))
     full = name(total, size, where)
     looks = np.full(m, probes)
     if probes:
