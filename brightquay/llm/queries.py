@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm import chat_format, exact_dedup, katz, media, mixing, near_dup, packing, pii, quality
+from brightquay.llm import chat_format, exact_dedup, katz, media, mixing, near_dup, packing, pii, quality, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": near_dup.op2_ngram_jaccard_join,
         "op3_lm_scoring": katz.op3_lm_scoring,
         "op4_media_columns": media.op4_media_columns,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_pii": pii.op6_pii,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_mixing": mixing.op8_mixing,
