@@ -87,7 +87,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a document taken r times in full is r rows, and one row of its first words for a part.
+    """The mix as documents: a document taken r times in full is r rows, and one row of its first words, with single blanks, for a part.
 
     Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
@@ -95,7 +95,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = taken.dropDuplicates(["_id"])
     x = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
     x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(taken div _size)), IF(taken % _size > 0, array(int(taken % _size)), cast(array() as array<int>)))")))
-    cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', _words, '}'), 0)")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words")), " ")
     text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut)
     out = x.withColumn("text", text)
     if "n_chars" in docs.columns:
