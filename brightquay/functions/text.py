@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -111,7 +112,7 @@ def decode_named(text: Column | str) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal entities in one pass; unknown ones stay."""
 
@@ -237,7 +238,7 @@ def ics_escape(text: Column | str) -> Column:
     return F.replace(F.regexp_replace(out, "\r\n|\r", "\n"), F.lit("\n"), F.lit("\\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ics_fold(lines: pd.Series) -> pd.Series:
     """Content lines folded at 75 bytes, continuations at 74 behind a blank; characters stay whole."""
 
