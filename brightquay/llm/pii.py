@@ -41,13 +41,13 @@ KINDS = {
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_NAMES}) \p{{Lu}}[\p{{L}}-]+",
+    "name": rf"(?=[A-ZÀ-ÞΑ-ΩА-Я])(?<![\p{{L}}])(?:{_NAMES}) \p{{Lu}}[\p{{L}}-]+",
 }
 #: Cards before phones, for a run of digits may be either.
 _ORDER = ("email", "secret", "iban", "ip", "card", "phone", "ssn", "name")
 PATTERN = "|".join(f"(?:{KINDS[k]})" for k in _ORDER)
 #: A text without any of these holds no entity.
-HINT = r"[0-9@]|(?:" + _NAMES + r") "
+HINT = r"[0-9@]|(?=[A-ZÀ-ÞΑ-ΩА-Я])(?:" + _NAMES + r") "
 
 
 def _kind(entity: Column) -> Column:
@@ -175,9 +175,9 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """Distinct ``doc_id, mention, kind, value`` rows."""
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text_of(), F.lit(PATTERN), F.lit(0)))).alias("mention")).distinct()
+def mentions(hits: DataFrame) -> DataFrame:
+    """Distinct ``doc_id, mention, kind, value`` rows of ``doc_id, hits``."""
+    found = hits.select("doc_id", F.explode(F.array_distinct("hits")).alias("mention")).distinct()
     return found.withColumn("kind", _kind(F.col("mention"))).withColumn("value", canonical(F.col("mention"), F.col("kind")))
 
 
@@ -190,12 +190,13 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     hinted = F.col("text").rlike(HINT)
-    found = write_table(mentions(rows.filter(hinted)), "pii-mentions")
+    # the long pattern is matched once; the few texts that may hold entities go on with their hits
+    searched = write_table(rows.filter(hinted).withColumn("hits", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))), "pii-texts")
+    found = write_table(mentions(searched), "pii-mentions")
     table = surrogate_table(found.select("kind", "value").distinct(), key)
     drawn = found.join(table, ["kind", "value"]).select("doc_id", "mention", render(F.col("mention"), F.col("kind"), F.col("drawn")).alias("shown"))
     maps = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("m"))
-    hits = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    with_map = rows.filter(hinted).join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("hits", hits)
+    with_map = searched.join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.array_join(F.transform(F.split("text", PATTERN, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.element_at(F.col("m"), F.get(F.col("hits"), i - 1)), p))), "")
     replaced = with_map.select("doc_id", F.size("hits").cast("long").alias("n_entities"), F.when(F.size("hits") == 0, F.col("text")).otherwise(text).alias("text"))
     return replaced.unionByName(rows.filter(~hinted).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text"))
