@@ -91,10 +91,10 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
-    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
+    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     taken = taken.dropDuplicates(["_id"])
     x = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(taken div _size)), IF(taken % _size > 0, array(int(taken % _size)), cast(array() as array<int>)))")))
+    x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(_taken div _size)), IF(_taken % _size > 0, array(int(_taken % _size)), cast(array() as array<int>)))")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, F.lit(1), F.col("_words")), " ")
     text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut)
