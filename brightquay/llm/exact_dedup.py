@@ -74,10 +74,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays, all its columns unchanged; of repeated rows of one id, one."""
-    marked = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    """Rows whose id stays, all their columns unchanged.
+
+    What goes is written first: it is the smaller part, and its size decides how the texts
+    meet it.
+    """
+    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     norm = F.sha2(F.translate(text_of(text_col), WHITE, "").cast("binary"), 256)
-    return docs.withColumn("_s", norm).join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi").drop("_s")
+    return docs.join(write_table(gone, "copies"), F.col(id_col).eqNullSafe(F.col("_id")) & (norm == F.col("_sha")), "left_anti")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from brightquay.llm.quality import classify_quality
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    kept = classify_quality(docs, load(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rejected = classify_quality(docs, load(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(write_table(rejected, "rejected"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
