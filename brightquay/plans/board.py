@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightquay.functions import dates, scoring, text
 from brightquay.operators import joins, rollups, sampling
+from brightquay.session import ship_package
 from brightquay.sources import files
 
 #: The instant that queries over orders take as now: 2000-01-01 in UTC.
@@ -15,6 +16,7 @@ NOW_MS = 946_684_800_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

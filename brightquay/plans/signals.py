@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from brightquay.functions import scoring
 from brightquay.operators import joins, ranking, telemetry
 from brightquay.plans.board import day_ms, table
-from brightquay.session import ship_package
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +157,12 @@ SELECT count(*) AS renders, count(*) FILTER (WHERE c > p) AS wins, count(*) FILT
 
 def team_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafted lists of orders: lines by number against lines by price."""
-    ship_package(spark)
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"), F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_partkey"))).alias("b"))
     return ranking.team_drafts(li.select("key", F.col("a.l_partkey").alias("production"), F.col("b.l_partkey").alias("candidate")))
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value with an interval by users drawn with replacement."""
-    ship_package(spark)
     return ranking.bootstrap_mean(_events(spark, sf_dir), "user_id", "value", draws=200)
 
 
