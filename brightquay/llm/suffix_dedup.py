@@ -38,10 +38,10 @@ from brightquay.llm.common import load, text_of, write_table
 from brightquay.llm.exchange import bucketed, mixed, packed, slices_of, unpacked
 
 #: Bytes of a repeated string, of an anchor, and of a shard (a longer document is a shard of its own).
-MIN_BYTES, GRAM, SHARD_BYTES = 100, 32, 4_000_000
+MIN_BYTES, GRAM, SHARD_BYTES = 100, 32, 1_500_000
 #: Keys of a slice, on average.
 SLICE_KEYS = 1_500_000
-_SHARD = "shard long, n long, ids binary, known binary, lens binary, text binary"
+_SHARD = "shard long, n long, ids binary, known binary, lens binary, text binary, run_at binary, run_n binary, run_off binary"
 _ASK = "slice int, shard long, names binary, docs binary, starts binary, counts binary"
 _REPLY = "what int, shard long, slice int, values binary"
 
@@ -57,9 +57,12 @@ def shard_table(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal made, ids, texts
             row = [base + made, sum(map(len, texts)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes()]
-            row += [np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]
+            lens = np.array([len(t) for t in texts], "<i8")
+            raw = b"".join(texts)
+            at, n, anchor = runs_of(np.frombuffer(raw, np.uint8), lens)
+            row += [lens.tobytes(), zstandard.ZstdCompressor(level=3).compress(raw), packed(np.diff(at, prepend=0).astype("<u4")), packed(n.astype("<u2")), packed((anchor - at).astype("<u2"))]
             made, ids, texts = made + 1, [], []
-            kinds = [pa.int64()] * 2 + [pa.binary()] * 4
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 7
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _SHARD.split(", ")])
 
         size = 0
@@ -78,16 +81,54 @@ def shard_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(of, _SHARD)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_BASE, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64)
+
+
 def grams(text: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on, by doubling."""
     h, width = text.astype(np.uint64) + np.uint64(1), 1
     while width < GRAM:
-        factor = np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64))
-        h = h[:-width] * factor + h[width:]
+        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
         width *= 2
     return mixed(h)
 
 
+def grams_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """:func:`grams` at some places."""
+    out = np.zeros(len(places), np.uint64)
+    for i in range(GRAM):
+        out += (text[places + i].astype(np.uint64) + np.uint64(1)) * _POWERS[i]
+    return mixed(out)
+
+
+def runs_of(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts that have one anchor: first start, number of starts, place of the anchor."""
+    none = np.zeros(0, np.int64)
+    if len(text) < MIN_BYTES:
+        return none, none, none
+    span, low = MIN_BYTES - GRAM + 1, np.uint64(0xFFFFFFFF)
+    m = (grams(text) & ~low) | np.arange(len(text) - GRAM + 1, dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
+    anchor = (m & low).astype(np.int32)
+    del m
+    ends = np.cumsum(lens)
+    whole = np.ones(len(text), bool)  # starts whose string lies within one document
+    for end, n in zip(ends.tolist(), lens.tolist(), strict=True):
+        whole[max(end - n, end - MIN_BYTES + 1) : end] = False
+    starts = np.flatnonzero(whole[: len(anchor)])
+    if not len(starts):
+        return none, none, none
+    anchor = anchor[starts]
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))
+    at = np.flatnonzero(new)
+    return starts[at], np.diff(np.append(at, len(starts))), anchor[at].astype(np.int64)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes (all, where depth is the length).
 
@@ -127,7 +168,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, up to ``most`` bytes.
 
     In text order a value is at least its predecessor's less one (Kasai); ``lanes``
@@ -145,17 +186,21 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     ends = np.append(starts[1:], n)
     have = np.zeros(lanes, np.int64)
     p = starts.copy()
-    end_mark = np.append(text.astype(np.int16), -1)
+    raw = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ascontiguousarray(np.ndarray((n + 1,), "<u8", raw, strides=(1,)))  # eight bytes from each place on
     for _ in range(int((ends - starts).max())):
         q = before[p]
         have = np.where(q < 0, 0, have)
         grow = np.flatnonzero((q >= 0) & (have < most))
         while len(grow):
-            a, b = p[grow] + have[grow], q[grow] + have[grow]
-            same = (end_mark[np.minimum(a, n)] == end_mark[np.minimum(b, n)]) & (a < n) & (b < n)
-            grow = grow[same]
-            have[grow] += 1
-            grow = grow[have[grow] < most]
+            h = have[grow]
+            differ = words[np.minimum(p[grow] + h, n)] ^ words[np.minimum(q[grow] + h, n)]
+            same = differ == 0
+            lowest = np.where(same, np.uint64(1), differ & (~differ + np.uint64(1)))
+            h += np.where(same, 8, np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+            have[grow] = h
+            grow = grow[same & (h < most)]
+        have = np.minimum(have, np.minimum(most, n - np.maximum(p, q)))
         out[p] = have
         # beyond ``most`` bytes the order says nothing: there the value only carries over to the same neighbour
         beside = before[np.minimum(p + 1, n - 1)] == q + 1
@@ -176,29 +221,12 @@ class Shard:
         self.known = np.frombuffer(row.known, np.uint8).astype(bool)
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.text, max_output_size=max(1, row.n)), np.uint8)
         self.doc_at = np.cumsum(self.lens) - self.lens
-        n = len(self.text)
         # null ids come first; rows of one id in the order of reading
         self.doc_order = np.where(self.known, self.ids, np.iinfo(np.int64).min)
-        self.run_at = self.run_n = self.run_name = self.run_anchor = np.zeros(0, np.int64)
-        if n < MIN_BYTES:
-            return
-        self.gram = grams(self.text)
-        span = MIN_BYTES - GRAM + 1
-        low = np.uint64(0xFFFFFFFF)
-        m = (self.gram & ~low) | np.arange(len(self.gram), dtype=np.uint64)
-        width = 1
-        while 2 * width <= span:
-            m = np.minimum(m[:-width], m[width:])
-            width *= 2
-        m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
-        last = np.repeat(self.doc_at + self.lens, self.lens)[: len(m)]
-        starts = np.flatnonzero(np.arange(len(m)) + MIN_BYTES <= last)
-        anchor = (m[starts] & low).astype(np.int64)
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))[: len(starts)]
-        at = np.flatnonzero(new)
-        self.run_at, self.run_n = starts[at], np.diff(np.append(at, len(starts)))
-        self.run_anchor = anchor[at]
-        self.run_name = self.gram[self.run_anchor]
+        self.run_at = np.cumsum(unpacked(row.run_at, "<u4"), dtype=np.int64)
+        self.run_n = unpacked(row.run_n, "<u2").astype(np.int64)
+        self.run_anchor = self.run_at + unpacked(row.run_off, "<u2")
+        self.run_name = grams_at(self.text, self.run_anchor)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor names and how many runs each has."""
@@ -238,14 +266,14 @@ class Shard:
         key = mixed(size.astype(np.uint64) << np.uint64(32) | (self.run_anchor[which] - at).astype(np.uint64))
         for k in range(-(-(2 * MIN_BYTES) // GRAM)):
             off = np.minimum(k * GRAM, size - GRAM)
-            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + self.gram[at + off])
+            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + grams_at(self.text, at + off))
         return key
 
     def start_keys(self, starts: np.ndarray) -> np.ndarray:
         """Names of the strings of MIN_BYTES bytes at ``starts``."""
         key = np.zeros(len(starts), np.uint64)
         for off in [*range(0, MIN_BYTES - GRAM, GRAM), MIN_BYTES - GRAM]:
-            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + self.gram[starts + off])
+            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + grams_at(self.text, starts + off))
         return key
 
 
@@ -259,10 +287,8 @@ def repeats_inside(shard: Shard, starts: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, bool)
     # the bytes that the starts cover, moved together
-    cover = np.zeros(len(shard.text) + 1, np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + MIN_BYTES, -1)
-    inside = np.cumsum(cover[:-1]) > 0
+    n = len(shard.text)
+    inside = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(starts + MIN_BYTES, minlength=n + 1))[:n] > 0
     text, place = shard.text[inside], np.cumsum(inside) - 1
     order = suffix_order(text, MIN_BYTES)
     prefix = common_prefixes(text, order, MIN_BYTES)
