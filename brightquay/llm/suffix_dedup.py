@@ -226,7 +226,8 @@ class Shard:
         self.run_at = np.cumsum(unpacked(row.run_at, "<u4"), dtype=np.int64)
         self.run_n = unpacked(row.run_n, "<u2").astype(np.int64)
         self.run_anchor = self.run_at + unpacked(row.run_off, "<u2")
-        self.run_name = grams_at(self.text, self.run_anchor)
+        # anchors have the smallest hashes around: scrambled once more, they spread over the slices
+        self.run_name = mixed(grams_at(self.text, self.run_anchor) ^ np.uint64(0x5851F42D4C957F2D))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor names and how many runs each has."""
