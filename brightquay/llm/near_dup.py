@@ -30,16 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import load, text_of, write_table
+from brightquay.llm.common import drop_table, load, text_of, write_table
 from brightquay.llm.components import components
-from brightquay.llm.exchange import mixed
+from brightquay.llm.exchange import mixed, slices_of
 
 #: Words of a shingle; the similarity as a fraction.
 WORDS, SIM = 5, (75, 100)
-#: Hashes that one slice of the hash range holds, ratio of size bands, rounds of random centres.
-SLICE_HASHES, BAND_RATIO, CENTRE_ROUNDS = 2_000_000, 4 / 3, 5
-#: Documents of one chunk of the universe in the full comparison.
-CHUNK = 4096
+#: Hashes that one slice of the hash range holds, ratio of size bands, rounds of centres.
+SLICE_HASHES, BAND_RATIO, CENTRE_ROUNDS = 2_000_000, 4 / 3, 3
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -197,26 +195,50 @@ def signatures(s: np.ndarray, band: Band, probes: bool) -> tuple[np.ndarray, np.
     return np.concatenate([full, less]), np.concatenate([looks, looks[seg[near]]])
 
 
-def signature_table(sets: DataFrame, bands: list[Band], sim: tuple[int, int] = SIM) -> DataFrame:
-    """``sig, doc_id, n, looks`` rows of ``doc_id, n, s`` sets.
+def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
+    """``sig, doc_id, n, looks`` of ``doc_id, n, s`` sets, for signatures that several sets have and one looks for.
 
     A set looks for partners in its own band and can be found there and in the next
-    band, where it may be the smaller one of a pair.
+    band, where it may be the smaller one of a pair. Signatures travel as arrays, to
+    slices of their range; most are a single set's and end there.
     """
     edges = np.array([b.low for b in bands])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, s in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            sizes = []
+            for s in batch.column(2):
                 s = np.frombuffer(s.as_py(), "<u8")
                 k = int(np.searchsorted(edges, len(s), side="right")) - 1
-                found = [signatures(s, bands[k], True)]
-                found += [signatures(s, b, False) for b in bands[k + 1 :] if b.low * sim[0] <= len(s) * sim[1]]
-                sig, looks = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                n = len(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(n, doc_id)), pa.array(np.full(n, len(s))), pa.array(looks)], ["sig", "doc_id", "n", "looks"])
+                own = [signatures(s, bands[k], True)]
+                own += [signatures(s, b, False) for b in bands[k + 1 :] if b.low * sim[0] <= len(s) * sim[1]]
+                found.append((np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])))
+                sizes.append(len(s))
+            if not found:
+                continue
+            sig, looks = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+            order, cut = slices_of(sig, slices)
+            ids, sizes = _ids(batch), np.array(sizes, "<i8")
+            rows = []
+            for k in range(slices):
+                o = order[cut[k] : cut[k + 1]]
+                if len(o):
+                    d, n = np.unique(owner[o], return_counts=True)
+                    rows.append((k, sig[o].astype("<u8").tobytes(), np.packbits(looks[o]).tobytes(), ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "looks", "d", "size", "n"])
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        sig = np.concatenate([np.frombuffer(x, "<u8") for x in f["sig"]])
+        looks = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(y) // 8] for x, y in zip(f["looks"], f["sig"], strict=True)]).astype(bool)
+        doc, size = (np.concatenate([np.repeat(np.frombuffer(x, "<i8"), np.frombuffer(n, "<u4")) for x, n in zip(f[c], f["n"], strict=True)]) for c in ("d", "size"))
+        _, inverse = np.unique(sig, return_inverse=True)
+        keep = (np.bincount(inverse) > 1)[inverse] & (np.bincount(inverse, looks) > 0)[inverse]
+        return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc_id": doc[keep], "n": size[keep], "looks": looks[keep]})
 
-    return sets.mapInArrow(of, "sig long, doc_id long, n long, looks boolean")
+    blobs = sets.mapInArrow(parts, "k int, sig binary, looks binary, d binary, size binary, n binary")
+    return blobs.groupBy("k").applyInPandas(meet, "sig long, doc_id long, n long, looks boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
@@ -241,57 +263,132 @@ def _fits(m: str, n: str, sim: tuple[int, int]) -> str:
 
 
 def link_components(sets: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
-    """``node, component`` over links of distinct sets, ``doc_id, n, s``."""
-    most = sets.agg(F.count("*"), F.max("n")).first()
+    """``node, component`` over links of distinct sets, ``doc_id, n, s``.
+
+    After each round only the sets of segments that still span several components go on.
+    """
+    most = sets.agg(F.count("*"), F.max("n"), F.sum("n")).first()
     if not most[0]:
         return sets.sparkSession.createDataFrame([], "node long, component long")
-    raw = signature_table(sets, make_bands(most[1], most[0], sim), sim)
-    rows = write_table(raw, "signatures")
-    met = rows.groupBy("sig").agg(F.count("*").alias("k"), F.max("looks").alias("any"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("any AND lo <> hi").select("sig")
-    members = write_table(rows.join(met, "sig").distinct(), "segment-sets")
-    links = labels = tested = None
+    slices = max(1, math.ceil(most[2] / SLICE_HASHES))
+    bands = make_bands(most[1], most[0], sim)
+    members = write_table(segment_table(sets, bands, slices, sim), "segment-sets")
+    labels = write_table(sets.sparkSession.createDataFrame([], "node long, component long"), "labels")
+    tested = None
     for turn in range(CENTRE_ROUNDS + 1):
-        now = members if labels is None else members.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-        if labels is None:
-            now = now.withColumn("component", F.col("doc_id"))
-        else:
-            # segments whose sets lie in several components are open still
-            open_ = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-            now = now.join(open_, "sig", "left_semi")
         if turn < CENTRE_ROUNDS:
             rank = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-            centre = now.filter("looks").groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "component")).alias("c"))
-            pairs = now.join(centre, "sig").filter(f"component <> c.component AND {_fits('n', 'c.n', sim)}").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+            centre = members.filter("looks").groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n")).alias("c"))
+            pairs = members.join(centre, "sig").filter(f"doc_id <> c.doc_id AND {_fits('n', 'c.n', sim)}").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+            if turn:
+                pairs = _labelled(pairs, labels).filter("la <> lb").select("a", "b")
         else:
-            pairs = _all_between(now, sets.sparkSession, most[0], sim)
+            still = write_table(members.select("doc_id").distinct(), "open-sets")
+            named = sets.join(still, "doc_id", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left")
+            pairs = pairs_between(named.select("doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component")), bands, slices, sim)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "pairs")
-        if pairs.isEmpty() and turn == CENTRE_ROUNDS:
-            break
         tested = pairs if tested is None else tested.union(pairs)
         found = write_table(verified(pairs, sets, sim), "links")
-        links = found if links is None else links.union(found)
-        labels = write_table(components(links), "components")
+        labels = _joined(labels, found)
+        if turn < CENTRE_ROUNDS:
+            open_ = _labelled_sets(members, labels).groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("looks").alias("any")).filter("any AND lo <> hi").select("sig")
+            left = write_table(members.join(write_table(open_, "open"), "sig", "left_semi"), "segment-sets")
+            drop_table(members)
+            members = left
+            if members.isEmpty():
+                break
     return labels
 
 
-def _all_between(members: DataFrame, spark: SparkSession, sets: int, sim: tuple[int, int]) -> DataFrame:
-    """Every pair that meets in a segment and lies in two components, each once.
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components ``la, lb`` of their sides."""
+    one = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+
+
+def _labelled_sets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    j = members.join(labels, F.col("doc_id") == F.col("node"), "left")
+    return j.select("sig", "doc_id", "n", "looks", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after new links: components are joined, and nodes that had none get one."""
+    edges = _labelled(found, labels).filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    roots = components(edges).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    roots = write_table(roots, "roots")
+    known = labels.join(roots, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    fresh = roots.select(F.col("_n").alias("node"), F.col("_c").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return write_table(known.unionByName(fresh), "labels")
 
-    The side of the smaller component asks; the other side comes as arrays per segment
-    and chunk of the universe, so that a pair that meets in many segments is a row once.
+
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of a set's hashes by place: sketches of two sets differ in no more places than the sets in members."""
+    odd = np.bincount((mixed(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def pairs_between(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
+    """Distinct ``a, b`` that meet in a segment, lie in two components and may be similar, of ``doc_id, n, s, component``.
+
+    Sizes and parity sketches are compared where the sets meet, so only pairs that pass
+    both bounds are rows; both are exact.
     """
-    sizes = members.select("doc_id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-    m = write_table(members.join(sizes, "component").select("sig", "doc_id", "n", "component", "size").distinct(), "open-segments")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sets // CHUNK)))
-    arrays = m.groupBy("sig", chunk.alias("chunk")).agg(F.collect_list(F.struct("doc_id", "n", "component", "size")).alias("ys"))
-    largest = m.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"))
-    asks = m.join(largest, "sig").filter("component <> top.component").select("sig", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("size").alias("xs"))
-    other = F.expr(f"transform(filter(ys, y -> (y.size > xs OR (y.size = xs AND y.component > xc)) AND y.component <> xc AND {_fits('y.n', 'xn', sim)}), y -> y.doc_id)")
-    near = asks.join(arrays, "sig").select("x", "chunk", other.alias("ys")).filter("size(ys) > 0")
-    each = near.groupBy("x", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")).select("x", F.explode("ys").alias("y"))
-    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = np.array([b.low for b in bands])
+    lengths = [max(64, 1 << (2 * b.high - 1).bit_length()) for b in bands]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, owner, entries = [], [], []
+            for doc_id, s, component in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                s = np.frombuffer(s.as_py(), "<u8")
+                k = int(np.searchsorted(edges, len(s), side="right")) - 1
+                for b in [bands[k]] + [b for b in bands[k + 1 :] if b.low * sim[0] <= len(s) * sim[1]]:
+                    x, looks = signatures(s, b, b is bands[k])
+                    sig.append(x)
+                    owner.append(np.repeat(len(entries) << 1, len(x)) | looks)
+                    entries.append((doc_id, len(s), component, _parity(s, lengths[b.number])))
+            if not entries:
+                continue
+            sig, owner = np.concatenate(sig), np.concatenate(owner)
+            order, cut = slices_of(sig, slices)
+            rows = []
+            for k in range(slices):
+                o = order[cut[k] : cut[k + 1]]
+                if len(o):
+                    e, n = np.unique(owner[o] >> 1, return_counts=True)
+                    own = [entries[i] for i in e]
+                    rows.append((k, sig[o].astype("<u8").tobytes(), (owner[o] & 1).astype(np.uint8).tobytes(), np.array([x[:3] for x in own], "<i8").tobytes(), n.astype("<u4").tobytes(), np.array([len(x[3]) for x in own], "<u4").tobytes(), np.concatenate([x[3] for x in own]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "looks", "e", "n", "size", "sketch"])
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in f[c]])
+        sig, looks, entries, size = join("sig", "<u8"), join("looks", np.uint8), join("e", "<i8").reshape(-1, 3), join("size", "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(entries)), join("n", "<u4"))
+        sketch, at = join("sketch", "<u8"), np.cumsum(size) - size
+        order = np.argsort(sig, kind="stable")
+        sig, owner, looks = sig[order], owner[order], looks[order]
+        cut = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
+        component = entries[owner, 2]
+        low, high, any_ = (g.reduceat(x, cut[:-1]) for g, x in ((np.minimum, component), (np.maximum, component), (np.maximum, looks)))
+        found = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero((low != high) & (any_ > 0)).tolist():
+            o = owner[cut[i] : cut[i + 1]]
+            doc, n, c = entries[o].T
+            m = sketch[at[o][:, None] + np.arange(size[o[0]])]
+            for r in range(0, len(o), 256):
+                rows, cols = np.nonzero((c[r : r + 256, None] != c) & (doc[r : r + 256, None] < doc) & (n[r : r + 256, None] * sim[1] >= n * sim[0]) & (n * sim[1] >= n[r : r + 256, None] * sim[0]))
+                rows += r
+                apart = np.bitwise_count(m[rows] ^ m[cols]).sum(axis=1)
+                ok = apart <= (sim[1] - sim[0]) * (n[rows] + n[cols]) // (sim[0] + sim[1])
+                found.append(np.stack([doc[rows[ok]], doc[cols[ok]]], axis=1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    blobs = sets.mapInArrow(parts, "k int, sig binary, looks binary, e binary, n binary, size binary, sketch binary")
+    return blobs.groupBy("k").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
@@ -327,8 +424,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
     """One row of each component stays: the one with the smallest id, all its columns unchanged."""
-    kept = near_duplicates(docs, words, sim).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    gone = near_duplicates(docs, words, sim).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(write_table(gone, "near-copies"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
