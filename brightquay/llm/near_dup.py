@@ -12,7 +12,8 @@
    band, how many segments of either kind to have, and, per set, which to leave out.
 4. Sets that meet in a segment are verified on their sorted shingle hashes. A segment's
    sets are compared with one centre at a time, and only as long as they lie in
-   different components; what random centres leave is compared in full.
+   different components; what random centres leave is compared in full. A signature of
+   many sets is dealt to chunks, and every pair of chunks is a group of its own.
 
 Shingles are named by 64-bit hashes; sets of a pair are compared through these alone.
 """
@@ -38,6 +39,8 @@ from brightquay.llm.exchange import mixed, slices_of
 WORDS, SIM = 5, (75, 100)
 #: Hashes that one slice of the hash range holds, ratio of size bands, rounds of centres.
 SLICE_HASHES, BAND_RATIO, CENTRE_ROUNDS = 2_000_000, 4 / 3, 3
+#: Sets that a chunk of a hot signature holds on average; sets of one batch from which a signature does not travel to its slice.
+CHUNK, TOGETHER = 4096, 32
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -200,7 +203,9 @@ def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[in
 
     A set looks for partners in its own band and can be found there and in the next
     band, where it may be the smaller one of a pair. Signatures travel as arrays, to
-    slices of their range; most are a single set's and end there.
+    slices of their range; most are a single set's and end there. Of a signature that many
+    sets of a batch have, a mark goes to its slice; its sets go on batch by batch, also
+    where no one looks for them.
     """
     edges = np.array([b.low for b in bands])
 
@@ -219,22 +224,31 @@ def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[in
                 continue
             sig, looks = (np.concatenate(x) for x in zip(*found, strict=True))
             owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
-            order, cut = slices_of(sig, slices)
-            ids, sizes = _ids(batch), np.array(sizes, "<i8")
+            name, inverse, count = np.unique(sig, return_inverse=True, return_counts=True)
+            often = count >= TOGETHER
+            many = np.flatnonzero(often[inverse])
+            # marks are of size 0 and look if a set of the batch does
+            ids, sizes = np.append(_ids(batch), 0), np.array([*sizes, 0], "<i8")
+            few = np.flatnonzero(~often[inverse])
+            s, l, w = np.append(sig[few], name[often]), np.append(looks[few], (np.bincount(inverse, looks) > 0)[often]), np.append(owner[few], np.full(often.sum(), len(found)))  # noqa: E741
+            order, cut = slices_of(s, slices)
+            parted = [(k, s, l, w, order[cut[k] : cut[k + 1]]) for k in range(slices)]
+            parted.append((slices + int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(slices)), sig, looks, owner, many))
             rows = []
-            for k in range(slices):
-                o = order[cut[k] : cut[k + 1]]
+            for k, s, l, w, o in parted:  # noqa: E741
                 if len(o):
-                    d, n = np.unique(owner[o], return_counts=True)
-                    rows.append((k, sig[o].astype("<u8").tobytes(), np.packbits(looks[o]).tobytes(), ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes()))
+                    d, n = np.unique(w[o], return_counts=True)
+                    rows.append((k, s[o].astype("<u8").tobytes(), np.packbits(l[o]).tobytes(), ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "looks", "d", "size", "n"])
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         sig = np.concatenate([np.frombuffer(x, "<u8") for x in f["sig"]])
         looks = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(y) // 8] for x, y in zip(f["looks"], f["sig"], strict=True)]).astype(bool)
         doc, size = (np.concatenate([np.repeat(np.frombuffer(x, "<i8"), np.frombuffer(n, "<u4")) for x, n in zip(f[c], f["n"], strict=True)]) for c in ("d", "size"))
-        _, inverse = np.unique(sig, return_inverse=True)
-        keep = (np.bincount(inverse) > 1)[inverse] & (np.bincount(inverse, looks) > 0)[inverse]
+        keep = np.ones(len(sig), bool)
+        if f["k"].iloc[0] < slices:
+            _, inverse = np.unique(sig, return_inverse=True)
+            keep = (np.bincount(inverse, np.where(size > 0, 1, 2)) > 1)[inverse] & (np.bincount(inverse, looks) > 0)[inverse] & (size > 0)
         return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc_id": doc[keep], "n": size[keep], "looks": looks[keep]})
 
     blobs = sets.mapInArrow(parts, "k int, sig binary, looks binary, d binary, size binary, n binary")
@@ -283,9 +297,7 @@ def link_components(sets: DataFrame, words: int = WORDS, sim: tuple[int, int] =
             if turn:
                 pairs = _labelled(pairs, labels).filter("la <> lb").select("a", "b")
         else:
-            still = write_table(members.select("doc_id").distinct(), "open-sets")
-            named = sets.join(still, "doc_id", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left")
-            pairs = pairs_between(named.select("doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component")), bands, slices, sim)
+            pairs = pairs_between(open_sets(members, sets, labels), bands, slices, sim)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "pairs")
@@ -330,65 +342,138 @@ def _parity(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def pairs_between(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
-    """Distinct ``a, b`` that meet in a segment, lie in two components and may be similar, of ``doc_id, n, s, component``.
+def open_sets(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, n, s, component, sigs`` of the sets in ``members``; ``sigs`` has each signature, whether the set looks for it, and its chunks."""
+    hot = members.groupBy("sig").agg(F.count("*").alias("k")).filter(F.col("k") > CHUNK).select("sig", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
+    hot = write_table(hot, "hot-signatures")
+    own = members.join(hot, "sig", "left").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "looks", F.coalesce("chunks", F.lit(1)).alias("chunks"))).alias("sigs"))
+    named = sets.join(write_table(own, "open-sets"), "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
+    return named.select("doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component"), "sigs")
 
-    Sizes and parity sketches are compared where the sets meet, so only pairs that pass
-    both bounds are rows; both are exact.
+
+def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
+    """Sets of :func:`open_sets` as arrays, by the group ``k, i, j`` in which they meet.
+
+    A slice of the signatures' range is a group, ``i = j = -1``. A signature of several
+    chunks is a group per pair of chunks ``i <= j`` and goes to no slice, so no group holds
+    more than two chunks of it.
     """
     edges = np.array([b.low for b in bands])
     lengths = [max(64, 1 << (2 * b.high - 1).bit_length()) for b in bands]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, owner, entries = [], [], []
-            for doc_id, s, component in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                s = np.frombuffer(s.as_py(), "<u8")
-                k = int(np.searchsorted(edges, len(s), side="right")) - 1
-                for b in [bands[k]] + [b for b in bands[k + 1 :] if b.low * sim[0] <= len(s) * sim[1]]:
-                    x, looks = signatures(s, b, b is bands[k])
-                    sig.append(x)
-                    owner.append(np.repeat(len(entries) << 1, len(x)) | looks)
-                    entries.append((doc_id, len(s), component, _parity(s, lengths[b.number])))
-            if not entries:
+            ids = _ids(batch)
+            if not len(ids):
                 continue
-            sig, owner = np.concatenate(sig), np.concatenate(owner)
-            order, cut = slices_of(sig, slices)
-            rows = []
+            sets = [np.frombuffer(s.as_py(), "<u8") for s in batch.column(2)]
+            entries = np.stack([ids, np.array([len(s) for s in sets]), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1).astype("<i8")
+            sketches = [_parity(s, lengths[int(np.searchsorted(edges, len(s), side="right")) - 1]) for s in sets]
+            lists = batch.column(4)
+            flat = lists.flatten()
+            sig, looks, chunks = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            sig, looks, chunks = sig.astype(np.int64).view(np.uint64), looks.astype(np.uint8), chunks.astype(np.int64)
+            owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            rows: list[tuple] = []
+
+            def put(k: int, i: int, j: int, second: bool, o: np.ndarray, owner=owner, sig=sig, looks=looks, rows=rows, entries=entries, sketches=sketches) -> None:
+                e, n = np.unique(owner[o], return_counts=True)
+                own = [sketches[x] for x in e]
+                rows.append((k, i, j, second, sig[o].astype("<u8").tobytes(), looks[o].tobytes(), entries[e].tobytes(), n.astype("<u4").tobytes(), np.array([len(x) for x in own], "<u4").tobytes(), np.concatenate(own).tobytes()))
+
+            cold = np.flatnonzero(chunks == 1)
+            order, cut = slices_of(sig[cold], slices)
             for k in range(slices):
-                o = order[cut[k] : cut[k + 1]]
-                if len(o):
-                    e, n = np.unique(owner[o] >> 1, return_counts=True)
-                    own = [entries[i] for i in e]
-                    rows.append((k, sig[o].astype("<u8").tobytes(), (owner[o] & 1).astype(np.uint8).tobytes(), np.array([x[:3] for x in own], "<i8").tobytes(), n.astype("<u4").tobytes(), np.array([len(x[3]) for x in own], "<u4").tobytes(), np.concatenate([x[3] for x in own]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "looks", "e", "n", "size", "sketch"])
+                if cut[k] < cut[k + 1]:
+                    put(k, -1, -1, False, cold[order[cut[k] : cut[k + 1]]])
+            hot = np.flatnonzero(chunks > 1)
+            chunk = (mixed(ids[owner[hot]].view(np.uint64)) % chunks[hot].astype(np.uint64)).astype(np.int64)
+            by = np.lexsort((owner[hot], chunk, sig[hot]))
+            hot, chunk = hot[by], chunk[by]
+            new = np.append(True, (sig[hot][1:] != sig[hot][:-1]) | (chunk[1:] != chunk[:-1]))[: len(hot)]
+            for o, c in zip(np.split(hot, np.flatnonzero(new)[1:]), chunk[new].tolist(), strict=False):
+                for x in range(int(chunks[o[0]])):
+                    put(int(sig[o[0]].view(np.int64)), min(c, x), max(c, x), c > x, o)
+            names = ["k", "i", "j", "second", "sig", "looks", "e", "n", "size", "sketch"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()] + [pa.binary()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return sets.mapInArrow(parts, "k long, i int, j int, second boolean, sig binary, looks binary, e binary, n binary, size binary, sketch binary")
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, a row each, at a smaller power of two: a place's parity is that of the places that fall together."""
+    while sketch.shape[1] > size:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _close(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], sim: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of ``doc, n, component, looks, sketch`` arrays that may be similar, tile by tile."""
+    (_, n, c, a, m), (_, p, d, b, q) = x, y
+    words = m.shape[1]
+    for r in range(0, len(n), 256):
+        for t in range(0, len(p), 4096):
+            rows, cols = slice(r, r + 256), slice(t, t + 4096)
+            nr, pc = n[rows, None], p[cols]
+            ok = (c[rows, None] != d[cols]) & ((a[rows, None] | b[cols]) > 0) & (nr * sim[1] >= pc * sim[0]) & (pc * sim[1] >= nr * sim[0])
+            bound = (sim[1] - sim[0]) * (nr + pc) // (sim[0] + sim[1])
+            apart, w = np.zeros(ok.shape, np.int32), 0
+            while w < words and np.count_nonzero(ok) * 8 > ok.size:
+                apart += np.bitwise_count(m[rows, None, w] ^ q[None, cols, w])
+                ok &= apart <= bound
+                w += 1
+            i, j = np.nonzero(ok)
+            sofar, most = apart[i, j], bound[i, j]
+            for w in range(w, words, 16):  # noqa: B020
+                sofar = sofar + np.bitwise_count(m[rows][i, w : w + 16] ^ q[cols][j, w : w + 16]).sum(axis=1)
+                still = sofar <= most
+                i, j, sofar, most = i[still], j[still], sofar[still], most[still]
+            yield i + r, j + t
+
+
+def pairs_between(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
+    """Distinct ``a, b`` that meet in a segment one of them looks for, lie in two components and may be similar, of :func:`open_sets`.
+
+    Sizes and parity sketches are compared where the sets meet, so only pairs that pass
+    both bounds are rows; both are exact.
+    """
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in f[c]])
         sig, looks, entries, size = join("sig", "<u8"), join("looks", np.uint8), join("e", "<i8").reshape(-1, 3), join("size", "<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(entries)), join("n", "<u4"))
+        second = np.repeat(f["second"].to_numpy(bool), [len(x) // 8 for x in f["sig"]])
         sketch, at = join("sketch", "<u8"), np.cumsum(size) - size
         order = np.argsort(sig, kind="stable")
-        sig, owner, looks = sig[order], owner[order], looks[order]
+        sig, owner, looks, second = sig[order], owner[order], looks[order], second[order]
         cut = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
         component = entries[owner, 2]
         low, high, any_ = (g.reduceat(x, cut[:-1]) for g, x in ((np.minimum, component), (np.maximum, component), (np.maximum, looks)))
+        across = f["i"].iloc[0] != f["j"].iloc[0]
+
+        def side(o: np.ndarray, look: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+            m = np.empty((len(o), least), np.uint64)
+            for z in np.unique(size[o]):
+                which = np.flatnonzero(size[o] == z)
+                m[which] = _folded(sketch[at[o[which]][:, None] + np.arange(z)], least)
+            return *entries[o].T, look, m
+
         found = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero((low != high) & (any_ > 0)).tolist():
-            o = owner[cut[i] : cut[i + 1]]
-            doc, n, c = entries[o].T
-            m = sketch[at[o][:, None] + np.arange(size[o[0]])]
-            for r in range(0, len(o), 256):
-                rows, cols = np.nonzero((c[r : r + 256, None] != c) & (doc[r : r + 256, None] < doc) & (n[r : r + 256, None] * sim[1] >= n * sim[0]) & (n * sim[1] >= n[r : r + 256, None] * sim[0]))
-                rows += r
-                apart = np.bitwise_count(m[rows] ^ m[cols]).sum(axis=1)
-                ok = apart <= (sim[1] - sim[0]) * (n[rows] + n[cols]) // (sim[0] + sim[1])
-                found.append(np.stack([doc[rows[ok]], doc[cols[ok]]], axis=1))
+        for g in np.flatnonzero((low != high) & (any_ > 0)).tolist():
+            o, look, two = owner[cut[g] : cut[g + 1]], looks[cut[g] : cut[g + 1]], second[cut[g] : cut[g + 1]]
+            least = int(size[o].min())
+            x = side(o[~two], look[~two], least) if across else side(o, look, least)
+            y = side(o[two], look[two], least) if across else x
+            for i, j in _close(x, y, sim):
+                a, b = x[0][i], y[0][j]
+                pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+                found.append(pair if across else pair[a < b])
         out = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
-    blobs = sets.mapInArrow(parts, "k int, sig binary, looks binary, e binary, n binary, size binary, sketch binary")
-    return blobs.groupBy("k").applyInPandas(meet, "a long, b long").distinct()
+    return meetings(sets, bands, slices).groupBy("k", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from brightquay.llm import katz, media, near_dup, packing, pii, quality, suffix_dedup
 
@@ -113,6 +114,35 @@ def test_segments_lose_no_link(spark):
     assert got == root
 
 
+def test_hot_segment_is_dealt_in_chunks(spark, monkeypatch):
+    """Strangers with a passage in common, and copies among them: links equal those of all pairs, and no group has more than two chunks."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for i in range(240):
+        w = passage + [f"z{rng.integers(0, 10**6)}" for _ in range(50)]
+        docs.append((i, " ".join(w)))
+        if i % 6 == 0:
+            w[-1] = "other"
+            docs.append((1000 + i, " ".join(w)))
+    sets = {i: near_dup.shingle_set(t) for i, t in docs}
+    monkeypatch.setattr(near_dup, "CHUNK", 16)
+    monkeypatch.setattr(near_dup, "CENTRE_ROUNDS", 0)
+    groups, made = [], near_dup.meetings
+
+    def seen(*args):
+        out = made(*args)
+        groups.extend(out.groupBy("k", "i", "j").agg(F.sum(F.length("sig") / 8).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(near_dup, "meetings", seen)
+    table = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in sets.items()], "doc_id long, n long, s binary")
+    got = {r.node: r.component for r in near_dup.link_components(table).collect()}
+    assert got == {i: i % 1000 for j, _ in docs if j >= 1000 for i in (j, j - 1000)}
+    pairs = [g for g in groups if g.i >= 0]
+    assert len({g.k for g in pairs}) > 1 and max(g.n for g in pairs) <= 4 * 16
+
+
 def test_language_model(spark, texts, monkeypatch):
     """Scores by a plain dictionary model, over several batches and slices; a context sums to one."""
     monkeypatch.setattr(katz, "BATCH_TOKENS", 20_000)
