@@ -19,35 +19,61 @@ from brightquay.llm.common import drop_table, load, text_of, write_table
 
 #: Given names by gender and script, and syllables of surnames by script (own choice).
 GIVEN = {
-    ("f", "latin"): "Patricia Jennifer Elizabeth Barbara Susan Jessica Margaret Katharina Brigitte Camille Françoise Lucía María Guadalupe Dorothy Deborah".split(),
-    ("m", "latin"): "Michael Robert William Richard Joseph Charles Christopher Jürgen Wolfgang Pierre Jacques José Javier Santiago Douglas Gregory".split(),
-    ("f", "cyrillic"): "Наталья Светлана Екатерина Людмила Татьяна Марина Ольга Юлия".split(),
-    ("m", "cyrillic"): "Дмитрий Владимир Сергей Николай Алексей Михаил Виктор Юрий".split(),
-    ("f", "greek"): "Ελένη Κατερίνα Βασιλική Σοφία".split(),
-    ("m", "greek"): "Γιώργος Δημήτρης Νικόλαος Παναγιώτης".split(),
+    ("f", "latin"): "Patricia Jennifer Elizabeth Barbara Susan Jessica Margaret Katharina Brigitte Camille Françoise Lucía María Guadalupe Dorothy Deborah Mary Maria Anna Emma Olivia Sophia Isabella Mia Charlotte Amelia Evelyn Abigail Emily Ella Sarah Laura Karen Nancy Lisa Betty Sandra Ashley Kimberly Donna Michelle Carol Amanda Melissa Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Catherine Christine Rachel Carolyn Janet Heather Diane Julie Joyce Victoria Kelly Christina Lauren Joan Judith Olga Martha Andrea Cheryl Hannah Jacqueline Megan Alice Jean Teresa Sara Gloria Ann Anne Kathryn Jane Janice Julia Judy Grace Denise Marilyn Beverly Amber Theresa Danielle Brittany Diana Natalie Lucy Lucia Ruth Helen Linda Debra Monika Sabine Petra Ursula Claudia Heike Gisela Ingrid Renate Anja Katrin Silke Susanne Birgit Greta Frieda Marie Nathalie Isabelle Sophie Chloé Léa Manon Aurélie Céline Hélène Sylvie Monique Valérie Carmen Josefa Pilar Dolores Cristina Marta Elena Beatriz Rosario Inés Sofía Valentina Camila Giulia Francesca Chiara Paola Giovanna Ines Joana Fernanda Mariana Fatima Aisha Priya Ananya Yuki Mei Agnieszka Katarzyna Małgorzata Zofia Eva Zuzana Astrid Freya Ingeborg Linnea Ayşe Zeynep".split(),
+    ("m", "latin"): "Michael Robert William Richard Joseph Charles Christopher Jürgen Wolfgang Pierre Jacques José Javier Santiago Douglas Gregory John James David Thomas Daniel Matthew Anthony Mark Donald Steven Stephen Paul Andrew Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Larry Justin Scott Brandon Benjamin Samuel Raymond Frank Alexander Patrick Jack Dennis Jerry Tyler Aaron Adam Nathan Henry Zachary Peter Kyle Noah Ethan Jeremy Walter Christian Keith Roger Terry Austin Sean Gerald Carl Harold Dylan Arthur Lawrence Jesse Bryan Bruce Gabriel Logan Alan Juan Albert Willie Elijah Wayne Randy Vincent Mason Roy Ralph Bobby Russell Bradley Philip Phillip Eugene Oliver Liam Lucas Luke Simon Martin Stefan Thorsten Klaus Hans Heinz Günter Günther Uwe Dieter Manfred Horst Karl Ludwig Friedrich Johannes Lukas Felix Maximilian Jan Jens Sven Andreas Matthias Markus Sebastian Tobias Michel Philippe Alain Bernard Nicolas Laurent Olivier Julien Antoine François Louis Henri Luc Carlos Luis Miguel Antonio Manuel Francisco Pedro Alejandro Diego Fernando Rafael Jorge Sergio Andrés Pablo Álvaro Marco Giovanni Giuseppe Luca Matteo Alessandro Francesco João Paulo Tiago Mohammed Muhammad Mohamed Ahmed Omar Ali Hassan Raj Rahul Arjun Amit Hiroshi Kenji Takashi Wei Piotr Krzysztof Tomasz Jakub Erik Lars Anders Björn Olaf Henrik Mehmet Mustafa".split(),
+    ("f", "cyrillic"): "Наталья Светлана Екатерина Людмила Татьяна Марина Ольга Юлия Анна Мария Елена Ирина Оксана Анастасия Дарья Ксения Вера Надежда Любовь Галина Валентина Нина Полина Виктория Алина Софья".split(),
+    ("m", "cyrillic"): "Дмитрий Владимир Сергей Николай Алексей Михаил Виктор Юрий Иван Александр Андрей Пётр Петр Павел Олег Игорь Евгений Максим Антон Роман Василий Борис Константин Григорий Денис Илья Никита Фёдор".split(),
+    ("f", "greek"): "Ελένη Κατερίνα Βασιλική Σοφία Μαρία Άννα Ιωάννα Γεωργία Αικατερίνη Δήμητρα Ευαγγελία Χριστίνα".split(),
+    ("m", "greek"): "Γιώργος Δημήτρης Νικόλαος Παναγιώτης Ιωάννης Γιάννης Κωνσταντίνος Κώστας Χρήστος Αθανάσιος Βασίλης Αλέξανδρος".split(),
 }
 SYLLABLES = {
     "latin": "bar cal dor fen gul hol jor kel lun mor nev pol quin rud sil tam vor wex yar zim".split(),
     "cyrillic": "бар вел гор дор жал зим кор лун мир нов пол руд сол тур фед хар чер шум юр яр".split(),
     "greek": "βαρ γορ δελ ζιμ θαν καλ λυκ μαρ νεφ παλ ροδ σιμ ταλ φαρ χαλ ψιλ".split(),
 }
-_NAMES = "|".join(sorted((n for ns in GIVEN.values() for x in ns for n in (x, x.upper())), key=lambda n: (-len(n), n)))
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that reads common beginnings once, the longest word first."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [c + _trie(rest) for c, rest in heads.items() if c]
+    ends = "?" if "" in heads else ""
+    if not parts:
+        return ""
+    return parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)}){ends}"
+
+
+_NAMES = _trie([n for ns in GIVEN.values() for x in ns for n in (x, x.upper())])
+_TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra?)"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}-]+"
+_groups = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+_IBANS = "|".join(rf"(?:{'|'.join(c.split())})\d\d{_groups(n - 4)}" for n, c in IBAN_LENGTHS.items())
 #: Patterns by kind, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{7,15}(?!\d)",
+    "phone": r"(?<![\d+])\+(?!\d{16})(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+    r"|(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{7,15}(?!\d)"
+    r"|(?<![\d+.,-])0\d(?:[ .-]\d{2}){4}(?!\d)|(?<![\d+.,-])0\d{1,4}[ -]\d{3,4}[ -]?\d{3,4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    "name": rf"(?=[A-ZÀ-ÞΑ-ΩА-Я])(?<![\p{{L}}])(?:{_NAMES}) \p{{Lu}}[\p{{L}}-]+",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:(?:{_IBANS})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}})(?![A-Za-z0-9])",
+    "name": rf"(?=[A-ZÀ-ÞŁΆ-ΏΑ-ΩЀ-Я])(?<![\p{{L}}])(?:(?:{_NAMES})(?: \p{{Lu}}\.)? {_WORD}|(?<=(?<!\p{{L}}){_TITLE}\.? ){_WORD}(?: {_WORD})?)",
 }
 #: Cards before phones, for a run of digits may be either.
 _ORDER = ("email", "secret", "iban", "ip", "card", "phone", "ssn", "name")
 PATTERN = "|".join(f"(?:{KINDS[k]})" for k in _ORDER)
 #: A text without any of these holds no entity.
-HINT = r"[0-9@]|(?=[A-ZÀ-ÞΑ-ΩА-Я])(?:" + _NAMES + r") "
+HINT = r"[0-9@]|(?=[A-ZÀ-ÞŁΆ-ΏΑ-ΩЀ-Я])(?:" + _NAMES + "|" + _TITLE + r"\.?) "
 
 
 def _kind(entity: Column) -> Column:
@@ -99,15 +125,21 @@ def _card(value: Column, digest: Column) -> Column:
     return F.concat(body, F.when(_luhn(value) % 10 == 0, due).otherwise(other).cast("string"))
 
 
-def _name(value: Column, digest: Column) -> Column:
-    """A given name of the same gender and script and a surname of syllables, in lower case."""
+def _name(value: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the same gender and script and a surname of syllables, in lower case; without a known given name, words of syllables."""
     given = F.substring_index(value, " ", 1)
-    out = F.lit(None).cast("string")
-    for (gender, script), names in GIVEN.items():
-        pick = F.element_at(F.array(*[F.lit(n.lower()) for n in names]), (_draw(digest, F.lit(1), len(names)) + 1).cast("int"))
+
+    def word(script: str, first: int) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script]))
-        surname = F.concat(*[F.element_at(parts, (_draw(digest, F.lit(k), len(SYLLABLES[script])) + 1).cast("int")) for k in (2, 3, 4, 5)])
-        out = F.when(given.isin([n.lower() for n in names]), F.concat(pick, F.lit(" "), surname)).otherwise(out)
+        at = [F.element_at(parts, (_draw(digest, F.lit(k), len(SYLLABLES[script])) + 1).cast("int")) for k in range(first, first + 6)]
+        # longer from the fourth draw on, so that there are names enough
+        return F.concat(*at[:4], F.when(attempt >= 3, F.concat(*at[4:])).otherwise(""))
+
+    bare = lambda script: F.when(value.contains(" "), F.concat(word(script, 8), F.lit(" "), word(script, 2))).otherwise(word(script, 2))
+    out = F.when(value.rlike(r"^\p{IsCyrillic}"), bare("cyrillic")).when(value.rlike(r"^\p{IsGreek}"), bare("greek")).otherwise(bare("latin"))
+    for (_, script), names in GIVEN.items():
+        pick = F.element_at(F.array(*[F.lit(n.lower()) for n in names]), (_draw(digest, F.lit(1), len(names)) + 1).cast("int"))
+        out = F.when(given.isin([n.lower() for n in names]) & value.contains(" "), F.concat(pick, F.lit(" "), word(script, 2))).otherwise(out)
     return out
 
 
@@ -130,7 +162,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "phone", _shaped(value, d, F.greatest(F.lit(0), F.length(value) - 10)))
         .when(kind == "ssn", _shaped(value, d, 0))
         .when(kind == "iban", _shaped(value, d, 2))
-        .otherwise(_name(value, d))
+        .otherwise(_name(value, d, attempt))
     )
 
 

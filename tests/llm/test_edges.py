@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,26 @@ def test_chats_of_edges(spark):
     assert [s.text for s in out[None].segments if s.loss] == [""]
     assert out[1].formatted == "".join(s.text for s in out[1].segments)
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "entity",
+    "DE89370400440532013000|NL91ABNA0417164300|GB29NWBK60161331926819|FR1420041010050500013M02606|DE89 3704 0044 0532 0130 00|NO93 8601 1117 947|MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    "|+44 20 7946 0958|+33 6 12 34 56 78|06 12 34 56 78|+49 1512 3456789|020 7946 0958|John Smith|Mary Johnson|James Brown|David Miller|Anna Schmidt|Maria O'Neill|JOHN F. KENNEDY|Иван Иванов".split("|"),
+)
+def test_plain_entities_are_found_whole(spark, entity):
+    """One match spans all of the entity, of its own kind."""
+    kind = "iban" if re.match("[A-Z]{2}[0-9]", entity) else "phone" if re.match("[+0]", entity) else "name"
+    row = spark.createDataFrame([(f"so: {entity} AND then",)], "t string").select(F.regexp_extract_all("t", F.lit(pii.PATTERN), F.lit(0)).alias("h")).select("h", pii._kind(F.get("h", 0)).alias("k")).first()
+    assert row.h == [entity] and row.k == kind
+
+
+def test_plain_entities_are_replaced(spark):
+    """Names behind titles, a phone in its own groups; plain capitals stay."""
+    rows = [(1, "Dr. Strangelove and Mrs Robinson met."), (2, "Call +49 1512 3456789 or 06 12 34 56 78."), (3, "The New York Times of Monday"), (4, "DE89 3704 0044 0532 0130 00 and DE89370400440532013000")]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_entities == 2 and "Strangelove" not in out[1].text and "Robinson" not in out[1].text and out[1].text.startswith("Dr. ")
+    assert out[2].n_entities == 2 and "3456789" not in out[2].text and "12 34 56 78" not in out[2].text and out[2].text.startswith("Call +")
+    assert out[3].text == rows[2][1] and out[3].n_entities == 0
+    a, b = out[4].text.split(" and ")
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and b.startswith("DE")
