@@ -57,6 +57,11 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_row``, a number of the row; written, so that every reading has the same numbers."""
+    return write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of :func:`write_table` that nothing reads any more."""
     path = df._brightquay_path

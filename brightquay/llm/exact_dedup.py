@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WHITE, drop_table, load, text_of, write_table
+from brightquay.llm.common import WHITE, drop_table, load, numbered, text_of, write_table
 
 #: Bytes of the first digit, its growth a round, and its bound.
 FIRST_DIGIT, GROWTH, LARGEST_DIGIT = 64, 16, 1 << 20
@@ -74,14 +74,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows whose id stays, all their columns unchanged.
+    """One row of each class, all its columns unchanged; of rows with the same id and length, the first one.
 
     What goes is written first: it is the smaller part, and its size decides how the texts
     meet it.
     """
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    norm = F.sha2(F.translate(text_of(text_col), WHITE, "").cast("binary"), 256)
-    return docs.join(write_table(gone, "copies"), F.col(id_col).eqNullSafe(F.col("_id")) & (norm == F.col("_sha")), "left_anti")
+    rows = numbered(docs)
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col)
+    gone = exact_groups(keyed, "_key", text_col).filter("NOT kept").select(F.col("doc_id._row").alias("_row"))
+    return rows.join(write_table(gone, "copies"), "_row", "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

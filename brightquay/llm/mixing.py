@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WORD, load, text_of, write_table
+from brightquay.llm.common import WORD, load, numbered, text_of, write_table
 
 #: Rows that a slice of a source's key range holds on average.
 SLICE_ROWS = 4096
@@ -51,31 +51,31 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epoch
     return x.select("source", "n_rows", "source_size", share.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` per row of ``docs``.
 
     A size is the number of words, 0 for null and empty texts, which then have taken 0.
     Taken words of a source add up to its rounded target; the document at the cut is
     taken in part. Keys come from the id and the seed alone, so reruns agree; ties (the
     same id twice) go by size. A null id has a key like any other. Empty table, empty
-    result; further columns are ignored.
+    result; of further columns, those named in ``also`` are passed on and end ties.
     """
     key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")).withColumn("key", key)
+    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *also).withColumn("key", key)
     rows = write_table(rows, "mix-sizes")  # texts are read once; sizes are used three times
     targets = source_targets(rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), weights, epochs)
     # slices of a source's key range, a power of two of them
     shift = F.lit(KEY_BITS) - F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / SLICE_ROWS))).cast("int")
     targets = targets.withColumn("shift", shift)
     s, t = rows.alias("s"), targets.alias("t")
-    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("doc_id", "s.source", "size", "key", "source_size", "target", F.expr("shiftright(key, shift)").alias("slice"))
+    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("doc_id", "s.source", "size", "key", "source_size", "target", F.expr("shiftright(key, shift)").alias("slice"), *also)
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = sums.select(
         F.col("source").alias("b_source"),
         F.col("slice").alias("b_slice"),
         F.coalesce(F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("slices_before"),
     )
-    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *also).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     placed = rows.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
     budget = F.round("target").cast("long")
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     rest = budget - F.col("whole") * F.col("source_size")
     start = F.col("slices_before") + F.col("upto") - F.col("size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).cast("long").alias("taken"), *also)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
@@ -91,9 +91,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
-    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.dropDuplicates(["_id"])
-    x = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = numbered(docs)
+    taken = mix(rows, also=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    x = rows.join(taken, "_row")
     x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(_taken div _size)), IF(_taken % _size > 0, array(int(_taken % _size)), cast(array() as array<int>)))")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, F.lit(1), F.col("_words")), " ")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import drop_table, load, text_of, write_table
+from brightquay.llm.common import drop_table, load, numbered, text_of, write_table
 from brightquay.llm.components import components
 from brightquay.llm.exchange import mixed, slices_of
 
@@ -508,9 +508,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
-    """One row of each component stays: the one with the smallest id, all its columns unchanged."""
-    gone = near_duplicates(docs, words, sim).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(write_table(gone, "near-copies"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    """One row of each component stays: the one with the smallest id, null last, all its columns unchanged.
+
+    Every row is a document here, whatever its id.
+    """
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, sim).select(F.col("doc_id").alias("_row"), "component_id")
+    placed = write_table(found.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row").alias("rank")), "near-rows")
+    first = placed.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("k")).filter("k > 1").select("component_id", F.col("first._row").alias("_first"))
+    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
+    return rows.join(write_table(gone, "near-copies"), "_row", "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,8 @@ and read again as the documents of the next one. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from brightquay.llm.common import load, write_table
+from brightquay.llm.common import load, numbered, write_table
 from brightquay.llm.exact_dedup import drop_exact_copies
 from brightquay.llm.mixing import apply_mix
 from brightquay.llm.near_dup import keep_one_of_each
@@ -20,8 +19,9 @@ from brightquay.llm.quality import classify_quality
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rejected = classify_quality(docs, load(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(write_table(rejected, "rejected"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = numbered(docs)
+    rejected = classify_quality(rows, load(spark, sf_dir, "labels"), also=("_row",)).filter("predicted = 0").select("_row")
+    return rows.join(write_table(rejected, "rejected"), "_row", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,39 @@ def test_plain_entities_are_replaced(spark):
     assert out[3].text == rows[2][1] and out[3].n_entities == 0
     a, b = out[4].text.split(" and ")
     assert a.replace(" ", "") == b != "DE89370400440532013000" and b.startswith("DE")
+
+
+ROWS = "doc_id long, source string, text string"
+
+
+def words(tag, n):
+    """A text of ``n`` words that no other tag has."""
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_quality_goes_row_by_row(spark, monkeypatch):
+    """A rejected row takes no other row of its id, or without one, along."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None, "a", "bad"), (None, "a", "good"), (7, "a", "bad"), (7, "a", "good")], ROWS)
+    monkeypatch.setattr(corpus_pipeline, "load", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline, "classify_quality", lambda d, y, also=(): d.select("doc_id", F.when(F.col("text") == "bad", 0).otherwise(1).alias("predicted"), *also))
+    assert sorted(r.text for r in corpus_pipeline.quality(spark, docs, "").collect()) == ["good", "good"]
+
+
+def test_copies_go_row_by_row(spark):
+    """Of copies with one id, or with none, one row stays."""
+    a, b, c = words("a", 40), words("b", 40), words("c", 40)
+    rows = [(None, "s", a), (None, "s", a), (7, "s", b), (7, "s", b), (7, "s", c)]
+    assert sorted(r.text for r in exact_dedup.drop_exact_copies(spark.createDataFrame(rows, ROWS)).collect()) == [a, b, c]
+    rows = [(None, "s", a), (None, "s", a + " x"), (7, "s", b), (7, "s", b + " x"), (7, "s", c), (3, "s", a + " y")]
+    left = near_dup.keep_one_of_each(spark.createDataFrame(rows, ROWS)).collect()
+    assert len(left) == 3 and {r.doc_id for r in left} == {3, 7} and c in [r.text for r in left]
+
+
+def test_mix_takes_row_by_row(spark):
+    """Words of each source are those taken, with ids null and repeated."""
+    docs = spark.createDataFrame([(None if i % 2 else i % 3, "ab"[i % 4 > 1], words(f"w{i}", 5 + i)) for i in range(24)], ROWS)
+    want = {r.source: r.t for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    got = mixing.apply_mix(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()
+    assert {r.source: r.t for r in got} == want
