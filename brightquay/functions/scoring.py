@@ -97,3 +97,15 @@ def ideal_gain(relevant: Column, k: int) -> Column:
     for i in range(k):
         table.append(table[-1] + 1 / log2(i + 2))
     return F.element_at(F.array(*[F.lit(x) for x in table]), F.least(relevant, F.lit(k)).cast("int") + 1)
+
+
+def mulberry(seed: int, k: Column) -> Column:
+    """The ``k``-th number, from 0, of the 32-bit generator that drafts and shuffles use: a state per number, so any of them is reckoned by itself."""
+    mask = F.lit(0xFFFFFFFF)
+    times = lambda a, b: (a * b.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(mask)
+    mixed = lambda t, by: t.bitwiseXOR(F.shiftright(t, by))
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    state = (F.lit(seed & 0xFFFFFFFF).cast("long") + ((k + 1) % F.lit(1 << 32)) * F.lit(0x6D2B79F5)).bitwiseAND(mask)
+    one = let(state, lambda t: times(mixed(t, 15), t.bitwiseOR(F.lit(1).cast("long"))))
+    two = let(one, lambda t: t.bitwiseXOR((t + times(mixed(t, 7), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask)))
+    return let(two, lambda t: mixed(t, 14).bitwiseAND(mask)) / F.lit(4294967296.0)

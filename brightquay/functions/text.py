@@ -219,7 +219,7 @@ def ladder(*steps: tuple[Column, str | Column]) -> Column:
 def resolve_city(place: Column | str, cities: Iterable[str]) -> Column:
     """First comma part that is a served city, else the first (longest) city in the text, in the list's spelling."""
     names = {c.lower(): c for c in cities}
-    parts = F.filter(F.transform(F.split(F.lower(_col(place)), ","), F.trim), lambda p: p.isin(list(names)))
+    parts = F.filter(F.transform(F.split(F.lower(_col(place)), ","), lambda x: F.trim(x)), lambda p: p.isin(list(names)))
     found = F.coalesce(F.get(parts, F.lit(0)), F.nullif(F.lower(F.regexp_extract(_col(place), "(?i)" + bounded(names), 0)), F.lit("")))
     spelled = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     return F.element_at(spelled, found)

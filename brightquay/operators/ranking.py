@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightquay.functions.scoring import discounted, ideal_gain
+from brightquay.functions.scoring import discounted, ideal_gain, mulberry
 
 
 def ranked(rows: DataFrame, by: Sequence[str], *order) -> DataFrame:
@@ -68,7 +68,7 @@ def fnv1a_text(text: str) -> int:
 
 
 def draft(production: Sequence, candidate: Sequence, rng: Callable[[], float]) -> list[tuple]:
-    """Team draft: ``(item, team)`` in order; the team with fewer picks goes next and the generator settles ties."""
+    """Team draft: ``(item, team)`` in order, as many as the production list has; the team with fewer picks goes next and the generator settles ties."""
     lists, at, picks = {"production": list(production), "candidate": list(candidate)}, {"production": 0, "candidate": 0}, {"production": 0, "candidate": 0}
     out, taken = [], set()
 
@@ -77,10 +77,10 @@ def draft(production: Sequence, candidate: Sequence, rng: Callable[[], float]) -
             at[team] += 1
         return at[team] < len(lists[team])
 
-    while True:
+    while len(out) < len(lists["production"]):
         p, c = waiting("production"), waiting("candidate")
         if not (p or c):
-            return out
+            break
         if p and c:
             team = "production" if picks["production"] < picks["candidate"] else "candidate" if picks["candidate"] < picks["production"] else "production" if rng() < 0.5 else "candidate"
         else:
@@ -89,6 +89,7 @@ def draft(production: Sequence, candidate: Sequence, rng: Callable[[], float]) -
         taken.add(item)
         picks[team] += 1
         out.append((item, team))
+    return out
 
 
 def team_drafts(lists: DataFrame, key: str = "key") -> DataFrame:
@@ -112,31 +113,37 @@ def shuffled(items: Sequence, seed: int) -> list:
     return out
 
 
+def numbered_keys(rows: DataFrame, key: str, name: str = "k") -> DataFrame:
+    """``rows`` of distinct keys with a number from 0, in order of three hex digits of the key's hash and the key.
+
+    Keys are numbered within the 4,096 slices that these digits make, and the slices' sizes
+    are added up, so no task sees more than a slice.
+    """
+    piece = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 3)
+    r = rows.withColumn("_slice", piece)
+    sizes = r.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_slice").alias("_of"), (F.sum("_n").over(W.orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = r.withColumn("_i", F.row_number().over(W.partitionBy("_slice").orderBy(key)) - 1)
+    return inside.join(before, F.col("_slice") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_i")).select(*rows.columns, name)
+
+
 def bootstrap_mean(values: DataFrame, client: str, value: str, draws: int = 2000, seed: int = 4242, level: float = 0.95) -> DataFrame:
-    """``mean, low, high`` of ``value``, clients drawn with replacement.
+    """``mean, low, high`` of ``value``, clients drawn with replacement; no interval for fewer than two clients.
 
-    Clients are reduced to sums and counts first. Each client's multiplicities in all draws
-    are Poisson-free exact counts: a table of draws is made from the client's number alone,
-    in parallel, and summed per draw; quantiles are taken by index.
+    Clients are reduced to sums and counts first. Pick i of draw d is the generator's
+    number d * clients + i, reckoned by itself, so draws are made in parallel; quantiles
+    are taken by index.
     """
     per = values.groupBy(client).agg(F.sum(value).alias("s"), F.count(value).alias("n")).filter("n > 0")
-    numbered = per.withColumn("k", F.row_number().over(W.orderBy(client)) - 1)
     total = per.count()
-    if not total:
-        return values.sparkSession.createDataFrame([], "mean double, low double, high double")
-    picks = values.sparkSession.range(draws).select(F.col("id").alias("draw"))
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for d in f["draw"]:
-                k, m = np.unique(np.random.default_rng((seed, int(d))).integers(0, total, total), return_counts=True)
-                yield pd.DataFrame({"draw": int(d), "k": k, "m": m})
-
-    drawn = picks.mapInPandas(of, "draw long, k long, m long").join(numbered, "k").groupBy("draw").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("n") * F.col("m"))).alias("v"))
+    at = F.col("id")
+    picks = values.sparkSession.range(draws * total).select(F.floor(at / max(total, 1)).alias("draw"), F.floor(mulberry(seed, at) * total).alias("k"))
+    drawn = picks.join(numbered_keys(per, client), "k").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("v"))
     tail = (1 - level) / 2
-    at = lambda q: F.element_at("vs", min(draws - 1, math.floor(q * draws)) + 1)
-    spread = drawn.agg(F.sort_array(F.collect_list("v")).alias("vs")).select(at(tail).alias("low"), at(1 - tail).alias("high"))
-    return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(spread))
+    quantile = lambda q: F.when(F.lit(total > 1), F.element_at("vs", min(draws - 1, math.floor(q * draws)) + 1))
+    spread = drawn.agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    spread = spread.select(F.when(F.size("vs") > 0, quantile(tail)).alias("low"), F.when(F.size("vs") > 0, quantile(1 - tail)).alias("high"))
+    return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(spread))  # one row each
 
 
 @dataclass

@@ -163,7 +163,19 @@ def team_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value with an interval by users drawn with replacement."""
-    return ranking.bootstrap_mean(_events(spark, sf_dir), "user_id", "value", draws=200)
+    b = ranking.bootstrap_mean(_events(spark, sf_dir), "user_id", "value")
+    return b.select(*[F.round(c, 7).alias(c) for c in ("mean", "low", "high")])
+
+
+_IMUL = lambda a, b: f"(({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295"
+BOOTSTRAP = f"""
+WITH p AS (SELECT user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(user_id AS VARCHAR)), 1, 3), user_id) - 1 AS k, count(*) OVER () AS total FROM p WHERE n > 0),
+i AS (SELECT i, total, (4242 + ((i + 1) % 4294967296) * 1831565813) & 4294967295 AS t FROM (SELECT max(total) AS total FROM c) z, range(0, 2000 * z.total) r(i)),
+o AS (SELECT i, total, {_IMUL('xor(t, t >> 15)', 't | 1')} AS t FROM i), w AS (SELECT i, total, xor(t, (t + ({_IMUL('xor(t, t >> 7)', 't | 61')})) & 4294967295) AS t FROM o),
+d AS (SELECT i // total AS draw, CAST(floor((xor(t, t >> 14) & 4294967295) / 4294967296.0::DOUBLE * total) AS BIGINT) AS k FROM w),
+v AS (SELECT draw, sum(s) / sum(n) AS v FROM d JOIN c USING (k) GROUP BY draw), q AS (SELECT list_sort(list(v)) AS vs FROM v)
+SELECT round((SELECT sum(s) / sum(n) FROM c), 7) AS mean, round(vs[51], 7) AS low, round(vs[1951], 7) AS high FROM q
+"""
 
 
 def click_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +208,7 @@ QUERIES = {
     "validator": (validator, VALIDATOR),
     "draft_credit": (draft_credit, DRAFT_CREDIT),
     "team_drafts": (team_drafts, None),
-    "bootstrap": (bootstrap, None),
+    "bootstrap": (bootstrap, BOOTSTRAP),
     "click_model": (click_model, None),
     "prequential": (prequential, PREQUENTIAL),
 }
