@@ -2,9 +2,12 @@
 
 Entities are found by one pattern per text. Every distinct entity gets a surrogate drawn
 by a keyed hash: of its own type and format, for names of the same gender and script.
-Draws that hit another entity's surrogate, or any entity of the corpus, are drawn again
-until none collides, so distinct entities stay distinct; all mentions of an entity get
-the same surrogate, written in the mention's own punctuation and case.
+Draws that hit another entity's surrogate, or any entity of the corpus, are drawn again,
+in a wider format after some rounds, so distinct entities stay distinct; all mentions of
+an entity get the same surrogate, written in the mention's own punctuation and case.
+
+Mentions of a person by a part of the name follow the full name within a text, and an
+address whose local part is a person's name takes that person's surrogate.
 
 Only entities travel through the collision checks. Texts without entities are passed on
 where they are read; a hot entity is one row of the table that mentions are joined to.
@@ -31,6 +34,8 @@ SYLLABLES = {
     "cyrillic": "бар вел гор дор жал зим кор лун мир нов пол руд сол тур фед хар чер шум юр яр".split(),
     "greek": "βαρ γορ δελ ζιμ θαν καλ λυκ μαρ νεφ παλ ροδ σιμ ταλ φαρ χαλ ψιλ".split(),
 }
+#: Sixteen letters by script, for the wide format of names.
+TAILS = {"latin": "abdefgiklmnoprst", "cyrillic": "абвгдезиклмнопрс", "greek": "αβγδεζηθικλμνοπρ"}
 #: Lengths of IBANs by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -56,9 +61,10 @@ _TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra?
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}-]+"
 _groups = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
 _IBANS = "|".join(rf"(?:{'|'.join(c.split())})\d\d{_groups(n - 4)}" for n, c in IBAN_LENGTHS.items())
-#: Patterns by kind, in the order in which they are tried.
+#: Patterns by kind, in the order in which they are tried. None repeats a group without a
+#: bound: Java's matcher recurses there, and a long text would use up its stack.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "phone": r"(?<![\d+])\+(?!\d{16})(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{7,15}(?!\d)"
     r"|(?<![\d+.,-])0\d(?:[ .-]\d{2}){4}(?!\d)|(?<![\d+.,-])0\d{1,4}[ -]\d{3,4}[ -]?\d{3,4}(?!\d)",
@@ -72,6 +78,10 @@ KINDS = {
 #: Cards before phones, for a run of digits may be either.
 _ORDER = ("email", "secret", "iban", "ip", "card", "phone", "ssn", "name")
 PATTERN = "|".join(f"(?:{KINDS[k]})" for k in _ORDER)
+#: Rounds of draws in an entity's own format, and rounds in all.
+OWN_FORMAT, MOST_ROUNDS = 6, 64
+#: A full name among the mentions.
+_FULL = r"^\p{Lu}[^0-9@]* \p{Lu}[^0-9@ ]*$"
 #: A text without any of these holds no entity.
 HINT = r"[0-9@]|(?=[A-ZÀ-ÞŁΆ-ΏΑ-ΩЀ-Я])(?:" + _NAMES + "|" + _TITLE + r"\.?) "
 
@@ -117,9 +127,9 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _card(value: Column, digest: Column) -> Column:
-    """Same issuer digit; valid by its check digit when the original is."""
-    body = _shaped(F.substr(value, F.lit(1), F.length(value) - 1), digest, 1)
+def _card(value: Column, digest: Column, more: Column) -> Column:
+    """Same issuer digit, ``more`` digits more; valid by its check digit when the original is."""
+    body = _shaped(F.concat(F.substr(value, F.lit(1), F.length(value) - 1), more), digest, 1)
     due = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     other = (due + 1 + _draw(digest, F.lit(9), 9)) % 10
     return F.concat(body, F.when(_luhn(value) % 10 == 0, due).otherwise(other).cast("string"))
@@ -132,8 +142,9 @@ def _name(value: Column, digest: Column, attempt: Column) -> Column:
     def word(script: str, first: int) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script]))
         at = [F.element_at(parts, (_draw(digest, F.lit(k), len(SYLLABLES[script])) + 1).cast("int")) for k in range(first, first + 6)]
-        # longer from the fourth draw on, so that there are names enough
-        return F.concat(*at[:4], F.when(attempt >= 3, F.concat(*at[4:])).otherwise(""))
+        # longer from the fourth draw on, and longer again in the wide format, so that there are names enough
+        tail = F.translate(F.substr(digest, F.lit(97), attempt), "0123456789abcdef", TAILS[script])
+        return F.concat(*at[:4], F.when(attempt >= 3, F.concat(*at[4:])).otherwise(""), F.when(attempt >= OWN_FORMAT, tail).otherwise(""))
 
     bare = lambda script: F.when(value.contains(" "), F.concat(word(script, 8), F.lit(" "), word(script, 2))).otherwise(word(script, 2))
     out = F.when(value.rlike(r"^\p{IsCyrillic}"), bare("cyrillic")).when(value.rlike(r"^\p{IsGreek}"), bare("greek")).otherwise(bare("latin"))
@@ -143,56 +154,70 @@ def _name(value: Column, digest: Column, attempt: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The keyed draw for one canonical entity."""
-    d = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 512)
-    octet = lambda k: (_draw(d, F.lit(k), 254) + 1).cast("string")
+def surrogate(kind: Column, value: Column, key: str, attempt: Column, owner: Column) -> Column:
+    """The keyed draw for one canonical entity; ``owner`` is the surrogate of the person that an address names.
+
+    From round OWN_FORMAT on the format is wider: numbers and local parts are longer.
+    """
+    wide = F.greatest(F.lit(0), attempt - OWN_FORMAT + 1)
+    more = F.repeat(F.lit("0"), wide)
     domain = F.substring_index(value, "@", -1)
-    # all addresses of a domain keep a domain in common; its last label stays
+    local = F.substring_index(value, "@", 1)
     host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    by_host = F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), host), 512)
-    email = F.concat(_shaped(F.substring_index(value, "@", 1), d, 0), F.lit("@"), _shaped(host, by_host, 0), F.lit("."), F.substring_index(domain, ".", -1))
-    hexed = F.substr(F.concat(d, F.sha2(d, 512)), F.lit(1), F.length(value))
-    long_hex = F.when(F.length(value) <= 256, hexed).otherwise(F.concat(hexed, F.repeat(F.lit("0"), F.length(value) - 256)))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", F.concat_ws(".", octet(0), octet(2), octet(4), octet(6)))
-        .when(kind == "secret", long_hex)
-        .when(kind == "card", _card(value, d))
-        .when(kind == "phone", _shaped(value, d, F.greatest(F.lit(0), F.length(value) - 10)))
-        .when(kind == "ssn", _shaped(value, d, 0))
-        .when(kind == "iban", _shaped(value, d, 2))
-        .otherwise(_name(value, d, attempt))
-    )
+    hexed = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
+
+    def draw(d: Column, by_host: Column) -> Column:
+        octet = lambda k: (_draw(d, F.lit(k), 254) + 1).cast("string")
+        named = F.replace(owner, F.lit(" "), F.regexp_extract(local, "[._-]", 0))
+        suffix = F.translate(F.substr(d, F.lit(97), F.when(owner.isNotNull(), attempt).otherwise(wide)), "0123456789abcdef", TAILS["latin"])
+        # all addresses of a domain keep a domain in common; its last label stays
+        email = F.concat(F.coalesce(named, _shaped(local, d, 0)), suffix, F.lit("@"), _shaped(host, by_host, 0), F.lit("."), F.substring_index(domain, ".", -1))
+        long_hex = F.rpad(F.concat(d, F.sha2(d, 512)), F.length(value), F.lit("0"))
+        return (
+            F.when(kind == "email", email)
+            .when(kind == "ip", F.concat_ws(".", octet(0), octet(2), octet(4), octet(6)))
+            .when(kind == "secret", long_hex)
+            .when(kind == "card", _card(value, d, more))
+            .when(kind == "phone", _shaped(F.concat(value, more), d, F.greatest(F.lit(0), F.length(value) - 10)))
+            .when(kind == "ssn", _shaped(F.concat(value, more), d, 0))
+            .when(kind == "iban", _shaped(F.concat(value, more), d, 2))
+            .otherwise(_name(value, d, attempt))
+        )
+
+    # digests are bound once, not reckoned for every character that is drawn
+    digests = F.array(F.struct(hexed(kind, value, attempt.cast("string")).alias("own"), hexed(F.lit("host"), host).alias("host")))
+    return F.get(F.transform(digests, lambda x: draw(x["own"], x["host"])), F.lit(0))
 
 
 def render(mention: Column, kind: Column, drawn: Column) -> Column:
-    """The surrogate in the mention's own punctuation (numbers) or case (names, addresses, hex)."""
+    """The surrogate in the mention's own punctuation (numbers; further digits follow) or case (names, addresses, hex)."""
     filled = F.aggregate(
         F.split(mention, ""),
         F.struct(F.lit(0).alias("n"), F.lit("").alias("s")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct((a["n"] + 1).alias("n"), F.concat(a["s"], F.substr(drawn, a["n"] + 1, F.lit(1))).alias("s"))).otherwise(F.struct(a["n"].alias("n"), F.concat(a["s"], c).alias("s"))),
-        lambda a: a["s"],
+        lambda a: F.concat(a["s"], F.substr(drawn, a["n"] + 1, F.greatest(F.lit(0), F.length(drawn) - a["n"]))),
     )
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), filled)
         .when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(drawn))
         .when(kind == "name", F.initcap(drawn))
-        .when(kind == "email", F.array_join(F.transform(F.split(drawn, ""), lambda c, i: F.when(F.substr(mention, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), ""))
+        .when(kind == "email", F.array_join(F.zip_with(F.split(drawn, ""), F.split(mention, ""), lambda c, m: F.when(m.rlike("[A-Z]"), F.upper(c)).otherwise(c)), ""))
         .otherwise(drawn)
     )
 
 
-def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, value, drawn`` for distinct ``kind, value`` rows, without collisions.
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """``kind, value, drawn`` for distinct ``kind, value, owner`` rows, without collisions.
 
     In every round the draws are grouped; the smallest value of a draw keeps it unless it
-    was taken before or is itself an entity, and the others draw again.
+    was taken before or is itself an entity, and the others draw again. The wide formats
+    have room for any number of entities; addresses of the network alone have one format,
+    and where nearly all of them are entities the rounds end with an error.
     """
     entities = write_table(entities, "pii-entities")
     kept, left, attempt = None, entities, 0
-    while True:
-        drawn = left.withColumn("drawn", surrogate(F.col("kind"), F.col("value"), key, F.lit(attempt)))
+    while attempt < MOST_ROUNDS:
+        drawn = left.withColumn("drawn", surrogate(F.col("kind"), F.col("value"), key, F.lit(attempt), F.col("owner")))
         drawn = drawn.join(entities.select("kind", F.col("value").alias("drawn")), ["kind", "drawn"], "left_anti")
         if kept is not None:
             drawn = drawn.join(kept.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
@@ -205,35 +230,88 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             return kept
         attempt += 1
+    raise ValueError(f"no free surrogates after {MOST_ROUNDS} rounds")
+
+
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
+    """``kind, value, drawn`` for distinct ``kind, value`` rows: names first, then what may follow them."""
+    none = F.lit(None).cast("string")
+    names = _drawn(entities.filter("kind = 'name'").withColumn("owner", none), key)
+    rest = entities.filter("kind <> 'name'")
+    person = F.when(F.col("kind") == "email", F.regexp_replace(F.substring_index("value", "@", 1), "[._-]+", " "))
+    owners = names.select(F.col("value").alias("_person"), F.col("drawn").alias("owner")).filter(F.col("_person").contains(" "))
+    rest = rest.withColumn("_p", person).join(owners, F.col("_p") == F.col("_person"), "left").select("kind", "value", "owner")
+    return names.unionByName(_drawn(rest, key))
+
+
+def _ends(name: Column) -> Column:
+    """First and last word of a full name, as written, capitalised and in capitals; words of three letters or more."""
+    words = F.array(F.substring_index(name, " ", 1), F.substring_index(name, " ", -1))
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.array_distinct(F.array(w, F.initcap(w), F.upper(w)))))
+
+
+def name_parts(hits: Column, text: Column) -> Column:
+    """Words by which the text may mention its persons: first and last words of full names that it never writes in lower case."""
+    found = F.array_distinct(F.flatten(F.transform(F.filter(hits, lambda h: h.rlike(_FULL)), _ends)))
+    return F.filter(found, lambda w: ~F.rlike(text, F.concat(F.lit(r"(?<!\p{L})\Q"), F.lower(w), F.lit(r"\E(?!\p{L})"))))
 
 
 def mentions(hits: DataFrame) -> DataFrame:
-    """Distinct ``doc_id, mention, kind, value`` rows of ``doc_id, hits``."""
-    found = hits.select("doc_id", F.explode(F.array_distinct("hits")).alias("mention")).distinct()
+    """Distinct ``_row, place, mention, kind, value`` rows of ``_row, hits``; places count a text's distinct mentions."""
+    found = hits.select("_row", F.posexplode(F.array_distinct("hits")).alias("place", "mention"))
     return found.withColumn("kind", _kind(F.col("mention"))).withColumn("value", canonical(F.col("mention"), F.col("kind")))
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
+def _shown(drawn: DataFrame) -> DataFrame:
+    """``_row, m``: what each mention, and each part of a name, becomes in a text.
+
+    A part belongs to the first full name that has it, also where it stands behind a title.
+    """
+    whole = drawn.select("_row", F.col("mention").alias("written"), F.struct(F.lit(1).alias("own"), "place").alias("rank"), render(F.col("mention"), F.col("kind"), F.col("drawn")).alias("shown"))
+    full = drawn.filter((F.col("kind") == "name") & F.col("mention").rlike(_FULL) & F.col("drawn").contains(" "))
+    parts = full.select("_row", "place", "drawn", "mention", F.explode(_ends(F.col("mention"))).alias("written"))
+    given = F.lower("written") == F.lower(F.substring_index("mention", " ", 1))
+    part = F.when(given, F.substring_index("drawn", " ", 1)).otherwise(F.substring_index("drawn", " ", -1))
+    parts = parts.select("_row", "written", F.struct(F.lit(0).alias("own"), "place").alias("rank"), F.when(F.col("written") == F.upper("written"), F.upper(part)).otherwise(F.initcap(part)).alias("shown"))
+    each = whole.unionByName(parts).groupBy("_row", "written").agg(F.min_by("shown", "rank").alias("shown"))
+    return each.groupBy(F.col("_row").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("written", "shown"))).alias("m"))
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, n_entities, text`` per row: mentions found, and the text with surrogates.
 
-    Null and empty texts come back empty with no entities; texts without entities are
-    unchanged. Repeated rows and rows of one id are replaced alike, null ids too. Empty
-    table, empty result; further columns are ignored. The key decides all draws.
+    The key decides all draws and is a secret of the caller. Null and empty texts come
+    back empty with no entities; texts without entities are unchanged. Every row is a text
+    of its own, whatever its id: rows repeated or without an id are replaced alike. Empty
+    table, empty result; further columns are ignored.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     hinted = F.col("text").rlike(HINT)
     # the long pattern is matched once; the few texts that may hold entities go on with their hits
-    searched = write_table(rows.filter(hinted).withColumn("hits", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))), "pii-texts")
+    searched = rows.filter(hinted).withColumn("hits", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).withColumn("_row", F.monotonically_increasing_id())
+    searched = write_table(searched.withColumn("parts", name_parts(F.col("hits"), F.col("text"))), "pii-texts")
     found = write_table(mentions(searched), "pii-mentions")
     table = surrogate_table(found.select("kind", "value").distinct(), key)
-    drawn = found.join(table, ["kind", "value"]).select("doc_id", "mention", render(F.col("mention"), F.col("kind"), F.col("drawn")).alias("shown"))
-    maps = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("m"))
-    with_map = searched.join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.array_join(F.transform(F.split("text", PATTERN, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.element_at(F.col("m"), F.get(F.col("hits"), i - 1)), p))), "")
-    replaced = with_map.select("doc_id", F.size("hits").cast("long").alias("n_entities"), F.when(F.size("hits") == 0, F.col("text")).otherwise(text).alias("text"))
-    return replaced.unionByName(rows.filter(~hinted).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text"))
+    with_map = searched.join(_shown(found.join(table, ["kind", "value"])), F.col("_row") == F.col("_id"), "left")
+
+    def replaced(texts: DataFrame, pattern: Column, hits: Column) -> DataFrame:
+        texts = texts.withColumn("_hits", hits)
+        # a part that stands at the edge of another match is left as it is
+        new = lambda h: F.coalesce(F.element_at(F.col("m"), h), h)
+        text = F.array_join(F.transform(F.split("text", pattern, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(new(F.get(F.col("_hits"), i - 1)), p))), "")
+        return texts.select("doc_id", F.size("_hits").cast("long").alias("n_entities"), F.when(F.size("_hits") == 0, F.col("text")).otherwise(text).alias("text"))
+
+    own = F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join("parts", "|"), F.lit(r")(?!\p{L})"))
+    plain = replaced(with_map.filter(F.size("parts") == 0), F.lit(PATTERN), F.col("hits"))
+    named = replaced(with_map.filter(F.size("parts") > 0), own, F.regexp_extract_all("text", own, F.lit(0)))
+    rest = rows.filter(~hinted).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text")
+    return plain.unionByName(named).unionByName(rest)
+
+
+#: The query's key; it is published with the query, so it keeps nothing secret.
+QUERY_KEY = "a published key"
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surrogates over all documents."""
-    return replace_pii(load(spark, sf_dir, "documents"))
+    return replace_pii(load(spark, sf_dir, "documents"), QUERY_KEY)

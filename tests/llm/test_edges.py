@@ -29,7 +29,7 @@ OPERATORS = {
     "katz": lambda s, d: katz.katz_scores(d),
     "media": lambda s, d: media.media_digest(d),
     "passages": lambda s, d: suffix_dedup.dedup_passages(d),
-    "pii": lambda s, d: pii.replace_pii(d),
+    "pii": lambda s, d: pii.replace_pii(d, "key"),
     "quality": lambda s, d: quality.classify_quality(d, labels(s)),
     "mix": lambda s, d: mixing.mix(d),
     "exact": lambda s, d: exact_dedup.exact_groups(d),
@@ -116,7 +116,7 @@ def test_plain_entities_are_found_whole(spark, entity):
 def test_plain_entities_are_replaced(spark):
     """Names behind titles, a phone in its own groups; plain capitals stay."""
     rows = [(1, "Dr. Strangelove and Mrs Robinson met."), (2, "Call +49 1512 3456789 or 06 12 34 56 78."), (3, "The New York Times of Monday"), (4, "DE89 3704 0044 0532 0130 00 and DE89370400440532013000")]
-    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     assert out[1].n_entities == 2 and "Strangelove" not in out[1].text and "Robinson" not in out[1].text and out[1].text.startswith("Dr. ")
     assert out[2].n_entities == 2 and "3456789" not in out[2].text and "12 34 56 78" not in out[2].text and out[2].text.startswith("Call +")
     assert out[3].text == rows[2][1] and out[3].n_entities == 0
