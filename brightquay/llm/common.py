@@ -1,13 +1,14 @@
 """Shared helpers of the training-data operators.
 
 Tables that cut lineage are written as Parquet under the folder that the cluster
-names in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a
-local folder is made.
+names in ``spark.checkpoint.dir``; a local folder is made only where that is unset and
+driver and executors are one process (tests, notebooks).
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; without one, an error on anything but a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -46,11 +49,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+def write_table(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by ``partition_by``, and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/brightquay-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._brightquay_path = path
@@ -62,11 +65,12 @@ def numbered(docs: DataFrame) -> DataFrame:
     return write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of :func:`write_table` that nothing reads any more."""
-    path = df._brightquay_path
-    delete_path(df.sparkSession, path)
-    _made[:] = [x for x in _made if x[1] != path]
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of :func:`write_table` that nothing reads any more."""
+    gone = {df._brightquay_path for df in tables}
+    for path in gone:
+        delete_path(tables[0].sparkSession, path)
+    _made[:] = [x for x in _made if x[1] not in gone]
 
 
 @atexit.register

@@ -3,12 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from brightquay.llm.common import delete_path, shared_folder
+
+
+_kept: list[Callable[[], None]] = []
+
+
+def kept_by_worker(forget: Callable[[], None]) -> None:
+    """Note that this worker keeps something between tasks, and how to put it away."""
+    _kept.append(forget)
+
+
+def fresh_worker() -> None:
+    """Put away what tasks of other operators have left in this worker, and give free memory back."""
+    while _kept:
+        _kept.pop()()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
@@ -30,29 +53,33 @@ def unpacked(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def slices_of(names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by slice, and where each slice begins."""
-    at = ((names >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+def slices_of(names: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Slices that have keys, and the places of each one's keys in ``names``; up to 2**32 slices."""
+    at = ((names >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    return order, np.searchsorted(at[order], np.arange(n + 1))
+    at = at[order]
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    return list(zip(at[cuts].tolist(), np.split(order, cuts[1:]), strict=True)) if len(at) else []
 
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str, str]] = []
 
 
 def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``column``, so that joins on it read it where it lies."""
+    """Write ``df`` as a table bucketed by ``column`` in the shared folder, so that joins on it read it where it lies."""
     spark = df.sparkSession
     name = f"brightquay_{tag}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
-    _tables.append((spark, name))
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    _tables.append((spark, name, path))
     return spark.table(name)
 
 
 @atexit.register
 def _drop_tables() -> None:
-    for spark, name in _tables:
+    for spark, name, path in _tables:
         try:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return

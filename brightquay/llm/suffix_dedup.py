@@ -17,7 +17,7 @@ Texts are cut into shards of whole documents, kept as a table bucketed by shard.
 
 What shards send has been reduced to distinct strings of the shard first, and its place
 is a hash of the whole string, so a passage that a third of all documents hold is one key
-per shard. Runs and starts are named by 64-bit hashes in step 3.
+per shard. Runs and starts are named by 128 bits in step 3: two hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ MIN_BYTES, GRAM, SHARD_BYTES = 100, 32, 1_500_000
 #: Keys of a slice, on average.
 SLICE_KEYS = 1_500_000
 _SHARD = "shard long, n long, ids binary, known binary, lens binary, text binary, run_at binary, run_n binary, run_off binary"
-_ASK = "slice int, shard long, names binary, docs binary, starts binary, counts binary"
-_REPLY = "what int, shard long, slice int, values binary"
+_ASK = "slice long, shard long, names binary, low binary, docs binary, starts binary, counts binary"
+_ASK_COLUMNS = [c.split()[0] for c in _ASK.split(", ")]
+_REPLY = "what int, shard long, slice long, values binary"
 
 
 def shard_table(docs: DataFrame) -> DataFrame:
@@ -81,8 +82,8 @@ def shard_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(of, _SHARD)
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_BASE, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64)
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POWERS = {b: np.array([pow(b, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64) for b in (_BASE, _OTHER)}
 
 
 def grams(text: np.ndarray) -> np.ndarray:
@@ -96,10 +97,34 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 def grams_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     """:func:`grams` at some places."""
-    out = np.zeros(len(places), np.uint64)
+    return _both_grams(text, places, (_BASE,))[0]
+
+
+def _both_grams(text: np.ndarray, places: np.ndarray, bases: tuple[int, ...] = (_BASE, _OTHER)) -> list[np.ndarray]:
+    out = [np.zeros(len(places), np.uint64) for _ in bases]
     for i in range(GRAM):
-        out += (text[places + i].astype(np.uint64) + np.uint64(1)) * _POWERS[i]
-    return mixed(out)
+        x = text[places + i].astype(np.uint64) + np.uint64(1)
+        for o, b in zip(out, bases, strict=True):
+            o += x * _POWERS[b][i]
+    return [mixed(o) for o in out]
+
+
+def names_of(text: np.ndarray, starts: np.ndarray, offsets: list, seed: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of the strings that the grams at ``offsets`` from each start cover."""
+    keys = [np.zeros(len(starts), np.uint64) + seed for _ in range(2)]
+    for off in offsets:
+        for k, g in enumerate(_both_grams(text, starts + off)):
+            keys[k] = mixed(keys[k] * np.uint64(0xC2B2AE3D27D4EB4F) + g)
+    return keys[0], keys[1]
+
+
+def groups_of(names: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Equal names get one number."""
+    by = np.lexsort(names)
+    new = [np.append(True, n[by][1:] != n[by][:-1])[: len(by)] for n in names]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new[0] | new[1]) - 1
+    return out
 
 
 def runs_of(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,21 +286,15 @@ class Shard:
         doc = self._of_text(np.searchsorted(self.doc_at, starts, side="right") - 1, starts)
         return self.doc_order[doc], starts - self.doc_at[doc]
 
-    def run_keys(self, which: np.ndarray) -> np.ndarray:
+    def run_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names of whole runs: all their bytes, and where the anchor lies."""
         at, size = self.run_at[which], self.run_n[which] + MIN_BYTES - 1
-        key = mixed(size.astype(np.uint64) << np.uint64(32) | (self.run_anchor[which] - at).astype(np.uint64))
-        for k in range(-(-(2 * MIN_BYTES) // GRAM)):
-            off = np.minimum(k * GRAM, size - GRAM)
-            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + grams_at(self.text, at + off))
-        return key
+        seed = mixed(size.astype(np.uint64) << np.uint64(32) | (self.run_anchor[which] - at).astype(np.uint64))
+        return names_of(self.text, at, [np.minimum(k * GRAM, size - GRAM) for k in range(-(-(2 * MIN_BYTES) // GRAM))], seed)
 
-    def start_keys(self, starts: np.ndarray) -> np.ndarray:
+    def start_keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names of the strings of MIN_BYTES bytes at ``starts``."""
-        key = np.zeros(len(starts), np.uint64)
-        for off in [*range(0, MIN_BYTES - GRAM, GRAM), MIN_BYTES - GRAM]:
-            key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + grams_at(self.text, starts + off))
-        return key
+        return names_of(self.text, starts, [*range(0, MIN_BYTES - GRAM, GRAM), MIN_BYTES - GRAM])
 
 
 def starts_of(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -303,20 +322,17 @@ def repeats_inside(shard: Shard, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def asks(shard: int, names: np.ndarray, slices: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[tuple]:
+def asks(shard: int, names: tuple[np.ndarray, np.ndarray], slices: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[tuple]:
     """Rows that ask each slice for its part of ``names``."""
-    order, cut = slices_of(names, slices)
-    cols = [names[order].astype("<u8"), docs[order].astype("<i8"), starts[order].astype("<i8"), counts[order].astype("<u4")]
-    return [(k, shard, *(c[cut[k] : cut[k + 1]].tobytes() if i == 0 else packed(c[cut[k] : cut[k + 1]]) for i, c in enumerate(cols))) for k in range(slices) if cut[k] < cut[k + 1]]
+    cols = (docs.astype("<i8"), starts.astype("<i8"), counts.astype("<u4"))
+    return [(k, shard, *(n[o].astype("<u8").tobytes() for n in names), *(packed(c[o]) for c in cols)) for k, o in slices_of(names[0], slices)]
 
 
 def answers(names: np.ndarray, slices: int, replies: dict[int, bytes]) -> np.ndarray:
     """Answers of all slices in the order of ``names``."""
-    order, cut = slices_of(names, slices)
     out = np.zeros(len(names), np.int64)
-    got = [unpacked(replies[k], "<u8") for k in range(slices) if cut[k] < cut[k + 1]]
-    if got:
-        out[order] = np.concatenate(got)
+    for k, o in slices_of(names, slices):
+        out[o] = unpacked(replies[k], "<u8")
     return out
 
 
@@ -325,19 +341,23 @@ def _slice_of(what: int):
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("shard")
-        names = [np.frombuffer(x, "<u8") for x in f["names"]]
+        sizes = [len(x) // 8 for x in f["names"]]
+        high = np.concatenate([np.frombuffer(x, "<u8") for x in f["names"]])
+        low = np.concatenate([np.frombuffer(x, "<u8") for x in f["low"]]) if what > 1 else np.zeros(len(high), np.uint64)
         docs, starts, counts = (np.concatenate([unpacked(x, k) for x in f[c]]) for c, k in (("docs", "<i8"), ("starts", "<i8"), ("counts", "<u4")))
-        every = np.concatenate(names)
-        table = np.unique(every)
-        at = np.searchsorted(table, every)  # each shard's keys, by binary search in the merged order
+        merged = np.lexsort((low, high))
+        new = np.append(True, (high[merged][1:] != high[merged][:-1]) | (low[merged][1:] != low[merged][:-1]))
+        table = merged[new]
+        at = np.searchsorted(high[table], high)  # each shard's keys, by binary search in the merged order
+        while len(off := np.flatnonzero(low[table[at]] != low)):
+            at[off] += 1
         total = np.bincount(at, counts, len(table)).astype(np.int64)
         by = np.lexsort((starts, docs, at))
-        first = np.zeros(len(every), np.int64)
+        first = np.zeros(len(high), np.int64)
         first[by[np.append(True, at[by][1:] != at[by][:-1])]] = 1
         value = total[at] * 2 + first
-        ends = np.cumsum([len(x) for x in names])
         k = int(f["slice"].iloc[0])
-        return pd.DataFrame([(what, int(s), k, packed(p.astype("<u8"))) for s, p in zip(f["shard"], np.split(value, ends[:-1]), strict=True)], columns=["what", "shard", "slice", "values"])
+        return pd.DataFrame([(what, int(s), k, packed(p.astype("<u8"))) for s, p in zip(f["shard"], np.split(value, np.cumsum(sizes)[:-1]), strict=True)], columns=["what", "shard", "slice", "values"])
 
     return of
 
@@ -362,12 +382,13 @@ class Findings:
             self.repeat = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(got[0][-1]), np.uint8))[: len(self.starts)].astype(bool)
         else:
             self.repeat = repeats_inside(self.shard, self.starts)
-        self.keys = self.shard.run_keys(self.runs) if len(self.runs) else np.zeros(0, np.uint64)
+        self.keys = self.shard.run_keys(self.runs) if len(self.runs) else (np.zeros(0, np.uint64),) * 2
+        self.group = groups_of(self.keys)
         self.open_runs = self._open_runs()
         if 2 in got or (3 in got):
             self._apply_runs(got.get(2, {}))
         if 3 in got:
-            value = answers(self.asked_keys(), slices, got[3])
+            value = answers(self.asked_keys()[0], slices, got[3])
             self.repeat[self.asked] = (value & 1) == 0
 
     def _open_runs(self) -> np.ndarray:
@@ -376,29 +397,28 @@ class Findings:
         if not len(fresh):
             return fresh
         rank = self.shard.order_of(self.shard.run_at[self.runs[fresh]])
-        by = np.lexsort((rank, self.keys[fresh]))
-        k = self.keys[fresh][by]
+        by = np.lexsort((rank, self.group[fresh]))
+        k = self.group[fresh][by]
         return fresh[by[np.append(True, k[1:] != k[:-1])]]
 
     def ask_runs(self) -> list[tuple]:
         """Whole runs, with how often the shard has each."""
         if not len(self.open_runs):
             return []
-        names, inverse, n = np.unique(self.keys, return_inverse=True, return_counts=True)
         docs, starts = self.shard.places(self.shard.run_at[self.runs[self.open_runs]])
-        return asks(self.shard.number, self.keys[self.open_runs], self.slices, docs, starts, n[inverse[self.open_runs]])
+        return asks(self.shard.number, tuple(n[self.open_runs] for n in self.keys), self.slices, docs, starts, np.bincount(self.group)[self.group[self.open_runs]])
 
     def _apply_runs(self, replies: dict[int, bytes]) -> None:
-        value = answers(self.keys[self.open_runs], self.slices, replies) if len(self.open_runs) else np.zeros(0, np.int64)
+        value = answers(self.keys[0][self.open_runs], self.slices, replies) if len(self.open_runs) else np.zeros(0, np.int64)
         state = np.zeros(len(self.runs), np.int64)  # 1: repeats an earlier shard's run, 2: other runs have its anchor
         state[self.open_runs] = np.where((value & 1) == 0, 1, np.where(value >> 1 < self.anchor_count[self.open_runs], 2, 0))
         of = state[self.of_run]
         self.repeat = self.repeat | (of == 1)
         self.asked = np.flatnonzero((of == 2) & ~self.repeat)
 
-    def asked_keys(self) -> np.ndarray:
+    def asked_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Names of the single starts that are still open."""
-        return self.shard.start_keys(self.starts[self.asked]) if len(self.asked) else np.zeros(0, np.uint64)
+        return self.shard.start_keys(self.starts[self.asked]) if len(self.asked) else (np.zeros(0, np.uint64),) * 2
 
     def ask_starts(self) -> list[tuple]:
         """Single starts."""
@@ -429,15 +449,14 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for f in frames:
             for row in f.itertuples():
                 names, n = Shard(row).anchors()
-                order, cut = slices_of(names, slices)
-                rows = [(k, row.shard, names[order[cut[k] : cut[k + 1]]].astype("<u8").tobytes(), packed(n[order[cut[k] : cut[k + 1]]].astype("<u4"))) for k in range(slices) if cut[k] < cut[k + 1]]
+                rows = [(k, row.shard, names[o].astype("<u8").tobytes(), packed(n[o].astype("<u4"))) for k, o in slices_of(names, slices)]
                 yield pd.DataFrame(rows, columns=["slice", "shard", "names", "counts"])
 
     def anchors_of(f: pd.DataFrame) -> pd.DataFrame:
         zeros = [packed(np.zeros(len(x) // 8, "<i8")) for x in f["names"]]
         return _slice_of(1)(f.assign(docs=zeros, starts=zeros))
 
-    anchors = write_table(shards.mapInPandas(ask_anchors, "slice int, shard long, names binary, counts binary").groupBy("slice").applyInPandas(anchors_of, _REPLY), "anchors")
+    anchors = write_table(shards.mapInPandas(ask_anchors, "slice long, shard long, names binary, counts binary").groupBy("slice").applyInPandas(anchors_of, _REPLY), "anchors")
     own = shards.groupBy("shard")
 
     def ask_runs(f: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -445,8 +464,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for row in f.itertuples():
             x = Findings(row, replies, slices)
             rows += x.ask_runs()
-            rows.append((-1, row.shard, zstandard.ZstdCompressor(level=1).compress(np.packbits(x.repeat).tobytes()), b"", b"", b""))
-        return pd.DataFrame(rows, columns=["slice", "shard", "names", "docs", "starts", "counts"])
+            rows.append((-1, row.shard, zstandard.ZstdCompressor(level=1).compress(np.packbits(x.repeat).tobytes()), *[b""] * 4))
+        return pd.DataFrame(rows, columns=_ASK_COLUMNS)
 
     asked = write_table(own.cogroup(anchors.groupBy("shard")).applyInPandas(ask_runs, _ASK), "suffix-runs")
     inside = asked.filter("slice = -1").select(F.lit(0).alias("what"), "shard", "slice", F.col("names").alias("values"))
@@ -459,7 +478,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             x = Findings(row, replies, slices)
             if len(x.open_runs):
                 rows += x.ask_starts()
-        return pd.DataFrame(rows, columns=["slice", "shard", "names", "docs", "starts", "counts"])
+        return pd.DataFrame(rows, columns=_ASK_COLUMNS)
 
     starts = write_table(own.cogroup(so_far.groupBy("shard")).applyInPandas(ask_starts, _ASK).groupBy("slice").applyInPandas(_slice_of(3), _REPLY), "merged-starts")
 
