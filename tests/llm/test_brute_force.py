@@ -127,7 +127,6 @@ def test_hot_segment_is_dealt_in_chunks(spark, monkeypatch):
             docs.append((1000 + i, " ".join(w)))
     sets = {i: near_dup.shingle_set(t) for i, t in docs}
     monkeypatch.setattr(near_dup, "CHUNK", 16)
-    monkeypatch.setattr(near_dup, "CENTRE_ROUNDS", 0)
     groups, made = [], near_dup.meetings
 
     def seen(*args):
@@ -137,58 +136,85 @@ def test_hot_segment_is_dealt_in_chunks(spark, monkeypatch):
 
     monkeypatch.setattr(near_dup, "meetings", seen)
     table = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in sets.items()], "doc_id long, n long, s binary")
-    got = {r.node: r.component for r in near_dup.link_components(table).collect()}
+    got = {r.node: r.component for r in near_dup.link_components(table, centres=False).collect()}
     assert got == {i: i % 1000 for j, _ in docs if j >= 1000 for i in (j, j - 1000)}
     pairs = [g for g in groups if g.i >= 0]
     assert len({g.k for g in pairs}) > 1 and max(g.n for g in pairs) <= 4 * 16
 
 
-def test_language_model(spark, texts, monkeypatch):
-    """Scores by a plain dictionary model, over several batches and slices; a context sums to one."""
+class PlainKatz:
+    """A backoff model in dictionaries, evaluated word by word."""
+
+    def __init__(self, texts, order):
+        self.order, self.grams = order, [Counter() for _ in range(order + 1)]
+        for toks in texts:
+            w = ["<s>", *toks]
+            for k in range(1, order + 1):
+                self.grams[k].update(tuple(w[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(w)))
+        self.total, self.types = sum(self.grams[1].values()), len(self.grams[1])
+        self.d = [None]
+        for k in range(1, order + 1):
+            n = Counter(self.grams[k].values())
+            self.d.append(katz.Counts(0, 0, tuple(n[r] for r in range(1, katz.GT + 2))).discounts())
+        self.free = sum(c * (1 - self.d[1][min(c, katz.GT + 1)]) for c in self.grams[1].values()) / self.total
+        self.following = defaultdict(list)
+        for k in range(2, order + 1):
+            for g in self.grams[k]:
+                self.following[g[:-1]].append(g[-1])
+        self.known = {}
+
+    def context(self, h):
+        """Tokens, whether nothing was freed, and the weight of a context."""
+        if h not in self.known:
+            k, after = len(h) + 1, self.following.get(h, ())
+            n = sum(self.grams[k][(*h, w)] for w in after)
+            seen = sum(self.d[k][min(c, katz.GT + 1)] * c / n for c in (self.grams[k][(*h, w)] for w in after))
+            spent = bool(n) and seen >= 1 - 1e-9
+            self.known[h] = (n + spent, (1 / (n + 1) if spent else 1 - seen) / (1 - sum(self.p(h[1:], w) for w in after)) if n else 1)
+        return self.known[h]
+
+    def p(self, h, w):
+        """Probability of a word behind a context, from the highest order down."""
+        if not h:
+            c = self.grams[1][(w,)]
+            return self.d[1][min(c, katz.GT + 1)] * c / self.total if c else self.free
+        n, weight = self.context(h)
+        c = self.grams[len(h) + 1][(*h, w)]
+        return self.d[len(h) + 1][min(c, katz.GT + 1)] * c / n if c else weight * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize(("order", "hot"), [(1, 10**9), (2, 40), (3, 10**9), (3, 20), (4, 40)])
+def test_language_model(spark, texts, monkeypatch, order, hot):
+    """Scores by a plain model, over several batches, slices and hot contexts; contexts sum to one."""
     monkeypatch.setattr(katz, "BATCH_TOKENS", 20_000)
     monkeypatch.setattr(katz, "SLICE_KEYS", 20_000)
-    got = {r.doc_id: r for r in katz.op3_lm_scoring(spark, DATA).collect()}
+    monkeypatch.setattr(katz, "HOT", hot)
+    got = {r.doc_id: r for r in katz.katz_scores(spark.read.parquet(f"{DATA}/documents.parquet"), order=order).collect()}
     toks = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
     train = {i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2}
-    c1, c2 = Counter(), Counter()
-    for i in train:
-        c1.update(toks[i])
-        c2.update(zip(["<s>", *toks[i][:-1]], toks[i], strict=True))
-
-    def discounts(c):
-        n = Counter(c.values())
-        return katz.Counts(0, 0, tuple(n[r] for r in range(1, katz.GT + 2))).discounts()
-
-    d1, d2 = discounts(c1), discounts(c2)
-    total, types = sum(c1.values()), len(c1)
-    free = sum(c * (1 - d1[min(c, katz.GT + 1)]) for c in c1.values()) / total
-    p1 = lambda w: d1[min(c1[w], katz.GT + 1)] * c1[w] / total if w in c1 else free
-    ch = Counter(c1)
-    ch["<s>"] = len(train)
-    seen, low = defaultdict(float), defaultdict(float)
-    for (h, w), c in c2.items():
-        seen[h] += d2[min(c, katz.GT + 1)] * c / ch[h]
-        low[h] += p1(w)
-
-    def p(h, w):
-        spent = bool(ch[h]) and seen[h] >= 1 - 1e-9
-        if (h, w) in c2:
-            return d2[min(c2[h, w], katz.GT + 1)] * c2[h, w] / (ch[h] + spent)
-        if not ch[h]:
-            return p1(w)
-        return (1 / (ch[h] + 1) if spent else 1 - seen[h]) / (1 - low[h]) * p1(w)
-
-    for i, w in toks.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in c1 for x in w), total, i not in train)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[x] + 1) / (total + types + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True)))
-    context = c1.most_common(1)[0][0]
-    assert sum(p(context, w) for w in c1) + p(context, "?") == pytest.approx(1)
+    plain = PlainKatz([toks[i] for i in train], order)
+    c1 = {w: c for (w,), c in plain.grams[1].items()}
+    for i, t in toks.items():
+        r, w = got[i], ["<s>", *t]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(x in c1 for x in t), plain.total, i not in train)
+        assert r.base_score == pytest.approx(sum(math.log10((c1.get(x, 0) + 1) / (plain.total + plain.types + 1)) for x in t))
+        assert r.score == pytest.approx(sum(math.log10(plain.p(tuple(w[max(0, k - order + 1) : k]) if order > 1 else (), w[k])) for k in range(1, len(w))))
+    for h in [next(iter(plain.grams[k])) for k in range(1, order)]:
+        assert sum(plain.p(h, w) for w in c1) + plain.p(h, "?") == pytest.approx(1)
     held = [i for i in toks if i not in train]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_fitted_model_is_kept(spark, texts):
+    """A model fitted on some texts scores others as if they had been there."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    model = katz.fit_katz(docs.filter(fold != 2))
+    want = {r.doc_id: (r.n_known, r.score) for r in katz.katz_scores(docs).collect()}
+    got = {r.doc_id: (r.n_known, r.score) for r in katz.score_katz(model, docs).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1]) for i in want)
+
+
 def test_media_round_trip(spark, texts):
     """Payloads come back as they were."""
     for r in media.op4_media_columns(spark, DATA).collect():
@@ -251,7 +277,7 @@ def test_surrogates(spark, texts):
 def test_surrogates_of_names_and_variants(spark):
     """Gender, script, case, punctuation and the card's check digit are kept; a collision is drawn again."""
     rows = [(1, "Patricia Smith met ROBERT JONES, Наталья Петрова and Patricia Smith."), (2, "4111 1111 1111 1111 or 4111111111111111; A@B.com, a@b.com; 10.0.0.1")]
-    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     women, men, russian = ({n.lower() for n in pii.GIVEN[k]} for k in (("f", "latin"), ("m", "latin"), ("f", "cyrillic")))
     first, met = out[1].split(" met ")
     assert first.split()[0].lower() in women and met.split()[0].lower() in men and met.split(",")[0].isupper()
@@ -261,7 +287,7 @@ def test_surrogates_of_names_and_variants(spark):
     digits = [int(x) for x in b][::-1]
     assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
     ssns = spark.createDataFrame([(i, f"{i:03d}-00-0000") for i in range(100, 160)], "doc_id long, text string")
-    assert pii.replace_pii(ssns).select("text").distinct().count() == 60
+    assert pii.replace_pii(ssns, "key").select("text").distinct().count() == 60
 
 
 def test_quality_on_held_out_rows(spark):
