@@ -103,10 +103,10 @@ def media_digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(of, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def read_media(files: DataFrame, column: str = "content") -> DataFrame:
+def read_media(files: DataFrame, column: str = "content", most_pixels: int = 1 << 24) -> DataFrame:
     """Decode a binary column of lossless WebP files to ``height, width, rgba`` beside ``path``.
 
-    Null and unreadable files give null pixels.
+    Null files, unreadable ones and those that declare more than ``most_pixels`` give null pixels.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def read_media(files: DataFrame, column: str = "content") -> DataFrame:
             rows = []
             for x in batch.column(1).to_pylist():
                 try:
-                    p = decode(x) if x is not None else None
+                    p = decode(x, most_pixels) if x is not None else None
                 except (WebpError, IndexError):
                     p = None
                 rows.append((None, None, None) if p is None else (p.shape[0], p.shape[1], p.tobytes()))

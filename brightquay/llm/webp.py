@@ -5,7 +5,8 @@ back-references, the colour cache, and the predictor, cross-colour, subtract-gre
 palette transforms. :func:`decode_many` reads a batch; pictures that hold literals under
 one prefix-code group go through numpy side by side, a pixel of each at a time, and the
 others through :func:`decode`. :func:`encode_rgb` stores RGB pictures with a prefix code
-fitted to each.
+fitted to each; a picture that repeats itself is stored with a palette or a predictor,
+back-references and a colour cache, where that is smaller.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import functools
 import heapq
 import struct
+import zlib
 
 import numpy as np
 
@@ -35,6 +37,12 @@ NEAR = (
 BLACK = 0xFF000000
 #: Longest code of pictures that go side by side; the format allows 15.
 SIDE_BITS = 10
+#: Pixels that a file may declare; a few bytes could name 2**28.
+MOST_PIXELS = 1 << 24
+#: A picture is worth a search for repeats where a quick compressor makes it so many times smaller, from so many pixels on.
+REPEATS, LEAST_PIXELS = 6, 256
+#: Bits of the writer's colour cache; longest back-reference of the format.
+CACHE_BITS, LONGEST = 6, 4096
 
 
 class WebpError(ValueError):
@@ -212,8 +220,10 @@ def _read_pixels(bits: Bits, w: int, h: int, spatial: bool) -> list[int]:
                 far = max(1, dx + dy * w)
             if far > len(out) or len(out) + length > w * h:
                 raise WebpError("a reference outside the picture")
-            for _ in range(length):
-                out.append(out[-far])
+            while length > 0:  # a reference may reach into what it makes itself
+                piece = out[len(out) - far : len(out) - far + length]
+                out += piece
+                length -= len(piece)
         else:
             while keep < len(out):
                 cache[(0x1E35A7BD * out[keep] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[keep]
@@ -278,7 +288,14 @@ def _plus(a: int, b: int) -> int:
 
 
 def undo_predictor(pixels: list[int], w: int, modes: list[int], block_bits: int) -> list[int]:
-    """Add predictions to residuals in reading order."""
+    """Add predictions to residuals in reading order; the pixel above, if it is the mode of all blocks, by sums down the columns."""
+    if {v >> 8 & 15 for v in modes} == {2}:
+        v = np.array(pixels, np.uint32).reshape(-1, w)
+        parts = np.stack([v >> 24, v >> 16, v >> 8, v], axis=-1).astype(np.uint8)
+        parts[0, 0, 0] += 255
+        parts[0] = np.cumsum(parts[0], axis=0, dtype=np.uint8)
+        x = np.cumsum(parts, axis=0, dtype=np.uint8).astype(np.uint32)
+        return (x[..., 0] << 24 | x[..., 1] << 16 | x[..., 2] << 8 | x[..., 3]).ravel().tolist()
     out: list[int] = []
     across = -(-w >> block_bits)
     for i, residual in enumerate(pixels):
@@ -311,20 +328,18 @@ def undo_cross_colour(pixels: list[int], w: int, factors: list[int], block_bits:
 
 def undo_palette(pixels: list[int], w: int, h: int, palette: list[int], pack: int) -> list[int]:
     """Look up indices, ``1 << pack`` of which share a pixel's green."""
-    packed, size = -(-w >> pack), 8 >> pack
-    out = []
-    for y in range(h):
-        for x in range(w):
-            green = (pixels[y * packed + (x >> pack)] >> 8) & 255
-            k = (green >> ((x & ((1 << pack) - 1)) * size)) & ((1 << size) - 1)
-            out.append(palette[k] if k < len(palette) else 0)
-    return out
+    size, x = 8 >> pack, np.arange(w)
+    green = np.array(pixels, np.int64).reshape(h, -1)[:, x >> pack] >> 8 & 255
+    at = green >> ((x & ((1 << pack) - 1)) * size) & ((1 << size) - 1)
+    return np.append(np.array(palette, np.int64), 0)[np.minimum(at, len(palette))].ravel().tolist()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """An RGBA array (height, width, 4) of any lossless WebP file."""
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> np.ndarray:
+    """An RGBA array (height, width, 4) of any lossless WebP file of at most ``most_pixels``."""
     bits = Bits(chunk_of(data))
     w, h = read_header(bits)
+    if w * h > most_pixels:
+        raise WebpError("more pixels than allowed")
     undo, now = [], w
     while bits.read(1):
         kind = bits.read(2)
@@ -475,8 +490,10 @@ _OWN_CODES = _own_codes()
 
 
 def _put(lengths: dict[int, int]) -> tuple[int, int]:
-    """The bits of one prefix code's lengths, and how many."""
+    """The bits of one prefix code's lengths, and how many; no symbol is written as one."""
     v = at = 0
+    if not lengths:
+        return 0b0001, 4
     if len(lengths) == 1:
         return 0b101 | next(iter(lengths)) << 3, 11
     tokens: list[tuple[int, int, int]] = []
@@ -500,8 +517,9 @@ def _put(lengths: dict[int, int]) -> tuple[int, int]:
     for s in LENGTH_ORDER[:18]:
         v |= int(_OWN[s]) << at
         at += 3
-    v |= (1 | 3 << 1 | (len(tokens) - 2) << 4) << at  # how many tokens, in 8 bits
-    at += 12
+    count = 8 if len(tokens) < 258 else 10
+    v |= (1 | (count // 2 - 1) << 1 | (len(tokens) - 2) << 4) << at  # how many tokens, in 8 or 10 bits
+    at += 4 + count
     for s, extra, n in tokens:
         bits, size = _OWN_CODES[s]
         v |= (bits | extra << size) << at
@@ -509,8 +527,161 @@ def _put(lengths: dict[int, int]) -> tuple[int, int]:
     return v, at
 
 
+class _Stream:
+    """Bits written least significant first."""
+
+    def __init__(self):
+        self.out, self.hold, self.n = bytearray(), 0, 0
+
+    def put(self, value: int, n: int) -> None:
+        """The low ``n`` bits of a number."""
+        self.hold |= value << self.n
+        self.n += n
+        if self.n > 4096:
+            whole = self.n // 8
+            self.out += (self.hold & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.hold >>= 8 * whole
+            self.n -= 8 * whole
+
+    def bytes(self) -> bytes:
+        """All bits, zeros to the end of the last byte."""
+        return bytes(self.out) + self.hold.to_bytes(-(-self.n // 8), "little")
+
+
+def _codes_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Canonical codes, reversed for writing; a lone symbol takes no bits."""
+    if len(lengths) == 1:
+        return {next(iter(lengths)): (0, 0)}
+    out, code, last = {}, 0, 0
+    for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
+        code <<= n - last
+        last = n
+        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        code += 1
+    return out
+
+
+def _prefix(amount: int) -> tuple[int, int, int]:
+    """Symbol, extra bits and their number of a length or distance."""
+    if amount <= 4:
+        return amount - 1, 0, 0
+    top = (amount - 1).bit_length() - 1
+    second = (amount - 1) >> (top - 1) & 1
+    return 2 * top + second, (amount - 1) & ((1 << top - 1) - 1), top - 1
+
+
+def _references(pixels: list[int]) -> list[tuple[int, int]]:
+    """The picture as (pixel, 0) literals and (distance, length) references: at each place the latest earlier place with the same three pixels."""
+    out, seen, at, n = [], {}, 0, len(pixels)
+    while at < n:
+        key = tuple(pixels[at : at + 3])
+        before, size = seen.get(key, -1) if len(key) == 3 else -1, 0
+        if before >= 0:
+            while at + size < n and size < LONGEST and pixels[before + size] == pixels[at + size]:
+                size += 1
+        step = size if size >= 3 else 1
+        out.append((at - before, size) if size >= 3 else (pixels[at], 0))
+        for k in range(at, min(at + step, at + 64)):  # the first places of a long reference will do
+            seen[tuple(pixels[k : k + 3])] = k
+        at += step
+    return out
+
+
+def _write_pixels(to: _Stream, pixels: list[int], w: int, spatial: bool, cached: bool) -> None:
+    """One entropy-coded picture: references, and literals that the colour cache has by their place in it."""
+    near = {}
+    for k, (dx, dy) in enumerate(NEAR, 1):
+        near.setdefault(max(1, dx + dy * w), k)
+    cache = [0] * (1 << CACHE_BITS)
+    symbols: list[tuple] = []  # (green symbol, further symbols by alphabet, extra bits)
+    at = 0
+    for a, size in _references(pixels) if spatial else [(v, 0) for v in pixels]:
+        if size:
+            length, far = _prefix(size), _prefix(near.get(a, a + 120))
+            symbols.append((256 + length[0], ((4, far[0]),), (length[1:], far[1:])))
+        else:
+            slot = (0x1E35A7BD * a & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+            if cached and cache[slot] == a:
+                symbols.append((280 + slot, (), ()))
+            else:
+                symbols.append((a >> 8 & 255, ((1, a >> 16 & 255), (2, a & 255), (3, a >> 24)), ()))
+        if cached:
+            for v in dict.fromkeys(pixels[at : at + max(size, 1)]) if size > 64 else pixels[at : at + max(size, 1)]:
+                cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> (32 - CACHE_BITS)] = v
+        at += max(size, 1)
+    counts: list[dict[int, int]] = [{} for _ in range(5)]
+    for green, more, _ in symbols:
+        counts[0][green] = counts[0].get(green, 0) + 1
+        for c, v in more:
+            counts[c][v] = counts[c].get(v, 0) + 1
+    to.put(1 | CACHE_BITS << 1 if cached else 0, 5 if cached else 1)
+    if spatial:
+        to.put(0, 1)  # one group of codes
+    codes = []
+    for own in counts:
+        used = sorted(own)
+        lengths = code_lengths([own[x] for x in used], used) if len(used) > 1 else dict.fromkeys(used, 0)
+        if len(used) == 1 and used[0] > 255:
+            lengths = {0: 1, used[0]: 1}  # a lone symbol has eight bits
+        to.put(*_put(lengths))
+        codes.append(_codes_of(lengths) if lengths else {})
+    for green, more, extra in symbols:
+        to.put(*codes[0][green])
+        if extra:
+            to.put(*extra[0])
+        for c, v in more:
+            to.put(*codes[c][v])
+        if extra:
+            to.put(*extra[1])
+
+
+def _with_repeats(picture: np.ndarray) -> bytes:
+    """The VP8L data of a picture that repeats itself: a palette of up to 256 colours, or the pixel above as predictor."""
+    h, w, _ = picture.shape
+    v = picture.astype(np.int64) @ np.array([1 << 16, 1 << 8, 1]) + BLACK
+    colours, at = np.unique(v, return_inverse=True)
+    to = _Stream()
+    to.put(0x2F | (w - 1) << 8 | (h - 1) << 22, 40)
+    if len(colours) <= 256:
+        palette = colours.tolist()
+        to.put(0b111, 3)
+        to.put(len(palette) - 1, 8)
+        steps = [sum(((a >> k & 255) - (b >> k & 255) & 255) << k for k in (0, 8, 16, 24)) for a, b in zip(palette, [0, *palette], strict=False)]
+        _write_pixels(to, steps, len(palette), False, False)
+        pack = 3 if len(palette) <= 2 else 2 if len(palette) <= 4 else 1 if len(palette) <= 16 else 0
+        at = at.reshape(h, w)
+        own = np.zeros((h, -(-w >> pack)), np.int64)
+        for k in range(1 << pack):
+            part = at[:, k :: 1 << pack]
+            own[:, : part.shape[1]] |= part << k * (8 >> pack)
+        to.put(0, 1)
+        _write_pixels(to, (BLACK | own << 8).ravel().tolist(), own.shape[1], True, False)
+    else:
+        to.put(0b001, 3)
+        to.put(4, 3)  # blocks of 64
+        _write_pixels(to, [BLACK | 2 << 8] * (-(-w >> 6) * -(-h >> 6)), -(-w >> 6), False, False)
+        parts = picture.astype(np.uint8)
+        rest = parts.copy()
+        rest[1:] -= parts[:-1]
+        rest[0, 1:] -= parts[0, :-1]
+        own = rest.astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])
+        to.put(0, 1)
+        _write_pixels(to, own.ravel().tolist(), w, True, True)
+    return to.bytes()
+
+
+def _filed(body: bytes) -> bytes:
+    """A RIFF file around VP8L data."""
+    pad = len(body) & 1
+    return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + bytes(pad)
+
+
 def encode_rgb(pictures: list[np.ndarray]) -> list[bytes]:
-    """A WebP file for each (height, width, 3) picture; equal pictures, equal files."""
+    """A WebP file for each (height, width, 3) picture; equal pictures, equal files.
+
+    All are coded side by side as literals; those that a quick compressor finds full of
+    repeats once more by :func:`_with_repeats`, and the smaller file stays.
+    """
     n = len(pictures)
     flat = [p.reshape(-1, 3)[:, [1, 0, 2]].ravel() for p in pictures]  # green comes first
     sizes = np.array([len(x) for x in flat])
@@ -550,6 +721,8 @@ def encode_rgb(pictures: list[np.ndarray]) -> list[bytes]:
         top = np.unpackbits(np.frombuffer(v.to_bytes(-(-head // 8), "little"), np.uint8), bitorder="little")[:head]
         body = np.packbits(np.concatenate([top, stream[upto:end]]), bitorder="little").tobytes()
         upto = end
-        pad = len(body) & 1
-        out.append(b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + bytes(pad))
-    return out
+        out.append(body)
+    for i, p in enumerate(pictures):
+        if p.size >= 3 * LEAST_PIXELS and REPEATS * len(zlib.compress(p.tobytes(), 1)) < p.size:
+            out[i] = min(_with_repeats(p), out[i], key=len)
+    return [_filed(body) for body in out]

@@ -237,3 +237,47 @@ def test_broken_files():
     for bad in (b"", b"RIFFxxxxWEBP", f[:30]):
         with pytest.raises(webp.WebpError):
             webp.decode(bad)
+
+
+def repeating(kind, rng):
+    """Pictures that repeat themselves, in several ways."""
+    if kind == "few colours":
+        return rng.integers(0, 2, (40, 64, 1)).repeat(3, axis=2).astype(np.uint8)[np.arange(40) % 3]
+    if kind == "words":
+        return np.frombuffer(b"word " * 3000, np.uint8)[: 64 * 64 * 3].reshape(64, 64, 3)
+    if kind == "rows":
+        return np.tile(rng.integers(0, 256, (1, 64, 3)).astype(np.uint8), (64, 1, 1))
+    return np.tile(rng.integers(0, 256, (8, 64, 3)).astype(np.uint8), (8, 1, 1))
+
+
+@pytest.mark.parametrize("kind", ["few colours", "words", "rows", "many colours"])
+def test_repeats_are_written_and_read(kind):
+    """Such files hold transforms and references, are smaller than literals, and come back as they were."""
+    p = repeating(kind, np.random.default_rng(4))
+    file = webp.encode_rgb([p])[0]
+    assert webp._plain(file) is None and len(file) < p.size // 3
+    for got in (webp.decode(file), webp.decode_many([file, file])[1]):
+        assert np.array_equal(got[:, :, :3], p) and (got[:, :, 3] == 255).all()
+
+
+def test_documents_use_both_ways(spark):
+    """Texts that repeat go through references, others side by side; payloads come back."""
+    from brightquay.llm import media
+
+    payloads = [b"word " * 2000 + b"\0" * 80, bytes(np.random.default_rng(2).integers(32, 127, 9600).astype(np.uint8))]
+    payloads = [x + b" " * (-len(x) % 192) for x in payloads]
+    stored = media.store(payloads)
+    kinds = [[webp._plain(f) is None for f in media.split_files(x)] for x in stored]
+    assert all(kinds[0]) and not any(kinds[1])
+    assert [np.ascontiguousarray(x[:, :, :3]).tobytes() for x in media.read(stored)] == payloads
+
+
+def test_media_files_are_bounded(spark):
+    """A file may not declare more pixels than allowed; broken and missing ones give nulls."""
+    from brightquay.llm import media
+
+    small = webp.encode_rgb([np.full((8, 8, 3), 7, np.uint8)])[0]
+    df = spark.createDataFrame([("a", bytearray(small)), ("b", bytearray(b"RIFF")), ("c", None)], "path string, content binary")
+    got = {r.path: (r.height, r.width) for r in media.read_media(df).collect()}
+    assert got == {"a": (8, 8), "b": (None, None), "c": (None, None)}
+    assert media.read_media(df, most_pixels=63).filter("height IS NOT NULL").count() == 0
