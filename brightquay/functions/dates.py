@@ -77,23 +77,11 @@ def junk_seconds(ts: Column) -> Column:
 
 
 def parse_range(text: Column | str) -> Column:
-    """``Aug 04, 2026``, ``Sep 26 - 27, 2026``, ``Jul 26 - Aug 14, 2026``, and years crossed, as (start, end) dates.
-
-    An end before the start collapses to the start, unless the months say that the year
-    turns. Anything else is null.
-    """
-    t = F.trim(_col(text))
-    g = lambda p, k: F.regexp_extract(t, p, k)
-    one, days, months = rf"^{_M} (\d{{1,2}}), (\d{{4}})\z", rf"^{_M} (\d{{1,2}}) - (\d{{1,2}}), (\d{{4}})\z", rf"^{_M} (\d{{1,2}}) - {_M} (\d{{1,2}}), (\d{{4}})\z"
-    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
-    date = lambda y, m, d: F.call_function("try_to_date", F.concat_ws("-", y, F.element_at(number, F.lower(m)), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
-    a1 = date(g(one, 3), g(one, 1), g(one, 2))
-    a2, b2 = date(g(days, 4), g(days, 1), g(days, 2)), date(g(days, 4), g(days, 1), g(days, 3))
-    b3 = date(g(months, 5), g(months, 3), g(months, 4))
-    same_year = date(g(months, 5), g(months, 1), g(months, 2))
-    a3 = F.when(same_year > b3, F.add_months(same_year, -12)).otherwise(same_year)
-    pair = lambda a, b: F.struct(a.alias("start"), F.greatest(a, b).alias("end"))
-    return F.when(t.rlike(one) & a1.isNotNull(), pair(a1, a1)).when(t.rlike(days) & a2.isNotNull() & b2.isNotNull(), pair(a2, b2)).when(t.rlike(months) & a3.isNotNull() & b3.isNotNull(), pair(a3, b3))
+    """(start, end) dates of a range with a year, as :func:`brightquay.functions.stated.range_instants` reads it."""
+    from brightquay.functions.stated import range_instants
+
+    r = range_instants(text, "UTC")
+    return F.when(r.isNotNull(), F.struct(F.to_date(F.timestamp_millis(r["start"])).alias("start"), F.to_date(F.timestamp_millis(r["end"])).alias("end")))
 
 
 def year_by_weekday(month: Column, day: Column, weekday: Column, year: Column) -> Column:

@@ -100,72 +100,70 @@ def content_hash(fields: Mapping[str, Column]) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *pairs), F.lit("]")), 256)
 
 
-#: Named entities that are decoded (fixed values); others are left as they are.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+# Named entities that are decoded (others stay), hidden elements, elements whose end is a line end.
+ENTITIES = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "…", "mdash": "-", "ndash": "–", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”"}
+HIDDEN = ("script", "style", "template", "noscript")
+ENDS_LINE = ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article")
+_ENTITY = r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
 
 
-def decode_named(text: Column | str) -> Column:
-    """Named entities; the ampersand comes last, so nothing is decoded twice."""
-    out = _col(text)
-    for name, ch in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(ch))
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """Named, decimal and hexadecimal entities in one pass; unknown ones stay."""
+def decode_entities(text: Column | str) -> Column:
+    """Named, decimal and hexadecimal entities in one pass, so nothing is decoded twice; unknown ones and numbers that are no character stay."""
+    t = _col(text)
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
-    def one(m: re.Match) -> str:
-        body = m[1]
-        if body[0] != "#":
-            return ENTITIES.get(body.lower(), m[0])
-        code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+    def one(e: Column) -> Column:
+        name = F.substr(e, F.lit(2), F.length(e) - 2)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("int")
+        is_character = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.element_at(named, F.lower(name)), F.when(is_character, character), e)
 
-    pattern = re.compile(r"&(#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);")
-    return texts.map(lambda t: None if t is None else pattern.sub(one, t))
-
-
-#: Elements whose content is not text, and those that end a line (fixed values).
-HIDDEN, BLOCKS = ("script", "style", "template", "noscript"), ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "header", "footer", "table")
+    found = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))
+    whole = F.array_join(F.transform(F.split(t, _ENTITY, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(one(F.get(found, i - 1)), p))), "")
+    return F.when(t.contains("&"), whole).otherwise(t)
 
 
 def visible_text(html: Column | str) -> Column:
-    """Text of a page: hidden elements and comments out, blocks as line ends, blanks collapsed."""
-    out = _col(html)
-    for tag in HIDDEN:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
+    """Text of a page: hidden elements and comments out, breaks and ends of blocks as line ends, blanks collapsed, two line ends at most."""
+    out = F.regexp_replace(_col(html), rf"(?is)<({'|'.join(HIDDEN)})\b[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?/?>", "\n")
-    out = decode_named(F.regexp_replace(out, r"<[^>]*>", " "))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
+    out = F.regexp_replace(out, rf"(?i)<br\s*/?>|</(?:{'|'.join(ENDS_LINE)})>", "\n")
+    out = decode_entities(F.regexp_replace(out, r"<[^>]+>", " "))
+    out = F.regexp_replace(F.regexp_replace(out, "[ \\t\u00A0\u200B]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def page_title(html: Column | str, suffix: str | None = None) -> Column:
     """The title element, decoded, blanks collapsed, without a site's suffix."""
     raw = F.regexp_extract(_col(html), r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    out = F.trim(F.regexp_replace(decode_named(raw), r"[ \t\r\n]+", " "))
+    out = F.trim(F.regexp_replace(decode_entities(raw), r"\s+", " "))
     return F.regexp_replace(out, suffix, "") if suffix else out
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag's text, in double quotes, single quotes or none, decoded; null where it is missing or empty."""
+    shape = rf"""(?i)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, shape, k) for k in (1, 2, 3)])
+    return F.nullif(F.trim(decode_entities(value)), F.lit(""))
+
+
 def page_links(html: Column | str) -> Column:
     """Array of (href, text) in order; a text of one character or none gives way to aria-label, then title."""
-    anchors = F.regexp_extract_all(_col(html), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
-    attr = lambda a, name: F.regexp_extract(F.regexp_extract(a, r"(?is)^<a\s[^>]*>", 0), rf'(?is)\s{name}="([^"]*)"', 1)
+    anchors = F.regexp_extract_all(_col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
 
     def one(a: Column) -> Column:
-        text = F.trim(F.regexp_replace(decode_named(F.regexp_replace(a, r"<[^>]*>", " ")), r"[ \t\r\n]+", " "))
-        label = F.coalesce(F.nullif(attr(a, "aria-label"), F.lit("")), F.nullif(attr(a, "title"), F.lit("")), text)
-        return F.struct(decode_named(attr(a, "href")).alias("href"), F.when(F.length(text) <= 1, label).otherwise(text).alias("text"))
+        tag, inner = F.regexp_extract(a, r"(?is)^<a\b([^>]*)>", 1), F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*)</a>\z", 1)
+        text = F.trim(F.regexp_replace(visible_text(inner), r"\s+", " "))
+        label = F.coalesce(attribute(tag, "aria-label"), attribute(tag, "title"), text)
+        return F.struct(attribute(tag, "href").alias("href"), F.when(F.length(text) > 1, text).otherwise(label).alias("text"))
 
-    return F.filter(F.transform(anchors, one), lambda x: x["href"] != "")
+    return F.filter(F.transform(anchors, one), lambda x: x["href"].isNotNull())
 
 
 def embedded_json(html: Column | str, kind: str = "application/json") -> Column:
     """Texts of script blocks of a type."""
-    return F.regexp_extract_all(_col(html), F.lit(rf'(?is)<script[^>]*type="{re.escape(kind)}"[^>]*>(.*?)</script>'), F.lit(1))
+    return F.regexp_extract_all(_col(html), F.lit(rf"""(?is)<script[^>]*type=["']{re.escape(kind)}["'][^>]*>(.*?)</script>"""), F.lit(1))
 
 
 def looks_refused(title: Column, body: Column, n_events: Column, pattern: str = r"(?i)access denied|forbidden|just a moment|are you a robot", head: int = 600) -> Column:

@@ -54,15 +54,18 @@ def lookup_first(records: DataFrame, text: Column, dimension: DataFrame, name: s
 
 
 def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, least: int = 12) -> DataFrame:
-    """For each text the longest key of at least ``least`` characters that it contains.
+    """For each text the longest key of at least ``least`` characters that it contains; repeated rows stay repeated.
 
-    An equi-join on the keys' first ``least`` characters finds candidates; no pair of
-    texts and keys is tried otherwise.
+    An equi-join on the keys' first ``least`` characters finds candidates of distinct
+    texts; no pair of texts and keys is tried otherwise.
     """
-    grams = texts.withColumn("_row", F.xxhash64(*texts.columns)).withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - least + 1)), lambda i: F.substr(F.col(text), i, F.lit(least))))))
+    own = texts.select(F.col(text).alias("_text")).distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - least + 1))
+    grams = own.withColumn("_g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("_text"), i, F.lit(least))))))
     k = keys.filter(F.length(key) >= least).select(F.col(key).alias("_key")).distinct().withColumn("_h", F.substring("_key", 1, least))
-    hit = grams.join(k, F.col("_g") == F.col("_h")).filter(F.col(text).contains(F.col("_key")))
-    return hit.groupBy(*texts.columns).agg(F.max_by("_key", F.struct(F.length("_key"), F.col("_key"))).alias(key))
+    hit = grams.join(k, F.col("_g") == F.col("_h")).filter(F.col("_text").contains(F.col("_key")))
+    best = hit.groupBy("_text").agg(F.max_by("_key", F.struct(F.length("_key"), F.col("_key"))).alias("_best"))
+    return texts.join(best, F.col(text) == F.col("_text")).select(*texts.columns, F.col("_best").alias(key))
 
 
 def slug_or_key_join(left: DataFrame, right: DataFrame, least: int = 18) -> DataFrame:

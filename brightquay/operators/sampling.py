@@ -23,13 +23,18 @@ def rotate(rows: DataFrame, index: str, total: int, size: int, slot: int) -> Dat
 
 
 def stratified(rows: DataFrame, stratum: str, default: str, index: str, size: int, slot: int) -> DataFrame:
-    """One row of each stratum but the default, in turn, and the default's share of the rest."""
+    """One row of each stratum but the default, in turn, until ``size`` are picked; the default's share is the rest.
+
+    Strata take their turn in the order of their first rows.
+    """
     w = W.partitionBy(stratum)
     r = rows.withColumn("_i", F.row_number().over(w.orderBy(index)) - 1).withColumn("_n", F.count("*").over(w))
-    others = rows.filter(F.col(stratum) != default).select(stratum).distinct().agg(F.count("*").alias("_others"))
-    r = r.crossJoin(F.broadcast(others))  # one row
+    others = rows.filter(F.col(stratum) != default).groupBy(stratum).agg(F.min(index).alias("_first"))
+    turn = others.select(F.col(stratum).alias("_s"), F.row_number().over(W.orderBy("_first")).alias("_turn"))  # a row per stratum
+    count = others.agg(F.count("*").alias("_others"))
+    r = r.join(turn, F.col(stratum) == F.col("_s"), "left").crossJoin(F.broadcast(count))  # one row
     left = F.greatest(F.lit(0), F.lit(size) - F.col("_others"))
-    due = F.when(F.col(stratum) != default, F.col("_i") == F.pmod(F.lit(slot), F.col("_n"))).otherwise(F.pmod(F.col("_i") - F.pmod(slot * left, F.col("_n")), F.col("_n")) < left)
+    due = F.when(F.col("_turn").isNotNull(), (F.col("_turn") <= size) & (F.col("_i") == F.pmod(F.lit(slot), F.col("_n")))).otherwise(F.pmod(F.col("_i") - F.pmod(slot * left, F.col("_n")), F.col("_n")) < left)
     return r.filter(due).select(*rows.columns)
 
 

@@ -115,24 +115,36 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("sha256"))
 
 
-_BLOCKS = "|".join(text.BLOCKS)
-VISIBLE_TEXT = rf"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script(\s[^>]*)?>.*?</script\s*>', ' ', 'gis'), '<style(\s[^>]*)?>.*?</style\s*>', ' ', 'gis'),
-    '<template(\s[^>]*)?>.*?</template\s*>', ' ', 'gis'), '<noscript(\s[^>]*)?>.*?</noscript\s*>', ' ', 'gis') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<!--.*?-->', ' ', 'gs'), '</?({_BLOCKS})(\s[^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
-d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t FROM c)
-SELECT page_id, length(t) AS chars, sha256(t) AS sha256 FROM d
-"""
+_NAMED = " ".join(f"WHEN '&{k};' THEN {chr(39)}{v.replace(chr(39), chr(39) * 2)}{chr(39)}" for k, v in text.ENTITIES.items())
+_E = r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
+
+
+def _decoded(t: str) -> str:
+    """SQL that decodes entities piece by piece."""
+    one = rf"CASE lower(e) {_NAMED} ELSE CASE WHEN regexp_matches(e, '^&#[xX]') THEN chr(CAST('0x' || regexp_extract(e, '[0-9A-Fa-f]+;', 0)[:-2] AS INT)) WHEN starts_with(e, '&#') THEN chr(CAST(regexp_extract(e, '\d+') AS INT)) ELSE e END END"
+    return f"list_aggregate(list_transform(list_zip(list_concat([''], list_transform(regexp_extract_all({t}, '{_E}'), lambda e: {one})), regexp_split_to_array({t}, '{_E}')), lambda z: z[1] || z[2]), 'string_agg', '')"
+
+
+def _visible(t: str) -> str:
+    """SQL of the visible text."""
+    for tag in text.HIDDEN:
+        t = rf"regexp_replace({t}, '<{tag}\b[^>]*>.*?</{tag}>', ' ', 'gis')"
+    t = rf"regexp_replace(regexp_replace({t}, '<!--.*?-->', ' ', 'gs'), '<br\s*/?>|</({'|'.join(text.ENDS_LINE)})>', chr(10), 'gi')"
+    t = _decoded(f"regexp_replace({t}, '<[^>]+>', ' ', 'g')")
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '[ \t\x{{A0}}\x{{200B}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+VISIBLE_TEXT = f"SELECT page_id, length(t) AS chars, sha256(t) AS sha256 FROM (SELECT page_id, {_visible('html')} AS t FROM pages)"
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and languages of pages."""
+    """Titles of pages."""
     return table(spark, sf_dir, "pages").select("page_id", text.page_title("html").alias("title"))
 
 
-PAGE_TITLES = r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS title FROM pages
+PAGE_TITLES = rf"""
+WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1) AS t FROM pages)
+SELECT page_id, trim(regexp_replace({_decoded('t')}, '\s+', ' ', 'g')) AS title FROM t
 """
 
 
@@ -141,12 +153,13 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.page_links("html")).alias("place", "l")).select("page_id", "place", "l.href", "l.text")
 
 
-PAGE_LINKS = r"""
-WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a\s*>') AS xs FROM pages),
-b AS (SELECT page_id, unnest(list_filter(list_transform(xs, lambda a: {'href': replace(replace(replace(replace(replace(replace(regexp_extract(a, '(?is)\shref="([^"]*)"', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-   'text': trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))}), lambda x: x.href <> '')) AS l,
-   generate_subscripts(list_filter(xs, lambda a: regexp_extract(a, '(?is)\shref="([^"]*)"', 1) <> ''), 1) - 1 AS place FROM a)
-SELECT page_id, CAST(place AS INT) AS place, l.href AS href, l.text AS text FROM b
+_ATTR = lambda name: rf"regexp_extract(tag, '(?i)\b{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s>]+))', 1) || regexp_extract(tag, '(?i)\b{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s>]+))', 2) || regexp_extract(tag, '(?i)\b{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s>]+))', 3)"
+PAGE_LINKS = rf"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) AS a, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')))) AS i FROM pages),
+t AS (SELECT page_id, i, regexp_extract(a, '(?is)^<a\b([^>]*)>', 1) AS tag, regexp_extract(a, '(?is)^<a\b[^>]*>(.*)</a>$', 1) AS inside FROM a),
+v AS (SELECT page_id, i, {_ATTR('href')} AS h, {_ATTR('aria-label')} AS l, {_ATTR('title')} AS c, {_visible('inside')} AS v FROM t),
+w AS (SELECT page_id, i, nullif(trim({_decoded('h')}), '') AS href, nullif(trim({_decoded('l')}), '') AS l, nullif(trim({_decoded('c')}), '') AS c, trim(regexp_replace(v, '\s+', ' ', 'g')) AS text FROM v)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS place, href, CASE WHEN length(text) > 1 THEN text ELSE coalesce(l, c, text) END AS text FROM w WHERE href IS NOT NULL
 """
 
 
@@ -193,13 +206,13 @@ SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2
 def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per nation, nations without any included."""
     n = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer").filter("c_nationkey <> 3").withColumnRenamed("c_nationkey", "n_nationkey")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     return rollups.rollup_with_zeros(n, c, "n_nationkey", rich=F.col("c_acctbal") > 5000, building=F.col("c_mktsegment") == "BUILDING")
 
 
 REGION_ROLLUP = """
 SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (WHERE c_acctbal > 5000) AS rich, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building
-FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON n_nationkey = c_nationkey GROUP BY 1
+FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1
 """
 
 
@@ -285,27 +298,27 @@ SELECT c_custkey, sha256('[["name","' || c_name || '"],["segment",' || CASE c_cu
 
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is reached from the first suppliers over two steps of shared parts."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48")
+    li = table(spark, sf_dir, "lineitem")
     links = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).union(li.select(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"))).distinct()
     return joins.links_within(links, spark.range(3).select(F.concat(F.lit("s"), "id").alias("node")), 2)
 
 
 CRAWL_DEPTH = """
-WITH RECURSIVE l AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 48 UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity >= 48),
+WITH RECURSIVE l AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 r AS (SELECT 's' || i AS node, 0 AS depth FROM range(3) t(i) UNION SELECT dst, depth + 1 FROM r JOIN l ON node = src WHERE depth < 2)
 SELECT node, min(depth) AS depth FROM r GROUP BY 1
 """
 
 
 def longest_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page URL the longest known path that it contains."""
+    """For each page URL the longest known section, host and first folder, that it contains."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    keys = p.filter("page_id % 3 = 0").select(F.regexp_extract("url", r"^https?://([^?#]*)", 1).alias("path"))
+    keys = p.select(F.regexp_extract("url", r"^https?://([^/?#]*/[^/?#]*)", 1).alias("path"))
     return joins.contains_join(p, "url", keys, "path", 12).select("page_id", "path")
 
 
 LONGEST_KEY = r"""
-WITH k AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages WHERE page_id % 3 = 0)
+WITH k AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)', 1) AS path FROM pages)
 SELECT page_id, path FROM pages JOIN k ON length(path) >= 12 AND contains(url, path) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(path) DESC, path DESC) = 1
 """
 

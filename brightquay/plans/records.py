@@ -6,65 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightquay.functions import text
-from brightquay.operators import resolve, rollups, sampling, snapshots
+from brightquay.operators import publish, resolve, rollups, sampling, snapshots
+from brightquay.plans import notices
 from brightquay.plans.board import NOW_MS, day_ms, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as event records: three words of document text as the title, a day, a host and an area."""
-    d = table(spark, sf_dir, "documents")
-    words = F.slice(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +"), 1, 6)
-    return d.select(
-        F.col("doc_id").alias("ordinal"),
-        F.concat(F.col("lang"), F.lit("-"), (F.col("doc_id") % 4).cast("string")).alias("day"),
-        text.title_fingerprint(F.array_join(words, " ")).alias("fingerprint"),
-        F.array_sort(text.title_words(F.array_join(words, " "))).alias("words"),
-        F.when(F.col("doc_id") % 9 == 0, F.col("source")).otherwise("").alias("host"),
-        F.col("source").alias("area"),
-    )
+    """Notices as records to be compared: fingerprint and words of the title, local day, host and area."""
+    n = publish.resolvers(notices.notices(spark, sf_dir), notices.REGIONS, notices.ZONE)
+    return n.select(F.col("id").alias("ordinal"), "day", text.title_fingerprint("title").alias("fingerprint"), F.array_sort(text.title_words("title")).alias("words"), "host", "area", "confidence", "venue")
 
 
 def same_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of records that are the same event, with the reason."""
-    return resolve.same_event_pairs(_records(spark, sf_dir))
-
-
-_RECORDS = r"""
-r AS (SELECT doc_id AS ordinal, lang || '-' || (doc_id % 4) AS day, array_to_string(list_slice(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +'), 1, 6), ' ') AS title,
-  CASE WHEN doc_id % 9 = 0 THEN source ELSE '' END AS host, source AS area FROM documents),
-e AS (SELECT *, regexp_replace(title, '[^a-z0-9]', '', 'g') AS fingerprint, list_distinct(regexp_extract_all(title, '[a-z0-9]+')) AS words FROM r),
-p AS (SELECT least(x.ordinal, y.ordinal) AS a, greatest(x.ordinal, y.ordinal) AS b,
-  CASE WHEN length(x.fingerprint) >= 12 AND contains(y.fingerprint, x.fingerprint) THEN 0
-       WHEN x.host <> '' AND x.host = y.host AND x.area = y.area THEN 1
-       WHEN x.area = y.area AND len(x.words) >= 4 AND len(x.words) <= len(y.words) AND len(list_filter(x.words, lambda w: NOT list_contains(y.words, w))) = 0 THEN 2 END AS k
-  FROM e x JOIN e y ON x.day = y.day AND x.ordinal <> y.ordinal)
+    """Records that are the same event as an earlier one: the least of these, with the reason."""
+    return resolve.first_matches(_records(spark, sf_dir))
+
+
+_RECORDS = f"""
+{notices.N}, k AS ({notices.RESOLVER_KEYS.replace("WITH " + notices.N + ",", "WITH")}),
+e AS (SELECT id AS ordinal, day, lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) AS fingerprint, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS words, host, area FROM n JOIN k USING (id) WHERE day IS NOT NULL),
+p AS (SELECT y.ordinal, x.ordinal AS a, CASE WHEN least(length(x.fingerprint), length(y.fingerprint)) >= 12 AND (contains(x.fingerprint, y.fingerprint) OR contains(y.fingerprint, x.fingerprint)) THEN 0
+  WHEN x.area = '' OR x.area <> y.area THEN NULL WHEN x.host <> '' AND x.host = y.host THEN 1
+  WHEN (len(x.words) >= 4 AND len(list_filter(x.words, lambda w: NOT list_contains(y.words, w))) = 0) OR (len(y.words) >= 4 AND len(list_filter(y.words, lambda w: NOT list_contains(x.words, w))) = 0) THEN 2 END AS k
+  FROM e x JOIN e y ON x.day = y.day AND x.ordinal < y.ordinal),
+m AS (SELECT ordinal, min(a) AS root, arg_min(k, a) AS k FROM p WHERE k IS NOT NULL GROUP BY ordinal)
 """
-SAME_EVENTS = f"WITH {_RECORDS} SELECT a, b, CASE min(k) WHEN 0 THEN 'title' WHEN 1 THEN 'host' ELSE 'words' END AS reason FROM p WHERE k IS NOT NULL GROUP BY a, b"
+SAME_EVENTS = f"WITH {_RECORDS} SELECT ordinal, root, ['title', 'host', 'words'][k + 1] AS reason FROM m"
 
 
 def event_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's first direct match, or itself."""
     r = _records(spark, sf_dir)
-    return resolve.first_match_roots(resolve.same_event_pairs(r), r)
+    return resolve.first_match_roots(resolve.first_matches(r), r)
 
 
-EVENT_ROOTS = f"WITH {_RECORDS} SELECT ordinal, least(ordinal, coalesce((SELECT min(a) FROM p WHERE b = ordinal AND k IS NOT NULL), ordinal)) AS root FROM e"
+EVENT_ROOTS = f"WITH {_RECORDS} SELECT n.id AS ordinal, coalesce(m.root, n.id) AS root FROM n LEFT JOIN m ON n.id = m.ordinal"
 
 
 def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold: records of a day merge into the first kept record with the same host or a common start of title."""
-    r = _records(spark, sf_dir).select("ordinal", "day", "fingerprint", "host").withColumn("merged", F.lit(1))
-
-    def same(a: dict, b: dict) -> str | None:
-        if a["host"] and a["host"] == b["host"]:
-            return "host"
-        return "title" if len(b["fingerprint"]) >= 12 and (b["fingerprint"] in a["fingerprint"] or a["fingerprint"] in b["fingerprint"]) else None
+    """The ordered fold: a day's records merge into the first kept one that is the same event."""
+    r = _records(spark, sf_dir).withColumn("merged", F.lit(1))
 
     def merge(a: dict, b: dict) -> dict:
-        longer = max(a["fingerprint"], b["fingerprint"], key=len)
-        return a | {"fingerprint": longer, "host": a["host"] or b["host"], "merged": a["merged"] + b["merged"]}
+        base, other = (b, a) if b["confidence"] > a["confidence"] else (a, b)
+        return base | {"venue": base["venue"] or other["venue"], "ordinal": a["ordinal"], "merged": a["merged"] + b["merged"]}
 
-    return resolve.greedy_fold(r, same, merge)
+    return resolve.greedy_fold(r, resolve.same_event, merge).select("ordinal", "day", "fingerprint", "venue", "merged")
 
 
 def best_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ SELECT round((SELECT sum(s) / sum(n) FROM c), 7) AS mean, round(vs[51], 7) AS lo
 def click_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a click model on events: value and hour of day against clicks."""
     e = _events(spark, sf_dir).select(F.array((F.floor(F.col("value") / 10) / 10).cast("double"), (F.hour("ts") / 24).cast("double")).alias("features"), (F.col("event_type") == "click").cast("double").alias("label"), scoring.position_weight(F.col("event_id") % 12).alias("weight"))
-    m = ranking.fit_clicks(e, steps=200)
+    m = ranking.fit_clicks(e)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate([*m.weights, m.bias])], "place int, weight double")
 
 

@@ -41,7 +41,7 @@ def test_same_event_reasons(spark):
         (8, None, "biopharmahackday", ["biopharma"], "host", "sf"),
     ]
     r = spark.createDataFrame(data, "ordinal int, day string, fingerprint string, words array<string>, host string, area string")
-    assert rows(resolve.same_event_pairs(r), "a", "b", "reason") == [(1, 2, "title"), (3, 4, "host"), (5, 6, "words")]
+    assert rows(resolve.first_matches(r), "ordinal", "root", "reason") == [(2, 1, "title"), (4, 3, "host"), (6, 5, "words")]
 
 
 def test_greedy_fold_compares_merged_records(spark):

@@ -40,3 +40,10 @@ def test_query(spark, db, name):
     assert sorted(r.columns) == cols
     at = [r.columns.index(c) for c in cols]
     assert got == sorted(tuple(norm(x[i]) for i in at) for x in r.fetchall())
+
+
+def test_inventory_names_queries():
+    """Every query is listed, and nothing else."""
+    from brightquay.plans.inventory import IDS, queries_of
+
+    assert set(IDS) == set(QUERIES) and queries_of("M9") == ["render_features"]
