@@ -125,3 +125,10 @@ def links_within(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         nxt = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         seen, frontier = seen.unionByName(nxt), nxt
     return seen
+
+
+def longest_text_per_link(links: DataFrame, key: str, text: str, nearby: str, least: int = 3, most: int = 180) -> DataFrame:
+    """Per link the longest text: its own if it has more than ``least`` characters, else the head of what is near it; the first of equals."""
+    said = F.when(F.length(text) > least, F.col(text)).otherwise(F.substring(nearby, 1, most))
+    own = links.select(F.col(key), said.alias(text))
+    return own.groupBy(key).agg(F.max_by(text, F.struct(F.length(text), F.col(text))).alias(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.functions import dates, scoring, text
+from brightquay.functions import dates, page, scoring, text
 from brightquay.operators import joins, rollups, sampling
 from brightquay.session import ship_package
 from brightquay.sources import files
@@ -163,6 +163,32 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS
 """
 
 
+def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of pages read as listings, and the longest text of each link."""
+    p = table(spark, sf_dir, "pages")
+    cards = p.select("page_id", F.explode(page.listing_cards("html")).alias("c")).select("page_id", "c.*")
+    longest = joins.longest_text_per_link(cards, "path", "text", "status").withColumnRenamed("text", "longest")
+    return cards.join(longest, "path").select("page_id", "path", "status", "mode", "going", "longest")
+
+
+LISTING_CARDS = rf"""
+WITH l AS ({PAGE_LINKS}), f AS (SELECT page_id, href, text FROM l WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY place) = 1),
+c AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)finished') THEN 'finished' WHEN regexp_matches(text, '(?i)\bLIVE\b') THEN 'live' WHEN regexp_matches(text, '(?i)\bTBA\b') THEN 'tba' WHEN regexp_matches(text, '(?i)register') THEN 'upcoming' ELSE 'unknown' END AS status,
+  CASE WHEN regexp_matches(text, '(?i)hybrid') THEN 'hybrid' WHEN regexp_matches(text, '(?i)online') THEN 'online' ELSE 'unknown' END AS mode, nullif(CAST(nullif(regexp_extract(text, '\b(\d{{3,6}})\b', 1), '') AS INT), 0) AS going FROM f),
+g AS (SELECT href, arg_max(said, (length(said), said)) AS longest FROM (SELECT href, CASE WHEN length(text) > 3 THEN text ELSE status END AS said FROM c) GROUP BY href)
+SELECT page_id, c.href AS path, status, mode, going, longest FROM c JOIN g ON c.href = g.href
+"""
+
+
+def feed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' property bodies as a JSON feed, their numbers as epoch seconds."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"models": ['), F.col("props"), F.lit("]}")).alias("body"))
+    return e.select("event_id", F.explode(page.feed_entries("body", "struct<k:bigint>")).alias("m")).select("event_id", page.from_seconds(F.col("m.k")).alias("ms"))
+
+
+FEED_MODELS = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 1000 AS ms FROM events"
+
+
 def claim_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three overlapping lists of orders: the first source's claim wins."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_custkey").alias("ordinal"))
@@ -331,6 +357,8 @@ QUERIES = {
     "visible_text": (visible_text, VISIBLE_TEXT),
     "page_titles": (page_titles, PAGE_TITLES),
     "page_links": (page_links, PAGE_LINKS),
+    "listing_cards": (listing_cards, LISTING_CARDS),
+    "feed_models": (feed_models, FEED_MODELS),
     "claim_union": (claim_union, CLAIM_UNION),
     "enrich_coalesce": (enrich_coalesce, ENRICH),
     "gap_filled": (gap_filled, GAP_FILLED),

@@ -9,7 +9,7 @@ IDS = {
     "crawl_depth": "S13", "longest_key": "J8", "same_events": "E1 J5", "event_roots": "E1 E2", "greedy_merge": "E2", "best_records": "A15", "reconcile": "R1 J6 W5", "field_changes": "R1", "change_set": "U3", "tombstones": "J7 F16",
     "merge_seeds": "U2", "collapse_guard": "G1 W8", "ledger": "Z18", "rotation_slice": "O9", "stratified_pick": "O10", "retention_cap": "O8", "near_misses": "S18 O6 J18", "health": "G7 A22 X15", "session_gaps": "W1", "renders": "W1",
     "asof_credit": "J11", "prior_clicks": "J14 W3", "window_clicks": "J15", "ctr_wilson": "A5 A6", "rank_measures": "M12 M13 M14 W2", "organic_gate": "A4 F10 G5", "fnv_hash": "M15", "validator": "F11 F12", "draft_credit": "A9",
-    "team_drafts": "M16 M17", "bootstrap": "A10 M16", "click_model": "A12 M10", "prequential": "W4",
+    "team_drafts": "M16 M17", "bootstrap": "A10 M16", "listing_cards": "S10 Z25", "feed_models": "S11", "click_model": "A12 M10", "prequential": "W4",
     "notice_scores": "M1 M2 M3 M4", "notice_prizes": "X16 X31", "notice_status": "X19 Z1 R3", "notice_hosts": "X17 X18 Z8 Z17", "notice_places": "X20 X21 X22 Z7 Z9", "notice_values": "M5 M6 D13 X29", "notice_drops": "F1 F2 F14 J16 Z19 J4",
     "notice_labels": "F5 F6 F7 Z3 Z11 Z12 X23", "notice_skips": "F8 F9 U6 A21", "calendar_pass": "Z2 Z4 Z5", "board_views": "F4 F5", "published_board": "F18 O1 Z14", "board_meta": "A2", "resolver_keys": "E4 X1 X2", "merged_pairs": "E3 D7",
     "stated_ranges": "D6 D2", "recovered_clocks": "D8 D7 Z6", "listed_ranges": "D11", "engage_dates": "D12", "dated_instants": "D9 D10 Z10", "timed_entries": "D17 D1", "page_schedules": "D3 D4",

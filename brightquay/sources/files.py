@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_candidates(spark: SparkSession, paths: dict[str, str], schema: str | T.StructType, required: Sequence[str] = ()) -> DataFrame:
     """JSON files of several sources under one schema, with ``source, source_rank, ordinal``.
 
-    A missing file is empty unless required; malformed records are left out.
+    A missing file is empty unless required. A file with a malformed record is empty too,
+    and named in a warning; a required one fails.
     """
     out = None
     for rank, (name, path) in enumerate(paths.items()):
@@ -31,7 +33,13 @@ def read_candidates(spark: SparkSession, paths: dict[str, str], schema: str | T.
             if name in required:
                 raise FileNotFoundError(path)
             continue
-        df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        if name not in required:
+            try:
+                df.write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001  whatever is wrong with the file, the others go on
+                warnings.warn(f"{name} is left out: {str(e)[:120]}", stacklevel=2)
+                continue
         df = df.select("*", F.lit(name).alias("source"), F.lit(rank).alias("source_rank"), F.monotonically_increasing_id().alias("ordinal"))
         out = df if out is None else out.unionByName(df)
     return out if out is not None else spark.createDataFrame([], schema)
@@ -89,3 +97,9 @@ def from_analytics(points: DataFrame) -> DataFrame:
     text = ["type", "session_id", "locale", "event_id", "ranking", "model_version", "viewport", "source"]
     cols = [F.get("blobs", F.lit(i)).alias(c) for i, c in enumerate(text) if c != "model_version"]
     return points.select(F.get("indexes", F.lit(0)).alias("client_id"), *cols, F.nullif(F.get("blobs", F.lit(5)), F.lit("")).alias("model_version"), F.get("doubles", F.lit(0)).cast("long").alias("ts"), F.get("doubles", F.lit(1)).cast("int").alias("position"))
+
+
+def export_rows(spark: SparkSession, path: str, from_ms: int, to_ms: int, schema: str = TELEMETRY) -> DataFrame:
+    """Telemetry of a time range from a columnar store, in order of time: the closed list of columns and the range reach the scan."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spark.read.parquet(path).select(*columns).filter(F.col("ts").between(from_ms, to_ms - 1)).orderBy("ts", "client_id", "session_id", "position")

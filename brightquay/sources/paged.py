@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow.fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -16,6 +17,21 @@ class PageFile(InputPartition):
         self.path = path
 
 
+def read_page(path: str, tries: int = 2) -> dict | None:
+    """A page from any file system that the path names, null where there is none; a failed reading is tried once more."""
+    store, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    for left in range(tries - 1, -1, -1):
+        try:
+            if store.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
+                return None
+            with store.open_input_stream(at) as f:
+                return json.loads(f.read())
+        except OSError:
+            if not left:
+                raise
+    return None
+
+
 class PagedReader(DataSourceReader):
     """Reads pages ``0.json``, ``1.json``, ... of a folder: objects with ``items`` and perhaps ``next`` and ``total``."""
 
@@ -28,10 +44,8 @@ class PagedReader(DataSourceReader):
         n = calm = 0
         while len(out) < self.most:
             path = f"{self.folder}/{len(out)}.json"
-            try:
-                with open(path, encoding="utf-8") as f:
-                    page = json.load(f)
-            except FileNotFoundError:
+            page = read_page(path)
+            if page is None:
                 break
             out.append(PageFile(path))
             n += len(page["items"])
@@ -42,8 +56,7 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: PageFile) -> Iterator[tuple]:
         """Items of a page as JSON text."""
-        with open(partition.path, encoding="utf-8") as f:
-            page = json.load(f)
+        page = read_page(partition.path)
         for i, item in enumerate(page["items"]):
             yield partition.path, i, json.dumps(item, sort_keys=True)
 

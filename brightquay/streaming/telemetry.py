@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def valid_rows(stream: DataFrame, reason: Column) -> DataFrame:
@@ -34,3 +38,51 @@ def append_once(folder: str):
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write
+
+
+def settled_batches(stream: DataFrame, settle: str = "700 milliseconds"):
+    """A writer that gathers what arrives within ``settle`` to one batch."""
+    return stream.writeStream.trigger(processingTime=settle)
+
+
+def in_batches(rows: DataFrame, by: str, order: str, most: int = 50) -> DataFrame:
+    """``batch``: the number of a row's batch of at most ``most`` rows of its client."""
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / most))
+
+
+def clock_reason(ts_ms: Column, now_ms: Column, first_ms: int = 1_600_000_000_000, ahead_ms: int = 600_000) -> Column:
+    """Why a row's time is refused: before the first, or more than ten minutes ahead."""
+    return F.when(ts_ms < first_ms, "old").when(ts_ms > now_ms + ahead_ms, "future")
+
+
+def within_retention(rows: DataFrame, ts_ms: str, now_ms: Column, days: int = 90) -> DataFrame:
+    """Rows of the last ``days``; on a table partitioned by day the condition prunes it."""
+    return rows.filter(F.col(ts_ms) >= now_ms - days * 86_400_000)
+
+
+def identity_period(client: str, ts_ms: str, days: int = 7) -> Column:
+    """Number of the ``days`` period in which a client keeps its identity, counted from its first row."""
+    from pyspark.sql import Window as W
+
+    return F.floor((F.col(ts_ms) - F.min(ts_ms).over(W.partitionBy(client))) / (days * 86_400_000))
+
+
+def swept_records(sweeps: DataFrame, budget: int = 3) -> DataFrame:
+    """``url, state, missed`` per sweep from a stream of ``url, sweep, found``: a record missed more than ``budget`` times in a row is removed.
+
+    The state of a record is its count of misses; rows of one record come in order of
+    their sweeps within a batch.
+    """
+
+    def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        missed = state.get[0] if state.exists else 0
+        out = []
+        for r in pd.concat(list(frames)).sort_values("sweep").itertuples():
+            missed = 0 if r.found else missed + 1
+            out.append((key[0], r.sweep, "present" if r.found else "removed" if missed > budget else "carried", missed))
+        state.update((missed,))
+        yield pd.DataFrame(out, columns=["url", "sweep", "state", "missed"])
+
+    return sweeps.groupBy("url").applyInPandasWithState(of, "url string, sweep long, state string, missed int", "missed int", "append", GroupStateTimeout.NoTimeout)

@@ -85,7 +85,8 @@ def test_random_orderings_and_bootstrap(spark):
     order = [r.c for r in numbered_keys(df.select("c").distinct(), "c").orderBy("k").collect()]
     rng, means = Mulberry(4242), []
     for _ in range(200):
-        sample = [v for _ in order for v in [x for k, x in values if k == (pick := order[int(rng() * 3)])] or [pick]]
+        picks = [order[int(rng() * 3)] for _ in order]
+        sample = [x for p in picks for k, x in values if k == p]
         means.append(sum(sample) / len(sample))
     means.sort()
     r = bootstrap_mean(df, "c", "v", draws=200).first()
