@@ -3,7 +3,8 @@ r"""Chat formatting with relational and array expressions only.
 Turn structs are collected in blocks of turn numbers and sorted, adjacent turns of a
 role are merged with array aggregation inside the block, and the blocks of a
 conversation are joined in order. The blocks bound what one aggregation collects from
-raw rows: a conversation that holds a third of all rows is gathered from many tasks.
+raw rows: a conversation that holds a third of all rows is gathered from many tasks. Turns
+that share a number, or have none, are one block; its work grows in proportion to it.
 
 The template is ``### role``, a line feed, the texts of adjacent turns of that role
 parted by ``<+>``, then ``</turn>`` and a line feed. ``#``, ``<`` and the backslash
@@ -55,13 +56,12 @@ def format_chats(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
         F.floor(F.col("turn") / BLOCK).alias("block"),
         F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"),
     )
-    run = "array<struct<role:string,texts:array<string>>>"
-    # within a block: append to the last run when the role is the same, else open a new run
-    merge = f"""aggregate(array_sort(collect_list(t)), cast(array() AS {run}), (a, t) -> CASE
-        WHEN size(a) > 0 AND element_at(a, -1).role = t.role
-        THEN concat(slice(a, 1, size(a) - 1), array(struct(t.role AS role, concat(element_at(a, -1).texts, array(t.text)) AS texts)))
-        ELSE concat(a, array(struct(t.role AS role, array(t.text) AS texts))) END)"""
-    blocks = rows.groupBy("conv_id", "block").agg(F.expr(merge).alias("runs"))
+    sorted_ = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    # a run begins where the role is not the one before; it goes on to where the next one begins
+    role = lambda i: F.get(F.col("ts"), i)["role"]
+    starts = sorted_.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (role(i) != role(i - 1))))
+    texts = lambda s, j: F.transform(F.slice("ts", s + 1, F.coalesce(F.get(F.col("at"), j + 1), F.size("ts")) - s), lambda t: t["text"])
+    blocks = starts.select("conv_id", "block", F.transform("at", lambda s, j: F.struct(role(s).alias("role"), texts(s, j).alias("texts"))).alias("runs"))
     runs = blocks.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("block").isNotNull().alias("last"), "block", "runs"))), lambda b: b.runs)).alias("r"))
 
     def pieces(x: Column, i: Column) -> Column:
