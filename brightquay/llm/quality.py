@@ -3,8 +3,9 @@
 One scan turns every text into a short vector of statistics, kept as a table. Random
 Fourier features approximate a Gaussian kernel over the standardised statistics. The
 normal equations of ridge regression are summed per partition and then per matrix row;
-the driver sees the summed matrix alone, whose size is fixed. Isotonic calibration
-pools a histogram of the raw training scores, whose number of bins is fixed too.
+the driver sees the summed matrix alone, whose size is fixed. Isotonic calibration pools
+a histogram of raw scores, whose number of bins is fixed too, of learning rows that the
+ridge has not been fitted on.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightquay.llm.common import fold_of, load, text_of, write_table
+from brightquay.llm.exchange import fresh_worker
 
 #: Random features, kernel width in standard deviations, ridge penalty, bins of the calibration, seed.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 1024, 7
@@ -64,6 +66,7 @@ def stats_table(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, stats`` for every row, and the long columns ``also``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             x = np.array([document_stats(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, _STATS)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * _STATS), pa.array(x.ravel()))
@@ -113,14 +116,19 @@ def pool_adjacent(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(rows: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, bins: int = BINS, seed: int = SEED) -> QualityModel:
-    """Fit on ``stats, y`` rows, all of them; without rows every score is 0.5.
+    """Fit on ``stats, y, calibrate`` rows; without rows every score is 0.5.
 
-    With rows of one label only, scores are near that label.
+    Rows marked ``calibrate`` fit the isotonic step and the others the ridge; where either
+    kind is missing, all rows do both. With rows of one label only, scores are near that
+    label.
     """
+    kinds = rows.agg(F.count_if("calibrate").alias("some"), F.count_if(~F.col("calibrate")).alias("others")).first()
+    apart = kinds.some > 0 and kinds.others > 0
+    fitted, checked = (rows.filter("NOT calibrate"), rows.filter("calibrate")) if apart else (rows, rows)
     rng = np.random.default_rng(seed)
     directions, phases = rng.standard_normal((_STATS, features)) / width, rng.uniform(0, 2 * np.pi, features)
     at = F.posexplode("stats").alias("k", "v")
-    moments = rows.select(at).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
+    moments = fitted.select(at).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
     if not moments:
         flat = np.zeros(_STATS)
         return QualityModel(flat, flat + 1, directions, phases, np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
@@ -141,7 +149,7 @@ def fit_quality(rows: DataFrame, features: int = FEATURES, width: float = WIDTH,
     def add(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [f["i"].iloc[0]], "v": [np.stack(f.sort_values("task")["v"].to_numpy()).sum(axis=0)]})
 
-    sums = rows.select("stats", "y").mapInPandas(part, "i int, task int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").toPandas()
+    sums = fitted.select("stats", "y").mapInPandas(part, "i int, task int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").toPandas()
     a = np.stack(sums.sort_values("i")["v"].to_numpy())
     penalty = ridge * a[0, -1] * np.eye(size)
     penalty[-1, -1] = 0
@@ -153,7 +161,7 @@ def fit_quality(rows: DataFrame, features: int = FEATURES, width: float = WIDTH,
                 s = model.raw(np.stack(f["stats"].to_numpy()))
                 yield pd.DataFrame({"bin": np.floor(np.clip((s + 0.5) / 2, 0, 1) * bins).astype(np.int64), "y": f["y"].to_numpy(np.float64)})
 
-    hist = rows.select("stats", "y").mapInPandas(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").toPandas()
+    hist = checked.select("stats", "y").mapInPandas(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").toPandas()
     model.knots = (hist["bin"].to_numpy(np.float64) + 0.5) / bins * 2 - 0.5
     model.levels = pool_adjacent(hist["n"].to_numpy(np.float64), hist["y"].to_numpy(np.float64))
     return model
@@ -182,7 +190,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
     stats = write_table(stats_table(docs, also), "quality-stats")
     y = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     learn = stats.join(y, "doc_id").filter(fold_of(F.col("doc_id"), folds) != held_out_fold)
-    model = fit_quality(write_table(learn.select("stats", "y"), "quality-rows"))
+    apart = F.crc32(F.concat_ws(":", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
+    model = fit_quality(write_table(learn.select("stats", "y", apart.alias("calibrate")), "quality-rows"))
     scored = quality_scores(stats, model, also)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *also)
 
