@@ -4,25 +4,30 @@
    documents with equal sets are a class, and one of them stands for it.
 2. A document that has a link shares at least three quarters of its shingles. Shingle
    hashes of one half of the universe are gathered as arrays per slice of the hash
-   range; a document too few of whose shingles occur in another one has no link. The
-   bound holds for every pair, so nothing is lost.
+   range; a document too few of whose shingles occur in another one has no link. What is
+   left is counted once more, by all its shingles among itself. The bound holds for every
+   pair, so nothing is lost.
 3. The hash universe is cut into segments, as many as its size band needs: two linked
    sets differ in so few shingles that a segment agrees exactly, or up to one shingle
    where one-deletion neighbourhoods are indexed too. An allocation by cost picks, per
-   band, how many segments of either kind to have, and, per set, which to leave out.
+   band, how many segments of either kind to have, and, per set, which to leave out. A
+   pair meets where one side looks and one side's segment is whole.
 4. Sets that meet in a segment are verified on their sorted shingle hashes. A segment's
-   sets are compared with one centre at a time, and only as long as they lie in
-   different components; what random centres leave is compared in full. A signature of
-   many sets is dealt to chunks, and every pair of chunks is a group of its own.
-
-Shingles are named by 64-bit hashes; sets of a pair are compared through these alone.
+   sets are compared with one centre first. Where a segment still spans several
+   components, sketches of its sets are compared: the closest pair of any two components
+   is verified, and where it fails and others may be similar, every such pair that still
+   lies across. A signature of many sets is dealt to chunks, and every pair of chunks is a
+   group of its own.
+
+Shingles are named by 64-bit hashes; sets of a pair are compared through these alone, and
+equal sets are classes by a 128-bit digest of these names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +38,12 @@ from pyspark.sql import functions as F
 
 from brightquay.llm.common import drop_table, load, numbered, text_of, write_table
 from brightquay.llm.components import components
-from brightquay.llm.exchange import mixed, slices_of
+from brightquay.llm.exchange import fresh_worker, mixed, slices_of
 
 #: Words of a shingle; the similarity as a fraction.
 WORDS, SIM = 5, (75, 100)
-#: Hashes that one slice of the hash range holds, ratio of size bands, rounds of centres.
-SLICE_HASHES, BAND_RATIO, CENTRE_ROUNDS = 2_000_000, 4 / 3, 3
+#: Hashes that one slice of the hash range holds, ratio of size bands.
+SLICE_HASHES, BAND_RATIO = 2_000_000, 4 / 3
 #: Sets that a chunk of a hot signature holds on average; sets of one batch from which a signature does not travel to its slice.
 CHUNK, TOGETHER = 4096, 32
 
@@ -66,6 +71,7 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n, half, digest``: set size, size of its lower half, digest of the set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             n, half, digest = [], [], []
             for t in batch.column(1):
@@ -78,17 +84,24 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, n long, half long, digest binary")
 
 
-def shared_counts(docs: DataFrame, slices: int, words: int = WORDS) -> DataFrame:
-    """``doc_id, c``: at least as many shingles of the lower half as other documents have too.
+def lower_half(text: str, words: int = WORDS) -> np.ndarray:
+    """The shingle hashes of a text that lie in the lower half of the universe."""
+    s = shingle_set(text, words)
+    return s[: np.searchsorted(s, np.uint64(1 << 63))]
+
 
-    Within a batch a hash travels once, however many documents have it.
+def shared_counts(rows: DataFrame, slices: int, hashes: Callable[[object], np.ndarray]) -> DataFrame:
+    """``doc_id, c``: at least as many ``hashes`` of a row's second column as other rows have too.
+
+    Within a batch a hash travels once, however many documents have it. A slice sends its
+    counts as arrays to slices of the documents, where they are added up.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             ids = _ids(batch)
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            sets = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in sets]
+            sets = [hashes(x.as_py()) for x in batch.column(1)]
             if not sets:
                 continue
             h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -100,19 +113,20 @@ def shared_counts(docs: DataFrame, slices: int, words: int = WORDS) -> DataFrame
             at = ((h >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
             low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
             rows = []
+            every = np.unique(at)
             for which in (~many, many & new, many):  # own hashes, hashes of several documents, whose they are
                 o = np.flatnonzero(which)
                 o = o[np.lexsort((owner[o], at[o]))]
-                rows.append((o, np.searchsorted(at[o], np.arange(slices + 1))))
+                rows.append((o, np.searchsorted(at[o], every), np.searchsorted(at[o], every, side="right")))
             out: list[tuple] = []
-            for k in range(slices):
-                own, several, theirs = (o[c[k] : c[k + 1]] for o, c in rows)
+            for i, k in enumerate(every.tolist()):
+                own, several, theirs = (o[a[i] : b[i]] for o, a, b in rows)
                 if len(own) + len(several):
                     d, n = np.unique(owner[own], return_counts=True)
                     e, m = np.unique(owner[theirs], return_counts=True)
                     out.append((k, low[own].tobytes(), ids[d].tobytes(), n.astype("<u4").tobytes(), low[several].tobytes(), ids[e].tobytes(), m.astype("<u4").tobytes()))
             cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(cols)], ["k", "h", "d", "n", "g", "e", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cols)], ["k", "h", "d", "n", "g", "e", "m"])
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         own = np.concatenate([np.frombuffer(x, "<u4") for x in f["h"]])
@@ -122,11 +136,16 @@ def shared_counts(docs: DataFrame, slices: int, words: int = WORDS) -> DataFrame
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         hit = docs_of[np.isin(own, np.concatenate([twice, several]))]
         doc, c = np.unique(hit, return_counts=True)
-        credit = pd.DataFrame({"doc_id": np.concatenate([np.frombuffer(x, "<i8") for x in f["e"]]), "c": np.concatenate([np.frombuffer(x, "<u4") for x in f["m"]]).astype(np.int64)})
-        return pd.concat([pd.DataFrame({"doc_id": doc, "c": c.astype(np.int64)}), credit])
+        doc = np.concatenate([doc, *(np.frombuffer(x, "<i8") for x in f["e"])])
+        c = np.concatenate([c, *(np.frombuffer(x, "<u4") for x in f["m"])])
+        return pd.DataFrame([(k, doc[o].tobytes(), c[o].astype("<u4").tobytes()) for k, o in slices_of(mixed(doc.view(np.uint64)), slices)], columns=["k", "d", "c"])
 
-    blobs = docs.mapInArrow(parts, "k int, h binary, d binary, n binary, g binary, e binary, m binary")
-    return blobs.groupBy("k").applyInPandas(meet, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        doc, at = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in f["d"]]), return_inverse=True)
+        return pd.DataFrame({"doc_id": doc, "c": np.bincount(at, np.concatenate([np.frombuffer(x, "<u4") for x in f["c"]])).astype(np.int64)})
+
+    blobs = rows.mapInArrow(parts, "k long, h binary, d binary, n binary, g binary, e binary, m binary")
+    return blobs.groupBy("k").applyInPandas(meet, "k long, d binary, c binary").groupBy("k").applyInPandas(add, "doc_id long, c long")
 
 
 class Band:
@@ -170,8 +189,12 @@ def make_bands(largest: int, sets: int, sim: tuple[int, int] = SIM) -> list[Band
     return out
 
 
+#: Bits of a signature's role: the set looks for others by it; it names a whole segment, not one less a shingle.
+LOOKS, WHOLE = 1, 2
+
+
 def signatures(s: np.ndarray, band: Band, probes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set in a band, and whether each is one that it looks for others by."""
+    """Signatures of a set in a band, and the role of each."""
     m = band.segments
     seg = (mixed(s + np.uint64(band.number)) >> np.uint64(33)).astype(np.int64) % m
     order = np.argsort(seg, kind="stable")
@@ -195,11 +218,11 @@ def signatures(s: np.ndarray, band: Band, probes: bool) -> tuple[np.ndarray, np.
                 break
     near = seg < band.near
     less = name(total[seg[near]] - value[near], size[seg[near]] - 1, where[seg[near]])
-    return np.concatenate([full, less]), np.concatenate([looks, looks[seg[near]]])
+    return np.concatenate([full, less]), np.concatenate([looks + np.uint8(WHOLE), looks[seg[near]].astype(np.uint8)])
 
 
 def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
-    """``sig, doc_id, n, looks`` of ``doc_id, n, s`` sets, for signatures that several sets have and one looks for.
+    """``sig, doc_id, n, role`` of ``doc_id, n, s`` sets, for signatures that several sets have, one looks for and one has as a whole segment.
 
     A set looks for partners in its own band and can be found there and in the next
     band, where it may be the smaller one of a pair. Signatures travel as arrays, to
@@ -210,6 +233,7 @@ def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[in
     edges = np.array([b.low for b in bands])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             sizes = []
@@ -222,43 +246,48 @@ def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[in
                 sizes.append(len(s))
             if not found:
                 continue
-            sig, looks = (np.concatenate(x) for x in zip(*found, strict=True))
+            sig, role = (np.concatenate(x) for x in zip(*found, strict=True))
             owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
             name, inverse, count = np.unique(sig, return_inverse=True, return_counts=True)
             often = count >= TOGETHER
             many = np.flatnonzero(often[inverse])
-            # marks are of size 0 and look if a set of the batch does
+            # marks are of size 0 and have all roles of the batch's sets
             ids, sizes = np.append(_ids(batch), 0), np.array([*sizes, 0], "<i8")
             few = np.flatnonzero(~often[inverse])
-            s, l, w = np.append(sig[few], name[often]), np.append(looks[few], (np.bincount(inverse, looks) > 0)[often]), np.append(owner[few], np.full(often.sum(), len(found)))  # noqa: E741
-            order, cut = slices_of(s, slices)
-            parted = [(k, s, l, w, order[cut[k] : cut[k + 1]]) for k in range(slices)]
-            parted.append((slices + int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(slices)), sig, looks, owner, many))
+            s, l, w = np.append(sig[few], name[often]), np.append(role[few], _roles(inverse, role)[often]), np.append(owner[few], np.full(often.sum(), len(found)))  # noqa: E741
+            parted = [(k, s, l, w, o) for k, o in slices_of(s, slices)]
+            parted.append((slices + int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(slices)), sig, role, owner, many))
             rows = []
             for k, s, l, w, o in parted:  # noqa: E741
                 if len(o):
                     d, n = np.unique(w[o], return_counts=True)
-                    rows.append((k, s[o].astype("<u8").tobytes(), np.packbits(l[o]).tobytes(), ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "looks", "d", "size", "n"])
+                    rows.append((k, s[o].astype("<u8").tobytes(), l[o].tobytes(), ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["k", "sig", "role", "d", "size", "n"])
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         sig = np.concatenate([np.frombuffer(x, "<u8") for x in f["sig"]])
-        looks = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(y) // 8] for x, y in zip(f["looks"], f["sig"], strict=True)]).astype(bool)
+        role = np.concatenate([np.frombuffer(x, np.uint8) for x in f["role"]])
         doc, size = (np.concatenate([np.repeat(np.frombuffer(x, "<i8"), np.frombuffer(n, "<u4")) for x, n in zip(f[c], f["n"], strict=True)]) for c in ("d", "size"))
         keep = np.ones(len(sig), bool)
         if f["k"].iloc[0] < slices:
             _, inverse = np.unique(sig, return_inverse=True)
-            keep = (np.bincount(inverse, np.where(size > 0, 1, 2)) > 1)[inverse] & (np.bincount(inverse, looks) > 0)[inverse] & (size > 0)
-        return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc_id": doc[keep], "n": size[keep], "looks": looks[keep]})
+            keep = ((np.bincount(inverse, np.where(size > 0, 1, 2)) > 1) & (_roles(inverse, role) == LOOKS | WHOLE))[inverse] & (size > 0)
+        return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc_id": doc[keep], "n": size[keep], "role": role[keep]})
 
-    blobs = sets.mapInArrow(parts, "k int, sig binary, looks binary, d binary, size binary, n binary")
-    return blobs.groupBy("k").applyInPandas(meet, "sig long, doc_id long, n long, looks boolean")
+    blobs = sets.mapInArrow(parts, "k long, sig binary, role binary, d binary, size binary, n binary")
+    return blobs.groupBy("k").applyInPandas(meet, "sig long, doc_id long, n long, role int")
+
+
+def _roles(group: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """All roles of each group's members."""
+    return sum((np.bincount(group, role & bit) > 0).astype(np.uint8) * np.uint8(bit) for bit in (LOOKS, WHOLE))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     """Those of the distinct ``a, b`` pairs whose sets are similar enough."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -276,10 +305,11 @@ def _fits(m: str, n: str, sim: tuple[int, int]) -> str:
     return f"{m} * {sim[1]} >= {n} * {sim[0]} AND {n} * {sim[1]} >= {m} * {sim[0]}"
 
 
-def link_components(sets: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
+def link_components(sets: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM, centres: bool = True) -> DataFrame:
     """``node, component`` over links of distinct sets, ``doc_id, n, s``.
 
-    After each round only the sets of segments that still span several components go on.
+    After the turn of the centres only the sets of segments that still span several
+    components go on. ``centres`` leaves that turn out, which costs time and loses nothing.
     """
     most = sets.agg(F.count("*"), F.max("n"), F.sum("n")).first()
     if not most[0]:
@@ -287,53 +317,54 @@ def link_components(sets: DataFrame, words: int = WORDS, sim: tuple[int, int] =
     slices = max(1, math.ceil(most[2] / SLICE_HASHES))
     bands = make_bands(most[1], most[0], sim)
     members = write_table(segment_table(sets, bands, slices, sim), "segment-sets")
-    labels = write_table(sets.sparkSession.createDataFrame([], "node long, component long"), "labels")
-    tested = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        if turn < CENTRE_ROUNDS:
-            rank = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-            centre = members.filter("looks").groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n")).alias("c"))
-            pairs = members.join(centre, "sig").filter(f"doc_id <> c.doc_id AND {_fits('n', 'c.n', sim)}").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-            if turn:
-                pairs = _labelled(pairs, labels).filter("la <> lb").select("a", "b")
-        else:
-            pairs = pairs_between(open_sets(members, sets, labels), bands, slices, sim)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = write_table(verified(pairs, sets, sim), "links")
-        labels = _joined(labels, found)
-        if turn < CENTRE_ROUNDS:
-            open_ = _labelled_sets(members, labels).groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("looks").alias("any")).filter("any AND lo <> hi").select("sig")
-            left = write_table(members.join(write_table(open_, "open"), "sig", "left_semi"), "segment-sets")
-            drop_table(members)
-            members = left
-            if members.isEmpty():
-                break
-    return labels
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs with the components ``la, lb`` of their sides."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-
-
-def _labelled_sets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    j = members.join(labels, F.col("doc_id") == F.col("node"), "left")
-    return j.select("sig", "doc_id", "n", "looks", F.coalesce("component", "doc_id").alias("component"))
-
-
-def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after new links: components are joined, and nodes that had none get one."""
-    edges = _labelled(found, labels).filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = components(edges).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    roots = write_table(roots, "roots")
-    known = labels.join(roots, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
-    fresh = roots.select(F.col("_n").alias("node"), F.col("_c").alias("component")).join(labels.select("node"), "node", "left_anti")
-    return write_table(known.unionByName(fresh), "labels")
+    labels, made = None, []
+
+    def turn(pairs: DataFrame) -> DataFrame | None:
+        """Verify new pairs and join the components that they link; the links, or none where there were no pairs."""
+        nonlocal labels
+        for before in made:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        made.append(write_table(pairs, "pairs"))
+        if made[-1].isEmpty():
+            return None
+        made.append(write_table(verified(made[-1].select("a", "b").distinct(), sets, sim), "links"))
+        labels = _joined(labels, made[-1])
+        return made[-1]
+
+    if centres:
+        centre = members.filter(f"role & {LOOKS} > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("c"))
+        turn(members.join(centre, "sig").filter(f"doc_id <> c.doc_id AND {_fits('n', 'c.n', sim)}").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct())
+        open_ = _labelled_sets(members, labels).groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_or("role").alias("any")).filter(f"any = {LOOKS | WHOLE} AND lo <> hi").select("sig")
+        left = write_table(members.join(open_, "sig", "left_semi"), "segment-sets")
+        drop_table(members)
+        members = left
+    if not members.isEmpty():
+        links = turn(pairs_between(open_sets(members, sets, labels), bands, slices, sim, True))
+        # components with further candidates, whose closest pair is no link
+        failed = links is not None and made[-2].filter("more").join(links, ["a", "b"], "left_anti")
+        if failed and not failed.isEmpty():
+            ends = failed.select(F.explode(F.array("c", "d")).alias("doc_id")).distinct()
+            again = _labelled_sets(ends, labels).select("component").distinct()
+            rest = _labelled_sets(members, labels).join(again, "component", "left_semi").select(*members.columns)
+            turn(pairs_between(open_sets(rest, sets, labels), bands, slices, sim))
+    drop_table(members, *made)
+    return sets.sparkSession.createDataFrame([], "node long, component long") if labels is None else labels
+
+
+def _labelled_sets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` and ``component``: a set without links is its own."""
+    if labels is None:
+        return members.withColumn("component", F.col("doc_id"))
+    return members.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+
+
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after new links: a label is a link too, so what is labelled stays together."""
+    edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    out = components(edges)
+    if labels is not None:
+        drop_table(labels)
+    return out
 
 
 def _parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -342,13 +373,11 @@ def _parity(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def open_sets(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, n, s, component, sigs`` of the sets in ``members``; ``sigs`` has each signature, whether the set looks for it, and its chunks."""
+def open_sets(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``doc_id, n, s, component, sigs`` of the sets in ``members``; ``sigs`` has each signature, its role, and its chunks."""
     hot = members.groupBy("sig").agg(F.count("*").alias("k")).filter(F.col("k") > CHUNK).select("sig", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
-    hot = write_table(hot, "hot-signatures")
-    own = members.join(hot, "sig", "left").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "looks", F.coalesce("chunks", F.lit(1)).alias("chunks"))).alias("sigs"))
-    named = sets.join(write_table(own, "open-sets"), "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
-    return named.select("doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component"), "sigs")
+    own = members.join(hot, "sig", "left").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "role", F.coalesce("chunks", F.lit(1)).alias("chunks"))).alias("sigs"))
+    return _labelled_sets(sets.join(own, "doc_id"), labels).select("doc_id", "n", "s", "component", "sigs")
 
 
 def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
@@ -362,6 +391,7 @@ def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
     lengths = [max(64, 1 << (2 * b.high - 1).bit_length()) for b in bands]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             ids = _ids(batch)
             if not len(ids):
@@ -371,21 +401,19 @@ def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
             sketches = [_parity(s, lengths[int(np.searchsorted(edges, len(s), side="right")) - 1]) for s in sets]
             lists = batch.column(4)
             flat = lists.flatten()
-            sig, looks, chunks = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-            sig, looks, chunks = sig.astype(np.int64).view(np.uint64), looks.astype(np.uint8), chunks.astype(np.int64)
+            sig, role, chunks = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            sig, role, chunks = sig.astype(np.int64).view(np.uint64), role.astype(np.uint8), chunks.astype(np.int64)
             owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
             rows: list[tuple] = []
 
-            def put(k: int, i: int, j: int, second: bool, o: np.ndarray, owner=owner, sig=sig, looks=looks, rows=rows, entries=entries, sketches=sketches) -> None:
+            def put(k: int, i: int, j: int, second: bool, o: np.ndarray, owner=owner, sig=sig, role=role, rows=rows, entries=entries, sketches=sketches) -> None:
                 e, n = np.unique(owner[o], return_counts=True)
                 own = [sketches[x] for x in e]
-                rows.append((k, i, j, second, sig[o].astype("<u8").tobytes(), looks[o].tobytes(), entries[e].tobytes(), n.astype("<u4").tobytes(), np.array([len(x) for x in own], "<u4").tobytes(), np.concatenate(own).tobytes()))
+                rows.append((k, i, j, second, sig[o].astype("<u8").tobytes(), role[o].tobytes(), entries[e].tobytes(), n.astype("<u4").tobytes(), np.array([len(x) for x in own], "<u4").tobytes(), np.concatenate(own).tobytes()))
 
             cold = np.flatnonzero(chunks == 1)
-            order, cut = slices_of(sig[cold], slices)
-            for k in range(slices):
-                if cut[k] < cut[k + 1]:
-                    put(k, -1, -1, False, cold[order[cut[k] : cut[k + 1]]])
+            for k, o in slices_of(sig[cold], slices):
+                put(k, -1, -1, False, cold[o])
             hot = np.flatnonzero(chunks > 1)
             chunk = (mixed(ids[owner[hot]].view(np.uint64)) % chunks[hot].astype(np.uint64)).astype(np.int64)
             by = np.lexsort((owner[hot], chunk, sig[hot]))
@@ -394,11 +422,11 @@ def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
             for o, c in zip(np.split(hot, np.flatnonzero(new)[1:]), chunk[new].tolist(), strict=False):
                 for x in range(int(chunks[o[0]])):
                     put(int(sig[o[0]].view(np.int64)), min(c, x), max(c, x), c > x, o)
-            names = ["k", "i", "j", "second", "sig", "looks", "e", "n", "size", "sketch"]
+            names = ["k", "i", "j", "second", "sig", "role", "e", "n", "size", "sketch"]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()] + [pa.binary()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return sets.mapInArrow(parts, "k long, i int, j int, second boolean, sig binary, looks binary, e binary, n binary, size binary, sketch binary")
+    return sets.mapInArrow(parts, "k long, i int, j int, second boolean, sig binary, role binary, e binary, n binary, size binary, sketch binary")
 
 
 def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -409,71 +437,144 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _close(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], sim: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of ``doc, n, component, looks, sketch`` arrays that may be similar, tile by tile."""
-    (_, n, c, a, m), (_, p, d, b, q) = x, y
+def _close(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], sim: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, and distance of the sketches, of pairs of ``doc, n, component, whole, sketch`` arrays that may be similar; one side looks.
+
+    Both sides go by size, so that a tile meets only sizes that can be similar to its own.
+    """
+    a, b = sim
+    (by, of), share = (np.argsort(z[1], kind="stable") for z in (x, y)), (b - a) / (a + b)
+    (n, c, w, m), (p, d, v, q) = (tuple(col[o] for col in z[1:]) for z, o in ((x, by), (y, of)))
+    most_n, most_p = n * share + 1e-6, p * share
     words = m.shape[1]
-    for r in range(0, len(n), 256):
-        for t in range(0, len(p), 4096):
-            rows, cols = slice(r, r + 256), slice(t, t + 4096)
-            nr, pc = n[rows, None], p[cols]
-            ok = (c[rows, None] != d[cols]) & ((a[rows, None] | b[cols]) > 0) & (nr * sim[1] >= pc * sim[0]) & (pc * sim[1] >= nr * sim[0])
-            bound = (sim[1] - sim[0]) * (nr + pc) // (sim[0] + sim[1])
-            apart, w = np.zeros(ok.shape, np.int32), 0
-            while w < words and np.count_nonzero(ok) * 8 > ok.size:
-                apart += np.bitwise_count(m[rows, None, w] ^ q[None, cols, w])
+    for r in range(0, len(n), 64):
+        rows = slice(r, min(r + 64, len(n)))
+        low, high = np.searchsorted(p, n[r] * a / b, "left"), np.searchsorted(p, n[rows.stop - 1] * b / a, "right")
+        for t in range(int(low), int(high), 1024):
+            cols = slice(t, min(t + 1024, int(high)))
+            ok = (c[rows, None] != d[cols]) & (w[rows, None] | v[cols])
+            bound = most_n[rows, None] + most_p[cols]
+            apart, k, few = np.zeros(ok.shape, np.uint32), 0, ok.size // 8
+            while k < words and np.count_nonzero(ok) > few:
+                apart += np.bitwise_count(m[rows, None, k] ^ q[None, cols, k])
                 ok &= apart <= bound
-                w += 1
+                k += 1
             i, j = np.nonzero(ok)
-            sofar, most = apart[i, j], bound[i, j]
-            for w in range(w, words, 16):  # noqa: B020
-                sofar = sofar + np.bitwise_count(m[rows][i, w : w + 16] ^ q[cols][j, w : w + 16]).sum(axis=1)
+            sofar, most = apart[i, j].astype(np.int64), bound[i, j]
+            for at in range(k, words, 8):
+                sofar = sofar + np.bitwise_count(m[rows][i, at : at + 8] ^ q[cols][j, at : at + 8]).sum(axis=1)
                 still = sofar <= most
                 i, j, sofar, most = i[still], j[still], sofar[still], most[still]
-            yield i + r, j + t
+            yield by[i + r], of[j + t], sofar
 
 
-def pairs_between(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM) -> DataFrame:
+def _neighbours(sig: np.ndarray, owner: np.ndarray, role: np.ndarray, entries: np.ndarray, sketches: list[np.ndarray], sim: tuple[int, int]) -> Iterator[np.ndarray]:
+    """Rows ``a, b, c, d, far`` of pairs that may be similar, of signatures in order: each set that looks meets every other once, in however many of them."""
+    a, b = sim
+    doc, n, component = entries.T
+    cut = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
+    low, high, any_ = (g.reduceat(x, cut[:-1]) for g, x in ((np.minimum, component[owner]), (np.maximum, component[owner]), (np.bitwise_or, role)))
+    group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    whole = (role & WHOLE) > 0
+    size = np.array([len(x) for x in sketches])
+    level = {int(z): np.flatnonzero(size >= z) for z in np.unique(size)}
+    # every sketch at its own size and the smaller ones
+    folded = {z: np.concatenate([_folded(np.stack([sketches[i] for i in own[size[own] == y]]), z) for y in np.unique(size[own])]) for z, own in level.items()}
+    place = {}
+    for z, own in level.items():
+        place[z] = np.full(len(size), -1)
+        place[z][np.concatenate([own[size[own] == y] for y in np.unique(size[own])])] = np.arange(len(own))
+    asks = np.flatnonzero(((role & LOOKS) > 0) & ((low != high) & (any_ == LOOKS | WHOLE))[group])
+    asks = asks[np.argsort(owner[asks], kind="stable")]
+    mark = np.zeros(len(size), bool)
+    for own in np.split(asks, np.flatnonzero(np.diff(owner[asks])) + 1) if len(asks) else ():
+        x = int(owner[own[0]])
+        for i in own.tolist():
+            members = slice(cut[group[i]], cut[group[i] + 1])
+            mark[owner[members] if whole[i] else owner[members][whole[members]]] = True
+        met = np.flatnonzero(mark)
+        mark[met] = False
+        met = met[(component[met] != component[x]) & (n[met] * b >= n[x] * a) & (n[x] * b >= n[met] * a)]
+        at = np.minimum(size[met], size[x])
+        for z in np.unique(at).tolist():
+            y = met[at == z]
+            most, far = (b - a) * (n[y] + n[x]) // (a + b), np.zeros(len(y), np.int64)
+            one, every, rows = folded[z][place[z][x]], folded[z], place[z][y]
+            for k in range(0, z, 4):
+                far = far + np.bitwise_count(every[rows, k : k + 4] ^ one[k : k + 4]).sum(axis=1)
+                still = far <= most
+                if not still.all():
+                    y, rows, far, most = y[still], rows[still], far[still], most[still]
+            if len(y):
+                yield _pair_rows(np.full(len(y), doc[x]), doc[y], np.full(len(y), component[x]), component[y], far)
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, far: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(c, d), np.maximum(c, d), far], axis=1)
+
+
+def pairs_between(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[int, int] = SIM, closest: bool = False) -> DataFrame:
     """Distinct ``a, b`` that meet in a segment one of them looks for, lie in two components and may be similar, of :func:`open_sets`.
 
     Sizes and parity sketches are compared where the sets meet, so only pairs that pass
-    both bounds are rows; both are exact.
+    both bounds are rows; both are exact. ``closest`` asks for one pair of any two
+    components ``c, d`` that meet in a group, the closest by sketch, and whether there
+    are ``more``.
     """
 
+    def reduced(rows: np.ndarray) -> np.ndarray:
+        """Distinct pairs; the first of each two components by distance and their number, where that is asked for."""
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 4], rows[:, 3], rows[:, 2]))]
+        if not len(rows):
+            return rows
+        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))]
+        if not closest:
+            return rows
+        first = np.flatnonzero(np.append(True, (rows[1:, 2:4] != rows[:-1, 2:4]).any(axis=1)))
+        out = rows[first]
+        out[:, 5] = np.add.reduceat(rows[:, 5], first)
+        return out
+
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in f[c]])
-        sig, looks, entries, size = join("sig", "<u8"), join("looks", np.uint8), join("e", "<i8").reshape(-1, 3), join("size", "<u4").astype(np.int64)
+        sig, role, entries, size = join("sig", "<u8"), join("role", np.uint8), join("e", "<i8").reshape(-1, 3), join("size", "<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(entries)), join("n", "<u4"))
-        second = np.repeat(f["second"].to_numpy(bool), [len(x) // 8 for x in f["sig"]])
         sketch, at = join("sketch", "<u8"), np.cumsum(size) - size
-        order = np.argsort(sig, kind="stable")
-        sig, owner, looks, second = sig[order], owner[order], looks[order], second[order]
-        cut = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-        component = entries[owner, 2]
-        low, high, any_ = (g.reduceat(x, cut[:-1]) for g, x in ((np.minimum, component), (np.maximum, component), (np.maximum, looks)))
-        across = f["i"].iloc[0] != f["j"].iloc[0]
-
-        def side(o: np.ndarray, look: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        found = [np.zeros((0, 6), np.int64)]
+        if f["i"].iloc[0] < 0:
+            order = np.argsort(sig, kind="stable")
+            near = _neighbours(sig[order], owner[order], role[order], entries, [sketch[i : i + z] for i, z in zip(at.tolist(), size.tolist(), strict=True)], sim)
+        else:
+            near = chunks_meet(owner, role, np.repeat(f["second"].to_numpy(bool), [len(x) // 8 for x in f["sig"]]), entries, sketch, at, size, f["i"].iloc[0] != f["j"].iloc[0])
+        held = 0
+        for rows in near:
+            found.append(np.concatenate([rows, np.ones((len(rows), 1), np.int64)], axis=1))
+            held += len(rows)
+            if held > 1_000_000:
+                found = [reduced(np.concatenate(found))]
+                held = 0
+        out = reduced(np.concatenate(found))
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1], "c": out[:, 2], "d": out[:, 3], "more": out[:, 5] > 1})
+
+    def chunks_meet(owner: np.ndarray, role: np.ndarray, second: np.ndarray, entries: np.ndarray, sketch: np.ndarray, at: np.ndarray, size: np.ndarray, across: bool) -> Iterator[np.ndarray]:
+        """Rows of one signature's two chunks, or of one: who looks is compared with all, who doesn't with those who look."""
+        least, looks, every = int(size[owner].min()), (role & LOOKS) > 0, np.arange(len(owner))
+
+        def side(which: np.ndarray) -> tuple[np.ndarray, ...]:
+            o = owner[which]
             m = np.empty((len(o), least), np.uint64)
             for z in np.unique(size[o]):
-                which = np.flatnonzero(size[o] == z)
-                m[which] = _folded(sketch[at[o[which]][:, None] + np.arange(z)], least)
-            return *entries[o].T, look, m
-
-        found = [np.zeros((0, 2), np.int64)]
-        for g in np.flatnonzero((low != high) & (any_ > 0)).tolist():
-            o, look, two = owner[cut[g] : cut[g + 1]], looks[cut[g] : cut[g + 1]], second[cut[g] : cut[g + 1]]
-            least = int(size[o].min())
-            x = side(o[~two], look[~two], least) if across else side(o, look, least)
-            y = side(o[two], look[two], least) if across else x
-            for i, j in _close(x, y, sim):
-                a, b = x[0][i], y[0][j]
-                pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-                found.append(pair if across else pair[a < b])
-        out = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-
-    return meetings(sets, bands, slices).groupBy("k", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+                own = np.flatnonzero(size[o] == z)
+                m[own] = _folded(sketch[at[o[own]][:, None] + np.arange(z)], least)
+            return *entries[o].T, (role[which] & WHOLE) > 0, m
+
+        meets = [(every[looks & ~second], every[second]), (every[~looks & ~second], every[looks & second])] if across else [(every[looks], every)]
+        for x, y in ((side(p), side(q)) for p, q in meets if len(p) and len(q)):
+            for i, j, far in _close(x, y, sim):
+                yield _pair_rows(x[0][i], y[0][j], x[2][i], y[2][j], far)
+
+    out = meetings(sets, bands, slices).groupBy("k", "i", "j").applyInPandas(meet, "a long, b long, c long, d long, more boolean")
+    return out.groupBy("a", "b").agg(F.first("c").alias("c"), F.first("d").alias("d"), F.max("more").alias("more")) if closest else out.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] = SIM) -> DataFrame:
@@ -490,18 +591,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
     classes = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.max("half").alias("half"))
     classes = write_table(classes, "classes")
     total = table.agg(F.sum("half")).first()[0] or 0
-    counts = shared_counts(known, max(1, math.ceil(total / SLICE_HASHES)), words)
+    counts = shared_counts(known, max(1, math.ceil(total / SLICE_HASHES)), lambda t: lower_half(t, words))
     a, b = sim
     maybe = classes.join(counts, F.col("rep") == F.col("doc_id"), "left").filter(f"coalesce(c, 0) >= half - ((n * ({b} - {a})) div {b})").select(F.col("rep").alias("_id"))
     maybe = write_table(maybe.distinct(), "maybe-linked")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 
     sets = write_table(known.join(maybe, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(sets_of, "doc_id long, n long, s binary"), "candidate-sets")
-    labels = link_components(sets, words, sim)
+    whole = shared_counts(sets.select("doc_id", "s"), max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / SLICE_HASHES)), lambda s: np.frombuffer(s, "<u8"))
+    enough = whole.filter("c > 0").withColumnRenamed("doc_id", "_id")
+    linked = write_table(sets.join(enough, F.col("doc_id") == F.col("_id")).filter(f"c * {b} >= n * {a}").select("doc_id", "n", "s"), "linked-sets")
+    labels = link_components(linked, words, sim)
+    drop_table(sets, maybe, linked)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component"))
     out = table.join(named, (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
