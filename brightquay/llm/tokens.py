@@ -16,12 +16,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
+from brightquay.llm.exchange import kept_by_worker
+
 #: Characters whose lower case, composition and class are the same everywhere.
 _PLAIN = re.compile("[!-~¡-¬®-ÿĀ-įı-ɏ]+")
 #: The tokenizer's own pre-token pattern (fixed value).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Entries of each cache; a full one is emptied.
-CACHE = 600_000
+CACHE = 400_000
 #: Characters of texts that are split at once.
 SLAB = 1 << 20
 
@@ -123,7 +125,8 @@ def _cut(text: str) -> Iterator[str]:
         at = end + 1 if m else end
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One encoder per worker and tokenizer file."""
+    """One encoder per worker and tokenizer file; other operators' tasks in the worker put it away."""
+    kept_by_worker(word_ids.cache_clear)
     return WordIds(path)
