@@ -100,9 +100,21 @@ def prior_counts(rows: DataFrame, by: str, at_ms: Column, counted: Column, name:
 
 
 def window_counts(queries: DataFrame, rows: DataFrame, by: str, at: str) -> DataFrame:
-    """Rows with from <= time < to per query, and ``violates`` where the window ends after ``as_of``."""
-    hits = queries.alias("q").join(rows.select(F.col(by).alias("_b"), F.col(at).alias("_t")), (F.col(f"q.{by}") == F.col("_b")) & (F.col("_t") >= F.col("q.from_ms")) & (F.col("_t") < F.col("q.to_ms")), "left")
-    return hits.groupBy(*[F.col(f"q.{c}") for c in queries.columns]).agg(F.count("_t").alias("n")).withColumn("violates", F.col("to_ms") > F.col("as_of"))
+    """Rows with from <= time < to per query, and ``violates`` where the window ends after ``as_of``.
+
+    Rows and the ends of all windows are put together, and one running count per key gives
+    the rows before each end: one shuffle and one sort on the key, however wide windows are.
+    """
+    q = queries.withColumn("_q", F.monotonically_increasing_id())
+    ends = F.array(F.struct(F.col("from_ms").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("to_ms").alias("t"), F.lit(1).alias("sign")))
+    probes = q.select(F.col(by).alias("_b"), F.explode(ends).alias("_e"), "_q", F.struct(*queries.columns).alias("_row")).select("_b", "_e.t", "_e.sign", "_q", "_row")
+    none = F.lit(None)
+    hits = rows.select(F.col(by).alias("_b"), F.col(at).cast(probes.schema["t"].dataType).alias("t"), F.lit(0).alias("sign"), none.cast("long").alias("_q"), none.cast(probes.schema["_row"].dataType).alias("_row"))
+    # at equal times ends come before rows, so only what is strictly earlier counts
+    before = F.sum((F.col("sign") == 0).cast("long")).over(W.partitionBy("_b").orderBy("t", F.col("sign") == 0).rowsBetween(W.unboundedPreceding, 0))
+    counted = probes.unionAll(hits).withColumn("_c", before).filter("sign <> 0")
+    each = counted.groupBy("_q").agg(F.first("_row").alias("_row"), F.sum(F.col("sign") * F.col("_c")).alias("n"))
+    return each.select("_row.*", F.greatest(F.lit(0), F.col("n")).alias("n")).withColumn("violates", F.col("to_ms") > F.col("as_of"))
 
 
 def pending(board: DataFrame, synced: DataFrame, submitted: DataFrame, key: str = "id") -> DataFrame:

@@ -202,6 +202,12 @@ def prequential_days(rows: DataFrame, ts_ms: str, least: int = 200) -> DataFrame
     return before.filter(F.col("n_before") >= least).select("day_start", "n_before", "n")
 
 
+def daily_models(rows: DataFrame, ts_ms: str, least: int = 200, **options) -> Iterator[tuple[int, ClickModel]]:
+    """``(day_start, model)`` of each day with enough rows before it, the model fitted on these alone; days are few."""
+    for day in prequential_days(rows, ts_ms, least).orderBy("day_start").collect():
+        yield day.day_start, fit_clicks(rows.filter(F.col(ts_ms) < day.day_start), **options)
+
+
 def moved_features(before: DataFrame, after: DataFrame, key: str, features: str = "features") -> DataFrame:
     """Rows whose features moved when fields that they must not read were changed: a leak."""
     a = after.select(F.col(key).alias("_k"), F.col(features).alias("_f"))

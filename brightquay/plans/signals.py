@@ -27,8 +27,8 @@ SELECT event_id, user_id, sum(CASE WHEN p IS NULL OR ms - p > 86400000 THEN 1 EL
 
 def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists shown at once: a position that comes again, or a silence, begins a new one."""
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("client_id"), F.lit(0).alias("session_id"), F.col("ms").alias("ts"), (F.col("event_id") % 4).alias("position"), "event_id")
-    return telemetry.renders(e, gap_ms=6 * 3_600_000).select("client_id", "render", "ts", F.size("items").alias("shown"))
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("client_id"), F.floor(F.col("ms") / 86_400_000).alias("session_id"), F.col("ms").alias("ts"), (F.col("event_id") % 4).alias("position"), "event_id")
+    return telemetry.renders(e, gap_ms=6 * 3_600_000).select("client_id", "session_id", "render", "ts", F.size("items").alias("shown"))
 
 
 def asof_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
