@@ -68,7 +68,7 @@ def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ordered(spark, sf_dir).filter("ordering <> 'random'").select("render", "ordering", "item", "rank")
 
 
-ORDERED_LISTS = f"WITH {O} SELECT render, ordering, item, rank FROM o"
+ORDERED_LISTS = f"WITH {O} SELECT render, ordering, item, CAST(rank AS INT) AS rank FROM o"
 
 
 def random_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def leak_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.count_if(evaluate.reads_future(kept, kept)).alias("moved"), F.count_if(evaluate.reads_future(leaked, after)).alias("planted"), F.count("*").alias("n"))
 
 
-LEAK_CONTROLS = f"WITH {S} SELECT 0 AS moved, count(*) AS planted, count(*) AS n FROM s"
+LEAK_CONTROLS = f"WITH {S} SELECT CAST(0 AS BIGINT) AS moved, count(*) AS planted, count(*) AS n FROM s"
 
 
 def control_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
