@@ -62,18 +62,18 @@ def document_stats(text: str) -> list[float]:
     ]
 
 
-def stats_table(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, stats`` for every row, and the long columns ``also``."""
+def stats_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, stats`` for every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
         for batch in batches:
             x = np.array([document_stats(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, _STATS)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * _STATS), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, *map(batch.column, also)], ["doc_id", "stats", *also])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], ["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text"), *also).mapInArrow(of, ", ".join([f"doc_id {kind}, stats array<double>", *(f"{c} long" for c in also)]))
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(of, f"doc_id {kind}, stats array<double>")
 
 
 @dataclass
@@ -167,33 +167,58 @@ def fit_quality(rows: DataFrame, features: int = FEATURES, width: float = WIDTH,
     return model
 
 
-def quality_scores(stats: DataFrame, model: QualityModel, also: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, score`` of a table of :func:`stats_table`, and the long columns ``also``."""
+def quality_scores(stats: DataFrame, model: QualityModel) -> DataFrame:
+    """``doc_id, score`` of a table of :func:`stats_table`."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.stack(f["stats"].to_numpy()) if len(f) else np.zeros((0, _STATS))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": model.score(x)} | {c: f[c] for c in also})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": model.score(x)})
 
-    return stats.mapInPandas(of, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, " + ", ".join(["score double", *(f"{c} long" for c in also)]))
+    return stats.mapInPandas(of, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, also: tuple[str, ...] = ()) -> DataFrame:
+def label_means(labels: DataFrame) -> DataFrame:
+    """``doc_id, y`` of labels that have both; several labels of an id are averaged."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
+
+
+def model_of(stats: DataFrame, y: DataFrame, folds: int, held_out_fold: int) -> QualityModel:
+    """The model fitted on labelled ``doc_id, stats`` rows outside the held-out fold of the id's crc32."""
+    learn = stats.join(y, "doc_id").filter(fold_of(F.col("doc_id"), folds) != held_out_fold)
+    apart = F.crc32(F.concat_ws(":", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
+    return fit_quality(write_table(learn.select("stats", "y", apart.alias("calibrate")), "quality-rows"))
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Learns from labelled rows outside the held-out fold of the id's crc32; labels without
     a value or a document are passed over, several labels of an id are averaged. Null
     texts are empty. Repeated rows get equal scores; a null id is never labelled and is
-    returned with its score. Empty table, empty result; of further columns, the long ones
-    named in ``also`` are passed on.
+    returned with its score. Empty table, empty result; further columns are ignored.
     """
-    stats = write_table(stats_table(docs, also), "quality-stats")
-    y = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    learn = stats.join(y, "doc_id").filter(fold_of(F.col("doc_id"), folds) != held_out_fold)
-    apart = F.crc32(F.concat_ws(":", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
-    model = fit_quality(write_table(learn.select("stats", "y", apart.alias("calibrate")), "quality-rows"))
-    scored = quality_scores(stats, model, also)
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *also)
+    stats = write_table(stats_table(docs), "quality-stats")
+    scored = quality_scores(stats, model_of(stats, label_means(labels), folds, held_out_fold))
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
+    """Rows that the classifier of :func:`classify_quality` accepts, all their columns unchanged.
+
+    Labelled documents are read to fit the model; then one scan scores every row and lets
+    it pass or not, whatever its id.
+    """
+    y = label_means(labels)
+    model = model_of(stats_table(docs.join(y, "doc_id", "left_semi")), y, folds, held_out_fold)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
+        for batch in batches:
+            x = np.array([document_stats(t.as_py() or "") for t in batch.column("text")], np.float64).reshape(-1, _STATS)
+            yield batch.filter(pa.array(model.score(x) >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,10 +137,17 @@ def test_quality_goes_row_by_row(spark, monkeypatch):
     """A rejected row takes no other row of its id, or without one, along."""
     import corpus_pipeline
 
+    class Longer:
+        """Rejects texts of three bytes."""
+
+        def score(self, stats):
+            return (stats[:, 0] > np.log1p(3.5)).astype(float)
+
     docs = spark.createDataFrame([(None, "a", "bad"), (None, "a", "good"), (7, "a", "bad"), (7, "a", "good")], ROWS)
-    monkeypatch.setattr(corpus_pipeline, "load", lambda *a: None)
-    monkeypatch.setattr(corpus_pipeline, "classify_quality", lambda d, y, also=(): d.select("doc_id", F.when(F.col("text") == "bad", 0).otherwise(1).alias("predicted"), *also))
-    assert sorted(r.text for r in corpus_pipeline.quality(spark, docs, "").collect()) == ["good", "good"]
+    monkeypatch.setattr(corpus_pipeline, "load", lambda *a: labels(spark))
+    monkeypatch.setattr(quality, "model_of", lambda *a: Longer())
+    got = corpus_pipeline.quality(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == ["good", "good"]
 
 
 def test_copies_go_row_by_row(spark):
