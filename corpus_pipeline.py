@@ -9,19 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightquay.llm.common import load, numbered, write_table
+from brightquay.llm.common import load, write_table
 from brightquay.llm.exact_dedup import drop_exact_copies
 from brightquay.llm.mixing import apply_mix
 from brightquay.llm.near_dup import keep_one_of_each
 from brightquay.llm.packing import pack
-from brightquay.llm.quality import classify_quality
+from brightquay.llm.quality import keep_accepted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rows = numbered(docs)
-    rejected = classify_quality(rows, load(spark, sf_dir, "labels"), also=("_row",)).filter("predicted = 0").select("_row")
-    return rows.join(write_table(rejected, "rejected"), "_row", "left_anti").select(*docs.columns)
+    return keep_accepted(docs, load(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
