@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightquay.session import ship_package
@@ -60,11 +61,46 @@ def write_table(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return out
 
 
+#: Files of a table up to which their numbers are broadcast to the rows: 16 MB at most.
+MOST_FILES = 100_000
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``_row``, a number of the row; written, so that every reading has the same numbers."""
+    """``docs`` and ``_row``, a number of the row that every reading agrees on.
+
+    A table read from files keeps their order: its rows are numbered by file and place in
+    it, and nothing is written. Anything else, and a table of more than MOST_FILES files, is
+    written with its numbers.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+        files = placed.select("_path").distinct()
+        files = write_table(files.select(F.col("_path").alias("_file"), (F.row_number().over(W.orderBy("_path")) - 1).cast("long").alias("_number")), "files")
+        if files.count() <= MOST_FILES:
+            rows = placed.join(F.broadcast(files), F.col("_path") == F.col("_file"))
+            return rows.select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias("_row"))
     return write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+class Scratch:
+    """Tables that are written within go at its end, but for those kept."""
+
+    def __enter__(self) -> Scratch:
+        self.before, self.kept = {path for _, path in _made}, set()
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table`` stays."""
+        self.kept.add(table._brightquay_path)
+        return table
+
+    def __exit__(self, *_: object) -> None:
+        gone = [x for x in _made if x[1] not in self.before | self.kept]
+        for spark, path in gone:
+            delete_path(spark, path)
+        _made[:] = [x for x in _made if x not in gone]
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete tables of :func:`write_table` that nothing reads any more."""
     gone = {df._brightquay_path for df in tables}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WHITE, drop_table, load, numbered, text_of, write_table
+from brightquay.llm.common import WHITE, Scratch, drop_table, load, numbered, text_of, write_table
 
 #: Bytes of the first digit, its growth a round, and its bound.
 FIRST_DIGIT, GROWTH, LARGEST_DIGIT = 64, 16, 1 << 20
@@ -81,8 +81,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = numbered(docs)
     keyed = rows.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col)
-    gone = exact_groups(keyed, "_key", text_col).filter("NOT kept").select(F.col("doc_id._row").alias("_row"))
-    return rows.join(write_table(gone, "copies"), "_row", "left_anti").select(*docs.columns)
+    with Scratch() as scratch:
+        gone = exact_groups(keyed, "_key", text_col).filter("NOT kept").select(F.col("doc_id._row").alias("_row"))
+        gone = scratch.keep(write_table(gone, "copies"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

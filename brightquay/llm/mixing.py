@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WORD, load, numbered, text_of, write_table
+from brightquay.llm.common import WORD, Scratch, load, numbered, text_of, write_table
 
 #: Rows that a slice of a source's key range holds on average.
 SLICE_ROWS = 4096
@@ -92,7 +92,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
     rows = numbered(docs)
-    taken = mix(rows, also=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    with Scratch() as scratch:
+        taken = mix(rows, also=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+        taken = scratch.keep(write_table(taken, "taken"))
     x = rows.join(taken, "_row")
     x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(_taken div _size)), IF(_taken % _size > 0, array(int(_taken % _size)), cast(array() as array<int>)))")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -36,16 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import drop_table, load, numbered, text_of, write_table
+from brightquay.llm.common import Scratch, drop_table, load, numbered, text_of, write_table
 from brightquay.llm.components import components
-from brightquay.llm.exchange import fresh_worker, mixed, slices_of
+from brightquay.llm.exchange import fresh_worker, mixed, row_pieces, slices_of
 
 #: Words of a shingle; the similarity as a fraction.
 WORDS, SIM = 5, (75, 100)
 #: Hashes that one slice of the hash range holds, ratio of size bands.
-SLICE_HASHES, BAND_RATIO = 2_000_000, 4 / 3
-#: Sets that a chunk of a hot signature holds on average; sets of one batch from which a signature does not travel to its slice.
-CHUNK, TOGETHER = 4096, 32
+SLICE_HASHES, BAND_RATIO = 1_000_000, 4 / 3
+#: Rows that a task works on at once; sets that a chunk of a hot signature holds on average; sets of one piece from which a signature does not travel to its slice.
+PIECE, CHUNK, TOGETHER = 2500, 4096, 16
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -72,7 +72,7 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             n, half, digest = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), words)
@@ -99,7 +99,7 @@ def shared_counts(rows: DataFrame, slices: int, hashes: Callable[[object], np.nd
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             ids = _ids(batch)
             sets = [hashes(x.as_py()) for x in batch.column(1)]
             if not sets:
@@ -234,7 +234,7 @@ def segment_table(sets: DataFrame, bands: list[Band], slices: int, sim: tuple[in
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             found: list[tuple[np.ndarray, np.ndarray]] = []
             sizes = []
             for s in batch.column(2):
@@ -288,7 +288,7 @@ def verified(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int] = SIM) -> D
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
@@ -392,7 +392,7 @@ def meetings(sets: DataFrame, bands: list[Band], slices: int) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             ids = _ids(batch)
             if not len(ids):
                 continue
@@ -598,7 +598,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
+        for batch in row_pieces(batches, PIECE):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 
@@ -619,11 +619,13 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
     Every row is a document here, whatever its id.
     """
     rows = numbered(docs)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, sim).select(F.col("doc_id").alias("_row"), "component_id")
-    placed = write_table(found.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row").alias("rank")), "near-rows")
-    first = placed.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("k")).filter("k > 1").select("component_id", F.col("first._row").alias("_first"))
-    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
-    return rows.join(write_table(gone, "near-copies"), "_row", "left_anti").select(*docs.columns)
+    with Scratch() as scratch:
+        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, sim).select(F.col("doc_id").alias("_row"), "component_id")
+        rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row").alias("rank")
+        placed = write_table(found.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", rank), "near-rows")
+        first = placed.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("k")).filter("k > 1").select("component_id", F.col("first._row").alias("_first"))
+        gone = scratch.keep(write_table(placed.join(first, "component_id").filter("_row <> _first").select("_row"), "near-copies"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

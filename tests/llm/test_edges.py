@@ -166,3 +166,28 @@ def test_mix_takes_row_by_row(spark):
     want = {r.source: r.t for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
     got = mixing.apply_mix(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()
     assert {r.source: r.t for r in got} == want
+
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path, monkeypatch):
+    """Every reading agrees, repeated rows differ, and tables of many files or of no file are written with their numbers."""
+    from brightquay.llm import common
+
+    spark.range(100).select((F.col("id") % 3).alias("doc_id"), F.lit("t").alias("text")).repartition(7).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for most in (100, 3):
+        monkeypatch.setattr(common, "MOST_FILES", most)
+        rows = common.numbered(docs)
+        assert rows.columns == [*docs.columns, "_row"] and rows.select("_row").distinct().count() == 100
+        assert rows.join(rows.select("_row", F.col("doc_id").alias("d")).repartition(5), "_row").filter("d = doc_id").count() == 100
+    assert common.numbered(docs.filter("doc_id = 1")).select("_row").distinct().count() == 33
+
+
+def test_scratch_tables_go(spark):
+    """What was written within is deleted, what is kept stays."""
+    from brightquay.llm import common
+
+    with common.Scratch() as scratch:
+        gone, kept = common.write_table(spark.range(3), "gone"), scratch.keep(common.write_table(spark.range(4), "kept"))
+    assert kept.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._brightquay_path).count()
