@@ -72,13 +72,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     it, and nothing is written. Anything else, and a table of more than MOST_FILES files, is
     written with its numbers.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
-        files = placed.select("_path").distinct()
-        files = write_table(files.select(F.col("_path").alias("_file"), (F.row_number().over(W.orderBy("_path")) - 1).cast("long").alias("_number")), "files")
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_bq_path"), F.col("_metadata.row_index").alias("_bq_place"))
+        files = placed.select("_bq_path").distinct()
+        files = write_table(files.select(F.col("_bq_path").alias("_bq_file"), (F.row_number().over(W.orderBy("_bq_path")) - 1).cast("long").alias("_bq_number")), "files")
         if files.count() <= MOST_FILES:
-            rows = placed.join(F.broadcast(files), F.col("_path") == F.col("_file"))
-            return rows.select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias("_row"))
+            rows = placed.join(F.broadcast(files), F.col("_bq_path") == F.col("_bq_file"))
+            return rows.select(*docs.columns, (F.shiftleft("_bq_number", 40) + F.col("_bq_place")).alias("_row"))
     return write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brightquay.llm.common import load, text_of
 from brightquay.llm.webp import decode_many, encode_rgb
