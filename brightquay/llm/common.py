@@ -24,17 +24,28 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by the worker.
+BATCH_ROWS = 2000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS where they are at Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; any path that Spark's readers open will do."""
     ship_package(spark)
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; without one, an error on anything but a single machine."""
+    _small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):

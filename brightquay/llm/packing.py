@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightquay.llm.common import load, text_of, write_table
-from brightquay.llm.tokens import default_tokenizer, word_ids
+from brightquay.llm.tokens import CACHE, default_tokenizer, word_ids
 
 #: Tokens of a sequence, the id that ends a document, and pieces of a packing task.
 CAPACITY, END_ID, TASK_PIECES = 4096, 1, 65_536
@@ -82,11 +82,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, made
 
 
-def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's tokens and its end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer_path)
+        encoder = word_ids(tokenizer_path, cache)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -102,15 +102,16 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, task_pieces: int = TASK_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, task_pieces: int = TASK_PIECES, cache: int = CACHE) -> DataFrame:
     """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one piece of the end id alone. Documents longer than
     ``capacity`` are cut into full pieces and a last, shorter one. Repeated rows and
     null ids are packed as rows of their own. Empty table, empty result; further columns
-    are ignored. Sequence ids are distinct, not consecutive.
+    are ignored. Sequence ids are distinct, not consecutive. ``cache`` bounds the words
+    that a worker keeps, which costs time and changes no result.
     """
-    pieces = write_table(piece_table(docs, tokenizer_path or default_tokenizer(), capacity, end_id), "pieces")
+    pieces = write_table(piece_table(docs, tokenizer_path or default_tokenizer(), capacity, end_id, cache), "pieces")
     tasks = max(1, -(-pieces.count() // task_pieces))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

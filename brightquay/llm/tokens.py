@@ -22,8 +22,8 @@ from brightquay.llm.exchange import kept_by_worker
 _PLAIN = re.compile("[!-~¡-¬®-ÿĀ-įı-ɏ]+")
 #: The tokenizer's own pre-token pattern (fixed value).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Entries of each cache; a full one is emptied.
-CACHE = 400_000
+#: Entries of each cache, about 200 bytes each; a full one is emptied.
+CACHE = 600_000
 #: Characters of texts that are split at once.
 SLAB = 1 << 20
 
@@ -38,9 +38,10 @@ def default_tokenizer() -> str:
 class WordIds:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.most = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -49,7 +50,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > CACHE:
+        if len(self.pieces) + len(pieces) > self.most:
             self.pieces.clear()
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
@@ -62,7 +63,7 @@ class WordIds:
                 self.pieces.update((p, self._ids(p)) for p in some)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHE:
+        if len(self.chunks) + len(chunks) > self.most:
             self.chunks.clear()
         cut, other, known = {}, [], self.pieces.get
         for c in chunks:
@@ -78,7 +79,7 @@ class WordIds:
                 other.append(c)
         new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
         if new:
-            if len(self.pieces) + len(new) > CACHE:
+            if len(self.pieces) + len(new) > self.most:
                 new = list({p for ps in cut.values() for p in ps})
             self._learn_pieces(new)
         get = self.pieces.__getitem__
@@ -92,7 +93,7 @@ class WordIds:
         every = set().union(*words)
         new = every.difference(self.chunks)
         if new:
-            if len(self.chunks) + len(new) > CACHE:
+            if len(self.chunks) + len(new) > self.most:
                 new = every
             self._learn(new)
         get = self.chunks.__getitem__
@@ -126,7 +127,7 @@ def _cut(text: str) -> Iterator[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache: int = CACHE) -> WordIds:
     """One encoder per worker and tokenizer file; other operators' tasks in the worker put it away."""
     kept_by_worker(word_ids.cache_clear)
-    return WordIds(path)
+    return WordIds(path, cache)
