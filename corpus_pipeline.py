@@ -39,9 +39,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in the training sequences."""
-    return pack(docs)
+    return pack(docs, cache=PACKING_CACHE)
 
 
+#: Words that a packing worker keeps: executors that have run the other stages have less memory left.
+PACKING_CACHE = 150_000
+
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("packing", packing)]
 
 #: The classifier is beyond SQL.
