@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,19 @@ def zone_offset_minutes(utc_ms: Column, zone: str) -> Column:
     return ((F.unix_millis(F.from_utc_timestamp(at, zone)) - utc_ms) / 60000).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is reckoned once, however often the body names it.
+
+    Column expressions are trees: a value named twice is written out twice, and steps that
+    each name the one before grow as a power. A one-element array's ``transform`` binds it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def local_to_utc(local_ms: Column, zone: str) -> Column:
     """Instant of a wall clock given as if it were UTC; the offset is looked up twice, which settles gaps and overlaps."""
-    first = local_ms - zone_offset_minutes(local_ms, zone).cast("long") * 60000
-    return local_ms - zone_offset_minutes(first, zone).cast("long") * 60000
+    offset = lambda ms: zone_offset_minutes(ms, zone).cast("long") * 60000
+    return bound(local_ms, lambda wall: bound(wall - offset(wall), lambda first: wall - offset(first)))
 
 
 def utc_day(ms: Column) -> Column:

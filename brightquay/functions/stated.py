@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brightquay.functions.dates import MONTHS, local_to_utc, zone_offset_minutes
+from brightquay.functions.dates import MONTHS, bound, local_to_utc, zone_offset_minutes
 from brightquay.functions.text import _col
 
 # The shapes in which sources state times.
@@ -192,21 +192,42 @@ def stated_schedule(lines: Column, now_ms: Column, zone: str) -> Column:
     year. A labelled zone wins over the board's. An end month before the start's is next
     year's; an end not after the start is a day later.
     """
-    here = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(lines) - 2))
-    at = F.get(F.filter(here, lambda i: F.coalesce(F.get(lines, i).rlike(_DATE_LINE) & F.get(lines, i + 1).rlike(_TIME_LINE), F.lit(False))), F.lit(0))
-    day, clock = F.get(lines, at), F.get(lines, at + 1)
-    month, number, weekday = month_number(F.regexp_extract(day, _DATE_LINE, 2)), _number(day, _DATE_LINE, 3), F.regexp_extract(day, _DATE_LINE, 1)
+    offsets = F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
     this = F.year(F.timestamp_millis(now_ms + zone_offset_minutes(now_ms, zone).cast("long") * 60_000))
-    noon = lambda y: utc_ms(y, month, number, 720)
-    fits = lambda y: F.date_format(F.timestamp_millis(noon(y)), "EEEE") == weekday
-    recent = lambda y: local_to_utc(noon(y), zone) >= now_ms - 36 * HOUR_MS
-    year = F.coalesce(_number(day, _DATE_LINE, 4), F.when(fits(this) & recent(this), this).when(fits(this + 1) & recent(this + 1), this + 1).when(fits(this), this).when(fits(this + 1), this + 1).otherwise(this))
-    label = F.regexp_extract(clock, _TIME_LINE, 9)
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv]), F.nullif(label, F.lit("")))
-    instant = lambda ms: F.when(offset.isNotNull(), ms - offset.cast("long") * 60_000).otherwise(local_to_utc(ms, zone))
-    other = F.regexp_extract(clock, _TIME_LINE, 4) != ""
-    end_month = F.when(other, month_number(F.regexp_extract(clock, _TIME_LINE, 4))).otherwise(month)
-    end_day = F.when(other, _number(clock, _TIME_LINE, 5)).otherwise(number)
-    start = instant(utc_ms(year, month, number, _minutes(clock, _TIME_LINE, 1, 3)))
-    end = instant(utc_ms(year + F.when(end_month < month, 1).otherwise(0), end_month, end_day, _minutes(clock, _TIME_LINE, 6, 8)))
-    return F.when(at.isNotNull(), F.struct(start.alias("start"), F.when(end <= start, end + DAY_MS).otherwise(end).alias("end"), (at + 1).alias("time_line")))
+
+    def found(all_lines: Column) -> Column:
+        here = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(all_lines) - 2))
+        fits = lambda i: F.coalesce(F.get(all_lines, i).rlike(_DATE_LINE) & F.get(all_lines, i + 1).rlike(_TIME_LINE), F.lit(False))
+        return bound(F.get(F.filter(here, fits), F.lit(0)), lambda at: F.struct(F.get(all_lines, at).alias("day"), F.get(all_lines, at + 1).alias("clock"), (at + 1).alias("time_line")))
+
+    def parts(f: Column) -> Column:
+        day, clock = f["day"], f["clock"]
+        return F.struct(
+            month_number(F.regexp_extract(day, _DATE_LINE, 2)).alias("month"), _number(day, _DATE_LINE, 3).alias("day"), F.regexp_extract(day, _DATE_LINE, 1).alias("weekday"), _number(day, _DATE_LINE, 4).alias("year"),
+            _minutes(clock, _TIME_LINE, 1, 3).alias("opens"), _minutes(clock, _TIME_LINE, 6, 8).alias("closes"), F.nullif(F.regexp_extract(clock, _TIME_LINE, 4), F.lit("")).alias("end_month"), _number(clock, _TIME_LINE, 5).alias("end_day"),
+            F.element_at(offsets, F.nullif(F.regexp_extract(clock, _TIME_LINE, 9), F.lit(""))).alias("offset"), f["time_line"].alias("time_line"), this.alias("this"),
+        )
+
+    def noons(x: Column) -> Column:
+        """The parts, and of both years whether the date falls on the weekday and is not over."""
+        noon = lambda y: utc_ms(y, x["month"], x["day"], 720)
+        test = lambda y: bound(noon(y), lambda n: F.struct((F.date_format(F.timestamp_millis(n), "EEEE") == x["weekday"]).alias("fits"), (local_to_utc(n, zone) >= now_ms - 36 * HOUR_MS).alias("recent")))
+        return F.struct(x.alias("x"), test(x["this"]).alias("a"), test(x["this"] + 1).alias("b"))
+
+    def year_of(t: Column) -> Column:
+        x, a, b = t["x"], t["a"], t["b"]
+        inferred = F.when(a["fits"] & a["recent"], x["this"]).when(b["fits"] & b["recent"], x["this"] + 1).when(a["fits"], x["this"]).when(b["fits"], x["this"] + 1).otherwise(x["this"])
+        return F.struct(x.alias("x"), F.coalesce(x["year"], inferred).alias("year"))
+
+    def ends(t: Column) -> Column:
+        x, year = t["x"], t["year"]
+        instant = lambda wall: bound(wall, lambda ms: F.when(x["offset"].isNotNull(), ms - x["offset"].cast("long") * 60_000).otherwise(local_to_utc(ms, zone)))
+        other = x["end_month"].isNotNull()
+        last = bound(
+            F.when(other, month_number(x["end_month"])).otherwise(x["month"]),
+            lambda m: instant(utc_ms(year + F.when(m < x["month"], 1).otherwise(0), m, F.when(other, x["end_day"]).otherwise(x["day"]), x["closes"])),
+        )
+        return F.struct(instant(utc_ms(year, x["month"], x["day"], x["opens"])).alias("start"), last.alias("end"), x["time_line"].alias("time_line"))
+
+    made = bound(bound(bound(bound(bound(bound(lines, found), parts), noons), year_of), ends), lambda r: F.struct(r["start"].alias("start"), F.when(r["end"] <= r["start"], r["end"] + DAY_MS).otherwise(r["end"]).alias("end"), r["time_line"].alias("time_line")))
+    return bound(made, lambda r: F.when(r["time_line"].isNotNull(), r))

@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def day_ms(ts: str | Column) -> Column:
-    """Milliseconds of a zone-free timestamp, read as UTC."""
+    """Milliseconds of a zone-free timestamp, read as UTC, rounded down before 1970 too."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / F.lit(1000))
 
 
 def board_order(spark: SparkSession, sf_dir: str) -> DataFrame:

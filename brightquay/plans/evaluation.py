@@ -168,7 +168,7 @@ def click_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLICK_TEAMS = """
-WITH r AS (SELECT user_id, event_type, epoch_ms(ts) AS ms FROM events), d AS (SELECT DISTINCT user_id, event_type FROM r WHERE event_type <> 'view')
+WITH r AS (SELECT user_id, event_type, (epoch_us(ts) // 1000) AS ms FROM events), d AS (SELECT DISTINCT user_id, event_type FROM r WHERE event_type <> 'view')
 SELECT 'source' AS what, event_type AS name, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'first', user_id || '/' || event_type, min(ms) FROM r GROUP BY user_id, event_type
 UNION ALL SELECT 'credit', CASE WHEN (user_id + length(event_type)) % 2 = 0 THEN 'candidate' ELSE 'production' END, count(*) FROM d GROUP BY 2
 UNION ALL SELECT 'window', 'first_ms', min(ms) FROM r UNION ALL SELECT 'window', 'last_ms', max(ms) FROM r UNION ALL SELECT 'window', 'n', count(*) FROM r UNION ALL SELECT 'window', 'positives', count(*) FILTER (WHERE event_type = 'click') FROM r UNION ALL SELECT 'window', 'days', count(DISTINCT ms // 86400000) FROM r

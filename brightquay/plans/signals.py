@@ -20,7 +20,7 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SESSION_GAPS = """
-WITH g AS (SELECT *, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS p FROM events)
+WITH g AS (SELECT *, (epoch_us(ts) // 1000) AS ms, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000)) AS p FROM events)
 SELECT event_id, user_id, sum(CASE WHEN p IS NULL OR ms - p > 86400000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms RANGE UNBOUNDED PRECEDING)::BIGINT AS session FROM g
 """
 
@@ -41,7 +41,7 @@ def asof_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASOF_CREDIT = """
 SELECT p.event_id, p.user_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-ASOF JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND epoch_ms(p.ts) >= epoch_ms(v.ts)
+ASOF JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND (epoch_us(p.ts) // 1000) >= (epoch_us(v.ts) // 1000)
 """
 
 
@@ -51,7 +51,7 @@ def prior_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRIOR_CLICKS = """
-SELECT event_id, coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM events
+SELECT event_id, coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM events
 """
 
 
@@ -63,8 +63,8 @@ def window_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WINDOW_CLICKS = """
-SELECT p.event_id, count(c.event_id) AS n, epoch_ms(p.ts) + 86400000 > 1705000000000 AS violates FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND epoch_ms(c.ts) >= epoch_ms(p.ts) AND epoch_ms(c.ts) < epoch_ms(p.ts) + 86400000 GROUP BY p.event_id, p.ts
+SELECT p.event_id, count(c.event_id) AS n, (epoch_us(p.ts) // 1000) + 86400000 > 1705000000000 AS violates FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND (epoch_us(c.ts) // 1000) >= (epoch_us(p.ts) // 1000) AND (epoch_us(c.ts) // 1000) < (epoch_us(p.ts) // 1000) + 86400000 GROUP BY p.event_id, p.ts
 """
 
 
@@ -105,7 +105,7 @@ def organic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORGANIC_GATE = """
 WITH c AS (SELECT count(*) FILTER (WHERE o AND event_type = 'view') AS impressions, count(*) FILTER (WHERE o AND event_type <> 'view') AS interactions, count(DISTINCT CASE WHEN o THEN user_id END) AS clients,
-  count(DISTINCT CASE WHEN o THEN epoch_ms(ts) // 86400000 END) AS days, count(*) FILTER (WHERE NOT o) AS excluded FROM (SELECT *, user_id % 3 > 0 AS o FROM events))
+  count(DISTINCT CASE WHEN o THEN (epoch_us(ts) // 1000) // 86400000 END) AS days, count(*) FILTER (WHERE NOT o) AS excluded FROM (SELECT *, user_id % 3 > 0 AS o FROM events))
 SELECT *, impressions >= 500 AND interactions >= 50 AND clients >= 25 AND days >= 7 AS open FROM c
 """
 
@@ -191,7 +191,7 @@ def prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREQUENTIAL = """
-WITH d AS (SELECT epoch_ms(ts) // 86400000 * 86400000 AS day_start, count(*) AS n FROM events GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY day_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_before FROM d)
+WITH d AS (SELECT (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day_start, count(*) AS n FROM events GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY day_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_before FROM d)
 SELECT day_start, n_before, n FROM b WHERE n_before >= 200
 """
 
