@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brightquay.functions.scoring import linear_score, log_loss
 from brightquay.operators.gates import first_true
-from brightquay.operators.ranking import shuffled
+from brightquay.operators.ranking import numbered_keys, shuffled
 
 # The features in order, and where counts saturate.
 FEATURES = ("confidence", "builderValue", "accessibility", "freshness", "score", "isHackathon", "isLuma", "daysUntilStart", "daysUntilStartMissing", "hasPrize", "tagCount", "regionMatch", "statusOpen", "going", "goingMissing")
@@ -70,13 +70,18 @@ def shuffled_ranks(lists: DataFrame, key: str, seed: str, items: str) -> DataFra
 
 
 def orderings(shown: DataFrame, weights: Sequence[float], bias: float) -> DataFrame:
+    """:func:`orderings_by` the score of one model."""
+    return orderings_by(shown, linear_score(F.col("features"), weights, bias))
+
+
+def orderings_by(shown: DataFrame, score: Column) -> DataFrame:
     """``render, ordering, item, rank, region, relevant`` of ``render, ts, item, ordinal, start, prior, features, region, relevant`` rows.
 
-    production and recency go by start, popularity by prior clicks, candidate by the model;
+    production and recency go by start, popularity by prior clicks, candidate by ``score``;
     ties follow the production order. random shuffles the list as it was shown.
     """
     s = shown.withColumn("_p", production_rank(["render"], "start", "ordinal"))
-    s = s.withColumn("_z", F.round(linear_score(F.col("features"), weights, bias), 9))  # equal but for rounding is a tie
+    s = s.withColumn("_z", F.round(score, 9))  # equal but for rounding is a tie
     place = lambda *keys: (F.row_number().over(W.partitionBy("render").orderBy(*keys)) - 1).cast("int")
     s = s.withColumn("_popularity", place(F.desc("prior"), "_p")).withColumn("_recency", place(F.coalesce(F.col("start"), F.lit("9999")), "ordinal")).withColumn("_candidate", place(F.desc("_z"), "_p"))
     ranks = F.array(*[F.struct(F.lit(n).alias("ordering"), F.col(c).cast("int").alias("rank")) for n, c in (("production", "_p"), ("popularity", "_popularity"), ("recency", "_recency"), ("candidate", "_candidate"))])
@@ -177,6 +182,39 @@ def order_hash(rows: DataFrame, by: str, rank: str, item: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sha2(F.to_json(ids), 256).alias("sha256"))
 
 
+def scored_by_day(rows: DataFrame, models: DataFrame, day: str, label: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the score by their own day's model for a label; null where the day has none.
+
+    Models are a row per day, so a join on the day brings each row its weights.
+    """
+    m = models.filter(F.col("label") == label).select(F.col("day").alias("_day"), F.col("weights").alias("_w"), F.col("bias").alias("_b"))
+    z = F.aggregate(F.zip_with("features", "_w", lambda x, w: x * w), F.col("_b"), lambda a, x: a + x)
+    return rows.join(m, F.col(day) == F.col("_day"), "left").select(*rows.columns, z.alias(name))
+
+
+def shuffled_labels(rows: DataFrame, key: str, label: str, name: str = "shuffled") -> DataFrame:
+    """``rows`` of distinct keys with ``name``: the label of the next key in order of the keys' hashes, the first's for the last.
+
+    The order is as good as random, so the labels are, and their number stays.
+    """
+    k = numbered_keys(rows.select(key, label), key)
+    n = k.agg(F.count("*").alias("_n"))
+    turned = k.join(F.broadcast(n)).select(((F.col("k") + F.col("_n") - 1) % F.col("_n")).alias("k"), F.col(label).alias(name))  # one row
+    return rows.join(k.join(turned, "k").select(F.col(key).alias("_key"), name), F.col(key) == F.col("_key")).select(*rows.columns, name)
+
+
+def clustered_outcomes(drafts: DataFrame, clicked: DataFrame, client: DataFrame) -> DataFrame:
+    """``render, client, value``: 1, 0 or -1 as the candidate, no one or production got more clicks in a drafted render.
+
+    ``drafts`` has ``render, item, team``, ``clicked`` distinct ``render, item``, ``client`` ``render, client``.
+    """
+    sides = drafts.join(clicked.withColumn("_hit", F.lit(1)), ["render", "item"], "left").groupBy("render").agg(
+        F.sum(F.when(F.col("team") == "candidate", F.col("_hit"))).alias("c"), F.sum(F.when(F.col("team") == "production", F.col("_hit"))).alias("p"), F.bool_or(F.col("team") == "candidate").alias("_drafted")
+    )
+    value = F.signum((F.coalesce("c", F.lit(0)) - F.coalesce("p", F.lit(0))).cast("double"))
+    return sides.filter("_drafted").join(client, "render").select("render", "client", value.alias("value"))
+
+
 def control_outcomes(rows: DataFrame) -> DataFrame:
     """``control, behaved`` of negative controls: a planted leak must be seen, shuffled labels must not win, and without a client or a model the list is the frozen one."""
     behaved = first_true((F.col("control") == "leak", "leak"), (F.col("control") == "shuffle", "shuffle"))

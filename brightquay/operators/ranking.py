@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightquay.functions.scoring import discounted, ideal_gain, mulberry
+from brightquay.operators.descent import fit_all
 
 
 def ranked(rows: DataFrame, by: Sequence[str], *order) -> DataFrame:
@@ -158,40 +159,9 @@ class ClickModel:
         return list(names) == list(expected) and len(self.weights) == len(expected) and bool(np.isfinite(self.weights).all()) and math.isfinite(self.bias)
 
 
-def fit_clicks(rows: DataFrame, features: str = "features", label: str = "label", weight: str = "weight", rate: float = 0.5, steps: int = 2000, l2: float = 0.01, most: int = 2_000_000) -> ClickModel:
-    """Full-batch gradient descent on weighted log-loss, the bias without penalty.
-
-    Rows with equal features and label count once with the sum of their weights, and that
-    summary is what descends on the driver; it may have ``most`` rows, beyond which each
-    step is a Spark aggregation instead, with the same result but for rounding.
-    """
-    small = rows.groupBy(features, label).agg(F.sum(weight).alias("w"))
-    if small.count() <= most:
-        f = small.toPandas()
-        x, y, w = np.stack(f[features].to_numpy()), f[label].to_numpy(np.float64), f["w"].to_numpy(np.float64)
-        order = np.lexsort((y, *x.T[::-1]))
-        x, y, w = x[order], y[order], w[order]
-
-        def gradient(v: np.ndarray, b: float) -> np.ndarray:
-            e = w * (1 / (1 + np.exp(-(x @ v + b))) - y)
-            return np.append(x.T @ e, e.sum())
-
-        total, size = w.sum(), x.shape[1]
-    else:
-        from brightquay.functions.scoring import linear_score
-
-        small = small.persist()
-        total, size = small.agg(F.sum("w")).first()[0], len(small.select(features).first()[0])
-
-        def gradient(v: np.ndarray, b: float) -> np.ndarray:
-            e = F.col("w") * (1 / (1 + F.exp(-linear_score(F.col(features), v.tolist(), b))) - F.col(label))
-            return np.array(small.withColumn("e", e).agg(*[F.sum(F.col("e") * F.get(features, F.lit(i))) for i in range(size)], F.sum("e")).first(), dtype=float)
-
-    v, b = np.zeros(size), 0.0
-    for _ in range(steps):
-        g = gradient(v, b) / total
-        v, b = v - rate * (g[:-1] + l2 * v), b - rate * g[-1]
-    return ClickModel(v, float(b))
+def fit_clicks(rows: DataFrame, features: str = "features", label: str = "label", weight: str = "weight", **options) -> ClickModel:
+    """Full-batch gradient descent on weighted log-loss, the bias without penalty: passes of Spark over the summed-up rows, whatever their number."""
+    return ClickModel(*fit_all(rows, features, label, weight, **options))
 
 
 def prequential_days(rows: DataFrame, ts_ms: str, least: int = 200) -> DataFrame:
@@ -202,12 +172,6 @@ def prequential_days(rows: DataFrame, ts_ms: str, least: int = 200) -> DataFrame
     return before.filter(F.col("n_before") >= least).select("day_start", "n_before", "n")
 
 
-def daily_models(rows: DataFrame, ts_ms: str, least: int = 200, **options) -> Iterator[tuple[int, ClickModel]]:
-    """``(day_start, model)`` of each day with enough rows before it, the model fitted on these alone; days are few."""
-    for day in prequential_days(rows, ts_ms, least).orderBy("day_start").collect():
-        yield day.day_start, fit_clicks(rows.filter(F.col(ts_ms) < day.day_start), **options)
-
-
 def moved_features(before: DataFrame, after: DataFrame, key: str, features: str = "features") -> DataFrame:
     """Rows whose features moved when fields that they must not read were changed: a leak."""
     a = after.select(F.col(key).alias("_k"), F.col(features).alias("_f"))

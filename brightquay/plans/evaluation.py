@@ -15,9 +15,15 @@ from brightquay.plans.board import NOW_MS, day_ms, table
 WEIGHTS, BIAS = tuple(round(0.3 - 0.05 * i, 2) for i in range(len(evaluate.FEATURES))), -0.2
 
 
-def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``render, item, ordinal, ts, start, prior, features, region, relevant``: each part that an order shows."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("render"), F.col("l_partkey").alias("item")).agg(
+def shown(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
+    """``render, item, ordinal, ts, start, prior, features, region, relevant``: each part that an order shows.
+
+    With ``moved``, everything in the lines that a feature must not read is changed first.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if moved:
+        lines = lines.withColumns({"l_returnflag": F.when(F.col("l_returnflag") == "R", "N").otherwise("R"), "l_extendedprice": F.col("l_extendedprice") + 1234, "l_discount": 1 - F.col("l_discount")})
+    li = lines.groupBy(F.col("l_orderkey").alias("render"), F.col("l_partkey").alias("item")).agg(
         F.min("l_shipdate").alias("at"), F.bool_or(F.col("l_returnflag") == "R").alias("relevant"), F.count("*").alias("prior"), F.sum(F.col("l_quantity").cast("int")).cast("int").alias("q")
     )
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_size", "p_type", "p_brand")
@@ -132,13 +138,15 @@ SELECT *, CASE WHEN NOT gate_met THEN 'Implemented result pending' WHEN beats_ba
 
 def leak_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose features move under a forbidden change, and under one that a planted leak reads."""
-    s = shown(spark, sf_dir)
-    kept, leaked = F.col("features"), F.concat("features", F.array(F.col("relevant").cast("double")))
-    after = F.concat("features", F.array((~F.col("relevant")).cast("double")))
-    return s.agg(F.count_if(evaluate.reads_future(kept, kept)).alias("moved"), F.count_if(evaluate.reads_future(leaked, after)).alias("planted"), F.count("*").alias("n"))
+    pair = lambda moved, tag: shown(spark, sf_dir, moved).select("render", "item", F.col("features").alias(f"own{tag}"), F.concat("features", F.array(F.col("relevant").cast("double"))).alias(f"leaky{tag}"))
+    s = pair(False, "0").join(pair(True, "1"), ["render", "item"])
+    return s.agg(F.count_if(evaluate.reads_future(F.col("own0"), F.col("own1"))).alias("moved"), F.count_if(evaluate.reads_future(F.col("leaky0"), F.col("leaky1"))).alias("planted"), F.count("*").alias("n"))
 
 
-LEAK_CONTROLS = f"WITH {S} SELECT CAST(0 AS BIGINT) AS moved, count(*) AS planted, count(*) AS n FROM s"
+LEAK_CONTROLS = """
+WITH l AS (SELECT l_orderkey, l_partkey, bool_or(l_returnflag = 'R') AS a, bool_or(l_returnflag <> 'R') AS b FROM lineitem GROUP BY 1, 2)
+SELECT CAST(0 AS BIGINT) AS moved, count(*) FILTER (WHERE a <> b) AS planted, count(*) AS n FROM l JOIN part ON l_partkey = p_partkey
+"""
 
 
 def control_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

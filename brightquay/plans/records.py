@@ -44,14 +44,14 @@ EVENT_ROOTS = f"WITH {_RECORDS} SELECT n.id AS ordinal, coalesce(m.root, n.id) A
 
 
 def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold: a day's records merge into the first kept one that is the same event."""
-    r = _records(spark, sf_dir).withColumn("merged", F.lit(1))
+    """The ordered fold, component by component: a record merges into the first kept one that is the same event."""
+    r = _records(spark, sf_dir).withColumn("merged", F.lit(1)).persist()
 
     def merge(a: dict, b: dict) -> dict:
         base, other = (b, a) if b["confidence"] > a["confidence"] else (a, b)
         return base | {"venue": base["venue"] or other["venue"], "ordinal": a["ordinal"], "merged": a["merged"] + b["merged"]}
 
-    return resolve.greedy_fold(r, resolve.same_event, merge).select("ordinal", "day", "fingerprint", "venue", "merged")
+    return resolve.component_fold(r, resolve.match_links(r), resolve.same_event, merge).select("ordinal", "day", "fingerprint", "venue", "merged")
 
 
 def best_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +30,22 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f"{here.name}/{f.relative_to(here)}")
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; without one, a local folder where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/brightquay-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written and read back: what it was made of is not run again, and plans of rounds don't nest."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
