@@ -76,21 +76,30 @@ def write_table(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
 MOST_FILES = 100_000
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``_row``, a number of the row that every reading agrees on.
+def free_name(docs: DataFrame, base: str) -> str:
+    """``base``, with as many underscores behind it as it takes for ``docs`` to have no such column, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` and ``row``, a number of the row that every reading agrees on; the name must be free.
 
     A table read from files keeps their order: its rows are numbered by file and place in
     it, and nothing is written. Anything else, and a table of more than MOST_FILES files, is
     written with its numbers.
     """
     if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        placed = docs.select("*", F.col("_metadata.file_path").alias("_bq_path"), F.col("_metadata.row_index").alias("_bq_place"))
-        files = placed.select("_bq_path").distinct()
-        files = write_table(files.select(F.col("_bq_path").alias("_bq_file"), (F.row_number().over(W.orderBy("_bq_path")) - 1).cast("long").alias("_bq_number")), "files")
+        path, place, file, number = (free_name(docs, f"_bq_{x}") for x in ("path", "place", "file", "number"))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+        files = placed.select(path).distinct()
+        files = write_table(files.select(F.col(path).alias(file), (F.row_number().over(W.orderBy(path)) - 1).cast("long").alias(number)), "files")
         if files.count() <= MOST_FILES:
-            rows = placed.join(F.broadcast(files), F.col("_bq_path") == F.col("_bq_file"))
-            return rows.select(*docs.columns, (F.shiftleft("_bq_number", 40) + F.col("_bq_place")).alias("_row"))
-    return write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+            rows = placed.join(F.broadcast(files), F.col(path) == F.col(file))
+            return rows.select(*docs.columns, (F.shiftleft(number, 40) + F.col(place)).alias(row))
+    return write_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 class Scratch:

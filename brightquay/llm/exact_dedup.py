@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WHITE, Scratch, drop_table, load, numbered, text_of, write_table
+from brightquay.llm.common import WHITE, Scratch, drop_table, free_name, load, numbered, text_of, write_table
 
 #: Bytes of the first digit, its growth a round, and its bound.
 FIRST_DIGIT, GROWTH, LARGEST_DIGIT = 64, 16, 1 << 20
@@ -79,12 +79,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     What goes is written first: it is the smaller part, and its size decides how the texts
     meet it.
     """
-    rows = numbered(docs)
-    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("_row")).alias("_key"), F.col(text_col).alias("_text"))
     with Scratch() as scratch:
-        gone = exact_groups(keyed, "_key", text_col).filter("NOT kept").select(F.col("doc_id._row").alias("_row"))
+        gone = exact_groups(keyed, "_key", "_text").filter("NOT kept").select(F.col("doc_id._row").alias(row))
         gone = scratch.keep(write_table(gone, "copies"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

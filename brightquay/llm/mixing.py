@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import WORD, Scratch, load, numbered, text_of, write_table
+from brightquay.llm.common import WORD, Scratch, free_name, load, numbered, text_of, write_table
 
 #: Rows that a slice of a source's key range holds on average.
 SLICE_ROWS = 4096
@@ -91,19 +91,22 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
-    rows = numbered(docs)
+    row, size, took, words = (free_name(docs, x) for x in ("_row", "_size", "_taken", "_words"))
+    rows = numbered(docs, row)
     with Scratch() as scratch:
-        taken = mix(rows, also=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+        taken = mix(rows.select("doc_id", "source", "text", F.col(row).alias("_row")), also=("_row",), **options).filter("taken > 0").select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(took))
         taken = scratch.keep(write_table(taken, "taken"))
-    x = rows.join(taken, "_row")
-    x = x.withColumn("_words", F.explode(F.expr("concat(array_repeat(int(_size), int(_taken div _size)), IF(_taken % _size > 0, array(int(_taken % _size)), cast(array() as array<int>)))")))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut)
-    out = x.withColumn("text", text)
+    x = rows.join(taken, row)
+    n, rest = F.col(size).cast("int"), (F.col(took) % F.col(size)).cast("int")
+    times = F.expr(f"int({took} div {size})")
+    x = x.withColumn(words, F.explode(F.concat(F.array_repeat(n, times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    whole = F.col(words) == F.col(size)
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(split, F.lit(1), F.col(words)), " ")
+    new = {"text": F.when(whole, F.col("text")).otherwise(cut)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

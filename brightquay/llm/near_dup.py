@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import Scratch, drop_table, load, numbered, text_of, write_table
+from brightquay.llm.common import Scratch, drop_table, free_name, load, numbered, text_of, write_table
 from brightquay.llm.components import components
 from brightquay.llm.exchange import fresh_worker, mixed, row_pieces, slices_of
 
@@ -618,14 +618,16 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, sim: tuple[int, int] =
 
     Every row is a document here, whatever its id.
     """
-    rows = numbered(docs)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
     with Scratch() as scratch:
-        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, sim).select(F.col("doc_id").alias("_row"), "component_id")
+        own = rows.select(F.col(row).alias("_row"), "doc_id", "text")
+        found = near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), words, sim).select(F.col("doc_id").alias("_row"), "component_id")
         rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row").alias("rank")
-        placed = write_table(found.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", rank), "near-rows")
+        placed = write_table(found.join(own.select("_row", "doc_id"), "_row").select("_row", "component_id", rank), "near-rows")
         first = placed.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("k")).filter("k > 1").select("component_id", F.col("first._row").alias("_first"))
-        gone = scratch.keep(write_table(placed.join(first, "component_id").filter("_row <> _first").select("_row"), "near-copies"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+        gone = scratch.keep(write_table(placed.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias(row)), "near-copies"))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

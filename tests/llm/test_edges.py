@@ -75,6 +75,21 @@ def test_dropping_keeps_columns_and_one_of_each(spark):
     assert mixing.apply_mix(docs).columns == docs.columns
 
 
+ODD = ("_row", "_size", "_taken", "_words", "_key", "_id", "_bq_path", "_ROW_")
+
+
+@pytest.mark.parametrize("apply", [mixing.apply_mix, near_dup.keep_one_of_each, exact_dedup.drop_exact_copies])
+def test_columns_with_names_of_work_columns(spark, apply):
+    """They come out as they went in, and change nothing."""
+    docs = edge_docs(spark)
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("text", F.lit(""))) for c in ODD})
+    out = apply(odd)
+    assert out.columns == odd.columns
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, apply(docs).collect()))
+    if apply is not mixing.apply_mix:  # there texts are cut
+        assert out.filter(" OR ".join(f"`{c}` <> concat('{c} of ', coalesce(text, ''))" for c in ODD)).count() == 0
+
+
 def test_mix_of_edges(spark):
     """Nothing is taken more than three times, and sources reach their rounded targets."""
     out = mixing.mix(edge_docs(spark))
@@ -176,10 +191,10 @@ def test_rows_are_numbered_by_file_and_place(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet(str(tmp_path / "t"))
     for most in (100, 3):
         monkeypatch.setattr(common, "MOST_FILES", most)
-        rows = common.numbered(docs)
+        rows = common.numbered(docs, "_row")
         assert rows.columns == [*docs.columns, "_row"] and rows.select("_row").distinct().count() == 100
         assert rows.join(rows.select("_row", F.col("doc_id").alias("d")).repartition(5), "_row").filter("d = doc_id").count() == 100
-    assert common.numbered(docs.filter("doc_id = 1")).select("_row").distinct().count() == 33
+    assert common.numbered(docs.filter("doc_id = 1"), "_row").select("_row").distinct().count() == 33
 
 
 def test_scratch_tables_go(spark):
