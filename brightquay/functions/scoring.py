@@ -109,3 +109,29 @@ def mulberry(seed: int, k: Column) -> Column:
     one = let(state, lambda t: times(mixed(t, 15), t.bitwiseOR(F.lit(1).cast("long"))))
     two = let(one, lambda t: t.bitwiseXOR((t + times(mixed(t, 7), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask)))
     return let(two, lambda t: mixed(t, 14).bitwiseAND(mask)) / F.lit(4294967296.0)
+
+
+def fixed_places(x: Column, places: int = 4) -> Column:
+    """Rounding of the exact binary value to decimal places, exact halves away from zero; null, NaN and infinities are null.
+
+    The product with the power of ten is taken with its rounding error (halves of 26 bits,
+    whose products are exact), so that 1.005, which is a little less, stays below its half.
+    Products of 2^52 and more have no places left in them and are rounded as Spark does.
+    """
+    from brightquay.functions.dates import bound
+
+    ten = float(10**places)
+    split = lambda v: bound(v * F.lit(134217729.0), lambda c: c - (c - v))
+    high_ten = 134217729.0 * ten - (134217729.0 * ten - ten)
+
+    def of(a: Column) -> Column:
+        p = a * F.lit(ten)
+        low = lambda h: a - h
+        error = lambda h: ((h * high_ten - p) + h * (ten - high_ten) + low(h) * high_ten) + low(h) * (ten - high_ten)
+        parts = bound(split(a), lambda h: F.struct(p.alias("p"), error(h).alias("e"), F.rint(p).alias("n")))
+        rest = lambda t: t["p"] - t["n"]
+        whole = lambda t: t["n"] + F.when((rest(t) - 0.5) + t["e"] >= 0, 1).otherwise(0) - F.when((rest(t) + 0.5) + t["e"] < 0, 1).otherwise(0)
+        return F.when(p < 4503599627370496.0, bound(parts, lambda t: whole(t) / F.lit(ten))).otherwise(F.round(a, places))
+
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(finite, bound(F.abs(x), of) * F.when(x < 0, -1.0).otherwise(1.0))

@@ -1,14 +1,12 @@
-"""Text, URL and HTML functions on columns; all of them run in the JVM except the named pandas functions."""
+"""Text, URL and HTML functions on columns; all of them run in the JVM."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -236,24 +234,20 @@ def ics_escape(text: Column | str) -> Column:
     return F.replace(F.regexp_replace(out, "\r\n|\r", "\n"), F.lit("\n"), F.lit("\\n"))
 
 
-@F.pandas_udf(T.StringType())
-def ics_fold(lines: pd.Series) -> pd.Series:
-    """Content lines folded at 75 bytes, continuations at 74 behind a blank; characters stay whole."""
+def ics_fold(line: Column | str) -> Column:
+    """A content line folded at 75 bytes, continuations at 74 behind a blank; characters stay whole.
 
-    def one(line: str | None) -> str | None:
-        if line is None:
-            return None
-        parts, now, room = [], bytearray(), 75
-        for ch in line:
-            b = ch.encode("utf-8", "surrogatepass")
-            if len(now) + len(b) > room:
-                parts.append(now.decode("utf-8", "surrogatepass"))
-                now, room = bytearray(), 74
-            now += b
-        parts.append(now.decode("utf-8", "surrogatepass"))
-        return "\r\n ".join(parts)
-
-    return lines.map(one)
+    One pass over the characters' sizes notes where lines begin; the text is then cut there.
+    """
+    t = _col(line)
+    sizes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.octet_length(c))
+    start = F.struct(F.array(F.lit(1)).alias("begins"), F.lit(0).alias("used"), F.lit(75).alias("room"), F.lit(0).alias("at"))
+    step = lambda a, n: F.when(
+        a["used"] + n > a["room"], F.struct(F.concat(a["begins"], F.array(a["at"] + 1)).alias("begins"), n.alias("used"), F.lit(74).alias("room"), (a["at"] + 1).alias("at"))
+    ).otherwise(F.struct(a["begins"].alias("begins"), (a["used"] + n).alias("used"), a["room"].alias("room"), (a["at"] + 1).alias("at")))
+    begins = F.aggregate(sizes, start, step, lambda a: a["begins"])
+    lines = F.transform(begins, lambda b, i: F.substr(t, b, F.coalesce(F.get(begins, i + 1), F.length(t) + 1) - b))
+    return F.when(F.octet_length(t) <= 75, t).otherwise(F.array_join(lines, "\r\n "))
 
 
 def context_window(text: Column | str, needle: Column | str, before: int = 260, after: int = 160) -> Column:
@@ -275,6 +269,29 @@ def result_links(html: Column | str, own_hosts: tuple[str, ...]) -> Column:
     return F.array_distinct(F.filter(F.transform(hrefs, one), lambda h: h.rlike("^https?://") & ~F.lower(url_part(h, "host")).isin(list(own_hosts))))
 
 
+#: Hosts of the search engine itself, by name under any suffix (a fixed pattern).
+ENGINE_HOSTS = r"(?i)^https?://(?:[a-z0-9-]+\.)*(?:google|gstatic|googleusercontent|youtube|googleapis|schema)\.[a-z.]+"
+
+
+def search_results(body: Column | str) -> Column:
+    """Array of (link, text) of a search response: the organic list of a JSON body, else the links of an HTML one.
+
+    JSON comes first: ``organic`` or ``results.organic``, with link or url, title and
+    description or snippet. HTML results have no text: redirect targets, then direct links
+    that are not the engine's own, each once.
+    """
+    t = _col(body)
+    v = F.try_parse_json(t)
+    organic = F.coalesce(F.try_variant_get(v, "$.organic", "array<variant>"), F.try_variant_get(v, "$.results.organic", "array<variant>"))
+    of = lambda r, *paths: F.coalesce(*[F.try_variant_get(r, f"$.{p}", "string") for p in paths])
+    words = lambda r: F.trim(F.concat(F.coalesce(of(r, "title"), F.lit("")), F.lit(" "), F.coalesce(of(r, "description", "snippet"), F.lit(""))))
+    listed = F.filter(F.transform(organic, lambda r: F.struct(of(r, "link", "url").alias("link"), words(r).alias("text"))), lambda r: r["link"].isNotNull())
+    wrapped = F.transform(F.regexp_extract_all(t, F.lit(r"/url\?q=([^&\"'<>]+)"), F.lit(1)), lambda x: F.call_function("try_url_decode", x))
+    direct = F.filter(F.regexp_extract_all(t, F.lit(r'href="(https?://[^"]+)"'), F.lit(1)), lambda x: ~x.rlike(ENGINE_HOSTS))
+    links = F.array_distinct(F.concat(F.filter(wrapped, lambda x: x.rlike("^https?://")), direct))
+    return F.coalesce(listed, F.transform(links, lambda x: F.struct(x.alias("link"), F.lit("").alias("text"))))
+
+
 def template(text: Column | str, values: Mapping[str, Column]) -> Column:
     """``{name}`` places filled."""
     out = _col(text)
@@ -293,3 +310,52 @@ def going_count(text: Column | str, structured: Column | None = None) -> Column:
     line = F.get(F.filter(F.split(_col(text), "\n"), lambda x: F.trim(x).rlike(r"^\d+ Going\z")), F.lit(0))
     parsed = F.regexp_extract(line, r"(\d+) Going", 1).cast("int")
     return parsed if structured is None else F.coalesce(structured, parsed)
+
+
+_slavic_few = lambda n: (n % 10).between(2, 4) & ~(n % 100).between(12, 14)
+_millions = lambda n: (n != 0) & (n % 1_000_000 == 0)
+#: Plural forms of languages (fixed values): the form of a whole number is the first that fits, else ``other``.
+PLURAL_RULES: dict[str, tuple[tuple[str, Callable[[Column], Column]], ...]] = {
+    "en": (("one", lambda n: n == 1),),
+    "es": (("one", lambda n: n == 1), ("many", _millions)),
+    "fr": (("one", lambda n: n.isin(0, 1)), ("many", _millions)),
+    "pl": (("one", lambda n: n == 1), ("few", _slavic_few), ("many", lambda n: F.lit(True))),
+    "ru": (("one", lambda n: (n % 10 == 1) & (n % 100 != 11)), ("few", _slavic_few), ("many", lambda n: F.lit(True))),
+    "ar": (("zero", lambda n: n == 0), ("one", lambda n: n == 1), ("two", lambda n: n == 2), ("few", lambda n: (n % 100).between(3, 10)), ("many", lambda n: (n % 100).between(11, 99))),
+    "ja": (),
+}
+#: Separator of thousands, and the digits from which a number has one (fixed values).
+GROUPED = {"en": (",", 4), "es": (".", 5), "fr": ("\u202f", 4), "pl": ("\u00a0", 5), "ru": ("\u00a0", 4), "ar": (",", 4), "ja": (",", 4)}
+
+
+def plural_form(language: Column, n: Column) -> Column:
+    """Name of the form that a number takes in a language; unknown languages have one form."""
+    size = F.abs(n)
+    out = F.when(F.lit(False), "")
+    for code, rules in PLURAL_RULES.items():
+        for form, fits in rules:
+            out = out.when((language == code) & fits(size), form)
+    return out.otherwise("other")
+
+
+def grouped_number(language: Column, n: Column) -> Column:
+    """A whole number with the language's separators."""
+    plain, digits = F.format_number(n, 0), F.length(F.abs(n).cast("string"))
+    out = F.when(F.lit(False), "")
+    for code, (mark, least) in GROUPED.items():
+        out = out.when(language == code, F.when(digits < least, n.cast("string")).otherwise(F.replace(plain, F.lit(","), F.lit(mark))))
+    return out.otherwise(plain)
+
+
+def catalog_text(catalog: Column, language: Column, key: Column, base: str = "en") -> Column:
+    """A key's text: the language's, else the base language's, else the key itself. ``catalog`` maps ``language/key`` to texts."""
+    at = lambda where: F.element_at(catalog, F.concat(where, F.lit("/"), key))
+    return F.coalesce(at(language), at(F.lit(base)), key)
+
+
+def plural_text(catalog: Column, language: Column, key: Column, n: Column, values: Mapping[str, Column] | None = None, base: str = "en") -> Column:
+    """The text of a key for a number: its form in the language, ``other`` where neither catalog has that form; ``{count}`` and other places filled."""
+    form = F.concat(key, F.lit("."), plural_form(language, n))
+    there = F.coalesce(F.element_at(catalog, F.concat(language, F.lit("/"), form)), F.element_at(catalog, F.concat(F.lit(base), F.lit("/"), form))).isNotNull()
+    chosen = F.when(there, form).otherwise(F.concat(key, F.lit(".other")))
+    return template(catalog_text(catalog, language, chosen, base), {"count": grouped_number(language, n)} | dict(values or {}))

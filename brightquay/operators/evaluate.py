@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -228,5 +229,7 @@ def model_version(names: Sequence[str], hyperparameters: Mapping[str, float], et
 
 
 def rounded(x: float | None, places: int = 4) -> float | None:
-    """Rounding of the exact binary value; nothing stays nothing."""
-    return None if x is None or not math.isfinite(x) else float(f"{x:.{places}f}")
+    """:func:`brightquay.functions.scoring.fixed_places` of one number; nothing stays nothing."""
+    if x is None or not math.isfinite(x):
+        return None
+    return float(Decimal(x).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))

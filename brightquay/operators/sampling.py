@@ -62,3 +62,9 @@ def reserve_order(rows: DataFrame, region: str, ordinal: str, reserve: int) -> D
 def triage(rows: DataFrame, promising: Column, seen_ms: Column, now_ms: Column, recent_days: int = 3) -> DataFrame:
     """``tier`` 0 promising, 1 recent, 2 the rest."""
     return rows.withColumn("tier", F.when(promising, 0).when(seen_ms >= now_ms - recent_days * 86400000, 1).otherwise(2))
+
+
+def headed(rows: DataFrame, by: str, order: str, label: str) -> DataFrame:
+    """``header``: the label where it differs from the one before in its list, else null."""
+    before = F.lag(label).over(W.partitionBy(by).orderBy(order))
+    return rows.withColumn("header", F.when(~F.col(label).eqNullSafe(before), F.col(label)))

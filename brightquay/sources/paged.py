@@ -6,15 +6,15 @@ import json
 from collections.abc import Iterator
 
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class PageFile(InputPartition):
-    """One page."""
+    """One page: its path, and what is on it where planning had to read it."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, items: list | None = None):
+        self.path, self.items = path, items
 
 
 def read_page(path: str, tries: int = 2) -> dict | None:
@@ -39,7 +39,13 @@ class PagedReader(DataSourceReader):
         self.folder, self.most, self.quiet = options["path"], int(options.get("pages", 1200)), int(options.get("quiet", 0))
 
     def partitions(self) -> list[InputPartition]:
-        """Pages up to the first without a cursor, the stated total, the cap, or a run of pages with nothing open."""
+        """Pages up to the stated total, the first without a cursor, the cap, or a run of pages with nothing open.
+
+        A first page that states a ``total`` and carries no cursor says how many pages there
+        are: the others are left to the tasks, which read them in parallel. Cursors and
+        quiet runs are only known from the page before, so those pages are read here, and
+        what was read goes with the partition: no page is read twice.
+        """
         out: list[InputPartition] = []
         n = calm = 0
         while len(out) < self.most:
@@ -47,17 +53,21 @@ class PagedReader(DataSourceReader):
             page = read_page(path)
             if page is None:
                 break
-            out.append(PageFile(path))
-            n += len(page["items"])
-            calm = 0 if any(x.get("open", True) for x in page["items"]) else calm + 1
+            items = page["items"]
+            out.append(PageFile(path, items))
+            n += len(items)
+            if len(out) == 1 and items and "total" in page and "next" not in page and not self.quiet:
+                pages = min(self.most, -(-page["total"] // len(items)))
+                return out + [PageFile(f"{self.folder}/{i}.json") for i in range(1, pages)]
+            calm = 0 if any(x.get("open", True) for x in items) else calm + 1
             if ("next" in page and not page["next"]) or n >= page.get("total", float("inf")) or (self.quiet and calm >= self.quiet):
                 break
         return out
 
     def read(self, partition: PageFile) -> Iterator[tuple]:
-        """Items of a page as JSON text."""
-        page = read_page(partition.path)
-        for i, item in enumerate(page["items"]):
+        """Items of a page as JSON text; a page that is not there any more has none."""
+        items = partition.items if partition.items is not None else (read_page(partition.path) or {"items": []})["items"]
+        for i, item in enumerate(items):
             yield partition.path, i, json.dumps(item, sort_keys=True)
 
 
@@ -78,6 +88,17 @@ class PagedSource(DataSource):
         return PagedReader(self.options)
 
 
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Pages as the files that :class:`PagedReader` reads, from ``page, body`` rows; written side by side, then named one by one, as pages are few."""
+    spark = pages.sparkSession
+    pages.repartition("page").write.partitionBy("page").text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/page=*/part-*")):
+        n = part.getPath().getParent().getName().split("=")[1]
+        store.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.json"))
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     spark.dataSource.register(PagedSource)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def valid_rows(stream: DataFrame, reason: Column) -> DataFrame:
@@ -86,3 +87,66 @@ def swept_records(sweeps: DataFrame, budget: int = 3) -> DataFrame:
         yield pd.DataFrame(out, columns=["url", "sweep", "state", "missed"])
 
     return sweeps.groupBy("url").applyInPandasWithState(of, "url string, sweep long, state string, missed int", "missed int", "append", GroupStateTimeout.NoTimeout)
+
+
+class RenderCutter(StatefulProcessor):
+    """Cuts a session's impressions into renders as batches do: in order of time and position.
+
+    Rows wait in state until the watermark has passed them, since an earlier one may still
+    come; a timer at the first waiting row's time wakes the session. What is kept besides
+    is the open render alone: its number, the positions it has shown and its last time.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        """Three pieces of state."""
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, position int, event_id string")
+        self.open = handle.getValueState("open", "render int, seen array<int>, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark's names
+        """Keep what comes, and wake when the watermark reaches it."""
+        for f in rows:
+            self.waiting.appendList([(int(r.ts), int(r.position), str(r.event_id)) for r in f.itertuples()])
+            self.handle.registerTimer(int(f["ts"].min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        """Number everything up to the watermark, and wait for the first row beyond it."""
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get())
+        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        if not due:
+            return
+        render, seen, last = self.open.get() if self.open.exists() else (0, [], 0)
+        seen, out = set(seen), []
+        for ts, position, event_id in due:
+            if not render or position in seen or ts - last > self.gap_ms:
+                render, seen = render + 1, set()
+            seen.add(position)
+            last = ts
+            out.append((*key, render, ts, position, event_id))
+        self.open.update((render, sorted(seen), last))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        yield pd.DataFrame(out, columns=["client_id", "session_id", "render", "ts", "position", "event_id"])
+
+    def close(self) -> None:
+        """Nothing to let go of."""
+
+
+def cut_renders(stream: DataFrame, gap_ms: int = 5000) -> DataFrame:
+    """``client_id, session_id, render, ts, position, event_id`` of a stream with a watermark on ``event_time``: renders as :func:`brightquay.operators.telemetry.renders` cuts them.
+
+    Rows later than the watermark are dropped by Spark. The session needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    shaped = stream.select(F.col("client_id").cast("string"), F.col("session_id").cast("string"), F.col("ts").cast("long"), F.col("position").cast("int"), F.col("event_id").cast("string"), "event_time")
+    return shaped.groupBy("client_id", "session_id").transformWithStateInPandas(RenderCutter(gap_ms), "client_id string, session_id string, render int, ts long, position int, event_id string", "append", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

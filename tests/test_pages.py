@@ -7,12 +7,16 @@ from brightquay.sources.reports import markdown
 
 
 def test_structured_events_at_any_depth(spark):
-    """Lists in lists, repeats, and a malformed block beside a good one."""
-    good = '{"@graph":[{"@type":"ItemList","itemListElement":[{"item":{"@type":["Thing","SocialEvent"],"name":"A","startDate":"2026-01-01","location":{"name":"Hall","address":{"addressLocality":"Oakland"}},"organizer":[{"name":"O"},"P"]}}]},{"@type":"Event","name":"A","startDate":"2026-01-01"},{"@type":"Event","url":"u"}]}'
-    html = f'<script type="application/ld+json">{{bad</script><script type="application/ld+json">{good}</script>'
-    got = spark.createDataFrame([(html,), ("<p>none</p>",), (None,)], "h string").select(page.structured_events("h").alias("e")).collect()
-    assert [(e.name, e.place, e.city, e.organizers) for e in got[0].e] == [("A", "Hall", "Oakland", ["O", "P"]), (None, None, None, [])]
-    assert not got[1].e and not got[2].e
+    """Lists in lists, types in lists, repeats, nameless ones, other types, and a malformed block beside a good one."""
+    good = '{"@graph":[{"@type":"ItemList","itemListElement":[[{"item":{"@type":["Thing","Event"],"name":"A","startDate":"2026-01-01","location":{"name":"Hall","address":{"addressLocality":"Oakland"}},"organizer":[{"name":"O"},"P",{"x":1}]}}]]},{"@type":"Event","name":"A","startDate":"2026-01-01"},{"@type":"Event","url":"u"},{"@type":"SocialEvent","name":"S"}]}'
+    more = '[{"@type":"Event","@id":"id","name":"B","location":"text","organizer":{"name":"Q"},"offers":[{},{"availability":"InStock"}]},5]'
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    rows = [(1, block("{bad") + block(good)), (2, "<p>none</p>"), (3, None), (4, block(more) + block("7") + block("")), (None, block(more))]
+    got = page.structured_events(spark.createDataFrame(rows, "k int, h string"), "k", "h").collect()
+    found = sorted((e.k or 0, e.name, e.url, e.place, e.city, e.organizers, e.offer) for e in got)
+    b = ("B", "id", None, None, ["Q"], "InStock")
+    assert found == [(0, *b), (1, "A", None, "Hall", "Oakland", ["O", "P"], None), (4, *b)]
+    assert page.structured_events(spark.createDataFrame([], "k int, h string"), "k", "h").collect() == []
 
 
 def test_page_schedule(spark):

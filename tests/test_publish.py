@@ -98,14 +98,3 @@ def test_model_versions_and_rounding():
     args = (evaluate.FEATURES, {"l2": 0.01}, 1, 10, 5, "x")
     assert evaluate.model_version(*args, 0).startswith("syn-") and evaluate.model_version(*args, 1)[4:] == evaluate.model_version(*args, 0)[4:]
     assert evaluate.rounded(None) is None and evaluate.rounded(1.00005) == 1.0001 and evaluate.rounded(2.675, 2) == 2.67
-
-
-def test_daily_models_see_earlier_rows_alone(spark):
-    """A model of a day equals one fitted on the rows before it."""
-    from brightquay.operators.ranking import daily_models, fit_clicks
-
-    day = 86_400_000
-    df = spark.createDataFrame([(k * day // 4, [k % 3 / 3.0], float(k % 2), 1.0) for k in range(16)], "ts long, features array<double>, label double, weight double")
-    got = dict(daily_models(df, "ts", 4, steps=50))
-    assert list(got) == [day, 2 * day, 3 * day]
-    assert got[2 * day].bias == pytest.approx(fit_clicks(df.filter(f"ts < {2 * day}"), steps=50).bias)
