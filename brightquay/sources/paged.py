@@ -64,8 +64,10 @@ class PagedReader(DataSourceReader):
                 break
         return out
 
-    def read(self, partition: PageFile) -> Iterator[tuple]:
-        """Items of a page as JSON text; a page that is not there any more has none."""
+    def read(self, partition: PageFile | None) -> Iterator[tuple]:
+        """Items of a page as JSON text; a page that is not there any more has none. Where no page was planned Spark asks for none."""
+        if partition is None:
+            return
         items = partition.items if partition.items is not None else (read_page(partition.path) or {"items": []})["items"]
         for i, item in enumerate(items):
             yield partition.path, i, json.dumps(item, sort_keys=True)

@@ -79,8 +79,10 @@ class RangeReader(DataSourceReader):
                     last = s["max"] if last is None else max(last, s["max"])
         return first, last
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        """Batches of one slice: both the range and the columns reach the files."""
+    def read(self, partition: Slice | None) -> Iterator[pa.RecordBatch]:
+        """Batches of one slice: both the range and the columns reach the files. Where no slice was planned Spark asks for none."""
+        if partition is None:
+            return
         at = ds.field(self.column)
         yield from _files(self.path).to_batches(columns=self.names, filter=(at >= partition.first) & (at < partition.last))
 

@@ -55,6 +55,8 @@ def test_pages_are_read_once(spark, tmp_path, monkeypatch):
     parts = quiet.partitions()
     assert len(parts) == 4 and sum(len(list(quiet.read(p))) for p in parts) == 4 and len(reads) == 4
     assert paged.PagedReader({"path": str(tmp_path / "none")}).partitions() == []
+    paged.register(spark)
+    assert spark.read.format("paged").load(str(tmp_path / "none")).collect() == []
 
 
 def test_failed_pages_are_tried_once_more(tmp_path, monkeypatch):
