@@ -56,6 +56,13 @@ def _trie(words: list[str]) -> str:
     return parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)}){ends}"
 
 
+#: Second words that make a given name the name of a thing or place (own choice): Austin Texas, Grace Period, Victoria Station.
+THINGS = (
+    "Texas Station Street Road Avenue Square Park Lake River Falls Island Islands Bay Beach County City Town Hill Hills Valley Bridge Airport Church Cathedral Chapel Abbey College School University Hospital Library Museum Theatre "
+    "Hotel House Hall Court Tower Day Days Night Week Month Period Discussion Debate Question Answer Scheme Schemes Sheet Sheets Book Books Rule Rules Act Law Prize Award Cup League Era Age War Style Model Value Values "
+    "Community Center Centre Association Society Institute Foundation Party Group Company Bank Market Democrats Union Values Faith Bible Music Art"
+).split()
+_THINGS = _trie(THINGS)
 _NAMES = _trie([n for ns in GIVEN.values() for x in ns for n in (x, x.upper())])
 _TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra?)"
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}-]+"
@@ -71,9 +78,9 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
-    "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
+    "card": r"(?<!\d)(?<!\d[.,])(?:4\d{12}|[2-6]\d{13,18}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|3\d{3}(?: \d{6} \d{4,5}|-\d{6}-\d{4,5}))(?!\d)",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:(?:{_IBANS})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}})(?![A-Za-z0-9])",
-    "name": rf"(?=[A-ZÀ-ÞŁΆ-ΏΑ-ΩЀ-Я])(?<![\p{{L}}])(?:(?:{_NAMES})(?: \p{{Lu}}\.)? {_WORD}|(?<=(?<!\p{{L}}){_TITLE}\.? ){_WORD}(?: {_WORD})?)",
+    "name": rf"(?=[A-ZÀ-ÞŁΆ-ΏΑ-ΩЀ-Я])(?<![\p{{L}}])(?:(?:{_NAMES})(?: \p{{Lu}}\.)? (?!{_THINGS}(?!\p{{L}})){_WORD}|(?<=(?<!\p{{L}}){_TITLE}\.? ){_WORD}(?: {_WORD})?)",
 }
 #: Cards before phones, for a run of digits may be either.
 _ORDER = ("email", "secret", "iban", "ip", "card", "phone", "ssn", "name")

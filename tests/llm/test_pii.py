@@ -96,3 +96,35 @@ def test_addresses_against_a_scanner(spark):
     texts += ["a@b.co", "a@b", "a@b.c", "a@-b.com", "a@b..com", "x.y+z@sub.example.com, or q@w.ee.", "a@b.com-", "@b.com", "é@b.com", "a@b.c1.de9"]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).select("doc_id", F.regexp_extract_all("text", F.lit(pii.KINDS["email"]), F.lit(0)).alias("h"))
     assert {r.doc_id: r.h for r in df.collect()} == dict(enumerate(map(scanned_addresses, texts)))
+
+
+PLAIN = [
+    "from 2024-01-01 2024-02-02 to 2024-03-03 2024-04-04",
+    "12 34 56 78 90 12 34",
+    "at 1704067798778 ms",
+    "3.1415926535897932 and 0,4111111111111111",
+    "Austin Texas, Victoria Station, Christian Church, Grace Period, Frank Discussion, Mark Schemes, GRACE and Mark",
+    "1 234 567 890 123 456",
+    "Will May go to Paris in April?",
+]
+
+
+def test_plain_text_stays(spark):
+    """Dates, tables, instants, decimals, things and places."""
+    out = replaced(spark, PLAIN)
+    assert [out[i].text for i in range(len(PLAIN))] == PLAIN
+
+
+@pytest.mark.parametrize("card", ["4041894974608795", "4041 8949 7460 8795", "4041-8949-7460-8795", "378282246310005", "3782 822463 10005", "6304000000000000000", "4222222222222"])
+def test_cards_in_any_writing(spark, card):
+    """Unbroken, in fours, in four, six and five; the writing stays."""
+    out = replaced(spark, [f"paid with {card}, 12 items"])[0]
+    new = out.text.removeprefix("paid with ").removesuffix(", 12 items")
+    assert out.n_entities == 1 and new != card and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", card)
+
+
+def test_people_beside_places(spark):
+    """The same given names with surnames are persons."""
+    texts = ["Austin Miller", "Victoria Stone", "Christian Churchill", "Grace Hopper", "Mark Schemer"]
+    out = replaced(spark, texts)
+    assert all(out[i].n_entities == 1 and out[i].text != t for i, t in enumerate(texts))
