@@ -45,18 +45,24 @@ def renders(impressions: DataFrame, by: Sequence[str] = ("client_id", "session_i
 
     In order of time and position a render ends when a position comes again or after a
     gap. The set of seen positions starts anew with each render, so this is a fold over the
-    session's sorted impressions; a session is a handful of lists.
+    session's sorted impressions. It notes only where renders begin; they are then cut out
+    of the session as slices, without copying and without a second shuffle.
     """
-    item = F.struct("ts", "position", "event_id")
-    fold = f"""aggregate(items, named_struct('render', 0, 'seen', cast(array() as array<int>), 'last', cast(null as bigint), 'out', cast(array() as array<struct<render:int,ts:bigint,position:int,event_id:string>>)),
-      (a, x) -> IF(a.render = 0 OR array_contains(a.seen, x.position) OR x.ts - a.last > {gap_ms},
-        named_struct('render', a.render + 1, 'seen', array(x.position), 'last', x.ts, 'out', concat(a.out, array(named_struct('render', a.render + 1, 'ts', x.ts, 'position', x.position, 'event_id', x.event_id)))),
-        named_struct('render', a.render, 'seen', concat(a.seen, array(x.position)), 'last', x.ts, 'out', concat(a.out, array(named_struct('render', a.render, 'ts', x.ts, 'position', x.position, 'event_id', x.event_id))))),
-      a -> a.out)"""
-    typed = impressions.withColumn("position", F.col("position").cast("int")).withColumn("ts", F.col("ts").cast("long")).withColumn("event_id", F.col("event_id").cast("string"))
-    sessions = typed.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    flat = sessions.select(*by, F.explode(F.expr(fold)).alias("i")).select(*by, "i.*")
-    return flat.groupBy(*by, "render").agg(F.min("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("position", "event_id"))).alias("items"))
+    typed = impressions.select(*by, F.col("ts").cast("long").alias("ts"), F.col("position").cast("int").alias("position"), F.col("event_id").cast("string").alias("event_id"))
+    sessions = typed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "position", "event_id"))).alias("_i"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("begins"), none.alias("seen"), F.lit(None).cast("long").alias("last"), F.lit(1).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        anew = (a["at"] == 1) | F.array_contains(a["seen"], x["position"]) | (x["ts"] - a["last"] > gap_ms)
+        begins, seen = F.when(anew, F.concat(a["begins"], F.array(a["at"]))).otherwise(a["begins"]), F.concat(F.when(anew, none).otherwise(a["seen"]), F.array(x["position"]))
+        return F.struct(begins.alias("begins"), seen.alias("seen"), x["ts"].alias("last"), (a["at"] + 1).alias("at"))
+
+    cuts = sessions.withColumn("_b", F.aggregate("_i", start, step, lambda a: a["begins"]))
+    lists = F.transform("_b", lambda b, k: F.slice("_i", b, F.coalesce(F.get("_b", k + 1), F.size("_i") + 1) - b))
+    each = cuts.select(*by, F.posexplode(lists).alias("_k", "_l"))
+    items = F.array_sort(F.transform("_l", lambda x: F.struct(x["position"].alias("position"), x["event_id"].alias("event_id"))))
+    return each.select(*by, (F.col("_k") + 1).alias("render"), F.get("_l", F.lit(0))["ts"].alias("ts"), items.alias("items"))
 
 
 def organic_counts(rows: DataFrame, organic: Column, impression: Column, client: str, day: Column) -> DataFrame:

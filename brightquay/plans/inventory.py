@@ -15,6 +15,10 @@ IDS = {
     "stated_ranges": "D6 D2", "recovered_clocks": "D8 D7 Z6", "listed_ranges": "D11", "engage_dates": "D12", "dated_instants": "D9 D10 Z10", "timed_entries": "D17 D1", "page_schedules": "D3 D4",
     "render_features": "M9", "ordered_lists": "O3 O4 M11", "random_lists": "O4 O12", "ordering_measures": "A7 M12 M13 M14", "ordering_coverage": "A8", "model_loss": "A11", "promotion_verdict": "G5", "leak_controls": "G4", "control_outcomes": "G6",
     "click_teams": "A3 A13 A20 J12 J13", "list_agreement": "M18 Z21 Z22", "merged_records": "A14 U6 Z15", "feed_fallbacks": "G2", "fresh_facts": "U5", "drifted_starts": "J17 Z24", "seed_reviews": "Z16", "latest_rows": "Z27",
+    "daily_weights": "A12 W4 M10", "daily_measures": "W4 M9 M11 M12 M13 M14 O3 O4", "interleaving": "A9 A10 M17", "served_lists": "M18 M17", "trained_controls": "G6", "chain_verdict": "G5 G4 G6", "leaks": "G4 J15",
+    "candidate_files": "S1 S15", "recent_snapshots": "S2", "loose_log": "S3", "pushed_range": "S4", "paged_items": "S5 S6 S7", "jsonld_events": "X12 S9", "search_hits": "S12 X27", "input_provenance": "X8 R2 W6", "deletion_proof": "G8 J7 S16",
+    "analytics_trip": "S17 F17", "kept_alive": "G9", "calendar_state": "J9 J10 F13 X30", "seed_queue": "Z13 O7 O11", "budgeted_crawl": "S13 O11", "merged_surfaces": "A16", "stated_money": "A18 A19", "page_keys": "X3 X5 X14 X26 X33 O13",
+    "month_headers": "W7", "structured_times": "D5", "fixed_values": "M19", "folded_entries": "X25 S16", "plural_messages": "X28",
 }
 
 
