@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brightquay.operators import evaluate, publish, ranking
 from brightquay.plans.board import NOW_MS, day_ms, table
+from brightquay.plans.signals import _DRAWN
 
 #: A fixed model: weights of the features, and the bias.
 WEIGHTS, BIAS = tuple(round(0.3 - 0.05 * i, 2) for i in range(len(evaluate.FEATURES))), -0.2
@@ -82,6 +83,17 @@ def random_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ordered(spark, sf_dir).filter("ordering = 'random'").select("render", "item", "rank")
 
 
+RANDOM_LISTS = f"""
+WITH RECURSIVE {S}, d AS (SELECT render, list(item ORDER BY item) AS a, count(*) - 1 AS i, 0 AS k FROM s GROUP BY 1), r AS (
+  SELECT * FROM d
+  UNION ALL
+  SELECT render, list_transform(range(1, len(a) + 1), lambda x: CASE WHEN x = i + 1 THEN a[j + 1] WHEN x = j + 1 THEN a[i + 1] ELSE a[x] END), i - 1, k + 1
+  FROM (SELECT render, a, i, k, CAST(floor(drawn_number * (i + 1)) AS BIGINT) AS j FROM {_DRAWN(f"SELECT *, ({(evaluate.RANDOM_SEED + NOW_MS) & 0xFFFFFFFF} + CAST(k + 1 AS BIGINT) * 1831565813) & 4294967295 AS t0 FROM r WHERE i > 0")})
+)
+SELECT render, unnest(a) AS item, CAST(generate_subscripts(a, 1) - 1 AS INT) AS rank FROM r WHERE i <= 0
+"""
+
+
 def ordering_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the measures by ordering, over the lists that have them."""
     m = ranking.list_measures(_ordered(spark, sf_dir).filter("ordering <> 'random'"), ["render", "ordering"], 5)
@@ -279,7 +291,7 @@ LATEST_ROWS = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM
 QUERIES = {
     "render_features": (render_features, RENDER_FEATURES),
     "ordered_lists": (ordered_lists, ORDERED_LISTS),
-    "random_lists": (random_lists, None),
+    "random_lists": (random_lists, RANDOM_LISTS),
     "ordering_measures": (ordering_measures, ORDERING_MEASURES),
     "ordering_coverage": (ordering_coverage, ORDERING_COVERAGE),
     "model_loss": (model_loss, MODEL_LOSS),

@@ -54,6 +54,27 @@ def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.component_fold(r, resolve.match_links(r), resolve.same_event, merge).select("ordinal", "day", "fingerprint", "venue", "merged")
 
 
+_SAME = """CASE WHEN least(length(x.fingerprint), length(fingerprint)) >= 12 AND (contains(x.fingerprint, fingerprint) OR contains(fingerprint, x.fingerprint)) THEN true
+    WHEN x.area = '' OR x.area <> area THEN false WHEN x.host <> '' AND x.host = host THEN true
+    ELSE (len(x.words) >= 4 AND len(x.words) <= len(words) AND len(list_filter(x.words, lambda w: NOT list_contains(words, w))) = 0)
+      OR (len(words) >= 4 AND len(words) <= len(x.words) AND len(list_filter(words, lambda w: NOT list_contains(x.words, w))) = 0) END"""
+GREEDY_MERGE = f"""
+WITH RECURSIVE {_RECORDS.strip()},
+q AS (SELECT n.id AS ordinal, k.day, lower(regexp_replace(n.title, '[^A-Za-z0-9]', '', 'g')) AS fingerprint, list_distinct(regexp_extract_all(lower(n.title), '[a-z0-9]+')) AS words, coalesce(k.host, '') AS host, coalesce(k.area, '') AS area, n.confidence, n.venue FROM n JOIN k USING (id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ordinal) AS i FROM q WHERE day IS NOT NULL),
+g AS (
+  SELECT day, i, [{{'ordinal': ordinal, 'fingerprint': fingerprint, 'words': words, 'host': host, 'area': area, 'confidence': confidence, 'venue': venue, 'merged': 1}}] AS kept FROM z WHERE i = 1
+  UNION ALL
+  SELECT day, i, CASE WHEN hit IS NULL THEN list_append(kept, own) ELSE list_transform(kept, lambda x, j: CASE WHEN j <> hit THEN x WHEN confidence > x.confidence
+    THEN struct_update(own, ordinal := x.ordinal, venue := coalesce(nullif(venue, ''), x.venue), merged := x.merged + 1) ELSE struct_update(x, venue := coalesce(nullif(x.venue, ''), venue), merged := x.merged + 1) END) END
+  FROM (SELECT z.*, g.kept, {{'ordinal': ordinal, 'fingerprint': fingerprint, 'words': words, 'host': host, 'area': area, 'confidence': confidence, 'venue': venue, 'merged': 1}} AS own,
+      list_filter(list_transform(kept, lambda x, j: CASE WHEN {_SAME} THEN j END), lambda j: j IS NOT NULL)[1] AS hit
+    FROM g JOIN z ON z.day = g.day AND z.i = g.i + 1)
+), last AS (SELECT day, arg_max(kept, i) AS kept FROM g GROUP BY day)
+SELECT x.ordinal, day, x.fingerprint, x.venue, x.merged FROM (SELECT day, unnest(kept) AS x FROM last) UNION ALL SELECT ordinal, NULL, fingerprint, venue, 1 FROM q WHERE day IS NULL
+"""
+
+
 def best_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part type and brand the dearest part, with the name of the longest name."""
     p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("key"), "p_partkey", "p_retailprice", F.col("p_name").alias("evidence"), F.col("p_type").alias("category"))
@@ -241,7 +262,7 @@ SELECT severity, count(*) AS n, sha256(string_agg(m, chr(10) ORDER BY m)) AS mes
 QUERIES = {
     "same_events": (same_events, SAME_EVENTS),
     "event_roots": (event_roots, EVENT_ROOTS),
-    "greedy_merge": (greedy_merge, None),
+    "greedy_merge": (greedy_merge, GREEDY_MERGE),
     "best_records": (best_records, BEST_RECORDS),
     "reconcile": (reconcile, RECONCILE),
     "field_changes": (field_changes, FIELD_CHANGES),

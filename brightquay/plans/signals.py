@@ -31,6 +31,21 @@ def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.renders(e, gap_ms=6 * 3_600_000).select("client_id", "session_id", "render", "ts", F.size("items").alias("shown"))
 
 
+RENDERS = """
+WITH RECURSIVE e AS (
+  SELECT user_id, ms // 86400000 AS session_id, ms, position, row_number() OVER (PARTITION BY user_id, ms // 86400000 ORDER BY ms, position, CAST(event_id AS VARCHAR)) AS i
+  FROM (SELECT *, epoch_us(ts) // 1000 AS ms, event_id % 4 AS position FROM events)
+), r AS (
+  SELECT user_id, session_id, i, ms, [position] AS seen, 1 AS render FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.session_id, e.i, e.ms, CASE WHEN list_contains(r.seen, e.position) OR e.ms - r.ms > 21600000 THEN [e.position] ELSE list_append(r.seen, e.position) END,
+    r.render + CASE WHEN list_contains(r.seen, e.position) OR e.ms - r.ms > 21600000 THEN 1 ELSE 0 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.session_id = r.session_id AND e.i = r.i + 1
+)
+SELECT user_id AS client_id, session_id, render, min(ms) AS ts, CAST(count(*) AS INT) AS shown FROM r GROUP BY 1, 2, 3
+"""
+
+
 def asof_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with the user's last view at or before them."""
     e = _events(spark, sf_dir)
@@ -155,19 +170,45 @@ SELECT count(*) AS renders, count(*) FILTER (WHERE c > p) AS wins, count(*) FILT
 """
 
 
+_IMUL = lambda a, b: f"(({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295"
+#: The generator's number, a share of 1, from its state t0; one step a level.
+_DRAWN = lambda rows: f"""(SELECT *, (xor(t2, t2 >> 14) & 4294967295) / 4294967296.0::DOUBLE AS drawn_number FROM (
+  SELECT *, xor(t1, (t1 + ({_IMUL('xor(t1, t1 >> 7)', 't1 | 61')})) & 4294967295) AS t2 FROM (SELECT *, {_IMUL('xor(t0, t0 >> 15)', 't0 | 1')} AS t1 FROM ({rows}))))"""
+
+
 def team_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafted lists of orders: lines by number against lines by price."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"), F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_partkey"))).alias("b"))
     return ranking.team_drafts(li.select("key", F.col("a.l_partkey").alias("production"), F.col("b.l_partkey").alias("candidate")))
 
 
+TEAM_DRAFTS = f"""
+WITH RECURSIVE l AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS key, list(l_partkey ORDER BY l_linenumber, l_partkey) AS production, list(l_partkey ORDER BY l_extendedprice, l_partkey) AS candidate FROM lineitem GROUP BY 1
+), s AS (
+  SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: unicode(c)::BIGINT)), lambda h, u: (xor(h, u) * 16777619) & 4294967295) AS seed FROM l
+), d AS (
+  SELECT key, production, candidate, seed, 0 AS place, CAST([] AS BIGINT[]) AS taken, 0 AS p, 0 AS c, 0 AS drawn, CAST(NULL AS BIGINT) AS item, CAST(NULL AS VARCHAR) AS team FROM s
+  UNION ALL
+  SELECT key, production, candidate, seed, place + 1, list_append(taken, CASE team WHEN 'production' THEN a ELSE b END), p + (team = 'production')::INT, c + (team = 'candidate')::INT, drawn + even::INT,
+    CASE team WHEN 'production' THEN a ELSE b END, team
+  FROM (
+    SELECT key, production, candidate, seed, place, taken, p, c, drawn, a, b, even, CASE WHEN b IS NULL OR (a IS NOT NULL AND (p < c OR (even AND drawn_number < 0.5))) THEN 'production' ELSE 'candidate' END AS team
+    FROM {_DRAWN("""SELECT *, a IS NOT NULL AND b IS NOT NULL AND p = c AS even, (seed + CAST(drawn + 1 AS BIGINT) * 1831565813) & 4294967295 AS t0 FROM (
+      SELECT key, production, candidate, seed, place, taken, p, c, drawn, list_filter(production, lambda x: NOT list_contains(taken, x))[1] AS a, list_filter(candidate, lambda x: NOT list_contains(taken, x))[1] AS b
+      FROM d WHERE len(taken) < len(production))""")})
+  WHERE a IS NOT NULL OR b IS NOT NULL
+)
+SELECT key, CAST(place - 1 AS INT) AS place, item, team FROM d WHERE place > 0
+"""
+
+
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value with an interval by users drawn with replacement."""
     b = ranking.bootstrap_mean(_events(spark, sf_dir), "user_id", "value")
     return b.select(*[F.round(c, 7).alias(c) for c in ("mean", "low", "high")])
 
 
-_IMUL = lambda a, b: f"(({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295"
 BOOTSTRAP = f"""
 WITH p AS (SELECT user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(user_id AS VARCHAR)), 1, 3), user_id) - 1 AS k, count(*) OVER () AS total FROM p WHERE n > 0),
 i AS (SELECT i, total, (4242 + ((i + 1) % 4294967296) * 1831565813) & 4294967295 AS t FROM (SELECT max(total) AS total FROM c) z, range(0, 2000 * z.total) r(i)),
@@ -182,7 +223,20 @@ def click_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a click model on events: value and hour of day against clicks."""
     e = _events(spark, sf_dir).select(F.array((F.floor(F.col("value") / 10) / 10).cast("double"), (F.hour("ts") / 24).cast("double")).alias("features"), (F.col("event_type") == "click").cast("double").alias("label"), scoring.position_weight(F.col("event_id") % 12).alias("weight"))
     m = ranking.fit_clicks(e)
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate([*m.weights, m.bias])], "place int, weight double")
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate([*m.weights, m.bias])], "place int, weight double").withColumn("weight", F.round("weight", 6))
+
+
+CLICK_MODEL = """
+WITH RECURSIVE s AS (
+  SELECT floor(value / 10) / 10 AS x0, hour(ts) / 24 AS x1, (event_type = 'click')::INT AS y, CAST(sum(least(10, event_id % 12 + 1)) AS DOUBLE) AS w FROM events GROUP BY 1, 2, 3
+), t AS (SELECT sum(w) AS total FROM s), g AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT step + 1, w0 - 0.5 * (sum(e * x0) / total + 0.01 * w0), w1 - 0.5 * (sum(e * x1) / total + 0.01 * w1), b - 0.5 * sum(e) / total
+  FROM (SELECT g.*, x0, x1, total, w * (1 / (1 + exp(-(x0 * w0 + x1 * w1 + b))) - y) AS e FROM g, s, t WHERE step < 2000) GROUP BY step, w0, w1, b, total
+), m AS (SELECT unnest([w0, w1, b]) AS weight, unnest([0, 1, 2]) AS place FROM g WHERE step = 2000)
+SELECT CAST(place AS INT) AS place, round(weight, 6) AS weight FROM m
+"""
 
 
 def prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +251,7 @@ SELECT day_start, n_before, n FROM b WHERE n_before >= 200
 
 QUERIES = {
     "session_gaps": (session_gaps, SESSION_GAPS),
-    "renders": (renders, None),
+    "renders": (renders, RENDERS),
     "asof_credit": (asof_credit, ASOF_CREDIT),
     "prior_clicks": (prior_clicks, PRIOR_CLICKS),
     "window_clicks": (window_clicks, WINDOW_CLICKS),
@@ -207,8 +261,8 @@ QUERIES = {
     "fnv_hash": (fnv_hash, FNV_HASH),
     "validator": (validator, VALIDATOR),
     "draft_credit": (draft_credit, DRAFT_CREDIT),
-    "team_drafts": (team_drafts, None),
+    "team_drafts": (team_drafts, TEAM_DRAFTS),
     "bootstrap": (bootstrap, BOOTSTRAP),
-    "click_model": (click_model, None),
+    "click_model": (click_model, CLICK_MODEL),
     "prequential": (prequential, PREQUENTIAL),
 }

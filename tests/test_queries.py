@@ -46,4 +46,4 @@ def test_inventory_names_queries():
     """Every query is listed, and nothing else."""
     from brightquay.plans.inventory import IDS, queries_of
 
-    assert set(IDS) == set(QUERIES) and queries_of("M9") == ["render_features"]
+    assert set(IDS) == set(QUERIES) and queries_of("M9") == ["render_features", "daily_measures"]
