@@ -51,6 +51,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epoch
     return x.select("source", "n_rows", "source_size", share.cast("double").alias("target"))
 
 
+def random_key(seed: str) -> Column:
+    """The hash-random key of a row's id."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def word_count() -> Column:
+    """Words of a row's text."""
+    return F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+
+
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` per row of ``docs``.
 
@@ -60,8 +70,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     same id twice) go by size. A null id has a key like any other. Empty table, empty
     result; of further columns, those named in ``also`` are passed on and end ties.
     """
-    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *also).withColumn("key", key)
+    rows = docs.select("doc_id", "source", word_count().alias("size"), *also).withColumn("key", random_key(seed))
     rows = write_table(rows, "mix-sizes")  # texts are read once; sizes are used three times
     targets = source_targets(rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), weights, epochs)
     # slices of a source's key range, a power of two of them
@@ -86,26 +95,36 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     return placed.withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).cast("long").alias("taken"), *also)
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mix as documents: a document taken r times in full is r rows, and one row of its first words, with single blanks, for a part.
 
-    Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
+    What the mix decides comes down to a row per source, the number of whole epochs and the
+    row at the cut, so texts meet a table of sources and are not shuffled. Columns are those of ``docs``; ``n_chars`` follows a cut text where the column is there.
     """
-    row, size, took, words = (free_name(docs, x) for x in ("_row", "_size", "_taken", "_words"))
+    row, size, took, words, own, last = (free_name(docs, x) for x in ("_row", "_size", "_taken", "_words", "_source", "_last"))
     rows = numbered(docs, row)
     with Scratch() as scratch:
-        taken = mix(rows.select("doc_id", "source", "text", F.col(row).alias("_row")), also=("_row",), **options).filter("taken > 0").select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(took))
-        taken = scratch.keep(write_table(taken, "taken"))
-    x = rows.join(taken, row)
+        mixed = mix(rows.select("doc_id", "source", "text", F.col(row).alias("_row")), seed, also=("_row",), **options)
+        whole = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
+        extra = F.col("taken") - whole * F.col("size")
+        cut = F.struct(random_key(seed).alias("key"), "doc_id", "size", "_row", extra.alias("extra"))
+        # in order of the keys rows are taken once more up to each source's last one, which is taken in part
+        cuts = mixed.groupBy("source").agg(F.first(whole).alias("whole"), F.max(F.when(extra > 0, cut)).alias("cut"))
+        cuts = scratch.keep(write_table(cuts.select(F.col("source").alias(own), F.struct("whole", "cut").alias(last)), "cuts"))
+    x = rows.withColumn(size, word_count()).join(cuts, F.col("source").eqNullSafe(F.col(own)))
+    at, end = F.struct(random_key(seed).alias("key"), F.col("doc_id"), F.col(size).alias("size"), F.col(row).alias("_row")), F.col(f"{last}.cut")
+    until = F.struct(*[end[c].alias(c) for c in ("key", "doc_id", "size", "_row")])
+    more = F.when(end.isNull() | (at > until), F.lit(0)).when(at < until, F.col(size)).otherwise(end["extra"])
+    x = x.withColumn(took, F.col(f"{last}.whole") * F.col(size) + more).filter(F.col(took) > 0)
     n, rest = F.col(size).cast("int"), (F.col(took) % F.col(size)).cast("int")
     times = F.expr(f"int({took} div {size})")
     x = x.withColumn(words, F.explode(F.concat(F.array_repeat(n, times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    whole = F.col(words) == F.col(size)
+    full = F.col(words) == F.col(size)
     split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(split, F.lit(1), F.col(words)), " ")
-    new = {"text": F.when(whole, F.col("text")).otherwise(cut)}
+    head = F.array_join(F.slice(split, F.lit(1), F.col(words)), " ")
+    new = {"text": F.when(full, F.col("text")).otherwise(head)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(full, F.col("n_chars")).otherwise(F.length(head).cast(docs.schema["n_chars"].dataType))
     return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -206,11 +206,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
 def keep_accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
     """Rows that the classifier of :func:`classify_quality` accepts, all their columns unchanged.
 
-    Labelled documents are read to fit the model; then one scan scores every row and lets
-    it pass or not, whatever its id.
+    Rows outside the held-out fold are reduced to their statistics, which then meet the
+    labels, so no text is shuffled to fit the model; then one scan scores every row and
+    lets it pass or not, whatever its id.
     """
-    y = label_means(labels)
-    model = model_of(stats_table(docs.join(y, "doc_id", "left_semi")), y, folds, held_out_fold)
+    learnable = docs.filter(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out_fold))
+    model = model_of(stats_table(learnable), label_means(labels), folds, held_out_fold)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
