@@ -31,14 +31,14 @@ def weighted_cells(rows: DataFrame, day: str, features: str, labels: Sequence[st
 
 
 def _summed(cells: DataFrame, days: np.ndarray, label_of: np.ndarray, points: np.ndarray, curved: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Gradients at ``points`` (models, steps, size), and with ``curved`` the Hessians at each model's first point."""
+    """Gradients at ``points`` (models, steps, size), and with ``curved`` the Hessians at each model's first and last point."""
     models, steps, size = points.shape
     sent = cells.sparkSession.sparkContext.broadcast(points)  # models times steps times size numbers, whatever the rows
     upper = np.triu_indices(size)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = sent.value
-        gradient, hessian = np.zeros((models, steps, size)), np.zeros((models, len(upper[0])))
+        gradient, hessian = np.zeros((models, steps, size)), np.zeros((models, 2, len(upper[0])))
         seen = False
         for f in frames:
             for start in range(0, len(f), CELL_ROWS):
@@ -54,11 +54,12 @@ def _summed(cells: DataFrame, days: np.ndarray, label_of: np.ndarray, points: np
                     for s in range(0, steps, POINTS):
                         p = 1 / (1 + np.exp(-(xm @ at[m, s : s + POINTS].T)))
                         gradient[m, s : s + POINTS] += (wm[:, None] * p - ym[:, None]).T @ xm
-                        if curved and s == 0:
-                            bend = (xm * (wm * p[:, 0] * (1 - p[:, 0]))[:, None]).T @ xm
-                            hessian[m] += bend[upper]
+                        for end, at_step in enumerate((0, steps - 1)) if curved else ():
+                            if s <= at_step < s + POINTS:
+                                q = p[:, at_step - s]
+                                hessian[m, end] += ((xm * (wm * q * (1 - q))[:, None]).T @ xm)[upper]
         if seen:
-            own = np.concatenate([gradient.reshape(models, -1), hessian], axis=1) if curved else gradient.reshape(models, -1)
+            own = np.concatenate([gradient.reshape(models, -1), hessian.reshape(models, -1)], axis=1) if curved else gradient.reshape(models, -1)
             yield pd.DataFrame({"model": np.arange(models), "sums": [row.tobytes() for row in own]})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
@@ -68,13 +69,13 @@ def _summed(cells: DataFrame, days: np.ndarray, label_of: np.ndarray, points: np
 
     rows = cells.mapInPandas(part, "model long, sums binary").groupBy("model").applyInPandas(add, "model long, sums binary").collect()  # a row per model
     sent.unpersist()
-    out = np.zeros((models, steps * size + len(upper[0]) * curved))
+    out = np.zeros((models, steps * size + 2 * len(upper[0]) * curved))
     for r in rows:
         out[r.model] = np.frombuffer(r.sums)
     hessians = None
     if curved:
-        hessians = np.zeros((models, size, size))
-        hessians[:, upper[0], upper[1]] = hessians[:, upper[1], upper[0]] = out[:, steps * size :]
+        hessians = np.zeros((models, 2, size, size))
+        hessians[:, :, upper[0], upper[1]] = hessians[:, :, upper[1], upper[0]] = out[:, steps * size :].reshape(models, 2, -1)
     return out[:, : steps * size].reshape(points.shape), hessians
 
 
@@ -89,22 +90,28 @@ def descend(cells: DataFrame, days: np.ndarray, label_of: np.ndarray, total: np.
 
     at, done, run = np.zeros((len(days), size)), 0, FIRST_RUN
     last = np.zeros_like(at)
-    jump = np.broadcast_to(np.diag(1 - rate * penalty), (len(days), size, size))
+    ends = np.broadcast_to(np.diag(1 - rate * penalty), (2, len(days), size, size))
+
+    def jump(t: int, over: int) -> np.ndarray:
+        """How a step changes with its point, between the run's first and last one."""
+        share = t / max(over - 1, 1)
+        return (1 - share) * ends[0] + share * ends[1]
+
     try:
         while done < steps:
             run = min(run, steps - done)
             path, delta = np.empty((len(days), run + 1, size)), last
             path[:, 0] = at
             for t in range(run):  # the guess: steps change as the curvature said last
-                delta = np.einsum("mij,mj->mi", jump, delta)
+                delta = np.einsum("mij,mj->mi", ends[1], delta)
                 path[:, t + 1] = path[:, t] + delta
             for passes in range(1, MOST_PASSES + 1):
-                gradient, hessian = _summed(cells, days, label_of, path[:, :run], curved=passes == 1)
+                gradient, hessian = _summed(cells, days, label_of, path[:, :run], curved=passes in (1, 3))
                 if hessian is not None:
-                    jump = np.eye(size) - rate * (hessian / total[:, None, None] + np.diag(penalty))
+                    ends, over = np.moveaxis(np.eye(size) - rate * (hessian / total[:, None, None, None] + np.diag(penalty)), 1, 0), run
                 step, fresh = moved(path[:, :run], gradient), path.copy()
                 for t in range(run):
-                    fresh[:, t + 1] = step[:, t] + np.einsum("mij,mj->mi", jump, fresh[:, t] - path[:, t])
+                    fresh[:, t + 1] = step[:, t] + np.einsum("mij,mj->mi", jump(t, over), fresh[:, t] - path[:, t])
                 change, path = np.abs(fresh - path).max(), fresh
                 if run == 1 or change <= tolerance or not np.isfinite(change):
                     break

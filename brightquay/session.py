@@ -32,8 +32,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names; without one, a local folder where driver and executors are one process."""
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names, deleted when the session's process ends; without the setting, a local folder where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
@@ -41,11 +44,37 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/brightquay-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/brightquay-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written and read back: what it was made of is not run again, and plans of rounds don't nest."""
     path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._brightquay_path = path
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more."""
+    gone = {t._brightquay_path for t in tables}
+    for path in gone:
+        _delete(tables[0].sparkSession, path)
+    _made[:] = [x for x in _made if x[1] not in gone]
