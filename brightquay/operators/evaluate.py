@@ -228,6 +228,19 @@ def model_version(names: Sequence[str], hyperparameters: Mapping[str, float], et
     return ("web-" if organic_rows else "syn-") + hashlib.sha256(json.dumps(whole, separators=(",", ":")).encode()).hexdigest()[:10]
 
 
+def rows_sha256(line: Column) -> Column:
+    """An aggregate: a hash of a multiset of lines, whatever their order: sums of two parts of each line's hash, hashed."""
+    part = lambda first: F.sum(F.conv(F.substring(F.sha2(line, 256), first, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws("/", part(1), part(16)), 256)
+
+
+def version_of(names: Sequence[str], hyperparameters: Mapping[str, float], eta: float, cap: float, rows: Column, log_sha256: Column, organic_rows: Column) -> Column:
+    """:func:`model_version` of many models at once."""
+    head = json.dumps({"features": list(names), "hyperparameters": dict(hyperparameters), "eta": eta, "cap": cap}, separators=(",", ":"))[:-1]
+    whole = F.concat(F.lit(head + ',"rows":'), rows.cast("string"), F.lit(',"log":"'), log_sha256, F.lit('"}'))
+    return F.concat(F.when(organic_rows > 0, "web-").otherwise("syn-"), F.substring(F.sha2(whole, 256), 1, 10))
+
+
 def rounded(x: float | None, places: int = 4) -> float | None:
     """:func:`brightquay.functions.scoring.fixed_places` of one number; nothing stays nothing."""
     if x is None or not math.isfinite(x):

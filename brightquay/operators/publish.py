@@ -165,14 +165,22 @@ def stay_alive(previous: DataFrame, current: DataFrame, problems: int, queries:
     return previous.filter(F.coalesce(F.col("end_ms") >= now_ms, F.lit(True))) if queries and problems >= queries else current
 
 
+def write_tombstones(stones: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Tombstones as objects with a list, about ``per_file`` in each file of a folder."""
+    pieces = max(1, math.ceil(stones.count() / per_file))
+    lists = stones.groupBy(F.pmod(F.xxhash64("url"), F.lit(pieces)).alias("piece")).agg(F.collect_list(F.struct(*stones.columns)).alias("tombstones"))
+    lists.select("tombstones").write.option("maxRecordsPerFile", 1).json(path)
+
+
 def read_tombstones(spark: SparkSession, path: str) -> DataFrame:
     """Tombstones of a file; no file is none, and a file that cannot be read stops the publication."""
     schema = "url string, id string, action string, fields array<string>, reason string, redactedAt string, contentSha256 string"
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    whole = spark.read.schema(f"tombstones array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if whole.filter("tombstones IS NULL").limit(1).count():
+    lists = f"tombstones array<struct<{schema}>>"
+    if spark.read.schema(f"{lists}, _corrupt_record string").option("multiLine", True).json(path).filter("tombstones IS NULL OR _corrupt_record IS NOT NULL").limit(1).count():
         raise ValueError(f"{path}: no list of tombstones")
+    whole = spark.read.schema(lists).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return whole.select(F.explode("tombstones").alias("t")).select("t.*")
 
 

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightquay.functions.scoring import discounted, ideal_gain, mulberry
 from brightquay.operators.descent import fit_all
+from brightquay.session import scratch
 
 
 def ranked(rows: DataFrame, by: Sequence[str], *order) -> DataFrame:
@@ -159,6 +160,34 @@ class ClickModel:
         return list(names) == list(expected) and len(self.weights) == len(expected) and bool(np.isfinite(self.weights).all()) and math.isfinite(self.bias)
 
 
+def model_of(artifact: Column) -> Column:
+    """A model's JSON as a struct; null fields, or null altogether, where it is malformed or of other types."""
+    return F.from_json(artifact, "feature_names array<string>, weights array<double>, bias double, model_version string")
+
+
+def accepted(model: Column, expected: Sequence[str]) -> Column:
+    """Whether a model's names are the expected ones in order, with a finite weight each, a finite bias and a version; never null."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+    names, weights = model["feature_names"], model["weights"]
+    shape = (names == F.array(*map(F.lit, expected))) & (F.size(weights) == len(expected))
+    return F.coalesce(shape & F.forall(weights, finite) & finite(model["bias"]) & (F.length(model["model_version"]) > 0), F.lit(False))
+
+
+def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in an order of all rows.
+
+    The order is a range shuffle, so keys of equal rows are split by what else ``order``
+    names. The sorted rows are written once with part and place in the part; then parts'
+    sizes are added up, a row per part.
+    """
+    spark, at = rows.sparkSession, scratch(rows.sparkSession, "placed")
+    rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")).write.parquet(at)
+    written = spark.read.parquet(at)
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return written.join(before, F.col("_part") == F.col("_of")).select(*rows.columns, (F.col("_before") + F.col("_i") + 1).alias(name))
+
+
 def fit_clicks(rows: DataFrame, features: str = "features", label: str = "label", weight: str = "weight", **options) -> ClickModel:
     """Full-batch gradient descent on weighted log-loss, the bias without penalty: passes of Spark over the summed-up rows, whatever their number."""
     return ClickModel(*fit_all(rows, features, label, weight, **options))

@@ -19,6 +19,7 @@ IDS = {
     "candidate_files": "S1 S15", "recent_snapshots": "S2", "loose_log": "S3", "pushed_range": "S4", "paged_items": "S5 S6 S7", "jsonld_events": "X12 S9", "search_hits": "S12 X27", "input_provenance": "X8 R2 W6", "deletion_proof": "G8 J7 S16",
     "analytics_trip": "S17 F17", "kept_alive": "G9", "calendar_state": "J9 J10 F13 X30", "seed_queue": "Z13 O7 O11", "budgeted_crawl": "S13 O11", "merged_surfaces": "A16", "stated_money": "A18 A19", "page_keys": "X3 X5 X14 X26 X33 O13",
     "month_headers": "W7", "structured_times": "D5", "fixed_values": "M19", "folded_entries": "X25 S16", "plural_messages": "X28",
+    "accepted_models": "F15", "model_versions": "Z20", "tombstone_files": "G3", "brand_report": "S19", "relevance_order": "O5",
 }
 
 

@@ -60,7 +60,7 @@ def test_tombstones_are_strict(spark, tmp_path):
     assert [r.url for r in publish.read_tombstones(spark, str(at)).collect()] == ["u"]
     for bad in ("{}", "{nope"):
         at.write_text(bad)
-        with pytest.raises(Exception):
+        with pytest.raises(ValueError, match="no list"):
             publish.read_tombstones(spark, str(at)).collect()
 
 
