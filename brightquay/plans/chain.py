@@ -60,14 +60,15 @@ def shown_parts(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None
     return rows.select("render", "client", "day", "ts", "ms", "event_id", "item", "ordinal", "start", "prior", "features", F.col("p_brand").alias("region"), F.col("label").alias("relevant"), F.col("label").cast("double").alias("label"), scoring.position_weight(F.col("ordinal")).alias("weight"))
 
 
-def models(shown: DataFrame) -> DataFrame:
-    """A model per day on the labels, and one on labels that were shuffled."""
-    return descent.fit_days(evaluate.shuffled_labels(shown, "event_id", "label"), "day", labels=("label", "shuffled"), least=LEAST_ROWS)
+def models(shown: DataFrame, shuffled: bool = False) -> DataFrame:
+    """A model per day on the labels, and with ``shuffled`` one on labels that were shuffled. The days until a start are the one feature that time moves."""
+    rows, labels = (evaluate.shuffled_labels(shown, "event_id", "label"), ("label", "shuffled")) if shuffled else (shown, ("label",))
+    return descent.fit_days(rows, "day", labels=labels, least=LEAST_ROWS, dense=evaluate.FEATURES.index("daysUntilStart"))
 
 
 def daily_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of every day's model."""
-    m = models(shown_parts(spark, sf_dir).persist()).filter("label = 'label'")
+    m = models(shown_parts(spark, sf_dir).persist())
     return m.select("day", "n_before", F.posexplode(F.concat("weights", F.array("bias"))).alias("place", "weight")).withColumn("weight", F.round("weight", 6))
 
 
@@ -78,8 +79,9 @@ def _judged(shown: DataFrame, m: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _means(ordered: DataFrame) -> DataFrame:
-    m = ranking.list_measures(ordered, ["render", "ordering"], PLACES)
-    return reduce(DataFrame.unionByName, [evaluate.mean_of(m, ["ordering"], c).select("ordering", F.lit(c).alias("measure"), F.round("mean", 6).alias("mean"), "scored") for c in ("ndcg", "mrr", "recall")])
+    m, names = ranking.list_measures(ordered, ["render", "ordering"], PLACES), ("ndcg", "mrr", "recall")
+    g = m.groupBy("ordering").agg(*[F.struct(F.lit(c).alias("measure"), F.round(F.avg(c), 6).alias("mean"), F.count(c).alias("scored")).alias(c) for c in names])
+    return g.select("ordering", F.explode(F.array(*names)).alias("m")).select("ordering", "m.*")
 
 
 def daily_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +147,9 @@ SELECT CAST(0 AS BIGINT) AS future_reads, CAST(0 AS BIGINT) AS moved, count(*) A
 """
 
 
-def _controls(shown: DataFrame, m: DataFrame, leak: DataFrame) -> DataFrame:
-    """``control, value, bound, behaved`` of the four negative controls."""
-    ordered, blind = _judged(shown, m), _judged(shown, m, "shuffled")
+def _controls(shown: DataFrame, m: DataFrame, leak: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``control, value, bound, behaved`` of the four negative controls; ``ordered`` are the orderings under the models of the labels."""
+    blind = _judged(shown, m, "shuffled")
     ndcg = lambda o, name, as_: ranking.list_measures(o.filter(F.col("ordering") == name), ["render"], PLACES).agg(F.round(F.avg("ndcg"), 6).alias(as_))
     shuffle = ndcg(blind, "candidate", "value").join(F.broadcast(ndcg(ordered, "popularity", "bound"))).select(F.lit("shuffle").alias("control"), "value", "bound", (F.col("value") <= F.col("bound")).alias("behaved"))
     leak_row = leak.select(F.lit("leak").alias("control"), F.col("planted_moved").cast("double").alias("value"), F.col("moved").cast("double").alias("bound"), ((F.col("planted_moved") > 0) & (F.col("moved") == 0)).alias("behaved"))
@@ -184,20 +186,21 @@ def served_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative controls: a planted leak is seen, a model of shuffled labels doesn't win, and the cold and missing lists are frozen."""
     shown = shown_parts(spark, sf_dir).persist()
-    return _controls(shown, models(shown), leaks(spark, sf_dir))
+    m = models(shown, shuffled=True)
+    return _controls(shown, m, leaks(spark, sf_dir), _judged(shown, m))
 
 
 def chain_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The promotion gate over what the whole chain finds: measures, coverage, drafts, leaks, controls, organic counts."""
     shown = shown_parts(spark, sf_dir).persist()
-    m, leak = models(shown), leaks(spark, sf_dir).persist()
+    m, leak = models(shown, shuffled=True), leaks(spark, sf_dir).persist()
     ordered = _judged(shown, m).persist()
     offline = _means(ordered).filter("measure = 'ndcg'").select("ordering", F.col("mean").alias("ndcg")).join(evaluate.coverage_by(ordered, PLACES), "ordering")
     e = log(spark, sf_dir)
     counts = telemetry.organic_counts(e, F.col("client") >= 10, ~F.col("label"), "client", F.col("day"))
     organic = telemetry.gate(counts, {"impressions": 500, "interactions": 50, "clients": 25, "days": 7})
     delta = _summary(_drafted(ordered, shown).persist()).first()  # one row, as the next two
-    seen, behaved = leak.select((F.col("moved") + F.col("future_reads") > 0).alias("x")).first().x, _controls(shown, m, leak).agg(F.bool_and("behaved").alias("x")).first().x
+    seen, behaved = leak.select((F.col("moved") + F.col("future_reads") > 0).alias("x")).first().x, _controls(shown, m, leak, ordered).agg(F.bool_and("behaved").alias("x")).first().x
     return evaluate.promotion(offline, organic, F.lit(delta.low).cast("double"), F.lit(bool(seen)), F.lit(bool(behaved)))
 
 

@@ -148,3 +148,17 @@ def test_chain_on_small_tables(spark):
     for r in s.orderBy(F.xxhash64("event_id")).limit(20).collect():
         assert r.prior == ((e["item"] == r.item) & e["label"] & (e["ms"] < r.ms)).sum()
     assert ranking.moved_features(s.select("event_id", "features"), s.select("event_id", "features"), "event_id").count() == 0
+
+
+def test_a_dense_feature_keeps_few_cells(spark):
+    """A feature with a value per row costs eight cells a bin, and the models stay those of single steps."""
+    rng = np.random.default_rng(5)
+    x, y, other, w, day = training(3000, 5, 2)
+    x = np.column_stack([np.round(x[:, 0]), rng.random(3000) * 0.1])
+    df = frame(spark, x, y, other, w, day)
+    assert descent.weighted_cells(df, "day", "features", ["label"], "weight").count() == 3000
+    assert descent.weighted_cells(df, "day", "features", ["label"], "weight", dense=1).count() <= 6 * 2 * 4 * 8
+    r = descent.fit_days(df, "day", least=2000, steps=200, dense=1).collect()[-1]
+    own = day < r.day
+    v, b = descent.step_by_step(x[own], y[own], w[own], steps=200)
+    assert np.allclose(v, r.weights, atol=1e-8) and abs(b - r.bias) < 1e-8
