@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightquay.functions.scoring import discounted, ideal_gain, mulberry
+from brightquay.functions.scoring import discounted, ideal_gain
 from brightquay.operators.descent import fit_all
 from brightquay.session import scratch
 
+#: Clients of a bootstrap's slice, and draws that a task makes of one.
+SLICE_CLIENTS, BLOCK_DRAWS = 1 << 17, 40
+
 
 def ranked(rows: DataFrame, by: Sequence[str], *order) -> DataFrame:
     """``rank`` from 0 within each list; the last key of ``order`` has to break ties."""
@@ -129,18 +132,44 @@ def numbered_keys(rows: DataFrame, key: str, name: str = "k") -> DataFrame:
     return inside.join(before, F.col("_slice") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_i")).select(*rows.columns, name)
 
 
+def _mulberry_at(seed: int, k: np.ndarray) -> np.ndarray:
+    """:func:`brightquay.functions.scoring.mulberry` of many numbers at once."""
+    t = (np.uint64(seed & Mulberry.MASK) + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(Mulberry.STEP)).astype(np.uint32)
+    t = (t ^ t >> np.uint32(15)) * (t | np.uint32(1))
+    t ^= t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))
+    return (t ^ t >> np.uint32(14)) / 4294967296.0
+
+
 def bootstrap_mean(values: DataFrame, client: str, value: str, draws: int = 2000, seed: int = 4242, level: float = 0.95) -> DataFrame:
     """``mean, low, high`` of ``value``, clients drawn with replacement; no interval for fewer than two clients.
 
     Clients are reduced to sums and counts first. Pick i of draw d is the generator's
     number d * clients + i, reckoned by itself, so draws are made in parallel; quantiles
-    are taken by index.
+    are taken by index. Numbered clients are put together in slices, and a task adds up
+    what a few draws pick from one: picks are never rows.
     """
     per = values.groupBy(client).agg(F.sum(value).alias("s"), F.count(value).alias("n")).filter("n > 0")
     total = per.count()
-    at = F.col("id")
-    picks = values.sparkSession.range(draws * total).select(F.floor(at / max(total, 1)).alias("draw"), F.floor(mulberry(seed, at) * total).alias("k"))
-    drawn = picks.join(numbered_keys(per, client), "k").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("v"))
+    slices = numbered_keys(per, client).groupBy(F.floor(F.col("k") / SLICE_CLIENTS).alias("slice")).agg(F.array_sort(F.collect_list(F.struct("k", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))).alias("c"))
+    blocks = values.sparkSession.range(-(-draws // BLOCK_DRAWS)).withColumnRenamed("id", "block")
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at, s, n, block in zip(f["slice"], f["s"], f["n"], f["block"], strict=True):
+                first = at * SLICE_CLIENTS
+                rows = []
+                for draw in range(block * BLOCK_DRAWS, min(draws, (block + 1) * BLOCK_DRAWS)):
+                    sums = np.zeros(2)
+                    for start in range(0, total, SLICE_CLIENTS):
+                        pick = np.arange(draw * total + start, draw * total + min(total, start + SLICE_CLIENTS))
+                        k = np.floor(_mulberry_at(seed, pick) * total).astype(np.int64) - first
+                        k = k[(k >= 0) & (k < len(s))]
+                        sums += s[k].sum(), n[k].sum()
+                    rows.append((draw, *sums))
+                yield pd.DataFrame(rows, columns=["draw", "s", "n"])
+
+    dealt = slices.select("slice", F.col("c.s").alias("s"), F.col("c.n").alias("n")).crossJoin(F.broadcast(blocks)).repartition(max(1, blocks.count()), "block", "slice")
+    drawn = dealt.mapInPandas(of, "draw long, s double, n double").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("v"))
     tail = (1 - level) / 2
     quantile = lambda q: F.when(F.lit(total > 1), F.element_at("vs", min(draws - 1, math.floor(q * draws)) + 1))
     spread = drawn.agg(F.sort_array(F.collect_list("v")).alias("vs"))

@@ -162,3 +162,16 @@ def test_a_dense_feature_keeps_few_cells(spark):
     own = day < r.day
     v, b = descent.step_by_step(x[own], y[own], w[own], steps=200)
     assert np.allclose(v, r.weights, atol=1e-8) and abs(b - r.bias) < 1e-8
+
+
+def test_bootstrap_makes_no_rows_of_picks(spark, monkeypatch):
+    """Clients in several slices give what the generator's picks give one by one."""
+    monkeypatch.setattr(ranking, "SLICE_CLIENTS", 7)
+    df = spark.range(20).select(F.col("id").alias("c"), (F.col("id") * F.col("id") % 11).cast("double").alias("v"))
+    out = ranking.bootstrap_mean(df, "c", "v", draws=90)
+    assert "Range (0, 1800" not in out._jdf.queryExecution().optimizedPlan().toString()
+    v = [r.v for r in sorted(ranking.numbered_keys(df, "c").collect(), key=lambda r: r.k)]
+    rng = ranking.Mulberry(4242)
+    means = sorted(sum(v[int(rng() * 20)] for _ in range(20)) / 20 for _ in range(90))
+    r = out.first()
+    assert (r.mean, r.low, r.high) == pytest.approx((sum(v) / 20, means[2], means[87]))
