@@ -140,3 +140,13 @@ def test_stream_of_telemetry(spark, tmp_path):
     q = s.writeStream.foreachBatch(streams.append_once(str(out))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(out)).count() == 1
+
+
+def test_matches_read_records_that_were_written_once(spark):
+    """What records are made of is not in the plan of their matches, however many kinds there are."""
+    rows = [(1, "d", "springhackathon", ["a"], "h", "x"), (2, "d", "myspringhackathon", ["b"], "H-", "x"), (3, "d", "other", ["c"], "h", "x")]
+    r = spark.createDataFrame(rows, "ordinal long, day string, fingerprint string, words array<string>, host string, area string").withColumn("host", F.regexp_replace(F.lower("host"), "-", ""))
+    m = resolve.first_matches(r)
+    assert "regexp_replace" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, m.collect())) == [(2, 1, "title"), (3, 1, "host")]
+    assert "regexp_replace" not in resolve.match_links(r)._jdf.queryExecution().optimizedPlan().toString()
