@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Tasks that read the pages of a stated total at most: beyond, a task reads several.
+MOST_TASKS = 1024
+
+
 class PageFile(InputPartition):
-    """One page: its path, and what is on it where planning had to read it."""
+    """One page with what is on it, where planning had to read it; or ``count`` pages from a number on."""
 
-    def __init__(self, path: str, items: list | None = None):
-        self.path, self.items = path, items
+    def __init__(self, folder: str, first: int, items: list | None = None, count: int = 1):
+        self.folder, self.first, self.items, self.count = folder, first, items, count
 
 
 def read_page(path: str, tries: int = 2) -> dict | None:
@@ -36,10 +40,10 @@ class PagedReader(DataSourceReader):
     """Reads pages ``0.json``, ``1.json``, ... of a folder: objects with ``items`` and perhaps ``next`` and ``total``."""
 
     def __init__(self, options: dict):
-        self.folder, self.most, self.quiet = options["path"], int(options.get("pages", 1200)), int(options.get("quiet", 0))
+        self.folder, self.most, self.quiet = options["path"], float(options.get("pages", "inf")), int(options.get("quiet", 0))
 
     def partitions(self) -> list[InputPartition]:
-        """Pages up to the stated total, the first without a cursor, the cap, or a run of pages with nothing open.
+        """Pages up to the stated total, the first without a cursor, a run of pages with nothing open, or the option ``pages``, where it is given.
 
         A first page that states a ``total`` and carries no cursor says how many pages there
         are: the others are left to the tasks, which read them in parallel. Cursors and
@@ -49,16 +53,16 @@ class PagedReader(DataSourceReader):
         out: list[InputPartition] = []
         n = calm = 0
         while len(out) < self.most:
-            path = f"{self.folder}/{len(out)}.json"
-            page = read_page(path)
+            page = read_page(f"{self.folder}/{len(out)}.json")
             if page is None:
                 break
             items = page["items"]
-            out.append(PageFile(path, items))
+            out.append(PageFile(self.folder, len(out), items))
             n += len(items)
             if len(out) == 1 and items and "total" in page and "next" not in page and not self.quiet:
-                pages = min(self.most, -(-page["total"] // len(items)))
-                return out + [PageFile(f"{self.folder}/{i}.json") for i in range(1, pages)]
+                pages = int(min(self.most, -(-page["total"] // len(items))))
+                run = max(1, -(-pages // MOST_TASKS))
+                return out + [PageFile(self.folder, i, count=min(run, pages - i)) for i in range(1, pages, run)]
             calm = 0 if any(x.get("open", True) for x in items) else calm + 1
             if ("next" in page and not page["next"]) or n >= page.get("total", float("inf")) or (self.quiet and calm >= self.quiet):
                 break
@@ -68,9 +72,11 @@ class PagedReader(DataSourceReader):
         """Items of a page as JSON text; a page that is not there any more has none. Where no page was planned Spark asks for none."""
         if partition is None:
             return
-        items = partition.items if partition.items is not None else (read_page(partition.path) or {"items": []})["items"]
-        for i, item in enumerate(items):
-            yield partition.path, i, json.dumps(item, sort_keys=True)
+        for n in range(partition.first, partition.first + partition.count):
+            path = f"{partition.folder}/{n}.json"
+            items = partition.items if partition.items is not None else (read_page(path) or {"items": []})["items"]
+            for i, item in enumerate(items):
+                yield path, i, json.dumps(item, sort_keys=True)
 
 
 class PagedSource(DataSource):

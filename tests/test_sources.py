@@ -186,3 +186,17 @@ def test_seed_order(spark):
     assert {r.id: r.turn.late for r in sampling.reserve_order(df, "region", "id", 2).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
     months = spark.createDataFrame([("k", 1, "May"), ("k", 2, "May"), ("k", 3, None), ("k", 4, "May"), ("l", 1, "May")], "k string, i int, m string")
     assert sorted((r.k, r.i, r.header) for r in sampling.headed(months, "k", "i", "m").collect()) == [("k", 1, "May"), ("k", 2, None), ("k", 3, None), ("k", 4, "May"), ("l", 1, "May")]
+
+
+def test_a_stated_total_has_no_cap(spark, tmp_path):
+    """All pages of a total are read, several by a task where there are many; a cap holds where it is asked for."""
+    pages = 2500
+    for i in range(pages):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"items": [i, -i], "total": 2 * pages - 1}))
+    reader = paged.PagedReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) <= paged.MOST_TASKS + 1
+    rows = [row for p in parts for row in reader.read(p)]
+    assert len(rows) == 2 * pages and len({r[0] for r in rows}) == pages
+    few = paged.PagedReader({"path": str(tmp_path), "pages": "7"})
+    assert sum(len(list(few.read(p))) for p in few.partitions()) == 14
