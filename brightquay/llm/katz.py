@@ -41,7 +41,7 @@ from brightquay.llm.common import fold_of, load, text_of, write_table
 from brightquay.llm.exchange import bucketed, mixed, packed, slices_of, unpacked
 
 #: Order of the model, and that of the query; counts up to GT are discounted.
-ORDER, QUERY_ORDER, GT = 3, 2, 5
+ORDER, QUERY_ORDER, GT = 3, 3, 5
 #: Tokens of a batch and n-grams of a slice, on average; tokens from which a context is dealt to several slices.
 BATCH_TOKENS, SLICE_KEYS, HOT = 1_500_000, 1_500_000, 200_000
 #: The end and the begin of a text; words have no blanks. The number of a word that isn't known.

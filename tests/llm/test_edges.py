@@ -206,3 +206,14 @@ def test_scratch_tables_go(spark):
     assert kept.count() == 4
     with pytest.raises(Exception):
         spark.read.parquet(gone._brightquay_path).count()
+
+
+def test_the_scoring_query_takes_the_model_s_order(monkeypatch):
+    """No smaller order than the operator's own."""
+    from brightquay.llm import katz
+
+    orders = []
+    monkeypatch.setattr(katz, "load", lambda *a: None)
+    monkeypatch.setattr(katz, "katz_scores", lambda docs, order=katz.ORDER: orders.append(order))
+    katz.op3_lm_scoring(None, "")
+    assert orders == [katz.ORDER] and katz.ORDER >= 3
