@@ -57,26 +57,27 @@ def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, least:
     """For each text the longest key of at least ``least`` characters that it contains; repeated rows stay repeated.
 
     An equi-join on the keys' first ``least`` characters finds candidates of distinct
-    texts; no pair of texts and keys is tried otherwise.
+    texts; no pair of texts and keys is tried otherwise. Neither keys nor texts are
+    broadcast: both grow with the input, and files tell little of the size of their text.
     """
     own = texts.select(F.col(text).alias("_text")).distinct()
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - least + 1))
     grams = own.withColumn("_g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col("_text"), i, F.lit(least))))))
     k = keys.filter(F.length(key) >= least).select(F.col(key).alias("_key")).distinct().withColumn("_h", F.substring("_key", 1, least))
-    hit = grams.join(k, F.col("_g") == F.col("_h")).filter(F.col("_text").contains(F.col("_key")))
+    hit = grams.join(k.hint("merge"), F.col("_g") == F.col("_h")).filter(F.col("_text").contains(F.col("_key")))
     best = hit.groupBy("_text").agg(F.max_by("_key", F.struct(F.length("_key"), F.col("_key"))).alias("_best"))
-    return texts.join(best, F.col(text) == F.col("_text")).select(*texts.columns, F.col("_best").alias(key))
+    return texts.join(best.hint("merge"), F.col(text) == F.col("_text")).select(*texts.columns, F.col("_best").alias(key))
 
 
 def slug_or_key_join(left: DataFrame, right: DataFrame, least: int = 18) -> DataFrame:
     """Rows of ``left`` (slug, key) that ``right`` knows: by slug where there is one, else by key or mutual containment."""
-    by_slug = left.filter("slug IS NOT NULL").join(right.select("slug").filter("slug IS NOT NULL"), "slug", "left_semi")
+    by_slug = left.filter("slug IS NOT NULL").join(right.select("slug").filter("slug IS NOT NULL").hint("merge"), "slug", "left_semi")
     loose = left.filter("slug IS NULL")
-    by_key = loose.join(right.select("key"), "key", "left_semi")
-    rest = loose.join(right.select("key"), "key", "left_anti")
+    by_key = loose.join(right.select("key").hint("merge"), "key", "left_semi")
+    rest = loose.join(right.select("key").hint("merge"), "key", "left_anti")
     inside = contains_join(rest.select("key").distinct(), "key", right.select(F.col("key").alias("other")), "other", least).select("key")
     around = contains_join(right.select(F.col("key").alias("whole")).distinct(), "whole", rest.select(F.col("key").alias("part")), "part", least).select(F.col("part").alias("key"))
-    near = rest.join(inside.union(around).distinct(), "key", "left_semi")
+    near = rest.join(inside.union(around).distinct().hint("merge"), "key", "left_semi")
     return by_slug.unionByName(by_key).unionByName(near)
 
 
@@ -119,14 +120,14 @@ def window_counts(queries: DataFrame, rows: DataFrame, by: str, at: str) -> Data
 
 def pending(board: DataFrame, synced: DataFrame, submitted: DataFrame, key: str = "id") -> DataFrame:
     """Rows that are neither synced nor submitted."""
-    return board.join(synced.select(key), key, "left_anti").join(submitted.select(key), key, "left_anti")
+    return board.join(synced.select(key).hint("merge"), key, "left_anti").join(submitted.select(key).hint("merge"), key, "left_anti")
 
 
 def ledger_check(recorded: DataFrame, present: DataFrame, key: str = "id") -> DataFrame:
     """``key, action``: adopt what is present and unrecorded, clear what is recorded and absent, keep the rest."""
     a, b = recorded.select(key).distinct().withColumn("_a", F.lit(True)), present.select(key).distinct().withColumn("_b", F.lit(True))
     action = F.when(F.col("_a").isNull(), "adopt").when(F.col("_b").isNull(), "clear").otherwise("keep")
-    return a.join(b, key, "full_outer").select(key, action.alias("action"))
+    return a.join(b.hint("merge"), key, "full_outer").select(key, action.alias("action"))
 
 
 def links_within(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -24,9 +24,9 @@ def calendar_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = board.filter("p_size < 20").select("slug", shown.alias("key"))
     present = joins.slug_or_key_join(board, calendar).select("id")
     synced, submitted = board.filter("p_size % 5 < 2").select("id"), board.filter("p_brand < 'Brand#2'").select("id")
-    out = board.select("id").join(present.distinct().withColumn("present", F.lit(True)), "id", "left").join(joins.ledger_check(synced, present), "id", "left")
+    out = board.select("id").join(present.distinct().withColumn("present", F.lit(True)).hint("merge"), "id", "left").join(joins.ledger_check(synced, present).hint("merge"), "id", "left")
     waiting = joins.pending(board, synced, submitted).select("id", F.lit(True).alias("pending"))
-    return out.join(waiting, "id", "left").select("id", F.coalesce("present", F.lit(False)).alias("present"), "action", F.coalesce("pending", F.lit(False)).alias("pending"))
+    return out.join(waiting.hint("merge"), "id", "left").select("id", F.coalesce("present", F.lit(False)).alias("present"), "action", F.coalesce("pending", F.lit(False)).alias("pending"))
 
 
 CALENDAR_STATE = """

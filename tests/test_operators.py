@@ -150,3 +150,12 @@ def test_matches_read_records_that_were_written_once(spark):
     assert "regexp_replace" not in m._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, m.collect())) == [(2, 1, "title"), (3, 1, "host")]
     assert "regexp_replace" not in resolve.match_links(r)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_containment_broadcasts_nothing(spark):
+    """Keys and texts grow with the input, so neither goes to the driver, however small files make them look."""
+    texts = spark.range(50).select(F.concat(F.lit("a text with key number "), F.col("id").cast("string")).alias("t"))
+    out = joins.contains_join(texts, "t", texts.select(F.substring("t", 8, 20).alias("k")), "k", 12)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString() and out.count() == 50
+    board = texts.select(F.col("t").alias("id"), F.lit(None).cast("string").alias("slug"), F.col("t").alias("key"))
+    assert "Broadcast" not in joins.slug_or_key_join(board, board)._jdf.queryExecution().sparkPlan().toString()
