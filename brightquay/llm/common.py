@@ -8,9 +8,11 @@ driver and executors are one process (tests, notebooks).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -129,6 +131,18 @@ def drop_table(*tables: DataFrame) -> None:
     _made[:] = [x for x in _made if x[1] not in gone]
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within go when each query ends, and not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @atexit.register
 def _sweep() -> None:
     """Intermediate tables live as long as the session that made them."""

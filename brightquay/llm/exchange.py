@@ -79,7 +79,17 @@ def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
     _tables.append((spark, name, path))
-    return spark.table(name)
+    out = spark.table(name)
+    out._brightquay_table = name
+    return out
+
+
+def drop_bucketed(table: DataFrame) -> None:
+    """Delete a table of :func:`bucketed` that nothing reads any more."""
+    for x in [x for x in _tables if x[1] == table._brightquay_table]:
+        x[0].sql(f"DROP TABLE IF EXISTS {x[1]}")
+        delete_path(x[0], x[2])
+        _tables.remove(x)
 
 
 @atexit.register

@@ -5,12 +5,13 @@ counts, and for every context what its weight is made of. Its tables are partiti
 slices of a hash range of contexts.
 
 1. Texts become batches of tokens. Batches send their distinct words, named by 128 bits,
-   with their training counts to slices, which number them.
+   with their training counts to slices, which number them. The batches are written again
+   with the numbers in place of the names.
 2. Order by order, batches send their distinct n-grams with their training counts to the
    slices. A slice adds up all batches and the tables of a model that was there before,
    writes its part of the model, and answers every batch in the order in which it asked:
    counts of n-grams, and per context the mass that discounting frees, by counts, and the
-   lower order's mass of the words seen.
+   lower order's mass of the words seen, unless the batch has all of these words itself.
 3. A batch evaluates its tokens from the lowest order up: the discounted n-gram if it was
    seen, and else the context's weight times the probability of the order below. Weights
    make every context sum to one exactly.
@@ -37,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightquay.llm.common import fold_of, load, text_of, write_table
-from brightquay.llm.exchange import bucketed, mixed, packed, slices_of, unpacked
+from brightquay.llm.common import drop_table, fold_of, load, shuffles_dropped, text_of, write_table
+from brightquay.llm.exchange import bucketed, drop_bucketed, mixed, packed, slices_of, unpacked
 
 #: Order of the model, and that of the query; counts up to GT are discounted.
 ORDER, QUERY_ORDER, GT = 3, 3, 5
@@ -47,6 +48,8 @@ BATCH_TOKENS, SLICE_KEYS, HOT = 1_500_000, 1_500_000, 200_000
 #: The end and the begin of a text; words have no blanks. The number of a word that isn't known.
 _END, _BEGIN, UNKNOWN = b" ", b"\t", 0xFFFFFFFF
 _TOKENS = "batch long, n long, keys binary, ids binary, known binary, train binary, lens binary, pre binary, words binary, counts binary, toks binary"
+#: Batches whose words have numbers.
+_NUMBERED = _TOKENS.replace("words binary", "gids binary")
 #: N-grams of a slice in order, and its contexts: counts of their n-grams with each small count, the lower order's mass, whether they are hot.
 _TABLE_KINDS = {"context": "<u8", "word": "<u4", "counts": "<u8", "names": "<u8", "small": "<u4", "low": "<f8", "hot": "u1"}
 _TABLE = ", ".join(f"{c} binary" for c in _TABLE_KINDS)
@@ -165,8 +168,8 @@ def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def count_words(tokens: DataFrame, slices: int, model: DataFrame | None) -> DataFrame:
-    """Replies of order one: numbers and counts of all batches' words, the table of words, statistics.
+def count_words(tokens: DataFrame, slices: int, model: DataFrame | None, keep: bool) -> DataFrame:
+    """Replies of order one: numbers and counts of all batches' words, statistics, and with ``keep`` the table of words.
 
     A slice numbers its words by falling count, in steps of ``slices``, so numbers are
     distinct and frequent words' are small. The begin of texts has a number too and is no
@@ -205,8 +208,9 @@ def count_words(tokens: DataFrame, slices: int, model: DataFrame | None) -> Data
                 rows.append({"kind": _TO_BATCH, "batch": batch, "a": packed(number[own].astype("<u4")), "b": packed(c[own].astype("<u8"))})
         word = c * ~((high[one] == begin[0]) & (low[one] == begin[1]))
         rows.append({"kind": _STATISTICS, "sums": [float(word.sum()), float((word > 0).sum()), *np.bincount(np.minimum(word, GT + 2), minlength=GT + 3)[1 : GT + 2].astype(float).tolist()]})
-        kept = one[c > 0]
-        rows.append({"kind": _OF_MODEL, "context": high[kept].tobytes(), "names": low[kept].tobytes(), "counts": packed(c[c > 0].astype("<u8"))})
+        if keep:
+            kept = one[c > 0]
+            rows.append({"kind": _OF_MODEL, "context": high[kept].tobytes(), "names": low[kept].tobytes(), "counts": packed(c[c > 0].astype("<u8"))})
         blank = dict.fromkeys(_columns(_REPLY)) | {"k": 1, "slice": s, "batch": -1, "name": 0}
         return pd.DataFrame([blank | row for row in rows])
 
@@ -216,6 +220,25 @@ def count_words(tokens: DataFrame, slices: int, model: DataFrame | None) -> Data
     return write_table(asked.groupBy("slice").applyInPandas(of, _REPLY), "katz-1", "kind")
 
 
+def number_words(tokens: DataFrame, replies: DataFrame, slices: int) -> DataFrame:
+    """Batches with their words' numbers and counts in place of the names."""
+    columns = _columns(_NUMBERED)
+
+    def told(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for row in own.itertuples():
+            high, _ = _words_of(row)
+            gids, counts = np.zeros(len(high), np.uint32), np.zeros(len(high), np.uint64)
+            a, b = (dict(zip(replies["slice"], replies[c], strict=True)) for c in "ab")
+            for s, o in slices_of(high, slices):
+                gids[o], counts[o] = unpacked(a[s], "<u4"), unpacked(b[s], "<u8")
+            new = {"gids": packed(gids.astype("<u4")), "counts": packed(counts.astype("<u8"))}
+            rows.append([new[c] if c in new else getattr(row, c) for c in columns])
+        return pd.DataFrame(rows, columns=columns)
+
+    return tokens.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(told, _NUMBERED)
+
+
 class Batch:
     """A batch of numbered tokens, and what the slices have said of it so far."""
 
@@ -225,12 +248,7 @@ class Batch:
         self.known, train = np.frombuffer(row.known, np.uint8).astype(bool), np.frombuffer(row.train, np.uint8).astype(bool)
         self.at = Layout(lens.astype(np.int64), np.frombuffer(row.pre, np.uint8).astype(np.int64), train)
         self.toks = unpacked(row.toks, "<u4").astype(np.int64)
-        high, _ = _words_of(row)
-        gids, counts = np.zeros(len(high), np.uint32), np.zeros(len(high), np.int64)
-        own = replies[(replies["k"] == 1) & (replies["kind"] == _TO_BATCH)]
-        a, b = (dict(zip(own["slice"], own[c], strict=True)) for c in "ab")
-        for s, o in slices_of(high, model.slices):
-            gids[o], counts[o] = unpacked(a[s], "<u4"), unpacked(b[s], "<u8")
+        gids, counts = unpacked(row.gids, "<u4"), unpacked(row.counts, "<u8").astype(np.int64)
         self.model, self.n_words = model, len(gids)
         self.gid, self.c1 = gids[self.toks], counts[self.toks]
         # of the order reached: count, local number and name of the n-gram that ends at each position, its context's tokens, and the probability
@@ -280,8 +298,13 @@ class Batch:
         for s, o in slices_of(self._slice_names(first, name, hot), self.model.slices):
             count[o] = unpacked(a[s], "<u8")
             of_run, _ = _runs(name[o])
-            sums[o, :GT] = unpacked(b[s], "<u4").reshape(GT, -1).T[of_run]
-            sums[o, GT] = unpacked(c[s], "<f8")[of_run]
+            told = unpacked(b[s], "<u4").reshape(GT + 1, -1)
+            sums[o, :GT] = told[:GT].T[of_run]
+            # of a context whose seen words are all here, their mass of the lower order is added up here
+            n, seen, given = self.count[first[o]], count[o] > 0, told[GT] > 0
+            mass = np.bincount(of_run[seen], (self.model.discounts[k - 2][np.minimum(n, GT + 1)] * n / np.maximum(self.total[first[o]], 1))[seen], told.shape[1])
+            mass[given] = unpacked(c[s], "<f8")
+            sums[o, GT] = mass[of_run]
         if hot.any():
             summed = replies[replies["kind"] == _SUMS]
             names = summed["name"].to_numpy(np.int64).view(np.uint64)
@@ -323,8 +346,8 @@ def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _slice(k: int, lower: np.ndarray):
-    """A slice's work on order ``k``, with the discounts of the order below."""
+def _slice(k: int, lower: np.ndarray, keep: bool):
+    """A slice's work on order ``k``, with the discounts of the order below; with ``keep`` it writes its part of the model."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("batch")
@@ -347,6 +370,7 @@ def _slice(k: int, lower: np.ndarray):
         of_context = np.cumsum(new_context[new]) - 1
         names, is_hot = context[one[first]], np.maximum.reduceat(hot[one], first) > 0
         seen = c > 0
+        types = np.bincount(of_context[seen], minlength=len(first))
         # what a context's weight is made of: how many of its n-grams have each small count, and the lower order's mass of all
         small, mass = np.zeros((GT, len(first)), np.int64), np.zeros(len(first))
         if len(known):
@@ -362,14 +386,15 @@ def _slice(k: int, lower: np.ndarray):
         for batch, size in zip(f["batch"], sizes, strict=True):
             begin, end = end, end + size
             grams, theirs = of_gram[begin:end], context[begin:end]
-            _, starts = _runs(theirs)
+            of_run, starts = _runs(theirs)
             runs = of_context[grams[starts]]
-            rows.append({"kind": _TO_BATCH, "batch": batch, "a": packed(c[grams].astype("<u8")), "b": packed(small[:, runs].astype("<u4").ravel()), "c": packed(mass[runs])})
+            given = np.bincount(of_run, seen[grams], len(runs)) < types[runs]
+            rows.append({"kind": _TO_BATCH, "batch": batch, "a": packed(c[grams].astype("<u8")), "b": packed(np.vstack([small[:, runs], given]).astype("<u4").ravel()), "c": packed(mass[runs[given]])})
             rows += [{"kind": _ASKS, "batch": batch, "name": name} for name in np.unique(theirs[hot[begin:end] > 0]).view(np.int64).tolist()]
         for i in np.flatnonzero(is_hot).tolist():
             rows.append({"kind": _SUMS, "name": int(names[i].view(np.int64)), "sums": [*small[:, i].astype(float).tolist(), float(mass[i])]})
         rows.append({"kind": _STATISTICS, "sums": [float(c.sum()), float(seen.sum()), *np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)[1 : GT + 2].astype(float).tolist()]})
-        if not len(known):
+        if keep:
             kept, some = one[seen], np.unique(of_context[seen])
             table = (context[kept], word[kept], c[seen], names[some], small[:, some].ravel(), mass[some], is_hot[some])
             rows.append({"kind": _OF_MODEL} | {name: packed(np.ascontiguousarray(x.astype(kind))) for (name, kind), x in zip(_TABLE_KINDS.items(), table, strict=True)})
@@ -394,31 +419,41 @@ def _statistics(replies: DataFrame) -> Counts:
     return Counts(int(s[0] or 0), int(s[1] or 0), tuple(int(x or 0) for x in s[2:]))
 
 
-def _climbed(tokens: DataFrame, order: int, slices: int, model: KatzModel | None) -> tuple[DataFrame, list[Counts], DataFrame]:
-    """Replies to all batches, counts by order, and the model's tables."""
+def _climbed(tokens: DataFrame, order: int, slices: int, model: KatzModel | None, keep: bool = False) -> tuple[DataFrame, DataFrame, list[Counts], DataFrame]:
+    """The numbered batches, the replies to them, counts by order, and with ``keep`` the model's tables.
+
+    ``tokens`` is a table of :func:`bucketed`; it goes once the words have numbers.
+    """
     own = ["kind", "k", "slice", "batch", "a", "b", "c", "name", "sums"]
     none = lambda kind: F.lit(None).cast(kind)
     counts, replies, tables = [], None, None
     for k in range(1, order + 1):
         before = None if model is None else model.tables.filter(F.col("k") == k)
         if k == 1:
-            out = count_words(tokens, slices, before)
+            out = count_words(tokens, slices, before, keep)
         else:
             fit = fit_of(counts, slices)
             asked = _asked(tokens, replies, fit, k)
             if before is not None:
                 asked = asked.unionByName(before.select(*_columns(_ASK)[:2], *_TABLE_KINDS, none("binary").alias("lower"), none("binary").alias("total")))
-            out = write_table(asked.groupBy("slice").applyInPandas(_slice(k, fit.discounts[-1]), _REPLY), f"katz-{k}", "kind")
+            out = write_table(asked.groupBy("slice").applyInPandas(_slice(k, fit.discounts[-1], keep), _REPLY), f"katz-{k}", "kind")
         counts.append(_statistics(out) if model is None else model.counts[k - 1])
         now = out.filter(f"kind = {_TO_BATCH}").select(*own)
-        if k > 1:
+        if k == 1:
+            named, tokens = tokens, bucketed(number_words(tokens, now, slices), "batch", "katz")
+            drop_bucketed(named)
+            now = tokens.sparkSession.createDataFrame([], now.schema)
+            if not keep:
+                drop_table(out)
+        else:
             summed = out.filter(f"kind = {_SUMS}").groupBy("name").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(GT + 1)]).alias("sums"))
             hot = out.filter(f"kind = {_ASKS}").select("batch", "name").distinct().join(summed, "name")
             now = now.unionByName(hot.select(F.lit(_SUMS).alias("kind"), F.lit(k).alias("k"), F.lit(-1).cast("long").alias("slice"), "batch", *[none("binary").alias(c) for c in "abc"], "name", "sums"))
         replies = now if replies is None else replies.unionByName(now)
-        table = out.filter(f"kind = {_OF_MODEL}").select("k", "slice", "batch", *_TABLE_KINDS)
-        tables = table if tables is None else tables.unionByName(table)
-    return replies, counts, tables
+        if keep:
+            table = out.filter(f"kind = {_OF_MODEL}").select("k", "slice", "batch", *_TABLE_KINDS)
+            tables = table if tables is None else tables.unionByName(table)
+    return tokens, replies, counts, tables
 
 
 def fit_of(counts: list[Counts], slices: int) -> Fit:
@@ -460,14 +495,16 @@ def fit_katz(docs: DataFrame, order: int = ORDER) -> KatzModel:
     """A model of all ``docs``; its tables live in the shared folder until the session ends."""
     tokens = bucketed(token_table(docs, order, 1, None), "batch", "katz")
     slices = _slices_for(tokens)
-    _, counts, tables = _climbed(tokens, order, slices, None)
+    with shuffles_dropped(docs.sparkSession):
+        _, _, counts, tables = _climbed(tokens, order, slices, None, keep=True)
     return KatzModel(order, tables, counts, slices)
 
 
 def score_katz(model: KatzModel, docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of any texts under a fitted model."""
     tokens = bucketed(token_table(docs, model.order, 1, 0), "batch", "katz")
-    replies, counts, _ = _climbed(tokens, model.order, model.slices, model)
+    with shuffles_dropped(docs.sparkSession):
+        tokens, replies, counts, _ = _climbed(tokens, model.order, model.slices, model)
     return _scores(tokens, replies, fit_of(counts, model.slices)).drop("held_out")
 
 
@@ -483,7 +520,8 @@ def katz_scores(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, order:
     """
     tokens = bucketed(token_table(docs, order, folds, held_out_fold), "batch", "katz")
     slices = _slices_for(tokens)
-    replies, counts, _ = _climbed(tokens, order, slices, None)
+    with shuffles_dropped(docs.sparkSession):
+        tokens, replies, counts, _ = _climbed(tokens, order, slices, None)
     return _scores(tokens, replies, fit_of(counts, slices))
 
 

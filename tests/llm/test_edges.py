@@ -217,3 +217,19 @@ def test_the_scoring_query_takes_the_model_s_order(monkeypatch):
     monkeypatch.setattr(katz, "katz_scores", lambda docs, order=katz.ORDER: orders.append(order))
     katz.op3_lm_scoring(None, "")
     assert orders == [katz.ORDER] and katz.ORDER >= 3
+
+
+def test_scoring_with_katz_leaves_no_model_and_no_names_of_words(spark):
+    """Only what the answer is read from stays on disk: numbered batches and replies, not the model's tables."""
+    from pathlib import Path
+
+    from brightquay.llm import common, exchange, katz
+
+    docs = spark.createDataFrame([(i, f"a b c{i % 5} d b c{i % 3} e{i}") for i in range(40)], "doc_id long, text string")
+    before, tables = {p for _, p in common._made}, {name for _, name, _ in exchange._tables}
+    scored = katz.katz_scores(docs)
+    assert scored.count() == 40
+    left = [Path(p.removeprefix("file:")) for _, p in common._made if p not in before]
+    assert left and not [x for p in left for x in p.glob(f"kind={katz._OF_MODEL}")]
+    assert [spark.table(name).columns for _, name, _ in exchange._tables if name not in tables] == [katz._columns(katz._NUMBERED)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
