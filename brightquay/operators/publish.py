@@ -203,17 +203,24 @@ def drifted(board: DataFrame, calendar: DataFrame, least_ms: int = 60_000, prefi
 
     Titles are compared in bare letters: equal ones first, the calendar's last entry of a
     title counting; else one title begins with the other, the longest calendar title first.
-    Beginnings meet in an equi-join on ``prefix`` letters; shorter titles must be equal.
+    Beginnings of ``prefix`` letters and more are rows of their own and meet the titles in
+    equi-joins, so the work grows with titles times their length, however many begin alike.
+    A calendar title that goes on behind the board's is longer than any it begins with.
     """
     key = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
     stored = calendar.withColumn("_key", key(F.col("title"))).filter("_key <> ''").groupBy("_key").agg(F.max_by("start_ms", "ordinal").alias("_at"))
     own = board.filter("start_ms IS NOT NULL").withColumn("_own", key(F.col("title")))
     equal = own.join(stored, F.col("_own") == F.col("_key"), "left")
     matched = equal.filter("_at IS NOT NULL").select("id", F.col("start_ms").alias("board_ms"), F.col("_at").alias("calendar_ms"))
-    rest = equal.filter("_at IS NULL").select("id", "start_ms", "_own").filter(F.length("_own") >= prefix).withColumn("_g", F.substring("_own", 1, prefix))
-    near = stored.filter(F.length("_key") >= prefix).withColumn("_h", F.substring("_key", 1, prefix))
-    either = F.startswith("_key", F.col("_own")) | F.startswith("_own", F.col("_key"))
-    begun = rest.join(near, (F.col("_g") == F.col("_h")) & either).groupBy("id", "start_ms").agg(F.max_by("_at", F.struct(F.length("_key"), F.col("_key"))).alias("calendar_ms"))
+    rest = equal.filter("_at IS NULL").select("id", "start_ms", "_own").filter(F.length("_own") >= prefix)
+    own_titles, near = rest.select("_own").distinct(), stored.filter(F.length("_key") >= prefix)
+    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(prefix), F.greatest(F.lit(prefix), F.length(c) - 1)), lambda i: F.substr(F.col(c), F.lit(1), i)))
+    best = lambda at: F.max_by(at, F.struct(F.length("_key"), F.col("_key")))
+    of_title = best(F.struct("_key", "_at")).alias("_best")
+    longer = near.filter(F.length("_key") > prefix).select(begins("_key").alias("_own"), "_key", "_at").join(own_titles.hint("merge"), "_own", "left_semi").groupBy("_own").agg(of_title)
+    shorter = own_titles.filter(F.length("_own") > prefix).select("_own", begins("_own").alias("_key")).join(near.hint("merge"), "_key").groupBy("_own").agg(of_title)
+    held = longer.unionByName(shorter).select("_own", "_best.*")
+    begun = rest.join(held.hint("merge"), "_own").groupBy("id", "start_ms").agg(best("_at").alias("calendar_ms"))
     every = matched.unionByName(begun.select("id", F.col("start_ms").alias("board_ms"), "calendar_ms"))
     return every.filter(F.abs(F.col("calendar_ms") - F.col("board_ms")) >= least_ms)
 
