@@ -13,6 +13,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is reckoned once, however often the body names it.
+
+    Column expressions are trees: a value named twice is written out twice, and steps that
+    each name the one before grow as a power. A one-element array's ``transform`` binds it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bounded(terms: Iterable[str], plural: bool = False) -> str:
     """A pattern of whole ASCII words, longest first; Java's own boundary would be a Unicode one."""
     alternatives = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
@@ -107,19 +116,21 @@ _ENTITY = r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
 
 def decode_entities(text: Column | str) -> Column:
     """Named, decimal and hexadecimal entities in one pass, so nothing is decoded twice; unknown ones and numbers that are no character stay."""
-    t = _col(text)
     named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
-    def one(e: Column) -> Column:
-        name = F.substr(e, F.lit(2), F.length(e) - 2)
+    def character(e: Column, name: Column) -> Column:
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("int")
-        is_character = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.coalesce(F.element_at(named, F.lower(name)), F.when(is_character, character), e)
+        is_character = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+        return F.coalesce(bound(code, lambda c: F.when(is_character(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))), e)
+
+    one = lambda e: bound(F.substr(e, F.lit(2), F.length(e) - 2), lambda name: F.coalesce(F.element_at(named, F.lower(name)), character(e, name)))
+
+    def whole(t: Column) -> Column:
+        """Each piece behind what the entity before it stands for; the two lists are made once, not for every piece."""
+        found = F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)))
+        return F.array_join(F.zip_with(F.split(t, _ENTITY, -1), found, lambda p, e: F.when(e == "", p).otherwise(F.concat(one(e), p))), "")
 
-    found = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))
-    whole = F.array_join(F.transform(F.split(t, _ENTITY, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(one(F.get(found, i - 1)), p))), "")
-    return F.when(t.contains("&"), whole).otherwise(t)
+    return bound(_col(text), lambda t: F.when(t.contains("&"), whole(t)).otherwise(t))
 
 
 def visible_text(html: Column | str) -> Column:

@@ -21,3 +21,7 @@ def test_drifted_titles_that_begin_alike_are_not_paired(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 0, 180_000)]  # the others have fewer than 12 letters
     assert sorted(map(tuple, publish.drifted(board, calendar, prefix=4).collect())) == [(1, 0, 180_000), (2, 0, 180_000), (3, 0, 180_000)]
     assert "startswith" not in plan_of(out).lower()
+
+
+def test_entities_are_found_once_a_text():
+    assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
