@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brightquay.functions.text import _col
+from brightquay.functions.text import _col, bound
 
 #: Month names as they are written in ranges (fixed values).
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -25,15 +23,6 @@ def zone_offset_minutes(utc_ms: Column, zone: str) -> Column:
     return ((F.unix_millis(F.from_utc_timestamp(at, zone)) - utc_ms) / 60000).cast("int")
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is reckoned once, however often the body names it.
-
-    Column expressions are trees: a value named twice is written out twice, and steps that
-    each name the one before grow as a power. A one-element array's ``transform`` binds it.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def local_to_utc(local_ms: Column, zone: str) -> Column:
     """Instant of a wall clock given as if it were UTC; the offset is looked up twice, which settles gaps and overlaps."""
     offset = lambda ms: zone_offset_minutes(ms, zone).cast("long") * 60000
@@ -91,8 +80,7 @@ def parse_range(text: Column | str) -> Column:
     """(start, end) dates of a range with a year, as :func:`brightquay.functions.stated.range_instants` reads it."""
     from brightquay.functions.stated import range_instants
 
-    r = range_instants(text, "UTC")
-    return F.when(r.isNotNull(), F.struct(F.to_date(F.timestamp_millis(r["start"])).alias("start"), F.to_date(F.timestamp_millis(r["end"])).alias("end")))
+    return bound(range_instants(text, "UTC"), lambda r: F.when(r.isNotNull(), F.struct(F.to_date(F.timestamp_millis(r["start"])).alias("start"), F.to_date(F.timestamp_millis(r["end"])).alias("end"))))
 
 
 def year_by_weekday(month: Column, day: Column, weekday: Column, year: Column) -> Column:

@@ -51,22 +51,24 @@ def range_instants(text: Column | str, zone: str) -> Column:
     year; an earlier day of the same month collapses to the start. What ends before it
     begins, and any other text, is null.
     """
-    t = F.trim(_col(text))
     m = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    cross, within, single = rf"(?i)^{m}\s+(\d{{1,2}})\s*[-–]\s*{m}\s+(\d{{1,2}}),\s*(\d{{4}})\z", rf"(?i)^{m}\s+(\d{{1,2}})\s*[-–]\s*(\d{{1,2}}),\s*(\d{{4}})\z", rf"(?i)^{m}\s+(\d{{1,2}}),\s*(\d{{4}})\z"
-    month = lambda p, g: month_number(F.regexp_extract(t, p, g))
-
-    def pair(year: Column, m1: Column, d1: Column, m2: Column, d2: Column) -> Column:
-        a = local_to_utc(utc_ms(year - F.when(m2 < m1, 1).otherwise(0), m1, d1), zone)
-        b = local_to_utc(utc_ms(year, m2, d2, 23 * 60 + 59), zone)
-        return F.when(b > a, F.struct(a.alias("start"), b.alias("end")))
-
-    d1, d2 = _number(t, within, 2), _number(t, within, 3)
-    return (
-        F.when(t.rlike(cross), pair(_number(t, cross, 5), month(cross, 1), _number(t, cross, 2), month(cross, 3), _number(t, cross, 4)))
-        .when(t.rlike(within), pair(_number(t, within, 4), month(within, 1), d1, month(within, 1), F.greatest(d1, d2)))
-        .when(t.rlike(single), pair(_number(t, single, 3), month(single, 1), _number(t, single, 2), month(single, 1), _number(t, single, 2)))
-    )
+    shape = rf"(?i)^{m}\s+(\d{{1,2}})(?:\s*[-–]\s*(?:{m}\s+)?(\d{{1,2}}))?,\s*(\d{{4}})\z"
+
+    def parts(said: Column) -> Column:
+        """Month, day and year of ``[month, day, second month, second day, year]``; what is not said is empty."""
+        number = lambda i: F.nullif(F.get(said, F.lit(i)), F.lit("")).cast("int")
+        first, other = month_number(F.get(said, F.lit(0))), F.get(said, F.lit(2))
+        return F.struct(first.alias("m1"), number(1).alias("d1"), F.when(other != "", month_number(other)).alias("m2"), number(3).alias("d2"), number(4).alias("year"))
+
+    def pair(p: Column) -> Column:
+        before = F.when(p["m2"] < p["m1"], 1).otherwise(0)
+        last = F.when(p["m2"].isNotNull(), p["d2"]).otherwise(F.greatest(p["d1"], p["d2"]))
+        a = local_to_utc(utc_ms(p["year"] - before, p["m1"], p["d1"]), zone)
+        b = local_to_utc(utc_ms(p["year"], F.coalesce(p["m2"], p["m1"]), last, 23 * 60 + 59), zone)
+        return bound(F.struct(a.alias("start"), b.alias("end")), lambda r: F.when(r["end"] > r["start"], r))
+
+    read = lambda t: F.when(t.rlike(shape), bound(bound(F.split(F.regexp_replace(t, shape, "$1|$2|$3|$4|$5"), r"\|"), parts), pair))
+    return bound(F.trim(_col(text)), read)
 
 
 def recovered_range(text: Column | str, anchor_ms: Column, zone: str) -> Column:

@@ -23,5 +23,12 @@ def test_drifted_titles_that_begin_alike_are_not_paired(spark):
     assert "startswith" not in plan_of(out).lower()
 
 
+def test_range_text_is_read_once(spark):
+    assert str(dates.parse_range("h")).count("Jan|Feb") <= 4
+    texts = ["Jul 26 - Aug 14, 2026", "dec 30 – Jan 2, 2027", "Sep 26-27, 2026", "Sep 27 - 26, 2026", "Aug 04, 2026", "Sep 26-27", None, "a|b|c|d|2026"]
+    got = spark.createDataFrame([(t,) for t in texts], "h string").select(dates.parse_range("h").alias("r")).select(F.concat_ws("/", "r.start", "r.end")).collect()
+    assert [r[0] for r in got] == ["2026-07-26/2026-08-14", "2026-12-30/2027-01-02", "2026-09-26/2026-09-27", "2026-09-27/2026-09-27", "2026-08-04/2026-08-04", "", "", ""]
+
+
 def test_entities_are_found_once_a_text():
     assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
