@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brightquay.functions.scoring import candidate_scores, clamp
-from brightquay.functions.text import _col, bounded
+from brightquay.functions.text import _col, bound, bounded
 
 # The patterns by which notices are read.
 ATHON = r"(?i)\b[a-z]{3,}[-\s]a[-\s]?thon\b"
@@ -210,17 +210,22 @@ def page_place(lines: Column, time_line: Column, places: str) -> Column:
     first served place in any of the lines. The other lines are the venue, without the city
     at its end.
     """
-    here = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    stop = F.coalesce(F.array_min(F.transform(F.filter(here, lambda s: (s["x"] == "Registration") & (s["i"] >= time_line)), lambda s: s["i"])), F.least(time_line + 4, F.size(lines)))
-    own = F.transform(F.filter(here, lambda s: (s["i"] > time_line) & (s["i"] < stop) & (s["x"] != "Register to See Address")), lambda s: s["x"])
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    stop_of = lambda here, at: F.coalesce(F.array_min(F.transform(F.filter(here, lambda s: (s["x"] == "Registration") & (s["i"] >= at)), lambda s: s["i"])), F.least(at + 4, F.size(here)))
+    between = lambda here, at, stop: F.transform(F.filter(here, lambda s: (s["i"] > at) & (s["i"] < stop) & (s["x"] != "Register to See Address")), lambda s: s["x"])
+    own = bound(numbered, lambda here: bound(time_line, lambda at: bound(stop_of(here, at), lambda stop: between(here, at, stop))))
     shape = r"^(.*?),\s*(CA|California|United States|[A-Z]{2})\z"
     is_city = lambda x: x.rlike(shape) & ~F.regexp_extract(x, shape, 1).rlike(r"\d")
-    named = F.transform(F.filter(own, is_city), lambda x: F.trim(F.regexp_extract(x, shape, 1)))
-    served = titled(F.regexp_extract(F.get(F.filter(own, lambda x: x.rlike(places)), F.lit(0)), places, 0))
-    city = F.coalesce(F.when(F.size(named) > 0, F.element_at(named, -1)), F.nullif(served, F.lit("")))
-    venue = F.nullif(F.array_join(F.filter(own, lambda x: ~is_city(x)), ", "), F.lit(""))
-    cut = F.trim(F.regexp_replace(venue, F.concat(F.lit(r"(?i)[,\s]*\Q"), city, F.lit(r"\E\s*\z")), F.lit("")))
-    return F.struct(F.when(city.isNull(), venue).otherwise(F.nullif(cut, F.lit(""))).alias("venue"), city.alias("city"))
+    named = lambda own: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(own, is_city), lambda x: F.trim(F.regexp_extract(x, shape, 1)))), -1)
+    served = lambda own: bound(F.regexp_extract(F.get(F.filter(own, lambda x: x.rlike(places)), F.lit(0)), places, 0), titled)
+    city = lambda own: F.coalesce(named(own), F.nullif(served(own), F.lit("")))
+    venue = lambda own: F.nullif(F.array_join(F.filter(own, lambda x: ~is_city(x)), ", "), F.lit(""))
+
+    def cut(r: Column) -> Column:
+        bare = F.trim(F.regexp_replace(r["venue"], F.concat(F.lit(r"(?i)[,\s]*\Q"), r["city"], F.lit(r"\E\s*\z")), F.lit("")))
+        return F.struct(F.when(r["city"].isNull(), r["venue"]).otherwise(F.nullif(bare, F.lit(""))).alias("venue"), r["city"].alias("city"))
+
+    return bound(bound(own, lambda x: F.struct(venue(x).alias("venue"), city(x).alias("city"))), cut)
 
 
 def venue_residue(place: Column, city: Column) -> Column:

@@ -30,5 +30,9 @@ def test_range_text_is_read_once(spark):
     assert [r[0] for r in got] == ["2026-07-26/2026-08-14", "2026-12-30/2027-01-02", "2026-09-26/2026-09-27", "2026-09-27/2026-09-27", "2026-08-04/2026-08-04", "", "", ""]
 
 
+def test_place_lines_are_read_once():
+    assert str(facts.page_place(F.col("lines"), F.col("at"), "(?i)oakland")).count("Registration") == 1
+
+
 def test_entities_are_found_once_a_text():
     assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
