@@ -248,17 +248,11 @@ def ics_escape(text: Column | str) -> Column:
 def ics_fold(line: Column | str) -> Column:
     """A content line folded at 75 bytes, continuations at 74 behind a blank; characters stay whole.
 
-    One pass over the characters' sizes notes where lines begin; the text is then cut there.
+    One pass over the text's bytes, each as a character: what begins inside of one is no place to fold.
     """
-    t = _col(line)
-    sizes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.octet_length(c))
-    start = F.struct(F.array(F.lit(1)).alias("begins"), F.lit(0).alias("used"), F.lit(75).alias("room"), F.lit(0).alias("at"))
-    step = lambda a, n: F.when(
-        a["used"] + n > a["room"], F.struct(F.concat(a["begins"], F.array(a["at"] + 1)).alias("begins"), n.alias("used"), F.lit(74).alias("room"), (a["at"] + 1).alias("at"))
-    ).otherwise(F.struct(a["begins"].alias("begins"), (a["used"] + n).alias("used"), a["room"].alias("room"), (a["at"] + 1).alias("at")))
-    begins = F.aggregate(sizes, start, step, lambda a: a["begins"])
-    lines = F.transform(begins, lambda b, i: F.substr(t, b, F.coalesce(F.get(begins, i + 1), F.length(t) + 1) - b))
-    return F.when(F.octet_length(t) <= 75, t).otherwise(F.array_join(lines, "\r\n "))
+    raw = F.decode(F.encode(_col(line), "UTF-8"), "ISO-8859-1")
+    folded = F.regexp_replace(raw, r"(?s)(?:^(?=.{76}).{1,75}|(?!^)\G(?=.{75}).{1,74})(?![\x80-\xBF])", "$0\r\n ")
+    return F.decode(F.encode(folded, "ISO-8859-1"), "UTF-8")
 
 
 def context_window(text: Column | str, needle: Column | str, before: int = 260, after: int = 160) -> Column:

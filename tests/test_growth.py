@@ -36,3 +36,14 @@ def test_place_lines_are_read_once():
 
 def test_entities_are_found_once_a_text():
     assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
+
+
+def test_folding_makes_no_list_of_characters(spark):
+    assert "lambda" not in str(text.ics_fold("h")).lower()
+    for line in ("a" * 75, "a" * 76, "a" * 149, "a" * 150, "é" * 200, "日" * 99 + "b", "a\U0001f47e" * 60, "", "a" * 74 + "\n" + "b" * 80):
+        got = spark.createDataFrame([(line,)], "h string").select(text.ics_fold("h")).first()[0]
+        want, used, room = "", 0, 75
+        for c in line:
+            n = len(c.encode())
+            want, used, room = (want + "\r\n " + c, n, 74) if used + n > room else (want + c, used + n, room)
+        assert got == want
