@@ -5,7 +5,7 @@ A render is an order; what it shows are its parts, with what the lines and the p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightquay.operators import evaluate, publish, ranking
@@ -16,27 +16,42 @@ from brightquay.plans.signals import _DRAWN
 WEIGHTS, BIAS = tuple(round(0.3 - 0.05 * i, 2) for i in range(len(evaluate.FEATURES))), -0.2
 
 
-def shown(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
-    """``render, item, ordinal, ts, start, prior, features, region, relevant``: each part that an order shows.
-
-    With ``moved``, everything in the lines that a feature must not read is changed first.
-    """
-    lines = table(spark, sf_dir, "lineitem")
+def _line(moved: bool = False) -> dict[str, Column]:
+    """Columns of a line; with ``moved``, everything that a feature must not read is changed."""
+    line = {c: F.col(c) for c in ("l_shipdate", "l_quantity", "l_returnflag", "l_extendedprice", "l_discount")}
     if moved:
-        lines = lines.withColumns({"l_returnflag": F.when(F.col("l_returnflag") == "R", "N").otherwise("R"), "l_extendedprice": F.col("l_extendedprice") + 1234, "l_discount": 1 - F.col("l_discount")})
-    li = lines.groupBy(F.col("l_orderkey").alias("render"), F.col("l_partkey").alias("item")).agg(
-        F.min("l_shipdate").alias("at"), F.bool_or(F.col("l_returnflag") == "R").alias("relevant"), F.count("*").alias("prior"), F.sum(F.col("l_quantity").cast("int")).cast("int").alias("q")
-    )
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_size", "p_type", "p_brand")
-    s, size = li.join(p, "item"), F.col("p_size")
+        line |= {"l_returnflag": F.when(line["l_returnflag"] == "R", "N").otherwise("R"), "l_extendedprice": line["l_extendedprice"] + 1234, "l_discount": 1 - line["l_discount"]}
+    return line
+
+
+def _seen(line: dict[str, Column], tag: str) -> list[Column]:
+    """What the lines of a part in an order say, as ``at, relevant, prior, q`` with a tag."""
+    said = {"at": F.min(line["l_shipdate"]), "relevant": F.bool_or(line["l_returnflag"] == "R"), "prior": F.count("*"), "q": F.sum(line["l_quantity"].cast("int")).cast("int")}
+    return [c.alias(n + tag) for n, c in said.items()]
+
+
+def _features(tag: str) -> Column:
+    """The features of a part with what :func:`_seen` says."""
+    size, prior, q = F.col("p_size"), F.col(f"prior{tag}"), F.col(f"q{tag}")
     row = {
-        "confidence": size * 2, "builder_value": size + 50, "accessibility": F.when(F.col("p_type") == "ECONOMY", 40).otherwise(80), "freshness": F.col("prior") * 30, "score": size,
-        "category": F.when(F.col("p_type") == "PROMO", "adjacent").otherwise("hackathon"), "platform": F.when(size > 25, "luma").otherwise("external"), "start_ms": F.when(size % 10 > 0, day_ms("at")),
+        "confidence": size * 2, "builder_value": size + 50, "accessibility": F.when(F.col("p_type") == "ECONOMY", 40).otherwise(80), "freshness": prior * 30, "score": size,
+        "category": F.when(F.col("p_type") == "PROMO", "adjacent").otherwise("hackathon"), "platform": F.when(size > 25, "luma").otherwise("external"), "start_ms": F.when(size % 10 > 0, day_ms(f"at{tag}")),
         "prize": F.when(F.col("p_type") == "STANDARD", "Not listed").when(size % 3 > 0, "$5 prizes").otherwise(""), "tags": F.array_repeat(F.lit("t"), size % 9), "region": F.when(size % 4 > 0, "bay"),
-        "status": F.when(size % 2 > 0, "Open").otherwise("Closed"), "going": F.when(size % 5 > 0, F.col("q") * 10),
+        "status": F.when(size % 2 > 0, "Open").otherwise("Closed"), "going": F.when(size % 5 > 0, q * 10),
     }
-    f = evaluate.features(F.lit(NOW_MS), F.lit("bay"), F.lit("south"), row)
-    return s.select("render", "item", F.col("item").alias("ordinal"), F.lit(NOW_MS).alias("ts"), F.date_format("at", "yyyy-MM-dd").alias("start"), "prior", f.alias("features"), F.col("p_brand").alias("region"), "relevant")
+    return evaluate.features(F.lit(NOW_MS), F.lit("bay"), F.lit("south"), row)
+
+
+def _of_parts(spark: SparkSession, sf_dir: str, *seen: Column) -> DataFrame:
+    """``render, item``, what is seen of them, and their part."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("render"), F.col("l_partkey").alias("item")).agg(*seen)
+    return li.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_size", "p_type", "p_brand"), "item")
+
+
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``render, item, ordinal, ts, start, prior, features, region, relevant``: each part that an order shows."""
+    s = _of_parts(spark, sf_dir, *_seen(_line(), ""))
+    return s.select("render", "item", F.col("item").alias("ordinal"), F.lit(NOW_MS).alias("ts"), F.date_format("at", "yyyy-MM-dd").alias("start"), "prior", _features("").alias("features"), F.col("p_brand").alias("region"), "relevant")
 
 
 _UNIT = lambda x, most: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(CAST({x} AS DOUBLE), 0) / {most}))"
@@ -150,8 +165,9 @@ SELECT *, CASE WHEN NOT gate_met THEN 'Implemented result pending' WHEN beats_ba
 
 def leak_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose features move under a forbidden change, and under one that a planted leak reads."""
-    pair = lambda moved, tag: shown(spark, sf_dir, moved).select("render", "item", F.col("features").alias(f"own{tag}"), F.concat("features", F.array(F.col("relevant").cast("double"))).alias(f"leaky{tag}"))
-    s = pair(False, "0").join(pair(True, "1"), ["render", "item"])
+    s = _of_parts(spark, sf_dir, *_seen(_line(), "0"), *_seen(_line(moved=True), "1"))  # both out of the same lines at once, so vectors are not joined
+    leaky = lambda tag: F.concat(F.col(f"own{tag}"), F.array(F.col(f"relevant{tag}").cast("double")))
+    s = s.select(_features("0").alias("own0"), _features("1").alias("own1"), "relevant0", "relevant1").select("own0", "own1", leaky("0").alias("leaky0"), leaky("1").alias("leaky1"))
     return s.agg(F.count_if(evaluate.reads_future(F.col("own0"), F.col("own1"))).alias("moved"), F.count_if(evaluate.reads_future(F.col("leaky0"), F.col("leaky1"))).alias("planted"), F.count("*").alias("n"))
 
 

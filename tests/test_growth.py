@@ -34,6 +34,10 @@ def test_place_lines_are_read_once():
     assert str(facts.page_place(F.col("lines"), F.col("at"), "(?i)oakland")).count("Registration") == 1
 
 
+def test_leak_controls_join_no_vectors(spark):
+    assert plan_of(evaluation.leak_controls(spark, DATA)).count("Join") == 1
+
+
 def test_entities_are_found_once_a_text():
     assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
 
