@@ -81,8 +81,8 @@ def orderings_by(shown: DataFrame, score: Column) -> DataFrame:
     production and recency go by start, popularity by prior clicks, candidate by ``score``;
     ties follow the production order. random shuffles the list as it was shown.
     """
-    s = shown.withColumn("_p", production_rank(["render"], "start", "ordinal"))
-    s = s.withColumn("_z", F.round(score, 9))  # equal but for rounding is a tie
+    s = shown.withColumn("_z", F.round(score, 9)).drop("features")  # equal but for rounding is a tie; the vectors are not sorted along
+    s = s.withColumn("_p", production_rank(["render"], "start", "ordinal"))
     place = lambda *keys: (F.row_number().over(W.partitionBy("render").orderBy(*keys)) - 1).cast("int")
     s = s.withColumn("_popularity", place(F.desc("prior"), "_p")).withColumn("_recency", place(F.coalesce(F.col("start"), F.lit("9999")), "ordinal")).withColumn("_candidate", place(F.desc("_z"), "_p"))
     ranks = F.array(*[F.struct(F.lit(n).alias("ordering"), F.col(c).cast("int").alias("rank")) for n, c in (("production", "_p"), ("popularity", "_popularity"), ("recency", "_recency"), ("candidate", "_candidate"))])
@@ -94,8 +94,11 @@ def orderings_by(shown: DataFrame, score: Column) -> DataFrame:
 
 def coverage_by(ranked: DataFrame, k: int = 10) -> DataFrame:
     """``ordering, coverage, share, regions``: distinct items and regions within the first ``k`` places, and the share of all items shown."""
-    top = F.col("rank") < k
-    g = ranked.groupBy("ordering").agg(F.countDistinct(F.when(top, F.col("item"))).alias("coverage"), F.countDistinct("item").alias("_all"), F.countDistinct(F.when(top, F.col("region"))).alias("regions"))
+    # items, regions of the first places and orderings are each made distinct before they are counted
+    top, who = F.col("rank") < k, [F.struct(F.lit(0).alias("kind"), F.col("item").cast("string").alias("name")), F.struct(F.lit(1).alias("kind"), F.when(F.col("rank") < k, F.col("region").cast("string")).alias("name"))]
+    each = ranked.select("ordering", top.alias("_top"), F.explode(F.array(*who)).alias("_w")).groupBy("ordering", "_w.kind", "_w.name").agg(F.max("_top").alias("_top"))
+    counted = lambda kind, *more: F.count_if((F.col("kind") == kind) & F.col("name").isNotNull() & (more[0] if more else F.lit(True)))
+    g = each.groupBy("ordering").agg(counted(0, F.coalesce("_top", F.lit(False))).alias("coverage"), counted(0).alias("_all"), counted(1).alias("regions"))
     return g.select("ordering", "coverage", F.round(F.col("coverage") / F.nullif(F.col("_all"), F.lit(0)), 4).alias("share"), "regions")
 
 

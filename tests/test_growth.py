@@ -38,6 +38,10 @@ def test_leak_controls_join_no_vectors(spark):
     assert plan_of(evaluation.leak_controls(spark, DATA)).count("Join") == 1
 
 
+def test_coverage_counts_without_copies_for_each_distinct_count(spark):
+    assert "Expand" not in plan_of(evaluation.ordering_coverage(spark, DATA))
+
+
 def test_entities_are_found_once_a_text():
     assert str(text.decode_entities("h")).count("regexp_extract_all") == 1
 
