@@ -55,3 +55,12 @@ def test_folding_makes_no_list_of_characters(spark):
             n = len(c.encode())
             want, used, room = (want + "\r\n " + c, n, 74) if used + n > room else (want + c, used + n, room)
         assert got == want
+
+
+def test_what_holds_no_event_is_not_opened(spark, monkeypatch):
+    body = '{"@type": "ItemList", "itemListElement": [{"position": 1, "item": {"@type": "Event", "name": "n", "location": {"name": "h", "address": {"a": {"b": 1}}}}}, {"x": [1, {"@type": "Event", "name": "m"}, "s"]}]}'
+    pages = spark.createDataFrame([(1, f'<script type="application/ld+json">{body}</script>')], "id long, html string")
+    levels, cut = [], page.cut
+    monkeypatch.setattr(page, "cut", lambda df: levels.append(1) or cut(df))
+    assert sorted(r["name"] for r in page.structured_events(pages, "id", "html").collect()) == ["m", "n"]
+    assert len(levels) <= 5
