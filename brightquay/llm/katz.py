@@ -11,7 +11,9 @@ slices of a hash range of contexts.
    slices. A slice adds up all batches and the tables of a model that was there before,
    writes its part of the model, and answers every batch in the order in which it asked:
    counts of n-grams, and per context the mass that discounting frees, by counts, and the
-   lower order's mass of the words seen, unless the batch has all of these words itself.
+   lower order's tokens of the words seen, by counts too, unless the batch has all of
+   these words itself. They are one context's in the lower order too, so that the batch,
+   which has that context's tokens, makes a mass of them.
 3. A batch evaluates its tokens from the lowest order up: the discounted n-gram if it was
    seen, and else the context's weight times the probability of the order below. Weights
    make every context sum to one exactly.
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightquay.llm.common import drop_table, fold_of, load, shuffles_dropped, text_of, write_table
-from brightquay.llm.exchange import bucketed, drop_bucketed, mixed, packed, slices_of, unpacked
+from brightquay.llm.exchange import bucketed, drop_bucketed, fresh_worker, mixed, packed, slices_of, unpacked
 
 #: Order of the model, and that of the query; counts up to GT are discounted.
 ORDER, QUERY_ORDER, GT = 3, 3, 5
@@ -50,11 +52,11 @@ _END, _BEGIN, UNKNOWN = b" ", b"\t", 0xFFFFFFFF
 _TOKENS = "batch long, n long, keys binary, ids binary, known binary, train binary, lens binary, pre binary, words binary, counts binary, toks binary"
 #: Batches whose words have numbers.
 _NUMBERED = _TOKENS.replace("words binary", "gids binary")
-#: N-grams of a slice in order, and its contexts: counts of their n-grams with each small count, the lower order's mass, whether they are hot.
-_TABLE_KINDS = {"context": "<u8", "word": "<u4", "counts": "<u8", "names": "<u8", "small": "<u4", "low": "<f8", "hot": "u1"}
+#: N-grams of a slice in order, and its contexts: counts of their n-grams with each small count, the lower order's tokens and small counts of them, whether they are hot.
+_TABLE_KINDS = {"context": "<u8", "word": "<u4", "counts": "<u8", "names": "<u8", "small": "<u4", "low": "<u8", "hot": "u1"}
 _TABLE = ", ".join(f"{c} binary" for c in _TABLE_KINDS)
-_ASK_KINDS = {"context": "<u8", "word": "<u4", "counts": "<u8", "lower": "<u8", "total": "<u8", "hot": "u1"}
-_ASK = f"slice long, batch long, {_TABLE}, lower binary, total binary"
+_ASK_KINDS = {"context": "<u8", "word": "<u4", "counts": "<u8", "lower": "<u8", "hot": "u1"}
+_ASK = f"slice long, batch long, {_TABLE}, lower binary"
 _REPLY = f"kind int, k int, slice long, batch long, a binary, b binary, c binary, name long, sums array<double>, {_TABLE}"
 #: Kinds of replies: to a batch, a slice's part of the model, its statistics, sums of a hot context, a batch that asks for one.
 _TO_BATCH, _OF_MODEL, _STATISTICS, _SUMS, _ASKS = range(5)
@@ -123,10 +125,10 @@ class Layout:
         whole = lens + pre
         self.lens, self.train = lens, train
         self.starts = np.cumsum(whole) - whole
-        self.owner = np.repeat(np.arange(len(whole)), whole)
-        self.offset = np.arange(int(whole.sum())) - self.starts[self.owner]
-        self.scored = self.offset >= pre[self.owner]
-        self.in_train = train[self.owner]
+        self.owner = np.repeat(np.arange(len(whole), dtype=np.int32), whole)
+        self.offset = np.arange(len(self.owner), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), whole)
+        self.scored = self.offset >= np.repeat(pre.astype(np.int32), whole)
+        self.in_train = np.repeat(train, whole)
 
 
 class Counts(NamedTuple):
@@ -239,92 +241,145 @@ def number_words(tokens: DataFrame, replies: DataFrame, slices: int) -> DataFram
     return tokens.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(told, _NUMBERED)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, by rising keys, and the number of every place's key; ``key`` is used up.
+
+    Keys are sorted with their places behind them where both fit into 63 bits, which
+    takes a fraction of the time and memory of an indirect sort.
+    """
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) < 1 << (63 - bits):
+        key <<= bits
+        key |= np.arange(len(key))
+        key.sort()
+        place = key & ((1 << bits) - 1)
+        key >>= bits
+    else:
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    number = np.empty(len(key), np.int32)
+    number[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return place[new], number
+
+
 class Batch:
-    """A batch of numbered tokens, and what the slices have said of it so far."""
+    """A batch of numbered tokens, and what the slices have said of it so far.
 
-    def __init__(self, row, model: Fit, replies: pd.DataFrame):
+    What depends on the n-gram is held once for each, and what depends on its context once
+    for each context; positions have numbers of n-grams and, where the batch is ``scored``, probabilities.
+    """
+
+    def __init__(self, row, model: Fit, replies: pd.DataFrame, scored: bool):
         self.number = int(row.batch)
         self.keys, self.ids, lens = (np.frombuffer(x, k) for x, k in ((row.keys, "<i8"), (row.ids, "<i8"), (row.lens, "<i4")))
         self.known, train = np.frombuffer(row.known, np.uint8).astype(bool), np.frombuffer(row.train, np.uint8).astype(bool)
         self.at = Layout(lens.astype(np.int64), np.frombuffer(row.pre, np.uint8).astype(np.int64), train)
-        self.toks = unpacked(row.toks, "<u4").astype(np.int64)
-        gids, counts = unpacked(row.gids, "<u4"), unpacked(row.counts, "<u8").astype(np.int64)
-        self.model, self.n_words = model, len(gids)
-        self.gid, self.c1 = gids[self.toks], counts[self.toks]
-        # of the order reached: count, local number and name of the n-gram that ends at each position, its context's tokens, and the probability
-        self.count, self.local, self.name = self.c1, self.toks, self.gid.astype(np.uint64)
-        self.total = np.full(len(self.toks), max(model.counts[0].total, 1), np.int64)
-        d = model.discounts[0]
-        self.p = np.where(self.c1 > 0, d[np.minimum(self.c1, GT + 1)] * self.c1 / self.total, model.unknown)
+        self.toks = unpacked(row.toks, "<u4").astype(np.int32)
+        self.gids, self.counts = unpacked(row.gids, "<u4"), unpacked(row.counts, "<u8").astype(np.int64)
+        self.model = model
+        # of the order reached: the number of the n-gram that ends at each position, and by number its count, name and its context's tokens
+        self.local, self.count, self.name = self.toks, self.counts, self.gids.astype(np.uint64)
+        self.total = np.full(len(self.gids), max(model.counts[0].total, 1), np.int64)
+        self.p = np.where(self.count > 0, self._discounted(0) / self.total, model.unknown)[self.toks] if scored else None
         for k in range(2, len(model.counts) + 1):
             self._climb(k, replies[replies["k"] == k])
 
-    def _shifted(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty_like(x)
-        out[1:], out[:1] = x[:-1], 0
-        return out
+    def _discounted(self, k: int) -> np.ndarray:
+        """Counts of the n-grams of the order reached after discounts number ``k``."""
+        return self.model.discounts[k][np.minimum(self.count, GT + 1)] * self.count
 
     def distinct(self, k: int) -> tuple[np.ndarray, ...]:
-        """N-grams of order ``k`` in known contexts: positions that have one, a position and the number of each, names of their contexts, and whether these are hot."""
-        context = self._shifted(self.count)
-        open_ = np.flatnonzero((self.at.offset >= k - 1) & (context > 0))
-        key = self._shifted(self.local)[open_] * self.n_words + self.toks[open_]
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        """N-grams of order ``k`` in known contexts, by contexts: positions that have one, a position of each, the number at each position, and their contexts' numbers."""
+        open_ = 1 + np.flatnonzero((self.at.offset[1:] >= k - 1) & (self.count > 0)[self.local[:-1]])
+        key = self.local[open_ - 1].astype(np.int64)
+        key *= len(self.gids)
+        key += self.toks[open_]
+        first, inverse = _distinct(key)
         first = open_[first]
-        name = self._shifted(self.name)[first]
-        return open_, first, inverse, name, context[first] > HOT
+        return open_, first, inverse, self.local[first - 1]
 
-    def ask(self, k: int) -> list[dict]:
+    def ask(self, k: int) -> Iterator[dict]:
         """Rows for the slices."""
-        open_, first, inverse, name, hot = self.distinct(k)
+        open_, first, inverse, context = self.distinct(k)
         counted = (self.at.scored & self.at.in_train)[open_]
         counts = np.bincount(inverse[counted], minlength=len(first))
-        cols = {"context": name, "word": self.gid[first], "counts": counts, "lower": self.count[first], "total": self.total[first], "hot": hot}
+        del open_, inverse, counted
         blank = dict.fromkeys(_columns(_ASK)) | {"batch": self.number}
-        return [blank | {"slice": s} | {c: packed(v[o].astype(_ASK_KINDS[c])) for c, v in cols.items()} for s, o in slices_of(self._slice_names(first, name, hot), self.model.slices)]
+        for s, o in slices_of(self._slice_names(first, context), self.model.slices):
+            above = context[o]
+            cols = {"context": self.name[above], "word": self.gids[self.toks[first[o]]], "counts": counts[o], "lower": self.count[self.local[first[o]]], "hot": self.count[above] > HOT}
+            yield blank | {"slice": s} | {c: packed(v.astype(_ASK_KINDS[c])) for c, v in cols.items()}
 
-    def _slice_names(self, first: np.ndarray, name: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    def _slice_names(self, first: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Where n-grams go: by their contexts, and those of a hot one to as many places as it has tokens for."""
-        places = 1 + self._shifted(self.count)[first] // HOT
-        salt = mixed(self.gid[first].astype(np.uint64) + np.uint64(1)) % places.astype(np.uint64)
-        return mixed(name ^ np.where(hot, mixed(salt + np.uint64(7)), np.uint64(0)))
+        names = self.name[context]
+        hot = np.flatnonzero((self.count > HOT)[context])
+        if len(hot):
+            places = 1 + self.count[context[hot]] // HOT
+            salt = mixed(self.gids[self.toks[first[hot]]].astype(np.uint64) + np.uint64(1)) % places.astype(np.uint64)
+            names[hot] ^= mixed(salt + np.uint64(7))
+        return mixed(names)
+
+    def _told(self, replies: pd.DataFrame, first: np.ndarray, context: np.ndarray, run: np.ndarray, n_runs: int, each: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts of n-grams; of contexts the freed tokens, the lower order's discounted tokens, and whether these were sent."""
+        a, b, c = (dict(zip(replies["slice"], replies[x], strict=True)) for x in "abc")
+        count, free = np.zeros(len(first), np.int64), np.zeros(n_runs)
+        mass, given = np.zeros(n_runs), np.zeros(n_runs, bool)
+        for s, o in slices_of(self._slice_names(first, context), self.model.slices):
+            count[o] = unpacked(a[s], "<u8")
+            of_run, _ = _runs(self.name[context[o]])
+            told, of = unpacked(b[s], "<u4").reshape(GT + 1, -1), run[o]
+            free[of] = (told[:GT].T * each).sum(axis=1)[of_run]
+            if self.p is not None:
+                low, has = np.zeros(told.shape[1]), told[GT] > 0
+                low[has] = below @ unpacked(c[s], "<u8").reshape(GT + 1, -1)
+                mass[of], given[of] = low[of_run], has[of_run]
+        return count, free, mass, given
 
     def _climb(self, k: int, replies: pd.DataFrame) -> None:
         """Go on to order ``k`` with the slices' replies."""
-        open_, first, inverse, name, hot = self.distinct(k)
-        own = replies[replies["kind"] == _TO_BATCH]
-        a, b, c = (dict(zip(own["slice"], own[x], strict=True)) for x in "abc")
-        count, sums = np.zeros(len(first), np.int64), np.zeros((len(first), GT + 1))
-        for s, o in slices_of(self._slice_names(first, name, hot), self.model.slices):
-            count[o] = unpacked(a[s], "<u8")
-            of_run, _ = _runs(name[o])
-            told = unpacked(b[s], "<u4").reshape(GT + 1, -1)
-            sums[o, :GT] = told[:GT].T[of_run]
-            # of a context whose seen words are all here, their mass of the lower order is added up here
-            n, seen, given = self.count[first[o]], count[o] > 0, told[GT] > 0
-            mass = np.bincount(of_run[seen], (self.model.discounts[k - 2][np.minimum(n, GT + 1)] * n / np.maximum(self.total[first[o]], 1))[seen], told.shape[1])
-            mass[given] = unpacked(c[s], "<f8")
-            sums[o, GT] = mass[of_run]
-        if hot.any():
+        open_, first, inverse, context = self.distinct(k)
+        run, starts = _runs(self.name[context])
+        run = run.astype(np.int32)
+        d = self.model.discounts[k - 1]
+        each = np.arange(1, GT + 1) * (1 - d[1 : GT + 1])
+        below = np.append(1, -np.arange(1, GT + 1) * (1 - self.model.discounts[k - 2][1 : GT + 1]))
+        count, free, mass, given = self._told(replies[replies["kind"] == _TO_BATCH], first, context, run, len(starts), each, below)
+        if self.p is not None:
+            # of a context whose seen words are all here, their tokens of the lower order are added up here
+            seen = count > 0
+            mass = np.where(given, mass, np.bincount(run[seen], self._discounted(k - 2)[self.local[first[seen]]], len(starts)))
+            del seen
+        hot = np.flatnonzero(self.count[context[starts]] > HOT)
+        if len(hot):
             summed = replies[replies["kind"] == _SUMS]
             names = summed["name"].to_numpy(np.int64).view(np.uint64)
             by = np.argsort(names)
-            at = by[np.searchsorted(names[by], name[hot])]
-            sums[hot] = np.stack(summed["sums"].to_numpy())[at]
-        d = self.model.discounts[k - 1]
-        total = self._shifted(self.count)[first]
-        free = (sums[:, :GT] * np.arange(1, GT + 1) * (1 - d[1 : GT + 1])).sum(axis=1) / np.maximum(total, 1)
+            at = by[np.searchsorted(names[by], self.name[context[starts[hot]]])]
+            sums = np.stack(summed["sums"].to_numpy())[at]
+            free[hot], mass[hot] = (sums[:, :GT] * each).sum(axis=1), sums[:, GT:] @ below
+        total = self.count[context[starts]]
+        free /= np.maximum(total, 1)
         spent = free <= 1e-9  # nothing was freed: the context counts one more, for what it hasn't seen
         total = total + spent
-        weight = np.where(spent, 1 / np.maximum(total, 1), free) / np.maximum(1 - sums[:, GT], 1e-300)
-        # the order below stays where there is no context
-        name_k = name * np.uint64(1 << 32) + self.gid[first] if k < 3 else mixed(name * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(self.gid[first].astype(np.uint64)))
-        p = np.where(count[inverse] > 0, d[np.minimum(count, GT + 1)][inverse] * count[inverse] / total[inverse], weight[inverse] * self.p[open_])
-        self.p = self.p.copy()
-        self.p[open_] = p
-        size = len(self.toks)
-        self.count, self.local, self.name, self.total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.uint64), np.ones(size, np.int64)
-        self.count[open_], self.local[open_], self.name[open_], self.total[open_] = count[inverse], inverse, name_k[inverse], total[inverse]
+        if self.p is not None:
+            # the order below stays where there is no context
+            mass /= np.maximum(self.total[self.local[first[starts]]], 1)
+            weight = np.where(spent, 1 / np.maximum(total, 1), free) / np.maximum(1 - mass, 1e-300)
+            p = d[np.minimum(count, GT + 1)]
+            p *= count
+            p /= total[run]
+            np.copyto(p, weight[run] * self.p[first], where=count == 0)
+            self.p[open_] = p[inverse]
+            if k == len(self.model.counts):
+                return  # nothing is asked any more
+        name, word = self.name[context], self.gids[self.toks[first]]
+        name = name * np.uint64(1 << 32) + word if k < 3 else mixed(name * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(word.astype(np.uint64)))
+        # number 0 is no n-gram
+        self.count, self.name, self.total = np.append(0, count), np.append(np.uint64(0), name), np.append(1, total[run])
+        self.local = np.zeros(len(self.toks), np.int32)
+        self.local[open_] = inverse + np.int32(1)
 
     def by_doc(self, values: np.ndarray) -> np.ndarray:
         """Sums of the scored tokens' values by segment."""
@@ -346,42 +401,52 @@ def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _slice(k: int, lower: np.ndarray, keep: bool):
-    """A slice's work on order ``k``, with the discounts of the order below; with ``keep`` it writes its part of the model."""
+def _slice(k: int, keep: bool):
+    """A slice's work on order ``k``; with ``keep`` it writes its part of the model."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
+        fresh_worker()
         f = f.sort_values("batch")
         known, f = f[f["batch"] < 0], f[f["batch"] >= 0]
         own = {c: [unpacked(x, kind) for x in known[c]] for c, kind in _TABLE_KINDS.items()}
-        asked = {c: [unpacked(x, kind) for x in f[c]] for c, kind in _ASK_KINDS.items()}
-        sizes = [len(x) for x in asked["context"]]
+
+        def column(c: str) -> list[np.ndarray]:
+            return [unpacked(x, _ASK_KINDS[c]) for x in f[c]]
+
         # a model's n-grams come behind those that are asked for; its contexts bring their sums along
-        context, word, counts = (np.concatenate([*asked[c], *own[c], np.zeros(0, _ASK_KINDS[c])]).astype(_ASK_KINDS[c]) for c in ("context", "word", "counts"))
-        low, total, hot = (np.concatenate([*asked[c], np.zeros(len(context) - sum(sizes), _ASK_KINDS[c])]).astype(_ASK_KINDS[c]) for c in ("lower", "total", "hot"))
-        del asked
+        contexts = column("context")
+        sizes = [len(x) for x in contexts]
+        context = np.concatenate([*contexts, *own["context"]])
+        del contexts
+        word = np.concatenate([*column("word"), *own["word"]])
+        hot = np.concatenate([*column("hot"), np.zeros(len(context) - sum(sizes), np.uint8)])
         by = np.lexsort((word, context))
         new_context = np.append(True, context[by][1:] != context[by][:-1])
         new = new_context | np.append(True, word[by][1:] != word[by][:-1])
         of_gram = np.empty(len(by), np.int64)
         of_gram[by] = np.cumsum(new) - 1
         one = by[new]  # one place of each n-gram
-        c = np.bincount(of_gram, counts, len(one)).astype(np.int64)
+        del by
+        c = np.bincount(of_gram, np.concatenate([*column("counts"), *own["counts"]]), len(one)).astype(np.int64)
         first = np.flatnonzero(new_context[new])
         of_context = np.cumsum(new_context[new]) - 1
         names, is_hot = context[one[first]], np.maximum.reduceat(hot[one], first) > 0
         seen = c > 0
         types = np.bincount(of_context[seen], minlength=len(first))
-        # what a context's weight is made of: how many of its n-grams have each small count, and the lower order's mass of all
-        small, mass = np.zeros((GT, len(first)), np.int64), np.zeros(len(first))
+        # what a context's weight is made of: how many of its n-grams have each small count, and the lower order's tokens of all and numbers of small counts
+        small, low = np.zeros((GT, len(first)), np.uint32), np.zeros((GT + 1, len(first)), np.uint64)
         if len(known):
             at = np.searchsorted(names, own["names"][0])
-            small[:, at], mass[at] = own["small"][0].reshape(GT, -1), own["low"][0]
+            small[:, at], low[:, at] = own["small"][0].reshape(GT, -1), own["low"][0].reshape(GT + 1, -1)
             is_hot[at] |= own["hot"][0] > 0
         else:
             for r in range(1, GT + 1):
                 small[r - 1] = np.bincount(of_context[c == r], minlength=len(first))
-            n = low[one].astype(np.int64)
-            mass = np.bincount(of_context[seen], (lower[np.minimum(n, GT + 1)] * n / np.maximum(total[one], 1))[seen], len(first))
+            n, of_seen = np.concatenate(column("lower"))[one[seen]], of_context[seen]
+            low[0] = np.bincount(of_seen, n, len(first))
+            for r in range(1, GT + 1):
+                low[r] = np.bincount(of_seen[n == r], minlength=len(first))
+            del n, of_seen
         s, rows, end = int(known["slice"].iloc[0] if len(known) else f["slice"].iloc[0]), [], 0
         for batch, size in zip(f["batch"], sizes, strict=True):
             begin, end = end, end + size
@@ -389,14 +454,14 @@ def _slice(k: int, lower: np.ndarray, keep: bool):
             of_run, starts = _runs(theirs)
             runs = of_context[grams[starts]]
             given = np.bincount(of_run, seen[grams], len(runs)) < types[runs]
-            rows.append({"kind": _TO_BATCH, "batch": batch, "a": packed(c[grams].astype("<u8")), "b": packed(np.vstack([small[:, runs], given]).astype("<u4").ravel()), "c": packed(mass[runs[given]])})
+            rows.append({"kind": _TO_BATCH, "batch": batch, "a": packed(c[grams].astype("<u8")), "b": packed(np.vstack([small[:, runs], given]).astype("<u4").ravel()), "c": packed(low[:, runs[given]].astype("<u8").ravel())})
             rows += [{"kind": _ASKS, "batch": batch, "name": name} for name in np.unique(theirs[hot[begin:end] > 0]).view(np.int64).tolist()]
         for i in np.flatnonzero(is_hot).tolist():
-            rows.append({"kind": _SUMS, "name": int(names[i].view(np.int64)), "sums": [*small[:, i].astype(float).tolist(), float(mass[i])]})
+            rows.append({"kind": _SUMS, "name": int(names[i].view(np.int64)), "sums": [*small[:, i].astype(float).tolist(), *low[:, i].astype(float).tolist()]})
         rows.append({"kind": _STATISTICS, "sums": [float(c.sum()), float(seen.sum()), *np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)[1 : GT + 2].astype(float).tolist()]})
         if keep:
             kept, some = one[seen], np.unique(of_context[seen])
-            table = (context[kept], word[kept], c[seen], names[some], small[:, some].ravel(), mass[some], is_hot[some])
+            table = (context[kept], word[kept], c[seen], names[some], small[:, some].ravel(), low[:, some].ravel(), is_hot[some])
             rows.append({"kind": _OF_MODEL} | {name: packed(np.ascontiguousarray(x.astype(kind))) for (name, kind), x in zip(_TABLE_KINDS.items(), table, strict=True)})
         blank = dict.fromkeys(_columns(_REPLY)) | {"k": k, "slice": s, "batch": -1, "name": 0}
         return pd.DataFrame([blank | row for row in rows])
@@ -408,7 +473,8 @@ def _asked(tokens: DataFrame, replies: DataFrame, fit: Fit, k: int) -> DataFrame
     """What all batches ask of order ``k``."""
 
     def told(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([x for row in own.itertuples() for x in Batch(row, fit, replies).ask(k)], columns=_columns(_ASK))
+        fresh_worker()
+        return pd.DataFrame([x for row in own.itertuples() for x in Batch(row, fit, replies, scored=False).ask(k)], columns=_columns(_ASK))
 
     return tokens.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(told, _ASK)
 
@@ -435,8 +501,8 @@ def _climbed(tokens: DataFrame, order: int, slices: int, model: KatzModel | None
             fit = fit_of(counts, slices)
             asked = _asked(tokens, replies, fit, k)
             if before is not None:
-                asked = asked.unionByName(before.select(*_columns(_ASK)[:2], *_TABLE_KINDS, none("binary").alias("lower"), none("binary").alias("total")))
-            out = write_table(asked.groupBy("slice").applyInPandas(_slice(k, fit.discounts[-1], keep), _REPLY), f"katz-{k}", "kind")
+                asked = asked.unionByName(before.select(*_columns(_ASK)[:2], *_TABLE_KINDS, none("binary").alias("lower")))
+            out = write_table(asked.groupBy("slice").applyInPandas(_slice(k, keep), _REPLY), f"katz-{k}", "kind")
         counts.append(_statistics(out) if model is None else model.counts[k - 1])
         now = out.filter(f"kind = {_TO_BATCH}").select(*own)
         if k == 1:
@@ -446,7 +512,7 @@ def _climbed(tokens: DataFrame, order: int, slices: int, model: KatzModel | None
             if not keep:
                 drop_table(out)
         else:
-            summed = out.filter(f"kind = {_SUMS}").groupBy("name").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(GT + 1)]).alias("sums"))
+            summed = out.filter(f"kind = {_SUMS}").groupBy("name").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(2 * GT + 1)]).alias("sums"))
             hot = out.filter(f"kind = {_ASKS}").select("batch", "name").distinct().join(summed, "name")
             now = now.unionByName(hot.select(F.lit(_SUMS).alias("kind"), F.lit(k).alias("k"), F.lit(-1).cast("long").alias("slice"), "batch", *[none("binary").alias(c) for c in "abc"], "name", "sums"))
         replies = now if replies is None else replies.unionByName(now)
@@ -474,11 +540,12 @@ def _scores(tokens: DataFrame, replies: DataFrame, fit: Fit) -> DataFrame:
     base = uni.total + uni.types + 1
 
     def score(row, replies: pd.DataFrame) -> pd.DataFrame:
-        b = Batch(row, fit, replies)
-        out = {"key": b.keys, "doc_id": pd.array(b.ids, dtype="Int64"), "held_out": ~b.at.train, "n_tokens": b.at.lens, "n_known": b.by_doc(b.c1 > 0).astype(np.int64), "base_score": b.by_doc(np.log10((b.c1 + 1) / base)), "score": b.by_doc(np.log10(np.where(b.at.scored, b.p, 1)))}
+        b = Batch(row, fit, replies, scored=True)
+        out = {"key": b.keys, "doc_id": pd.array(b.ids, dtype="Int64"), "held_out": ~b.at.train, "n_tokens": b.at.lens, "n_known": b.by_doc((b.counts > 0)[b.toks]).astype(np.int64), "base_score": b.by_doc(np.log10((b.counts + 1) / base)[b.toks]), "score": b.by_doc(np.log10(np.where(b.at.scored, b.p, 1)))}
         return pd.DataFrame(out).assign(doc_id=lambda f: f["doc_id"].where(b.known))
 
     def told(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        fresh_worker()
         rows = [score(row, replies) for row in own.itertuples()]
         return pd.concat(rows) if rows else pd.DataFrame(columns=_columns(_SCORED))
 
